@@ -1,0 +1,11 @@
+"""Operators of a training-data pipeline.
+
+Nothing else in the package imports this one.  Functions that run in Python
+workers travel by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
