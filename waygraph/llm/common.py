@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +91,22 @@ def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}[kind]
 
 
+class Shared:
+    """A broadcast of any object. It travels as bytes, since plain pickles of our classes need the package at the other end."""
+
+    def __init__(self, spark: SparkSession, thing: object) -> None:
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+    def __getstate__(self) -> dict:
+        return {"sent": self.sent}
+
+    @property
+    def value(self):
+        if "thing" not in self.__dict__:
+            self.thing = cloudpickle.loads(self.sent.value)
+        return self.thing
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words [^\\x20\\x09-\\x0D]+ of a text, as UTF-8; bytes.split parts at just these characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import map_arrow, materialize, table
+from waygraph.llm.common import Shared, map_arrow, materialize, table
 from waygraph.llm.licenses import words_of
 
 #: Masks of weight 6; a passage of 13 tokens with one substitution, or 16 with two apart, keeps a hit.
@@ -91,7 +91,7 @@ def bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
 
 def candidates(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """doc_id, text, hits (hash, pos) of the documents with windows in the bitmap."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = Shared(docs.sparkSession, bits)
     known: dict = {}
     hit = pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int32())]))
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import add_arrow, bounded_sample, held_out, map_arrow, padded_groups, table
+from waygraph.llm.common import Shared, add_arrow, bounded_sample, held_out, map_arrow, padded_groups, table
 
 BUCKETS = 1 << 16
 #: Training rows, chosen by a hash of doc_id; all where there are fewer.
@@ -212,7 +212,7 @@ def _labeller(shared, switch: float, spans: bool):
 
 def label(docs: DataFrame, model: LanguageModel, switch: float = SWITCH, spans: bool = True) -> DataFrame:
     """doc_id, lang_pred, score, and spans: lang, first word (from 0), number of words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     inner = _labeller(shared, switch, spans)
 
     def kernel(cols: dict[str, list]) -> dict[str, list]:
@@ -225,7 +225,7 @@ def label(docs: DataFrame, model: LanguageModel, switch: float = SWITCH, spans:
 
 def keep_documents(docs: DataFrame, model: LanguageModel, least: float = LEAST_SCORE) -> DataFrame:
     """The documents of a learned language whose score reaches least, with their own columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     inner = {c: f"__d{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in inner.items()))
     marked = add_arrow(renamed, [inner["text"]], _labeller(shared, SWITCH, False), "lang_pred string, score double")

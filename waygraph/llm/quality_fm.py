@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import bounded_sample, held_out, map_arrow, table
+from waygraph.llm.common import Shared, bounded_sample, held_out, map_arrow, table
 from waygraph.llm.quality_rules import SPACE, SYMBOLS, repeated_words
 
 BUCKETS = 1 << 16
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> FactorM
 def score(docs: DataFrame, machine: FactorMachine) -> DataFrame:
     """doc_id, score, predicted."""
     machine.weights, machine.vectors = machine.weights.astype(np.float32), machine.vectors.astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    shared = Shared(docs.sparkSession, machine)
     state: dict = {}
 
     def kernel(cols: dict[str, list]) -> dict[str, list]:

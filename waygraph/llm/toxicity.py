@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import bounded_sample, held_out, map_arrow, padded_groups, table
+from waygraph.llm.common import Shared, bounded_sample, held_out, map_arrow, padded_groups, table
 
 BUCKETS = 1 << 17
 #: Labelled training rows, chosen by a hash of doc_id; all where there are fewer.
@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> ToxicCh
 
 def score(docs: DataFrame, chain: ToxicChain) -> DataFrame:
     """doc_id, score, predicted, spans: character offsets (start, end) of offending words."""
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    shared = Shared(docs.sparkSession, chain)
     state: dict = {}
 
     def kernel(cols: dict[str, list]) -> dict[str, list]:
