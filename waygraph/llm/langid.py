@@ -30,6 +30,8 @@ TRAIN_ROWS = 20_000
 MAX_LANGS = 64
 SWITCH = 6.0
 FLOOR = -7.0
+#: N-grams' worth of the distribution over all languages that each language's own is mixed with.
+BACKOFF = 2_000.0
 KEPT_WORDS = 400_000
 #: A pipeline keeps documents whose score reaches this.
 LEAST_SCORE = 0.4
@@ -123,7 +125,8 @@ def train(rows: DataFrame, most: int = TRAIN_ROWS) -> LanguageModel:
     for lang, bucket, n in zip(got["lang"], got["bucket"], got["n"], strict=True):
         counts[bucket, langs.index(lang)] = n
     seen, scripts = counts[:BUCKETS], counts[BUCKETS:]
-    logs = np.log((seen + 0.5) / (seen.sum(0) + 0.5 * BUCKETS))
+    common = (seen.sum(1) + 0.5) / (seen.sum() + 0.5 * BUCKETS)
+    logs = np.log((seen + BACKOFF * common[:, None]) / (seen.sum(0) + BACKOFF))
     total = np.maximum(scripts.sum(0), 1)
     return LanguageModel(langs, logs.astype(np.float32), scripts / total >= 0.01, total / total.sum())
 

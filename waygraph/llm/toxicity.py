@@ -2,7 +2,7 @@
 
 Only documents are labelled.  Token labels come from them: a word is offending
 where its document rate among toxic training documents exceeds that among clean
-ones by the odds LEAST_ODDS, and its places in toxic documents are labelled toxic,
+ones by the odds LEAST_ODDS and it is in a LEAST_SHARE of them, and its places in toxic documents are labelled toxic,
 all other places clean.  A two-state chain with hashed word features is fitted to
 the labelled tokens by gradient ascent on the conditional likelihood; in a
 document, forward and backward passes give each word's marginal.  A logistic layer
@@ -32,7 +32,8 @@ BUCKETS = 1 << 17
 #: Labelled training rows, chosen by a hash of doc_id; all where there are fewer.
 TRAIN_ROWS = 5_000
 LEAST_ODDS = 8.0
-LEAST_DOCS = 3
+LEAST_DOCS = 5
+LEAST_SHARE = 0.03
 KEPT_WORDS = 400_000
 ROUNDS = 12
 STEP = 0.5
@@ -95,7 +96,7 @@ def fit(texts: list[str | None], labels: list[int]) -> ToxicChain:
     for own, y in zip(words, labels, strict=True):
         seen[y].update(set(map(normal, own)))
     n1, n0 = sum(labels), len(labels) - sum(labels)
-    bad = {w for w, k in seen[1].items() if w and k >= LEAST_DOCS and (k + 0.5) / (n1 - k + 0.5) >= LEAST_ODDS * (seen[0][w] + 0.5) / (n0 - seen[0][w] + 0.5)}
+    bad = {w for w, k in seen[1].items() if w and k >= max(LEAST_DOCS, LEAST_SHARE * n1) and (k + 0.5) / (n1 - k + 0.5) >= LEAST_ODDS * (seen[0][w] + 0.5) / (n0 - seen[0][w] + 0.5)}
     index: dict[str, int] = {}
     rows: list[list[int]] = []
     tags: list[bool] = []
