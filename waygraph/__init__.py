@@ -1 +1,10 @@
-"""Traffic-scene analytics on Spark DataFrames."""
+"""Traffic-scene analytics on Spark DataFrames.
+
+Functions that run in Python workers travel by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
