@@ -12,10 +12,12 @@ is dropped, all others are verified on the full sets.
 Equal word sequences are one node.  Buckets are worked off in three rounds, so
 that no bucket is expanded into all its pairs: each node against the least member
 of its buckets, then members of buckets that still have several components against
-a member drawn anew in each bucket, then each member outside a bucket's main
+the bucket's most typical member, then each member outside a bucket's main
 component against all members of other components.  Nodes that share a component
 need no further pair, so components come out as if every pair of every bucket had
-been verified.
+been verified.  In the last two rounds each node's shingles that no other node of
+these buckets has are counted: two sets share at most what either shares with
+anyone, an exact bound that spares pairs and nodes that can't be linked.
 
 Defined results: null texts and texts without words are empty and linked with
 nothing; with fewer words than a shingle the whole sequence is one shingle; rows of
@@ -29,7 +31,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waygraph.llm.common import map_arrow, materialize, table
@@ -217,6 +219,42 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(named.join(main, "band"), "mixed")
 
 
+def _alone(keys: DataFrame, texts: DataFrame, linking: Linking) -> DataFrame:
+    """key, alone: how many of its shingles no other of the keys has."""
+    ids = materialize(keys.withColumn("node", F.monotonically_increasing_id()), "ids")
+    k = linking.words
+    state: dict = {}
+
+    def kernel(cols: dict[str, list]) -> dict[str, list]:
+        import xxhash
+
+        known, out = state.setdefault("known", {}), []
+        for text in cols["text"]:
+            words = text.encode("utf-8", "surrogatepass").lower().split()
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh3_64_intdigest(w)
+            out.append(shingle_codes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), k).view(np.int64))
+            if len(known) > KEPT_WORDS:
+                known.clear()
+        return {"node": cols["node"], "codes": out}
+
+    codes = map_arrow(ids.join(texts, "key").select("node", "text"), kernel, "node bigint, codes array<bigint>")
+    once = codes.select("node", F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    return materialize(ids.join(once.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "node", "left").select("key", F.coalesce("alone", F.lit(0)).alias("alone")), "alone")
+
+
+def _linkable(mixed: DataFrame, alone: DataFrame, linking: Linking) -> DataFrame:
+    """mixed with alone, without those whose shared shingles are too few for any link."""
+    return mixed.join(alone, "key").where(100 * (F.col("n_shingles") - F.col("alone")) >= linking.percent * F.col("n_shingles"))
+
+
+def _may_link(n: str, alone: str, o_n: str, o_alone: str, linking: Linking) -> Column:
+    """Whether two sets could be linked: they share at most what either shares with anyone."""
+    most = F.least(F.col(n) - F.col(alone), F.col(o_n) - F.col(o_alone))
+    return 100 * most >= linking.percent * (F.col(n) + F.col(o_n) - most)
+
+
 def classes(docs: DataFrame, linking: Linking) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id: one row for each document."""
     found = materialize(features(docs, linking), "features")
@@ -235,14 +273,16 @@ def classes(docs: DataFrame, linking: Linking) -> DataFrame:
     labels = _merged(labels, verified(pairs, nodes, texts, linking))
 
     mixed = _mixed(members.select("band", "key", "n_shingles"), labels)
-    drawn = mixed.groupBy("band").agg(F.min_by(F.struct(F.col("key").alias("b"), F.col("label").alias("lb")), F.struct(F.xxhash64("band", "key"), "key")).alias("c")).select("band", "c.*")
-    pairs = mixed.join(drawn, "band").where("label != lb").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+    alone = _alone(mixed.select("key").distinct(), texts, linking)
+    mixed = _linkable(mixed, alone, linking)
+    typical = F.min_by(F.struct(F.col("key").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("alone").alias("ab")), F.struct(F.col("alone") / F.col("n_shingles"), F.xxhash64("band", "key"), "key"))
+    pairs = mixed.join(mixed.groupBy("band").agg(typical.alias("c")).select("band", "c.*"), "band")
+    pairs = pairs.where((F.col("label") != F.col("lb")) & _may_link("n_shingles", "alone", "nb", "ab", linking)).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
     labels = _merged(labels, verified(pairs, nodes, texts, linking))
 
-    mixed = _mixed(members.select("band", "key", "n_shingles"), labels)
-    rest = mixed.where("label != main").select(F.col("band").alias("o_band"), F.col("key").alias("o_key"), F.col("n_shingles").alias("o_n"), F.col("label").alias("o_label"))
-    close = 100 * F.least("n_shingles", "o_n") >= linking.percent * F.greatest("n_shingles", "o_n")
-    pairs = mixed.join(rest, (F.col("band") == F.col("o_band")) & (F.col("label") != F.col("o_label")) & close & ((F.col("label") == F.col("main")) | (F.col("key") < F.col("o_key"))))
+    mixed = _linkable(_mixed(members.select("band", "key", "n_shingles"), labels), alone, linking)
+    rest = mixed.where("label != main").select(F.col("band").alias("o_band"), F.col("key").alias("o_key"), F.col("n_shingles").alias("o_n"), F.col("alone").alias("o_alone"), F.col("label").alias("o_label"))
+    pairs = mixed.join(rest, (F.col("band") == F.col("o_band")) & (F.col("label") != F.col("o_label")) & _may_link("n_shingles", "alone", "o_n", "o_alone", linking) & ((F.col("label") == F.col("main")) | (F.col("key") < F.col("o_key"))))
     pairs = pairs.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b")).distinct()
     labels = _merged(labels, verified(pairs, nodes, texts, linking))
 
