@@ -34,7 +34,7 @@ STEPS: tuple[dict[str, str], ...] = (
     },
     {
         "x": "case slot when 0 then 20.0E0 + shift + v * t when 1 then 45.0E0 + shift + v * t when 2 then 5.0E0 + shift + v * t when 3 then 30.0E0 + shift + v * t when 4 then 150.0E0 + shift when 5 then 220.0E0 when 6 then 192.0E0 else 300.0E0 end",
-        "y": "case slot when 0 then 4.0E0 when 1 then 4.0E0 when 2 then 4.0E0 + lateral_f when 3 then 0.0E0 + lateral_f when 4 then 0.0E0 when 5 then -40.0E0 + v * t when 6 then -6.0E0 + v * t else -1.0E0 end",
+        "y": "case slot when 0 then 4.0E0 when 1 then 4.0E0 when 2 then 4.0E0 + lateral_f when 3 then 0.0E0 + lateral_f when 4 then 0.0E0 when 5 then -74.0E0 + v * t when 6 then -28.5E0 + v * t else -1.0E0 end",
         "vx": "case when slot in (0, 1, 2, 3) then v + jitter else 0.0E0 end",
         "vy": "case when slot in (5, 6) then v else lateral_v end",
         "cos_h": "case when slot in (5, 6) then 0.0E0 else 1.0E0 end",
@@ -88,7 +88,7 @@ def _map() -> tuple[list, list, list]:
                 adjacent += [(f"{part}{k}", "left", f"{part}{k + 1}"), (f"{part}{k + 1}", "right", f"{part}{k}")]
     objects.append(("C2R", "lane_connector", _box(200.0, 6.0, 240.0, 10.0), [(200.0, 8.0), (240.0, 8.0)], 40.0, 8.0, "RC", "I0"))
     edges.append(("A2", "C2R"))
-    objects.append(("X0", "lane", _box(218.0, -60.0, 222.0, 60.0), [(220.0, -60.0), (220.0, 60.0)], 120.0, 8.0, "RX", None))
+    objects.append(("X0", "lane", _box(218.0, -80.0, 222.0, 60.0), [(220.0, -80.0), (220.0, 60.0)], 140.0, 8.0, "RX", None))
     objects.append(("I0", "intersection", _box(200.0, -2.0, 240.0, 10.0), [], None, None, None, "I0"))
     objects.append(("W0", "crosswalk", _box(190.0, -4.0, 194.0, 14.0), [], None, None, None, None))
     return objects, edges, adjacent
