@@ -256,7 +256,7 @@ def test_viterbi_fold_against_enumeration(spark):
     model = sentencepieces.PieceModel(tuple(pieces), tuple(pieces.values()), (), 0, "unigram", False)
     words = ["abc", "abcabc", "cab", "bcabca", "a", "aabbcc"]
     units = spark.createDataFrame([(w, 1) for w in words], "unit string, n long")
-    got = sentencepieces.lattice(units, sentencepieces.piece_table(spark, model), 4).select("unit", sentencepieces.viterbi_fold(F.col("edges")).alias("ids")).collect()
+    got = sentencepieces.lattice(units, sentencepieces.piece_table(spark, model), 4).select("unit", F.transform(sentencepieces.viterbi_fold(F.col("edges")), lambda p: p.id).alias("ids")).collect()
 
     def best(w):
         return max(((pieces[w[:n]] + best(w[n:])[0], [w[:n], *best(w[n:])[1]]) for n in range(1, len(w) + 1) if w[:n] in pieces), default=(0.0, []))
@@ -266,6 +266,18 @@ def test_viterbi_fold_against_enumeration(spark):
         assert "".join(path) == r.unit and np.isclose(sum(pieces[p] for p in path), best(r.unit)[0])
 
 
+def test_waiting_edges_merge_first(spark):
+    pieces = {"ab": -1.0, "bc": -2.0, "abcd": -3.0, "cd": -4.0, "abc": -5.0}
+    model = sentencepieces.PieceModel(tuple(pieces), tuple(pieces.values()), (), 0, "bpe", False)
+    units = spark.createDataFrame([(w, 1) for w in ("abcd", "abc", "xabcdx", "q", "ababcdcd")], "unit string, n long")
+    edges, size = F.col("edges"), F.char_length("unit")
+    rows = sentencepieces.lattice(units, sentencepieces.piece_table(spark, model), 4, 2).withColumn("fold", sentencepieces.merge_fold(edges, size))
+    ranks = {p: (-s, i) for i, (p, s) in enumerate(pieces.items())}
+    for r in rows.select("unit", "fold.late", F.when(F.col("fold.late"), sentencepieces.waiting_fold(edges, size)).otherwise(F.col("fold.at")).alias("at")).collect():
+        assert list(r["at"]) == [0, *(p["e"] for p in sentencepieces.merge_long(r.unit, ranks, 4))]
+        assert r.late == ("abcd" in r.unit)
+
+
 def test_token_counts_equal_the_library(spark, texts):
     from tokenizers import Tokenizer
 
