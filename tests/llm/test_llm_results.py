@@ -61,8 +61,7 @@ def test_language_spans(spark):
     spans = langid.label(spark.createDataFrame([(1, mixed)], "doc_id long, text string"), model).first().spans
     assert spans[0].lang == "en" and spans[-1].lang == "de" and len(spans) <= 3
     assert abs(spans[0].words - 60) <= 5 and spans[-1].words >= 50
-    brute = langid.LanguageModel(model.langs, model.table, model.allowed, model.prior)
-    scores = np.array([brute.word(w)[0] for w in mixed.split()])
+    scores = np.concatenate([model.score([w])[0] for w in mixed.split()])
     best = {k: (scores[0, k], (k,)) for k in range(len(model.langs))}
     for row in scores[1:]:
         best = {k: max((v + row[k] - (langid.SWITCH if j != k else 0), (*p, k)) for j, (v, p) in best.items()) for k in best}

@@ -14,6 +14,7 @@ labelled one by one; other columns aren't read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -32,7 +33,9 @@ SWITCH = 6.0
 FLOOR = -7.0
 #: N-grams' worth of the distribution over all languages that each language's own is mixed with.
 BACKOFF = 2_000.0
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
+#: Words scored at a time.
+WORDS = 20_000
 #: A pipeline keeps documents whose score reaches this.
 LEAST_SCORE = 0.4
 #: Unicode ranges of scripts.
@@ -67,11 +70,32 @@ def script_of(word: str) -> int:
     return min(votes, key=lambda s: (-votes[s], s)) if votes else -1
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the word's n-grams of 1 to 4 characters, ends marked, and of the word."""
-    w = f"^{''.join(filter(str.isalpha, word)).lower()}$"
-    parts = [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)] + [w[1:-1][i] for i in range(len(w) - 2)] + [f"={w}"]
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts]
+#: Words of Latin letters alone, which need no closer look.
+LATIN = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in SCRIPTS[0][1]) + "]+")
+
+
+def letters_of(word: str) -> str:
+    return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word)).lower()
+
+
+def grams(letters: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' n-grams of 1 to 4 characters, ends marked, and of the words; and each bucket's word number."""
+    text = "".join([f"^{w}$" for w in letters])
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    own = np.repeat(np.arange(len(letters)), [len(w) + 2 for w in letters])
+    buckets, words = [np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in letters], np.int64)], [np.arange(len(letters))]
+    for n in (1, 2, 3, 4):
+        size = len(codes) - n + 1
+        if size <= 0:
+            continue
+        h = np.full(size, n, np.uint64)
+        for at in range(n):
+            h = (h ^ codes[at : at + size]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        inside = own[:size] == own[n - 1 :] if n > 1 else (codes != 94) & (codes != 36)
+        buckets.append((h[inside] % np.uint64(BUCKETS)).astype(np.int64))
+        words.append(own[:size][inside])
+    return np.concatenate(buckets), np.concatenate(words)
 
 
 @dataclass
@@ -81,18 +105,21 @@ class LanguageModel:
     allowed: np.ndarray  # scripts x languages
     prior: np.ndarray
 
-    def word(self, word: str) -> tuple[np.ndarray, int]:
-        """Log posteriors, and the word's letters (0: it has no say)."""
-        script = script_of(word)
-        if script < 0:
-            return np.zeros(len(self.langs), np.float32), 0
-        s = self.table[grams(word)].sum(0)
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log posteriors of words, and their letters (0: a word has no say)."""
+        letters = [letters_of(w) for w in words]
+        sizes = np.array([len(w) for w in letters], np.int32)
+        buckets, own = grams(letters)
+        s = np.stack([np.bincount(own, weights=self.table[buckets, k], minlength=len(words)) for k in range(len(self.langs))], 1)
+        script = np.array([0 if w.isascii() or LATIN.fullmatch(w) else max(0, script_of(w)) for w in letters])
         candidates = self.allowed[script]
-        if candidates.any():
-            s = np.where(candidates, s, s.max() + 10 * FLOOR)
-        s = s - s.max()
-        s = s - np.log(np.exp(s).sum())
-        return np.maximum(s, FLOOR).astype(np.float32), sum(map(str.isalpha, word))
+        candidates[~candidates.any(1)] = True
+        s = np.where(candidates, s, s.max(1, keepdims=True) + 10 * FLOOR)
+        s -= s.max(1, keepdims=True)
+        s -= np.log(np.exp(s).sum(1, keepdims=True))
+        s = np.maximum(s, FLOOR).astype(np.float32)
+        s[sizes == 0] = 0
+        return s, sizes
 
 
 def train(rows: DataFrame, most: int = TRAIN_ROWS) -> LanguageModel:
@@ -106,10 +133,15 @@ def train(rows: DataFrame, most: int = TRAIN_ROWS) -> LanguageModel:
         out: dict[str, list] = {"lang": [], "bucket": [], "n": []}
         for lang, words in by.items():
             counts = np.zeros(BUCKETS + len(SCRIPTS), np.int64)
-            for word, n in words.items():
-                if (script := script_of(word)) >= 0:
-                    np.add.at(counts, grams(word), n)
-                    counts[BUCKETS + script] += n
+            every = list(words)
+            for at in range(0, len(every), WORDS):
+                part = every[at : at + WORDS]
+                letters = [letters_of(w) for w in part]
+                n = np.array([words[w] for w in part], np.int64) * np.array([bool(x) for x in letters])
+                buckets, own = grams(letters)
+                counts[:BUCKETS] += np.bincount(buckets, weights=n[own], minlength=BUCKETS).astype(np.int64)
+                script = np.array([0 if w.isascii() or LATIN.fullmatch(w) else max(0, script_of(w)) for w in letters])
+                counts[BUCKETS:] += np.bincount(script, weights=n, minlength=len(SCRIPTS)).astype(np.int64)
             at = np.flatnonzero(counts)
             out["lang"] += [lang] * len(at)
             out["bucket"] += at.tolist()
@@ -169,23 +201,22 @@ def _labeller(shared, switch: float, spans: bool):
         at = 0
         while at < n:
             stop, chars = at, 0
-            while stop < n and (stop == at or chars < 16_000_000):
+            while stop < n and (stop == at or chars < 6_000_000):
                 chars += len(texts[stop] or "")
                 stop += 1
             if len(state.get("index", ())) > KEPT_WORDS or not state:
-                state.update(index={}, rows=[], letters=[])
-            index, rows, letters = state["index"], state["rows"], state["letters"]
-            ids = []
-            for text in texts[at:stop]:
-                words = text.split() if text else []
-                for w in words:
-                    if w not in index:
-                        row, k = model.word(w)
-                        index[w] = len(rows)
-                        rows.append(row)
-                        letters.append(k)
-                ids.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
-            scores, size = np.asarray(rows, np.float32), np.asarray(letters, np.int32)
+                state.update(index={}, scores=np.zeros((0, len(model.langs)), np.float32), size=np.zeros(0, np.int32))
+            index = state["index"]
+            parts = [text.split() if text else [] for text in texts[at:stop]]
+            fresh = list(dict.fromkeys(w for words in parts for w in words if w not in index))
+            for first in range(0, len(fresh), WORDS):
+                new = fresh[first : first + WORDS]
+                more, letters = model.score(new)
+                index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
+                state["scores"], state["size"] = np.concatenate([state["scores"], more]), np.concatenate([state["size"], letters])
+            ids = [np.fromiter(map(index.__getitem__, words), np.int32, len(words)) for words in parts]
+            del parts
+            scores, size = state["scores"], state["size"]
             prob = np.exp(scores)
             lengths = np.array([len(x) for x in ids])
             for group in padded_groups(lengths):
