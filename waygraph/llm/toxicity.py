@@ -34,7 +34,7 @@ TRAIN_ROWS = 5_000
 LEAST_ODDS = 8.0
 LEAST_DOCS = 5
 LEAST_SHARE = 0.03
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 ROUNDS = 12
 STEP = 0.5
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,8 +59,8 @@ class ToxicChain:
     head: np.ndarray  # logistic layer: bias, log expected count, maximum, share
     trained: bool = True
 
-    def emission(self, word: str) -> float:
-        return float(self.weights[features(word)].sum())
+    def emissions(self, words: list[str]) -> np.ndarray:
+        return self.weights[np.array([features(w) for w in words])].sum(1)
 
 
 def marginals(odds: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
@@ -196,22 +196,21 @@ def score(docs: DataFrame, chain: ToxicChain) -> DataFrame:
         at = 0
         while at < n:
             stop, chars = at, 0
-            while stop < n and (stop == at or chars < 16_000_000):
+            while stop < n and (stop == at or chars < 6_000_000):
                 chars += len(texts[stop] or "")
                 stop += 1
             if not state or len(state["index"]) > KEPT_WORDS:
-                state.update(index={}, odds=[])
-            index, odds = state["index"], state["odds"]
-            ids = []
-            for text in texts[at:stop]:
-                words = text.encode("utf-8", "surrogatepass").split() if text else []
-                for w in words:
-                    if w not in index:
-                        index[w] = len(odds)
-                        odds.append(chain.emission(w.decode("utf-8", "surrogatepass")))
-                ids.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
+                state.update(index={}, odds=np.zeros(0, np.float32))
+            index = state["index"]
+            parts = [text.encode("utf-8", "surrogatepass").split() if text else [] for text in texts[at:stop]]
+            fresh = list(dict.fromkeys(w for words in parts for w in words if w not in index))
+            if fresh:
+                index.update(zip(fresh, range(len(index), len(index) + len(fresh)), strict=True))
+                state["odds"] = np.concatenate([state["odds"], chain.emissions([w.decode("utf-8", "surrogatepass") for w in fresh])])
+            ids = [np.fromiter(map(index.__getitem__, words), np.int32, len(words)) for words in parts]
+            del parts
             hits: list = []
-            pools = document_pools(ids, np.array(odds or [0.0]), chain, hits)
+            pools = document_pools(ids, state["odds"], chain, hits)
             z = np.array([[1.0, *p] for p in pools]) @ chain.head
             values[at:stop] = (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist() if chain.trained else [0.0] * (stop - at)
             for row, numbers in hits:
