@@ -60,8 +60,8 @@ def test_ray_crossing_and_yield(spark):
     rows = []
     for f in range(24):
         t = f / 2
-        v = 6.0 if f < 6 else 1.0 if f < 16 else 5.0
-        x = 6.0 * t if f < 6 else 18.0 + (f - 6) / 2 if f < 16 else 23.0 + 2.5 * (f - 16)
+        v = 6.0 if f < 6 else 2.0 if f < 16 else 5.0
+        x = 3.0 * f if f < 6 else 18.0 + (f - 6) if f < 16 else 28.0 + 2.5 * (f - 16)
         rows.append(row(f, "car", 1, x, 0, v))
         rows.append(row(f, "bike", 2, 27.0, -12.0 + 3.0 * t, 0, 3.0, north=True, kind="BICYCLE", size=(1.8, 0.8)))
     df = spark.createDataFrame(rows, COLUMNS)
