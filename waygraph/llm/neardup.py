@@ -305,3 +305,16 @@ def keep_one(docs: DataFrame, linking: Linking) -> DataFrame:
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(table(spark, sf_dir, "documents"), Linking(words=3, percent=85))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select distinct doc_id, words[i : i + 2] as gram from d, unnest(range(1, greatest(len(words) - 2, 1) + 1)) t(i) where len(words) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.gram = b.gram and a.doc_id < b.doc_id group by all),
+e as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= 85 * (x.n + y.n - c)),
+l as (select a, b from e union select b, a from e),
+r as (select doc_id, doc_id as other from d union select r.doc_id, l.b from r join l on r.other = l.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id, d.doc_id = m.component_id as kept
+from d left join n on d.doc_id = n.doc_id join (select doc_id, min(other) as component_id from r group by doc_id) m on d.doc_id = m.doc_id
+"""

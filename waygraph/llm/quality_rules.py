@@ -123,3 +123,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected"
     )
+
+
+SQL = r"""
+with d as (select row_number() over () as row, doc_id, source, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines from d),
+g as (select row, i, words[i : i + 4] as gram from w, unnest(range(1, len(words) - 3)) t(i) where len(words) >= 5),
+r as (select row, i from (select *, count(*) over (partition by row, gram) as n from g) where n > 1),
+v as (select row, count(distinct i + j) as n from r, range(0, 5) u(j) group by row),
+c as (select w.doc_id, w.source, cast(len(words) as bigint) as n_words, cast(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as bigint) as word_chars,
+    cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols, len(lines) as n_lines, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(v.n, 0) as bigint) as n_repeat_words
+    from w left join v on w.row = v.row),
+f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, 100 * n_symbols > 40 * word_chars as symbols_failed, 100 * n_dup_lines > 50 * n_lines as lines_failed from c),
+h as (select source, count(*) as n, unnest([sum(base_failed :: int), sum(symbols_failed :: int), sum(lines_failed :: int)]) as bad, unnest([1, 2, 3]) as rule from f group by source),
+t as (select rule, sum(bad) / sum(n) as mean, greatest(sum(bad * bad / n) / sum(n) - (sum(bad) / sum(n)) * (sum(bad) / sum(n)), 0) as spread from h group by rule),
+p as (select rule, mean, least(greatest(case when spread > 1e-12 then mean * (1 - mean) / spread - 1 else 10000 end, 2), 10000) as weight from t),
+x as (select source, max((bad + mean * weight) / (n + weight)) > 0.5 as host_rejected from h join p using (rule) group by source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not host_rejected as kept, host_rejected
+from f join x on f.source is not distinct from x.source
+"""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waygraph.llm import neardup, quality_rules
 from waygraph.llm.decontaminate import op3_decontamination
 from waygraph.llm.langid import op2_language_id
 from waygraph.llm.licenses import op8_license_scan
@@ -22,4 +23,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_quality_rules, op2_language_id, op3_decontamination, op4_sharding, op5_toxicity, op6_minhash_neardup, op7_quality_fm, op8_license_scan, op9_sentencepiece, op10_token_counts)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_quality_rules": quality_rules.SQL, "op6_minhash_neardup": neardup.SQL}
