@@ -12,8 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Arrow batches of long texts are cut to about this many characters of work at a time.
-WORK_CHARS = 8_000_000
+#: Most bytes of an Arrow batch: long texts come in fewer rows.
+BATCH_BYTES = "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,14 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df; Arrow batches of its session hold BATCH_BYTES at most, unless the session says otherwise."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) in ("67108864b", "64MB"):
+        conf.set(name, BATCH_BYTES)
+    return df
+
+
 def map_arrow(df: DataFrame, kernel: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Apply kernel to column lists of each Arrow batch; it returns the columns of schema."""
     out = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in _struct(schema)])
@@ -55,7 +63,7 @@ def map_arrow(df: DataFrame, kernel: Callable[[dict[str, list]], dict[str, list]
                 got = kernel({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def add_arrow(df: DataFrame, inputs: list[str], kernel: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
@@ -73,7 +81,7 @@ def add_arrow(df: DataFrame, inputs: list[str], kernel: Callable[[dict[str, list
                 got = kernel({n: batch.column(names.index(n)).to_pylist() for n in inputs})
                 yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(got[f.name], type=f.type) for f in out], names=names + out.names)
 
-    return df.mapInArrow(run, full)
+    return bounded_batches(df).mapInArrow(run, full)
 
 
 def _struct(schema: str):

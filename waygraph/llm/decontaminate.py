@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import Shared, map_arrow, materialize, table
+from waygraph.llm.common import Shared, bounded_batches, map_arrow, materialize, table
 from waygraph.llm.licenses import words_of
 
 #: Masks of weight 6; a passage of 13 tokens with one substitution, or 16 with two apart, keeps a hit.
@@ -114,7 +114,7 @@ def candidates(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...] = MASKS
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hits, hit)], ["doc_id", "text", "hits"])
 
     slim = docs.select("doc_id", "text").where("text is not null")
-    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, text string, hits array<struct<hash:bigint,pos:int>>")
+    return bounded_batches(slim).mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, text string, hits array<struct<hash:bigint,pos:int>>")
 
 
 def best_stretch(doc: list[bytes], item: list[bytes], diagonal: int) -> tuple[int, int, int]:
