@@ -80,7 +80,9 @@ def with_kinematics(pairs: DataFrame) -> DataFrame:
             "forward_speed": c * F.col("s_vx") + s * F.col("s_vy"),
         }
     )
-    return pairs.withColumn("bearing", F.atan2("lateral", "longitudinal")).withColumn("headway_candidate_s", F.when(F.col("forward_speed") != 0, F.col("longitudinal") / F.col("forward_speed")))
+    # a negative zero would turn straight behind into -pi
+    level = F.when(F.col("lateral") == 0, F.lit(0.0)).otherwise(F.col("lateral"))
+    return pairs.withColumn("bearing", F.atan2(level, F.col("longitudinal"))).withColumn("headway_candidate_s", F.when(F.col("forward_speed") != 0, F.col("longitudinal") / F.col("forward_speed")))
 
 
 def with_cpa(pairs: DataFrame, horizon_s: float = R.cpa_horizon_s, prefix: str = "cpa") -> DataFrame:

@@ -193,7 +193,7 @@ _KINEMATIC = {
     "hasCenterDistanceTo": "d",
     "hasLongitudinalDistanceTo": "ahead",
     "hasLateralDistanceTo": "aside",
-    "hasBearingTo": "atan2(aside, ahead)",
+    "hasBearingTo": "atan2(case when aside = 0 then 0.0 else aside end, ahead)",
     "hasHeadingDifferenceTo": f"abs({WRAP.format('o_heading - s_heading')})",
     "hasRelativeSpeedTo": "sqrt(dvx * dvx + dvy * dvy)",
     "hasLongitudinalRelativeSpeedTo": "s_cos_h * dvx + s_sin_h * dvy",
