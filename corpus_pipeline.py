@@ -31,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encoded documents: counts and codes of their pieces."""
+    """Encoded documents: their piece ids, the text these decode to, counts, and whether it is the document's text."""
     return sentencepieces.encode_counts(docs, sentencepieces.PieceModel.load(sentencepieces.model_path()))
 
 

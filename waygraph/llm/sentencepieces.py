@@ -16,7 +16,7 @@ Characters without a piece fall back to their bytes.
 
 Documents get their units' codes by a join that looks at frequencies: the units
 with the highest counts, HEAD at most, travel to every task, all others are joined
-by shuffle.
+by shuffle.  Each document's ids are then decoded, and the whole text compared.
 
 Defined results: null and empty texts have no pieces; repeated rows are encoded one
 by one; an empty table gives an empty result; other columns aren't read.
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,8 +41,11 @@ MARK = "▁"
 HEAD = 200_000
 #: Longer units, such as long runs of spaces, are folded by the same rule in a Python kernel.
 LONG_UNIT = 96
-KEPT_UNITS = 250_000
+KEPT_UNITS = 100_000
+#: Rows that are encoded and decoded at a time.
+SLICE = 128
 PRIME = (1 << 31) - 1
+BASE = 1_000_003
 UNKNOWN_SCORE = -1e4
 
 
@@ -269,54 +272,56 @@ def merge_long(unit: str, rank: dict[str, tuple[float, int]], longest: int) -> l
 
 
 def _with_bytes(units: DataFrame, model: PieceModel) -> DataFrame:
-    """unit, n, ids, n_bytes: single characters get their pieces, or their bytes; restored: whether decoding gives the unit again."""
+    """unit, n, ids: single characters get their pieces, or their bytes."""
     shared = Shared(units.sparkSession, model)
     state: dict = {}
 
     def kernel(cols: dict[str, list]) -> dict[str, list]:
         model: PieceModel = shared.value
         single = state.setdefault("single", {p: i for i, p in enumerate(model.pieces) if len(p) == 1})
-        out, fallen, same = [], [], []
+        out = []
         for unit, pieces in zip(cols["unit"], cols["pieces"], strict=True):
-            ids, at, n = [], 0, 0
+            ids, at = [], 0
             for s, e, i in [*((p["s"], p["e"], p["id"]) for p in pieces if p["id"] >= 0), (len(unit), 0, -1)]:
                 for c in unit[at:s]:
-                    own = [single[c]] if c in single else [model.bytes_at[b] for b in c.encode()] if model.bytes_at else [model.unknown]
-                    n += len(own) if c not in single else 0
-                    ids += own
+                    ids += [single[c]] if c in single else [model.bytes_at[b] for b in c.encode()] if model.bytes_at else [model.unknown]
                 if i >= 0:
                     ids.append(i)
                     at = e
             out.append(ids)
-            fallen.append(n)
-            same.append(spell(model, ids) == unit)
-        return {"unit": cols["unit"], "n": cols["n"], "ids": out, "n_bytes": fallen, "restored": same}
+        return {"unit": cols["unit"], "n": cols["n"], "ids": out}
 
-    return map_arrow(units.select("unit", "n", "pieces"), kernel, "unit string, n bigint, ids array<int>, n_bytes int, restored boolean")
+    return map_arrow(units.select("unit", "n", "pieces"), kernel, "unit string, n bigint, ids array<int>")
 
 
-def spell(model: PieceModel, ids: list[int]) -> str:
-    """Normalised text of piece ids; byte pieces are joined to characters."""
-    byte = {i: b for b, i in enumerate(model.bytes_at)}
-    if not any(i in byte for i in ids):
-        return "".join(model.pieces[i] for i in ids)
-    return b"".join(bytes([byte[i]]) if i in byte else model.pieces[i].encode() for i in ids).decode("utf-8", "replace")
+class Decoder:
+    """Texts of piece ids; byte pieces are joined to characters."""
+
+    def __init__(self, model: PieceModel) -> None:
+        self.prefix = model.prefix
+        self.spelled = [p.encode() for p in model.pieces]
+        for b, i in enumerate(model.bytes_at):
+            self.spelled[i] = bytes([b])
+
+    def __call__(self, ids: list[int]) -> str:
+        text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+        return text[1:] if self.prefix and text[:1] == " " else text
 
 
 def decode(rows: DataFrame, model: PieceModel, column: str = "ids") -> DataFrame:
     """doc_id and text of encoded rows."""
     shared = Shared(rows.sparkSession, model)
+    state: dict = {}
 
     def kernel(cols: dict[str, list]) -> dict[str, list]:
-        model: PieceModel = shared.value
-        texts = [spell(model, ids or []).replace(MARK, " ") for ids in cols[column]]
-        return {"doc_id": cols["doc_id"], "text": [t[1:] if model.prefix and t[:1] == " " else t for t in texts]}
+        spell = state.setdefault("d", Decoder(shared.value))
+        return {"doc_id": cols["doc_id"], "text": [spell(ids or []) for ids in cols[column]]}
 
     return map_arrow(rows.select("doc_id", column), kernel, f"doc_id {dict(rows.dtypes)['doc_id']}, text string")
 
 
 def codebook(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """unit, n, ids, n_bytes, restored: each distinct unit of the documents, encoded."""
+    """unit, n, ids: each distinct unit of the documents, encoded."""
     spark = docs.sparkSession
     units, table_ = materialize(distinct_units(docs, model), "units"), piece_table(spark, model)
     longest = model.longest
@@ -333,40 +338,50 @@ def codebook(docs: DataFrame, model: PieceModel) -> DataFrame:
     return materialize(_with_bytes(folded, model), "codebook")
 
 
-def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """doc_id, ids: the documents' piece ids, in order."""
-    book = codebook(docs, model)
-    shared = Shared(docs.sparkSession, model)
-    state: dict = {}
-
-    def kernel(cols: dict[str, list]) -> dict[str, list]:
-        split = state.setdefault("s", UnitSplitter(shared.value.neighbours()))
-        return {"doc_id": cols["doc_id"], "units": [split(shared.value.normal(t)) for t in cols["text"]]}
-
-    slim = docs.select("doc_id", "text")
-    parted = map_arrow(slim, kernel, f"doc_id {dict(slim.dtypes)['doc_id']}, units array<string>")
-    parted = materialize(parted.withColumn("row", F.monotonically_increasing_id()), "units")
-    each = parted.select("row", F.posexplode("units").alias("at", "unit")).join(book.select("unit", "ids"), "unit")
-    joined = each.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x.ids)).alias("ids"))
-    return parted.select("row", "doc_id").join(joined, "row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-
-
-def _hash(ids: list[int]) -> int:
-    h = 17
-    for i in ids:
-        h = (h * 1_000_003 + i + 1) % PRIME
-    return h
-
-
-def encode_counts(docs: DataFrame, model: PieceModel, head: int = HEAD) -> DataFrame:
-    """doc_id, n_units, n_pieces, n_bytes (byte pieces), ids_code (of the ids and their order), restored (decoding gives the text again)."""
+class Encoder:
+    """Piece ids of texts from the codes of their units; what a word gives is kept."""
+
+    def __init__(self, model: PieceModel, index: dict[str, int], start: np.ndarray, flat: np.ndarray) -> None:
+        self.model, self.split = model, UnitSplitter(model.neighbours())
+        self.index, self.start, self.flat = index, start, flat
+        self.clear()
+
+    def clear(self) -> None:
+        # of each word: its ids from at on, their number, and its number of units
+        self.known: dict[str, int] = {}
+        self.words, self.ids, self.used = np.zeros((3, 1024), np.int64), np.zeros(4096, np.int32), 0
+
+    def __call__(self, text: str | None, more: dict[str, np.ndarray]) -> tuple[np.ndarray, int]:
+        """The ids and the number of units; more has the codes of units that don't travel to every task."""
+        if len(self.known) > KEPT_UNITS:
+            self.clear()
+        words, known = self.split.rough.findall(self.model.normal(text)), self.known
+        for word in set(words).difference(known):
+            units = self.split.part(word)
+            codes = [more[u] if (i := self.index.get(u)) is None else self.flat[self.start[i] : self.start[i + 1]] for u in units]
+            ids = codes[0] if len(codes) == 1 else np.concatenate(codes)
+            row, end = len(known), self.used + len(ids)
+            if end > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids)), np.int32)])
+            if row == self.words.shape[1]:
+                self.words = np.concatenate([self.words, np.zeros_like(self.words)], 1)
+            self.ids[self.used : end] = ids
+            self.words[:, row] = self.used, len(ids), len(units)
+            known[word], self.used = row, end
+        at, size, n = self.words[:, np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], int(n.sum())
+
+
+def _encoded(docs: DataFrame, model: PieceModel, head: int, finish: Callable[[PieceModel, list, list, list], dict[str, pa.Array]], columns: str) -> DataFrame:
+    """doc_id, ids, and the columns that finish makes from each batch's texts, ids and numbers of units.
+
+    Units with the highest counts travel to every task.  Of the others each text asks
+    for those it has, and gets their codes by a join on the text's hash; texts of one
+    hash share what they asked for, so that a collision changes nothing.
+    """
     spark = docs.sparkSession
     book = codebook(docs, model)
-
-    def digest(cols: dict[str, list]) -> dict[str, list]:
-        return {"unit": cols["unit"], "n": cols["n"], "k": [len(i) for i in cols["ids"]], "b": cols["n_bytes"], "bad": [int(not r) for r in cols["restored"]], "h": [_hash(i) for i in cols["ids"]]}
-
-    book = materialize(map_arrow(book.select("unit", "n", "ids", "n_bytes", "restored"), digest, "unit string, n bigint, k bigint, b bigint, bad bigint, h bigint"), "digests")
     # the least count whose units number head at most; the counts' counts are few
     least, total = None, 0
     by_count = book.groupBy("n").count().orderBy(F.desc("n")).limit(head).toArrow().to_pydict()
@@ -374,69 +389,105 @@ def encode_counts(docs: DataFrame, model: PieceModel, head: int = HEAD) -> DataF
         if (total := total + many) > head:
             break
         least = n
-    top = book.where(F.col("n") >= least).toArrow().to_pydict() if least is not None else {c: [] for c in ("unit", "k", "b", "bad", "h")}
-    shared = Shared(spark, (model, dict(zip(top["unit"], range(len(top["unit"])), strict=True)), list(zip(*(top[c] for c in ("k", "b", "bad", "h")), strict=True))))
-    state: dict = {}
+    top = book.where(F.col("n") >= least if least is not None else F.lit(False)).select("unit", "ids").toArrow()
+    codes = top["ids"].combine_chunks()
+    start = np.concatenate([[0], np.cumsum(codes.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    index = dict(zip(top["unit"].to_pylist(), range(len(top)), strict=True))
+    shared = Shared(spark, (model, index, start, codes.flatten().to_numpy(zero_copy_only=False).astype(np.int32)))
+    slim = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    kind = dict(slim.dtypes)["doc_id"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, index, *_ = shared.value
+        split = UnitSplitter(model.neighbours())
+        clean: set[str] = set()
+        tail: dict[str, list[str]] = {}
+        for batch in batches:
+            keys, units = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(clean) + len(tail) > KEPT_UNITS:
+                    clean.clear()
+                    tail.clear()
+                asked: set[str] = set()
+                for word in set(split.rough.findall(model.normal(text))).difference(clean):
+                    if (lost := tail.get(word)) is None:
+                        lost = [u for u in split.part(word) if u not in index]
+                        if not lost:
+                            clean.add(word)
+                            continue
+                        tail[word] = lost
+                    asked.update(lost)
+                keys += [key] * len(asked)
+                units += asked
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(units, pa.string())], ["key", "unit"])
+
+    asked = bounded_batches(slim.select("key", "text").where("text <> ''")).mapInArrow(ask, "key bigint, unit string")
+    rest = book.where(F.col("n") < least) if least is not None else book
+    answers = asked.join(rest.select("unit", "ids"), "unit").groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias("more"))
 
-    def kernel(cols: dict[str, list]) -> dict[str, list]:
-        model, index, figures = shared.value
-        split = state.setdefault("s", UnitSplitter(model.neighbours()))
-        out: dict[str, list] = {"doc_id": cols["doc_id"], "n_units": [], "k": [], "b": [], "bad": [], "code": [], "rest": []}
-        for text in cols["text"]:
-            if len(state.get("at", ())) > KEPT_UNITS or "at" not in state:
-                state.update(at={}, sums=np.zeros((7, 1024), np.int64), tail={})
-            known, tail = state["at"], state["tail"]
-            words = split.rough.findall(model.normal(text))
-            first, new = len(known), []
-            for word in set(words).difference(known):
-                row = known[word] = len(known)
-                units, sums = split.part(word), [0, 0, 0, 0, 0]
-                lost = []
-                for j, unit in enumerate(units, 1):
-                    at = index.get(unit)
-                    if at is None:
-                        lost.append((j, unit))
-                        continue
-                    k, b, bad, h = figures[at]
-                    sums = [sums[0] + k, sums[1] + b, sums[2] + bad, sums[3] + h, sums[4] + h * j]
-                if lost:
-                    tail[row] = lost
-                new.append((len(units), *sums[:3], sums[3] % PRIME, sums[4] % PRIME, bool(lost)))
-            if new:
-                while len(known) > state["sums"].shape[1]:
-                    state["sums"] = np.concatenate([state["sums"], np.zeros_like(state["sums"])], 1)
-                state["sums"][:, first : len(known)] = np.array(new, np.int64).T
-            rows = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            n, k, b, bad, h, w, open_ = state["sums"][:, rows]
-            first = np.cumsum(n) - n
-            out["n_units"].append(int(n.sum()))
-            out["k"].append(int(k.sum()))
-            out["b"].append(int(b.sum()))
-            out["bad"].append(int(bad.sum()))
-            out["code"].append(int(((first * h + w) % PRIME).sum() % PRIME))
-            rest: dict[str, list[int]] = {}
-            for i in np.flatnonzero(open_).tolist():
-                for j, unit in tail[rows[i]]:
-                    entry = rest.setdefault(unit, [0, 0])
-                    entry[0] += 1
-                    entry[1] = (entry[1] + int(first[i]) + j) % PRIME
-            out["rest"].append([{"unit": u, "m": m, "p": p} for u, (m, p) in rest.items()])
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(*shared.value)
+        # few rows at a time, as each is held as text, ids and text again
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            texts, ids, counts = batch.column(1).to_pylist(), [], []
+            for text, more in zip(texts, batch.column(2), strict=True):
+                codes = {}
+                if more.is_valid:
+                    own = more.values
+                    values, offsets = own.field("ids"), own.field("ids").offsets.to_numpy()
+                    flat = values.values.to_numpy(zero_copy_only=False)
+                    codes = {u: flat[a:b] for u, a, b in zip(own.field("unit").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)}
+                got, n = encoder(text, codes)
+                ids.append(got)
+                counts.append(n)
+            offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+            values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            made = finish(encoder.model, texts, ids, counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())), *made.values()], ["doc_id", "ids", *made])
+
+    joined = slim.join(answers, "key", "left").select("doc_id", "text", "more")
+    return bounded_batches(joined).mapInArrow(run, f"doc_id {kind}, ids array<int>{columns}")
+
+
+def encode(docs: DataFrame, model: PieceModel, head: int = HEAD) -> DataFrame:
+    """doc_id, ids: the documents' piece ids, in order."""
+    return _encoded(docs, model, head, lambda *_: {}, "")
+
+
+def ids_code(ids: np.ndarray, powers: np.ndarray) -> int:
+    """Sum of (id + 1) * BASE ** place, modulo PRIME."""
+    return int(((ids.astype(np.int64) + 1) * powers[: len(ids)] % PRIME).sum() % PRIME)
+
+
+def powers_to(n: int) -> np.ndarray:
+    """BASE ** place modulo PRIME of n places, by doubling."""
+    out = np.ones(1, np.int64)
+    while len(out) < n:
+        out = np.concatenate([out, out * pow(BASE, len(out), PRIME) % PRIME])
+    return out
+
+
+def encode_counts(docs: DataFrame, model: PieceModel, head: int = HEAD) -> DataFrame:
+    """doc_id, ids, decoded (their text), n_units, n_pieces, n_bytes (byte pieces), ids_code (of the ids and their order), restored (whether decoded is the whole text; null counts as empty)."""
+    state: dict = {}
 
-    slim = docs.select("doc_id", "text")
-    rows = map_arrow(slim, kernel, f"doc_id {dict(slim.dtypes)['doc_id']}, n_units bigint, k bigint, b bigint, bad bigint, code bigint, rest array<struct<unit:string,m:bigint,p:bigint>>")
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    tail = rows.select("row", F.explode("rest").alias("r")).select("row", "r.*").join(book.where(F.col("n") < least) if least is not None else book, "unit")
-    tail = tail.groupBy("row").agg(F.sum(F.col("k") * F.col("m")).alias("tk"), F.sum(F.col("b") * F.col("m")).alias("tb"), F.sum("bad").alias("tbad"), F.sum(F.col("h") * F.col("p") % PRIME).alias("tcode"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return rows.drop("rest").join(tail, "row", "left").select(
-        "doc_id",
-        "n_units",
-        (F.col("k") + zero("tk")).alias("n_pieces"),
-        (F.col("b") + zero("tb")).alias("n_bytes"),
-        ((F.col("code") + zero("tcode")) % PRIME).alias("ids_code"),
-        (F.col("bad") + zero("tbad") == 0).alias("restored"),
-    )
+    def finish(model: PieceModel, texts: list, ids: list, counts: list) -> dict[str, pa.Array]:
+        spell = state.setdefault("d", Decoder(model))
+        is_byte = np.zeros(len(model.pieces), np.int64)
+        is_byte[list(model.bytes_at)] = 1
+        if len(state.get("powers", ())) < (most := max(map(len, ids), default=0)):
+            state["powers"] = powers_to(most)
+        decoded = [spell(i.tolist()) for i in ids]
+        return {
+            "decoded": pa.array(decoded, pa.string()),
+            "n_units": pa.array(counts, pa.int64()),
+            "n_pieces": pa.array([len(i) for i in ids], pa.int64()),
+            "n_bytes": pa.array([int(is_byte[i].sum()) for i in ids], pa.int64()),
+            "ids_code": pa.array([ids_code(i, state["powers"]) if len(i) else 0 for i in ids], pa.int64()),
+            "restored": pa.array([d == (t or "") for d, t in zip(decoded, texts, strict=True)], pa.bool_()),
+        }
+
+    return _encoded(docs, model, head, finish, ", decoded string, n_units bigint, n_pieces bigint, n_bytes bigint, ids_code bigint, restored boolean")
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
