@@ -1,8 +1,11 @@
 """The corpus operators do their whole job."""
 
+from itertools import combinations
+
+import numpy as np
 import pytest
 
-from waygraph.llm import sentencepieces
+from waygraph.llm import decontaminate, sentencepieces
 
 
 @pytest.mark.parametrize("head", [3, sentencepieces.HEAD])
@@ -20,3 +23,31 @@ def test_pieces_are_ids_and_whole_texts(spark, head):
         assert r.decoded == library.decode(ids) and r.restored == (r.decoded == (texts[r.doc_id] or ""))
         assert r.ids_code == sum((i + 1) * pow(sentencepieces.BASE, at, sentencepieces.PRIME) for at, i in enumerate(ids)) % sentencepieces.PRIME
     assert {r.doc_id for r in rows if not r.restored} == {2, 5}
+
+
+def test_longest_stretch_against_brute_force():
+    rng = np.random.default_rng(5)
+    item = [b"%d" % i for i in range(18)]
+    for _ in range(400):
+        n, diagonal = int(rng.integers(1, 40)), int(rng.integers(-6, 25))
+        doc = [item[i - diagonal] if 0 <= i - diagonal < 18 and rng.random() < 0.7 else b"x" for i in range(n)]
+        lo, hi = max(0, diagonal), min(n, diagonal + 18)
+        same = [doc[i] == item[i - diagonal] for i in range(lo, hi)]
+        every = [(b - a, sum(same[a:b]), -a) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if 4 * sum(same[a:b]) >= 3 * (b - a)]
+        size, m, a = max(every, default=(0, 0, 0))
+        assert decontaminate.best_stretch(doc, item, diagonal) == (lo - a, size, m)
+
+
+def test_short_items_leak_wherever_substituted(spark):
+    items, docs, want = [], [], set()
+    for size, most in ((13, 1), (15, 2), (16, 2), (15, 3)):
+        words = [f"w{size}x{most}x{i}" for i in range(size)]
+        items.append((len(items), " ".join(words)))
+        for places in combinations(range(size), most):
+            own = [f"s{i}" if i in places else w for i, w in enumerate(words)]
+            if any(all(mask[j] == "0" or at + j not in places for j in range(len(mask))) for mask in decontaminate.MASKS for at in range(size - len(mask) + 1)):
+                want.add((len(docs), items[-1][0], size, size - most))
+            docs.append((len(docs), " ".join(["before"] * 9 + own + ["after"] * 9)))
+    assert len(docs) == 13 + 105 + 120 + 455 and len(docs) - len(want) == 11
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.n_tokens, r.n_match) for r in got} == want

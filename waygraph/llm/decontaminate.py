@@ -6,8 +6,8 @@ benchmark and of the documents are hashed under each mask and joined on the hash
 A bitmap of fixed size, built from all benchmark hashes, thins the documents'
 windows before the join; it has no false negatives, and false positives fall in
 the join.  Around each hit the two texts are laid over each other on the hit's
-diagonal and the best stretch is found, a match counting 1 and a substitution -2;
-it is a leak if it has enough tokens and identity.
+diagonal and the longest stretch of enough identity is found, up to the whole item;
+it is a leak if it has enough tokens.
 
 Defined results: null and empty texts and items never leak; items of under
 LEAST_TOKENS tokens are too short to prove a leak; repeated rows leak each for
@@ -17,6 +17,7 @@ itself; empty tables give an empty result; other columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -117,19 +118,27 @@ def candidates(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...] = MASKS
     return bounded_batches(slim).mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, text string, hits array<struct<hash:bigint,pos:int>>")
 
 
-def best_stretch(doc: list[bytes], item: list[bytes], diagonal: int) -> tuple[int, int, int]:
-    """(first document token, tokens, matches) of the best stretch where document token i lies over item token i - diagonal."""
+def best_stretch(doc: list[bytes], item: list[bytes], diagonal: int, identity: float = LEAST_IDENTITY) -> tuple[int, int, int]:
+    """(first document token, tokens, matches) of the longest stretch of this identity where document token i lies over item token i - diagonal.
+
+    Of stretches of one length the one with most matches counts, then the first.
+    """
     lo, hi = max(0, diagonal), min(len(doc), diagonal + len(item))
-    best, first, score, begin, matches, at_best = 0, lo, 0, lo, 0, (lo, 0, 0)
-    for i in range(lo, hi):
-        same = doc[i] == item[i - diagonal]
-        if score <= 0:
-            score, begin, matches = 0, i, 0
-        score += 1 if same else -2
-        matches += same
-        if score > best:
-            best, at_best = score, (begin, i + 1 - begin, matches)
-    return at_best
+    share = Fraction(identity).limit_denominator(10_000)
+    same = np.fromiter((doc[i] == item[i - diagonal] for i in range(lo, hi)), np.int64, max(0, hi - lo))
+    matches = np.concatenate([[0], np.cumsum(same)])
+    # a stretch from a to b has the identity where its balance doesn't fall
+    balance = matches * share.denominator - np.arange(len(matches)) * share.numerator
+    # of all starts only new lows of the balance can begin a longest stretch, of all ends only highs from behind
+    lowest, highest = np.minimum.accumulate(balance), np.maximum.accumulate(balance[::-1])[::-1]
+    # the furthest end for each start: the highs fall from left to right
+    size = int((len(highest) - np.searchsorted(highest[::-1], lowest, "left") - 1 - np.arange(len(matches))).max())
+    if size <= 0:
+        return lo, 0, 0
+    starts = np.flatnonzero(balance[size:] >= balance[: len(balance) - size])
+    own = matches[starts + size] - matches[starts]
+    at = int(np.argmax(own))
+    return lo + int(starts[at]), size, int(own[at])
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...] = MASKS, least: int = LEAST_TOKENS, identity: float = LEAST_IDENTITY) -> DataFrame:
@@ -151,8 +160,8 @@ def find_leaks(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...] = MASKS
                 last, doc = row, words_of(text)
             if item_id not in items:
                 items[item_id] = words_of(item)
-            at, n, same = best_stretch(doc, items[item_id], diagonal)
-            if n >= least and same >= identity * n:
+            at, n, same = best_stretch(doc, items[item_id], diagonal, identity)
+            if n >= least:
                 for k, v in zip(out, (row, doc_id, item_id, at, at - diagonal, n, same), strict=True):
                     out[k].append(v)
         return out
