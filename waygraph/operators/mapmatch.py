@@ -21,8 +21,20 @@ REACH = 8.0
 ME = ("scenario_token", "frame_index", "track_token")
 
 
+def curvature(line: np.ndarray, progress: np.ndarray) -> np.ndarray:
+    """Signed curvature of a polyline where progress lies: turn by length at the inner vertices, and between them by interpolation."""
+    step = np.diff(line, axis=0)
+    length = np.hypot(step[:, 0], step[:, 1])
+    step, length = step[length > 0], length[length > 0]
+    if len(length) < 2:
+        return np.zeros(len(progress))
+    turn = np.diff(np.arctan2(step[:, 1], step[:, 0]))
+    turn = (turn + np.pi) % (2 * np.pi) - np.pi
+    return np.interp(progress, np.cumsum(length)[:-1], turn / ((length[1:] + length[:-1]) / 2))
+
+
 def candidates(entities: DataFrame, scenarios: DataFrame, map_objects: DataFrame, kinds: tuple[str, ...] = ("lane", "lane_connector")) -> DataFrame:
-    """entities' keys with object_id, kind, center_covered, overlap_area, overlap_ratio, progress, lateral_offset, map_heading.
+    """entities' keys with object_id, kind, center_covered, overlap_area, overlap_ratio, progress, lateral_offset, map_heading, curvature.
 
     Polygons go to the grid cells of their bounds, entities to their own cell: an
     equi-join on map and cell, whose matches an Arrow kernel refines exactly.
@@ -33,7 +45,7 @@ def candidates(entities: DataFrame, scenarios: DataFrame, map_objects: DataFrame
     own = entities.join(scenarios.select("scenario_token", "map_name"), "scenario_token").withColumn("cx", F.floor(F.col("x") / CELL)).withColumn("cy", F.floor(F.col("y") / CELL))
     pairs = own.select(*KEYS, "map_name", "cx", "cy", "x", "y", "cos_h", "sin_h", "length_m", "width_m").join(tiles.select("map_name", "cx", "cy", "object_id", "kind", "polygon", "baseline"), ["map_name", "cx", "cy"])
     names = [*KEYS, "object_id", "kind"]
-    doubles = ("overlap_area", "overlap_ratio", "progress", "lateral_offset", "map_heading")
+    doubles = ("overlap_area", "overlap_ratio", "progress", "lateral_offset", "map_heading", "curvature")
     schema = StructType([*(pairs.schema[n] for n in names), StructField("center_covered", BooleanType()), *(StructField(d, DoubleType()) for d in doubles)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +56,7 @@ def candidates(entities: DataFrame, scenarios: DataFrame, map_objects: DataFrame
             num = lambda c: np.nan_to_num(col(c).to_numpy(zero_copy_only=False).astype(float))
             p, shapes = np.stack([num("x"), num("y")], 1), kernels.boxes(*map(num, ("x", "y", "cos_h", "sin_h", "length_m", "width_m")))
             size = np.maximum(num("length_m") * num("width_m"), 1e-12)
-            covered, out = np.zeros(n, bool), np.full((5, n), np.nan)
+            covered, out = np.zeros(n, bool), np.full((6, n), np.nan)
             codes = col("object_id").dictionary_encode()
             codes = np.asarray(codes.indices)
             for code in np.unique(codes):
@@ -55,7 +67,8 @@ def candidates(entities: DataFrame, scenarios: DataFrame, map_objects: DataFrame
                 out[0, rows] = kernels.polygon_overlap(shapes[rows], poly)
                 out[1, rows] = np.clip(out[0, rows] / size[rows], 0, 1)
                 if len(line) >= 2:
-                    out[2:, rows] = kernels.project(p[rows], line)
+                    out[2:5, rows] = kernels.project(p[rows], line)
+                    out[5, rows] = curvature(line, out[2, rows])
             hit = pa.array(covered | (out[0] > 0))
             arrays = [col(c) for c in names] + [pa.array(covered)] + [pa.array(v, pa.float64(), from_pandas=True) for v in out]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, "center_covered", *doubles]).filter(hit)
@@ -86,7 +99,7 @@ def primary(found: DataFrame, t: Thresholds = T) -> DataFrame:
     )
     top = top.withColumn("match_reason", reason).withColumn("ambiguous", reason == "ambiguous")
     sure = lambda c: F.when(~F.col("ambiguous"), F.col(c))
-    return top.select(*KEYS, "ambiguous", "match_reason", sure("object_id").alias("primary_id"), sure("kind").alias("primary_kind"), *(sure(c).alias(c) for c in ("overlap_ratio", "progress", "lateral_offset", "map_heading")))
+    return top.select(*KEYS, "ambiguous", "match_reason", sure("object_id").alias("primary_id"), sure("kind").alias("primary_kind"), *(sure(c).alias(c) for c in ("overlap_ratio", "progress", "lateral_offset", "map_heading", "curvature")))
 
 
 def with_map(entities: DataFrame, chosen: DataFrame, map_objects: DataFrame, edges: DataFrame, adjacency: DataFrame, route: DataFrame) -> DataFrame:
@@ -188,7 +201,7 @@ def map_facts(df: DataFrame) -> DataFrame:
             "hasBaselineLateralOffset": F.col("lateral_offset"),
             "hasMapHeading": F.col("map_heading"),
             "hasMapSpeedLimit": F.col("speed_limit_mps"),
-            "hasBaselineCurvature": F.when(F.col("map_heading").isNotNull(), F.lit(0.0)) if "curvature" not in df.columns else F.col("curvature"),
+            "hasBaselineCurvature": F.col("curvature"),
             "hasRouteRoadblockRank": F.col("route_rank"),
             "hasEffectiveTravelHeading": F.col("travel_heading"),
         },
