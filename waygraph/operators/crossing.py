@@ -103,6 +103,6 @@ def yields(found: DataFrame, entities: DataFrame, red: DataFrame | None = None,
     go = on.groupBy(*key).agg(F.min("timestamp_us").alias("proceed_us"))
     out = both.join(stay, key, "left_semi").join(go, key).select(*key, "reaction_us", "clear_us", "proceed_us")
     if red is not None:
-        stopped = out.join(red.select("scenario_token", F.col("track_token").alias("s_track"), F.col("timestamp_us").alias("red_us")), ["scenario_token", "s_track"]).where(F.col("red_us").between(F.col("reaction_us"), F.col("clear_us")))
+        stopped = out.join(events.select(*key, "end_us"), key).join(red.select("scenario_token", F.col("track_token").alias("s_track"), F.col("timestamp_us").alias("red_us")), ["scenario_token", "s_track"]).where(F.col("red_us").between(F.col("reaction_us"), F.col("end_us")))
         out = out.join(stopped.select(*key).distinct(), key, "left_anti")
     return out

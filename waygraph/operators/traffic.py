@@ -26,6 +26,19 @@ def signals(lights: DataFrame, scenarios: DataFrame) -> DataFrame:
     return df.select(*FRAME, "connector_id", "state", "conflict", "n_rows", F.concat_ws(":", F.lit("traffic_signal"), "map_name", F.lit("control"), "connector_id").alias("signal_id"))
 
 
+def with_controls(matched: DataFrame, found: DataFrame) -> DataFrame:
+    """matched with controls: the controlled connectors that an entity is on or that its lane leads to."""
+    lit = found.groupBy("scenario_token", "frame_index").agg(F.collect_set("connector_id").alias("lit"))
+    own = F.array_compact(F.concat(F.array("primary_id"), F.col("outgoing")))
+    return matched.join(lit, ["scenario_token", "frame_index"], "left").withColumn("controls", F.coalesce(F.array_intersect(own, "lit"), F.array().cast("array<string>"))).drop("lit")
+
+
+def red_frames(matched: DataFrame, found: DataFrame) -> DataFrame:
+    """Frames of tracks on a lane of whose outgoing connectors exactly one is controlled, and that one is red."""
+    ahead = matched.where("primary_kind = 'lane'").select(*KEYS, F.explode("outgoing").alias("connector_id")).join(found.select(*FRAME, "connector_id", "state"), [*FRAME, "connector_id"])
+    return ahead.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.min("state").alias("state")).where("n = 1 and state = 'RED'").select(*KEYS)
+
+
 def signal_facts(found: DataFrame) -> DataFrame:
     """controls and hasSignalState."""
     rows = F.array(

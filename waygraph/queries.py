@@ -49,6 +49,10 @@ class Stages:
         s = self.scene
         return cut(mapmatch.travel_direction(mapmatch.with_map(self.history, self.primary, s.map_objects, s.map_edges, s.map_adjacency, s.route)))
 
+    @cached_property
+    def signals(self) -> DataFrame:
+        return traffic.signals(self.scene.traffic_lights, self.scene.scenarios)
+
     @cached_property
     def kinematic(self) -> DataFrame:
         return pairs.with_kinematics(pairs.all_pairs(self.scene.entities))
@@ -59,7 +63,8 @@ class Stages:
 
     @cached_property
     def topology(self) -> DataFrame:
-        return mapmatch.with_topology(pairs.with_footprints(pairs.with_kinematics(pairs.all_pairs(self.matched, *mapmatch.MAP_COLUMNS))))
+        known = traffic.with_controls(self.matched, self.signals)
+        return mapmatch.with_topology(pairs.with_footprints(pairs.with_kinematics(pairs.all_pairs(known, *mapmatch.MAP_COLUMNS, "controls")))).withColumn("shared_control", F.arrays_overlap("s_controls", "o_controls"))
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -129,7 +134,7 @@ BUILD: dict[str, Callable[[Stages], DataFrame]] = {
     "leaders": lambda s: s.leaders,
     "follow_facts": lambda s: following.follow_facts(s.leaders, s.scene.frames),
     "crossings": lambda s: s.crossings,
-    "yields": lambda s: crossing.yields(s.crossings, s.scene.entities),
+    "yields": lambda s: crossing.yields(s.crossings, s.scene.entities, traffic.red_frames(s.matched, s.signals)),
     "track_pairs": lambda s: crossing.track_pairs(s.scene.entities),
     "lane_changes": lambda s: maneuvers.lane_change_facts(s.lane_changes, s.scene.entities),
     "merges": lambda s: maneuvers.merges(s.lane_changes, s.matched, s.scene.scenarios, s.corridors),
