@@ -1,6 +1,7 @@
 """Operators against brute force, the libraries, and held-out labels."""
 
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -224,16 +225,37 @@ def test_license_base_and_fuzzy(spark, texts):
 def test_license_edits_within_bound():
     finder = licenses.NoticeFinder()
     rng = np.random.default_rng(9)
-    for number, (notice, _, k) in enumerate(licenses.NOTICES):
+    for number, (notice, _, k, exact) in enumerate(licenses.NOTICES):
+        fixed = range(notice.index(exact) - 1, notice.index(exact) + len(exact) + 1) if exact else ()
+        loose = [i for i in range(len(notice)) if i not in fixed]
         for _ in range(20):
             own = list(notice)
-            for at in rng.choice(len(own), k, replace=False):
+            for at in rng.choice(loose, k, replace=False):
                 own[at] = "q"
             line = " some words " + "".join(own) + " and more "
             assert any(i == number and e <= k for i, _, _, e in finder.find(line))
     assert finder.find(" a text with a license of no kind at all ") == []
 
 
+def test_licenses_are_told_apart(spark):
+    names = ["bsd", "gpl", "isc", "mpl", "mitx", "xmit", "mpl 2 0", "epl", "zlib"]
+    others = [f"released under the {n} license" for n in names] + [f"SPDX-License-Identifier: {n}" for n in ("MPL-2.0", "ISC", "BSD-3", "mitigation", "GPL-2.0")]
+    others += ["licensed under the eclipse license version 2 0", "gnu affero general public licence", "the terms of the mozzila publik license"]
+    docs = [(i, t) for i, t in enumerate(others)] + [(100, "relesed under the MIT licence"), (101, "SPDX-License-Identifer: MIT"), (102, "permisson is granted " * 3)]
+    got = {r.doc_id: (r.base_labels, r.labels) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[i][0] == got[i][1] for i in range(len(others))), {others[i]: got[i] for i in range(len(others)) if got[i][0] != got[i][1]}
+    assert got[100][1] == "mit" and got[101][1] == "mit"
+
+
+def test_license_scan_of_a_long_text(spark):
+    notice = "released under the mit license"
+    text = f"{notice} " * 50_000 + "a mit license"
+    began = time.time()
+    (r,) = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word) == (250_003, 50_001, 3, 250_001)
+    assert [s["first"] for s in r.spans] == list(range(0, 250_000, 5)) and time.time() - began < 60
+
+
 def test_sentencepieces_equal_the_library(spark):
     import sentencepiece
 
@@ -246,7 +268,7 @@ def test_sentencepieces_equal_the_library(spark):
     got = {r.doc_id: list(r.ids) for r in encoded.collect()}
     assert got == {d: library.encode(t) for d, t in texts.items()}
     assert {r.doc_id: r.text for r in sentencepieces.decode(encoded, model).collect()} == {d: library.decode(library.encode(t)) for d, t in texts.items()}
-    few, many = (sorted(sentencepieces.encode_counts(docs, model, head).collect()) for head in (500, 100_000))
+    few, many = (sorted(sentencepieces.encode_counts(docs, model, head, words).collect()) for head, words in ((500, 5_000), (100_000, 100_000)))
     assert few == many and all(r.n_pieces == len(got[r.doc_id]) for r in few)
 
 
@@ -255,13 +277,14 @@ def test_viterbi_fold_against_enumeration(spark):
     model = sentencepieces.PieceModel(tuple(pieces), tuple(pieces.values()), (), 0, "unigram", False)
     words = ["abc", "abcabc", "cab", "bcabca", "a", "aabbcc"]
     units = spark.createDataFrame([(w, 1) for w in words], "unit string, n long")
-    got = sentencepieces.lattice(units, sentencepieces.piece_table(spark, model), 4).select("unit", F.transform(sentencepieces.viterbi_fold(F.col("edges")), lambda p: p.id).alias("ids")).collect()
+    found = sentencepieces.edges(units, sentencepieces.piece_table(spark, model), 4, "unigram")
+    got = sentencepieces.folded(found, ["unit"], "unigram").collect()
 
     def best(w):
         return max(((pieces[w[:n]] + best(w[n:])[0], [w[:n], *best(w[n:])[1]]) for n in range(1, len(w) + 1) if w[:n] in pieces), default=(0.0, []))
 
     for r in got:
-        path = [model.pieces[i] for i in r.ids]
+        path = [r.unit[a:b] for a, b in zip(r.cut, [*r.cut[1:], len(r.unit)], strict=True)]
         assert "".join(path) == r.unit and np.isclose(sum(pieces[p] for p in path), best(r.unit)[0])
 
 
@@ -269,12 +292,27 @@ def test_waiting_edges_merge_first(spark):
     pieces = {"ab": -1.0, "bc": -2.0, "abcd": -3.0, "cd": -4.0, "abc": -5.0}
     model = sentencepieces.PieceModel(tuple(pieces), tuple(pieces.values()), (), 0, "bpe", False)
     units = spark.createDataFrame([(w, 1) for w in ("abcd", "abc", "xabcdx", "q", "ababcdcd")], "unit string, n long")
-    edges, size = F.col("edges"), F.char_length("unit")
-    rows = sentencepieces.lattice(units, sentencepieces.piece_table(spark, model), 4, 2).withColumn("fold", sentencepieces.merge_fold(edges, size))
+    found = sentencepieces.edges(units, sentencepieces.piece_table(spark, model), 4, "bpe")
     ranks = {p: (-s, i) for i, (p, s) in enumerate(pieces.items())}
-    for r in rows.select("unit", "fold.late", F.when(F.col("fold.late"), sentencepieces.waiting_fold(edges, size)).otherwise(F.col("fold.at")).alias("at")).collect():
-        assert list(r["at"]) == [0, *(p["e"] for p in sentencepieces.merge_long(r.unit, ranks, 4))]
-        assert r.late == ("abcd" in r.unit)
+    first = {r.unit: r.mask for r in found.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges")).select("unit", sentencepieces.merge_fold(F.col("edges")).alias("mask")).collect()}
+    got = {r.unit: r.cut for r in sentencepieces.folded(found, ["unit"], "bpe").collect()}
+    assert set(got) == {"abcd", "abc", "xabcdx", "ababcdcd"}
+    for unit, cut in got.items():
+        assert [i for i in range(len(unit)) if cut >> i & 1] == [p["s"] for p in sentencepieces.merge_long(unit, ranks, 4)]
+        assert (first[unit] < 0) == ("abcd" in unit)
+
+
+def test_folds_equal_the_heap_on_all_words(spark):
+    """Each distinct unit of the documents, by the lattice and by the heap."""
+    model = sentencepieces.PieceModel.load(sentencepieces.model_path())
+    split = sentencepieces.Splitter(model)
+    units = {u for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() for u in split.units(split.words(r.text or " "))[0]}
+    ranks = {p: (-s, i) for i, (p, s) in enumerate(zip(model.pieces, model.scores, strict=True)) if p}
+    rows = sentencepieces.edges(spark.createDataFrame([(u,) for u in units if len(u) <= sentencepieces.MOST_BITS], "unit string"), sentencepieces.piece_table(spark, model), model.longest, "bpe")
+    got = sentencepieces.folded(rows, ["unit"], "bpe").collect()
+    assert len(got) > 1000
+    for r in got:
+        assert [i for i in range(len(r.unit)) if r.cut >> i & 1] == [p["s"] for p in sentencepieces.merge_long(r.unit, ranks, model.longest)]
 
 
 def test_token_counts_equal_the_library(spark, texts):

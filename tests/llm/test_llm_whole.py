@@ -8,14 +8,14 @@ import pytest
 from waygraph.llm import decontaminate, sentencepieces
 
 
-@pytest.mark.parametrize("head", [3, sentencepieces.HEAD])
-def test_pieces_are_ids_and_whole_texts(spark, head):
+@pytest.mark.parametrize(("head", "words"), [(3, 3), (sentencepieces.HEAD, sentencepieces.BLOCK_WORDS)])
+def test_pieces_are_ids_and_whole_texts(spark, head, words):
     import sentencepiece
 
     texts = {1: "a  b\nc é 😀   ", 2: "x ▁y", 3: None, 4: "", 5: "▁", 6: "the " * 50 + "日本語", 7: " lead"}
     model = sentencepieces.PieceModel.load(sentencepieces.model_path())
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.model_path())
-    rows = sentencepieces.encode_counts(spark.createDataFrame([*texts.items(), (2, "x ▁y")], "doc_id long, text string"), model, head).collect()
+    rows = sentencepieces.encode_counts(spark.createDataFrame([*texts.items(), (2, "x ▁y")], "doc_id long, text string"), model, head, words).collect()
     assert sorted(r.doc_id for r in rows) == [1, 2, 2, 3, 4, 5, 6, 7]
     for r in rows:
         ids = library.encode(texts[r.doc_id] or "")
@@ -51,3 +51,64 @@ def test_short_items_leak_wherever_substituted(spark):
     assert len(docs) == 13 + 105 + 120 + 455 and len(docs) - len(want) == 11
     got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id, r.n_tokens, r.n_match) for r in got} == want
+
+
+def test_neardup_in_a_dense_group(spark):
+    """Copies of one text whose similarities lie about the threshold, changed by words that recur: all pairs against the operator."""
+    from waygraph.llm import neardup
+
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for d in range(400):
+        rate = rng.uniform(0, 0.09)
+        docs.append((d, " ".join(f"v{rng.integers(0, 4)}" if rng.random() < rate else w for w in base)))
+    linking = neardup.Linking(3, 85)
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for _, t in docs)]
+    up = list(range(len(docs)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    want = {d: root(d) for d, _ in docs}
+    assert 20 < len(set(want.values())) < 380
+    got = neardup.classes(spark.createDataFrame(docs, "doc_id long, text string"), linking).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    bits = neardup.two_bits(rng.integers(0, 65536, (2, 128)).astype("<u2"))
+    assert bits.shape == (2, 4) and neardup.least_agreeing(linking) > 80
+
+
+def test_leaks_go_row_by_row(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    other = " ".join(f"q{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, passage, "x"), (None, "a clean text", "y"), (5, f"so {passage} it is", "z"), (5, "clean too", None), (6, other, "x"), (7, None, "x")], "doc_id long, text string, text_hash string")
+    bench = spark.createDataFrame([(1, passage), (1, other), (None, " ".join(f"r{i}" for i in range(14)))], "item_id long, text string")
+    kept = decontaminate.drop_leaks(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(r.text or "" for r in kept.collect()) == ["", "a clean text", "clean too"]
+    got = decontaminate.find_leaks(docs.union(spark.createDataFrame([(9, " ".join(f"r{i}" for i in range(14)), "")], docs.schema)), bench)
+    assert {(r.doc_id, r.item_id, r.n_tokens) for r in got.collect()} == {(None, 1, 20), (5, 1, 20), (6, 1, 20), (9, None, 14)}
+
+
+def test_more_languages_than_are_learned(spark):
+    from waygraph.llm import langid
+
+    rows = [(i, f"alpha beta gamma {chr(97 + i % 26)}{i}", f"l{i % 70:02}") for i in range(300)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == langid.MAX_LANGS
+
+
+def test_training_rows_are_bounded(spark):
+    from waygraph.llm import common
+
+    docs = spark.createDataFrame([(i % 50, f"text {i} " * 40) for i in range(5000)] + [(1, "same")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    assert 300 < len(common.training_rows(docs, labels, "toxic", ["text"], 1000, 10**9, 3)["text"]) < 1300
+    assert sum(map(len, common.training_rows(docs, labels, "toxic", ["text"], 10**6, 100_000, 3)["text"])) < 150_000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; where unset, one of our own."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; where unset, one of our own on a single machine, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="waygraph-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -130,10 +133,40 @@ def padded_groups(lengths: np.ndarray, cells: int = 2_000_000) -> Iterator[np.nd
         at += take
 
 
-def bounded_sample(df: DataFrame, id_column: str, most: int, seed: int) -> DataFrame:
-    """Some `most` rows of a training set, chosen by a hash of their id; all rows where there are no more."""
+def part_of(share: float, seed: int, *columns: str) -> Column:
+    """True for a share of all rows, chosen by a hash of the columns."""
+    return F.xxhash64(F.lit(seed), *columns) < F.lit(min(2**63 - 1, int(share * 2.0**64) - 2**63))
+
+
+def bounded_sample(df: DataFrame, columns: list[str], most: int, seed: int) -> DataFrame:
+    """Some `most` rows of a training set, chosen by a hash of the columns; all rows where there are no more."""
     n = df.count()
-    if n <= most:
-        return df
-    share = int(1_000_000 * most / n)
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_column)), F.lit(1_000_000)) < share)
+    return df if n <= most else df.where(part_of(most / n, seed, *columns))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, columns: list[str], most: int, most_bytes: int, seed: int) -> dict[str, list]:
+    """columns of documents and their label, on the driver: some `most` rows of most_bytes of text together.
+
+    The labels are sampled first.  Repeated rows of id and text count once; where ids
+    repeat with other texts, or texts are long, the joined rows are sampled again.
+    """
+    chosen = bounded_sample(labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label)), ["doc_id"], most, seed)
+    # `most` bounds the broadcast
+    rows = docs.select("doc_id", *columns).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
+    rows = materialize(rows, "training")
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    share = min(1.0, most / max(n, 1), most_bytes / max(size, 1))
+    if share < 1.0:
+        rows = rows.where(part_of(share, seed + 1, "doc_id", "text"))
+    return rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]).to_pydict()
+
+
+def sampled(docs: DataFrame, most: int, seed: int = 9) -> DataFrame:
+    """Some `most` rows of documents, chosen by a hash of id and text; all rows where there are no more."""
+    return bounded_sample(docs, ["doc_id", "text"], most, seed)
+
+
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns named __d0, __d1 ..., and these names by their own, so that no column clashes with ours."""
+    back = {c: f"__d{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in back.items())), back

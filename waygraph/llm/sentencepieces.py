@@ -2,21 +2,27 @@
 
 Text is normalised as the model asks (a space becomes the word mark, one goes in
 front) and parted into units at every place that no piece spans: before a run of
-word marks, and between two characters that no piece holds side by side.  Each
-distinct unit is encoded once.  Its substrings of bounded length are exploded and
-equi-joined to the piece table; the matching edges are grouped by unit and folded
-by Spark's higher-order aggregate.
+word marks, and between two characters that no piece holds side by side.  Distinct
+units are exploded into their substrings of bounded length, which are equi-joined to
+the piece table; the matching edges are grouped by unit and folded by Spark's
+higher-order aggregate.
+
+Documents are gathered into blocks, each a row with its documents as numbers of
+units.  The HEAD most frequent units of a bounded sample are encoded first and
+travel to every task; all others are named in their block's row.  These are encoded
+once each, meet the blocks that name them, and the ids are read off.  So what is
+moved is the numbered text once and the rarer units, never the text itself; which
+units are in the head changes nothing but the time.
 
 The fold follows the model's kind.  For a unigram model it is Viterbi: the best
 score of each end.  A BPE model's scores are merge ranks, and the best sum of ranks
 is not what the library returns, so there the fold goes over the edges by rank and
-merges where an edge spans two neighbouring pieces; edges that span more wait, and
-are merged first once they span two.  That is the library's segmentation.
-Characters without a piece fall back to their bytes.
-
-Documents get their units' codes by a join that looks at frequencies: the units
-with the highest counts, HEAD at most, travel to every task, all others are joined
-by shuffle.  Each document's ids are then decoded, and the whole text compared.
+merges where an edge spans two neighbouring pieces; a unit where an edge spanned
+more at its turn is folded again, the best edge that spans two at a time.  That is
+the library's segmentation.  A BPE state is one long: a bit for each place where a
+piece begins or ends.  Units of more than MOST_BITS characters, such as long runs of
+spaces, take the same merges from a heap.  Characters without a piece fall back to
+their bytes.
 
 Defined results: null and empty texts have no pieces; repeated rows are encoded one
 by one; an empty table gives an empty result; other columns aren't read.
@@ -25,24 +31,29 @@ by one; an empty table gives an empty result; other columns aren't read.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import Shared, bounded_batches, map_arrow, materialize, table
+from waygraph.llm.common import Shared, bounded_batches, map_arrow, materialize, sampled, table
 
 MARK = "▁"
-#: Units that travel to every task, at most.
-HEAD = 200_000
-#: Longer units, such as long runs of spaces, are folded by the same rule in a Python kernel.
-LONG_UNIT = 96
-KEPT_UNITS = 100_000
-#: Rows that are encoded and decoded at a time.
+#: Units that travel to every task, and documents of the sample that they are taken from, at most.
+HEAD, HEAD_SAMPLE = 200_000, 20_000
+#: A block is closed once it has so many words.
+BLOCK_WORDS = 400_000
+KEPT_UNITS = 200_000
+#: Places of a unit that a long has bits for.
+MOST_BITS = 62
+ALL_BITS = (1 << 63) - 1
+#: Rows that are decoded at a time.
 SLICE = 128
 PRIME = (1 << 31) - 1
 BASE = 1_000_003
@@ -93,145 +104,227 @@ class PieceModel:
         return frozenset(p[i : i + 2] for p in self.pieces for i in range(len(p) - 1))
 
 
-class UnitSplitter:
-    """Parts normalised text into units."""
-
-    def __init__(self, pairs: frozenset[str]) -> None:
-        self.pairs = pairs
-        self.rough = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n" if not any("\n" in p for p in pairs) else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        if any(p[1] == MARK and p[0] != MARK for p in pairs):
-            self.rough = re.compile(r"(?s).+")
-        self.known: dict[str, list[str]] = {}
-
-    def part(self, rough: str) -> list[str]:
-        cuts = [0, *(i for i in range(1, len(rough)) if rough[i - 1 : i + 1] not in self.pairs), len(rough)]
-        return [rough[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+class Splitter:
+    """Words of texts, and their units."""
 
-    def __call__(self, text: str) -> list[str]:
-        known, out = self.known, []
-        for rough in self.rough.findall(text):
-            if (units := known.get(rough)) is None:
-                if len(known) > KEPT_UNITS:
-                    known.clear()
-                units = known[rough] = self.part(rough)
-            out += units
-        return out
+    def __init__(self, model: PieceModel) -> None:
+        self.model = model
+        pairs = model.neighbours()
+        self.pairs = np.unique(np.array([ord(p[0]) << 21 | ord(p[1]) for p in pairs] or [-1], np.int64))
+        # where no piece goes on over a word mark or a line's end, words can be cut there
+        self.plain = model.prefix and not any("\n" in p or (p[1] == MARK and p[0] != MARK) for p in pairs)
+
+    def words(self, text: str) -> list[str]:
+        """Parts of a text; spelled gives what they stand for."""
+        if not self.plain:
+            return [self.model.normal(text)]
+        text = text.replace(MARK, " ").replace("\n", " \n")
+        if "  " not in text and text[0] != " ":
+            return text.split(" ")
+        # a run of marks goes with the word behind it; the blank before a line's end isn't in the text
+        return [w[1:] if w[0] == " " else w for w in re.findall(r" +[^ \n]*|\n[^ \n]*", (" " + text).replace(" \n", "\n"))]
+
+    def spelled(self, words: list[str]) -> list[str]:
+        return [w if w[:1] == "\n" else MARK + w.replace(" ", MARK) for w in words] if self.plain else words
+
+    def units(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The units of all words in order, and how many each word has."""
+        spelled = self.spelled(words)
+        joined, sizes = "".join(spelled), np.fromiter(map(len, spelled), np.int64, len(spelled))
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        if not len(code):
+            return [], np.zeros(len(words), np.int64)
+        pair = code[:-1] << 21 | code[1:]
+        begins = np.ones(len(code), bool)
+        begins[1:] = self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] != pair
+        first = np.cumsum(sizes) - sizes
+        begins[first[sizes > 0]] = True
+        at = np.flatnonzero(begins)
+        cuts = at.tolist() + [len(joined)]
+        before = np.concatenate([[0], np.cumsum(begins)])
+        return [joined[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], before[first + sizes] - before[first]
 
 
 def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
-    """code (hash of the piece), piece, id, score; its size is the vocabulary's."""
+    """code (hash of the piece), piece, id, score, rank (of the score, the best first); its size is the vocabulary's."""
     rows = [(p, i, float(s)) for i, (p, s) in enumerate(zip(model.pieces, model.scores, strict=True)) if p]
-    return spark.createDataFrame(pa.table({"piece": [r[0] for r in rows], "id": pa.array([r[1] for r in rows], pa.int32()), "score": [r[2] for r in rows]})).select(F.xxhash64("piece").alias("code"), "piece", "id", "score")
+    rank = np.unique([-r[2] for r in rows], return_inverse=True)[1]
+    return spark.createDataFrame(pa.table({"piece": [r[0] for r in rows], "id": pa.array([r[1] for r in rows], pa.int32()), "score": [r[2] for r in rows], "rank": pa.array(rank, pa.int64())})).select(F.xxhash64("piece").alias("code"), "piece", "id", "score", "rank")
 
 
-def distinct_units(docs: DataFrame, model: PieceModel) -> DataFrame:
+def unit_counts(docs: DataFrame, model: PieceModel) -> DataFrame:
     """unit, n: how often it occurs."""
     shared = Shared(docs.sparkSession, model)
-    out = pa.schema([("unit", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, counts = shared.value, Counter()
-        split = UnitSplitter(model.neighbours())
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            units: Counter[str] = Counter()
-            for rough, n in counts.items():
-                for unit in split.part(rough):
-                    units[unit] += n
+        split, counts = Splitter(shared.value), Counter()
+
+        def flush() -> pa.RecordBatch:
+            units, many = split.units(list(counts))
+            named = pd.Series(np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), many)).groupby(np.array(units, object)).sum()
             counts.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], schema=out)
+            return pa.RecordBatch.from_arrays([pa.array(named.index.tolist(), pa.string()), pa.array(named.to_numpy(), pa.int64())], ["unit", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(split.rough.findall(model.normal(text)))
+                counts.update(split.words(text) if text else ())
                 if len(counts) > KEPT_UNITS:
-                    yield from flush()
-        yield from flush()
+                    yield flush()
+        if counts:
+            yield flush()
 
     return bounded_batches(docs.select("text")).mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int, shortest: int = 1) -> DataFrame:
-    """unit, n and edges: array of (cost, s, e, id) sorted by cost and start; s to e are characters, shortest ones at least.
+def frequent_units(docs: DataFrame, model: PieceModel, head: int = HEAD) -> pa.Table:
+    """unit, cut of the units that are most frequent in a sample of HEAD_SAMPLE documents: head rows at most, the most frequent first."""
+    top = unit_counts(sampled(docs, HEAD_SAMPLE), model).orderBy(F.desc("n"), "unit").limit(head)
+    top = materialize(top, "head")
+    cut = folded(edges(top.select("unit"), piece_table(docs.sparkSession, model), model.longest, model.kind), ["unit"], model.kind)
+    return top.join(cut, "unit", "left").orderBy(F.desc("n"), "unit").select("unit", "cut").toArrow()
 
-    A first character without a piece has an edge with id -1, so that every unit
-    stays; from 1 character on, every character without a piece has one.
-    """
+
+def blocks(docs: DataFrame, model: PieceModel, known: Shared, words: int = BLOCK_WORDS) -> DataFrame:
+    """block, rare (units that aren't among the known ones), and its documents: doc_ids, digests of their texts, sizes and places (packed numbers of units, the known ones first)."""
+    shared = Shared(docs.sparkSession, model)
+    slim = docs.select("doc_id", "text")
+    kind = slim.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        split, head = Splitter(shared.value), known.value.number
+        own: defaultdict[str, int] = defaultdict()
+        own.default_factory = own.__len__
+        ids, digests, rows, length, made = [], [], [], 0, 0
+
+        def close() -> pa.RecordBatch:
+            units, many = split.units(list(own))
+            rare: defaultdict[str, int] = defaultdict()
+            rare.default_factory = lambda: len(head) + len(rare)
+            number = np.fromiter((rare[u] if (n := head.get(u)) is None else n for u in units), np.int64, len(units))
+            # words to units, for all documents of the block at once
+            row = np.concatenate(rows)
+            size, start = many[row], (np.cumsum(many) - many)[row]
+            ends = np.cumsum(size)
+            place = number[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+            sizes = np.diff(np.concatenate([[0], ends])[np.cumsum([0, *map(len, rows)])])
+            own.clear()
+            # unique, and another one where a second reading would part the documents otherwise
+            name = np.array([TaskContext.get().partitionId(), made], "<i4").tobytes() + xxhash.xxh3_128_digest(b"".join(digests))
+            columns = [([name], pa.binary()), ([list(rare)], pa.list_(pa.string())), ([ids], pa.list_(id_type)), ([digests], pa.list_(pa.binary())), ([sizes.astype("<i8").tobytes()], pa.binary()), ([packed(place)], pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns], ["block", "rare", "doc_ids", "digests", "sizes", "places"])
+
+        for batch in batches:
+            id_type = batch.schema.field(0).type
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = split.words(text) if text else []
+                ids.append(doc_id)
+                digests.append(xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass")))
+                rows.append(np.fromiter(map(own.__getitem__, parts), np.int32, len(parts)))
+                length += len(parts) + 1
+                if length >= words:
+                    yield close()
+                    ids, digests, rows, length, made = [], [], [], 0, made + 1
+        if ids:
+            yield close()
+
+    return bounded_batches(slim).mapInArrow(run, f"block binary, rare array<string>, doc_ids array<{kind}>, digests array<binary>, sizes binary, places binary")
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32 as two planes of 16 bits, compressed."""
+    planes = np.concatenate([(numbers & 0xFFFF).astype("<u2"), (numbers >> 16).astype("<u2")]).tobytes()
+    return np.int64(len(numbers)).tobytes() + pa.Codec("zstd", compression_level=3).compress(planes, asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data[:8], np.int64)[0])
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 4 * n, asbytes=True), "<u2").astype(np.int64)
+    return planes[:n] | planes[n:] << 16
+
+
+def spans(units: DataFrame, longest: int, shortest: int) -> DataFrame:
+    """units with s, e and sub: their substrings of shortest to longest characters; a unit too short for these goes."""
     size = F.char_length("unit")
-    # the grouping below needs no other shuffle than this one of the units
-    starts = units.repartition("unit").withColumn("s", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), size - shortest))))
-    ends = F.sequence(F.col("s") + F.when(F.col("s") == 0, 1).otherwise(shortest), F.least(size, F.col("s") + longest))
-    spans = starts.withColumn("e", F.explode(ends)).withColumn("sub", F.expr("substring(unit, s + 1, e - s)")).withColumn("at", F.xxhash64("sub"))
+    starts = F.when(size >= shortest, F.sequence(F.lit(0), size - shortest))
+    both = units.withColumn("s", F.explode(starts)).withColumn("e", F.explode(F.sequence(F.col("s") + shortest, F.least(size, F.col("s") + longest))))
+    return both.withColumn("sub", F.col("unit").substr(F.col("s") + 1, F.col("e") - F.col("s")))
+
+
+def edges(units: DataFrame, pieces: DataFrame, longest: int, kind: str) -> DataFrame:
+    """units with edge, a row for each substring that is a piece.
+
+    For a BPE model an edge is a long of rank, start and end, of two characters at
+    least; longer units than a long has bits for have none.  Else it is a struct
+    (e, s, cost), and each character without a piece has one.
+    """
+    bpe = kind == "bpe"
+    found = spans(units.where(F.char_length("unit") <= MOST_BITS) if bpe else units, longest, 2 if bpe else 1)
     # the vocabulary bounds the broadcast side; pieces meet by a hash and are compared after
-    both = spans.join(F.broadcast(pieces), F.col("at") == F.col("code"), "left")
+    both = found.withColumn("at", F.xxhash64("sub")).join(F.broadcast(pieces.select("code", "piece", "rank", "score")), F.col("at") == F.col("code"), "inner" if bpe else "left")
     same = F.coalesce(F.col("sub") == F.col("piece"), F.lit(False))
-    stays = (F.col("e") == F.col("s") + 1) & ((F.col("s") == 0) | F.lit(shortest == 1))
-    edge = F.struct(F.when(same, -F.col("score")).otherwise(-UNKNOWN_SCORE).alias("cost"), "s", "e", F.when(same, F.col("id")).otherwise(-1).alias("id"))
-    return both.where(same | stays).groupBy("unit").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(edge)).alias("edges"))
+    if bpe:
+        both, edge = both.where(same), F.col("rank") * (1 << 12) + F.col("s") * (1 << 6) + F.col("e")
+    else:
+        both, edge = both.where(same | (F.col("e") == F.col("s") + 1)), F.struct("e", "s", F.when(same, -F.col("score")).otherwise(F.lit(-UNKNOWN_SCORE)).alias("cost"))
+    return both.select(*units.columns, edge.alias("edge"))
 
 
-def merge_fold(edges: Column, size: Column) -> Column:
-    """struct(at, late): where a unit's pieces begin and end, and whether an edge met more than two pieces within its span.
+def _merges(mask: Column, edge: Column) -> tuple[Column, Column]:
+    """The bits strictly within the edge, and how many pieces it spans less one; 0 where it doesn't begin and end with pieces."""
+    one, s, e = F.lit(1).cast("long"), F.shiftright(edge, 6).bitwiseAND(63).cast("int"), edge.bitwiseAND(63).cast("int")
+    left, right = F.call_function("shiftleft", one, s), F.call_function("shiftleft", one, e)
+    within, both = right - left * 2, left + right
+    return within, F.when(mask.bitwiseAND(both) == both, F.bit_count(mask.bitwiseAND(within))).otherwise(0)
 
-    Edges come by rank, each merges where it spans two neighbours.  Only a late edge
-    could still merge after its turn, so without one this is the library's result.
-    """
-    state = "struct<at:array<int>,late:boolean>"
-    start = F.struct(F.sequence(F.lit(0), size).alias("at"), F.lit(False).alias("late")).cast(state)
 
-    def step(now: Column, x: Column) -> Column:
-        place = F.array_position(now.at, x.s).cast("int")
-        second = F.get(now.at, place + 1)
-        merged = F.struct(F.concat(F.slice(now.at, F.lit(1), place), F.slice(now.at, place + 2, F.size(now.at))).alias("at"), now.late.alias("late"))
-        late = F.struct(now.at.alias("at"), F.lit(True).alias("late"))
-        return F.when((place == 0) | second.isNull() | (second > x.e), now).when(second == x.e, merged).when(~now.late & F.array_contains(now.at, x.e), late).otherwise(now).cast(state)
+def merge_fold(found: Column) -> Column:
+    """Bits where a unit's pieces begin and end, from its sorted edges; the sign's bit says that an edge spanned more than two pieces at its turn.
 
-    return F.aggregate(F.filter(edges, lambda x: x.e > x.s + 1), start, step)
+    Only such an edge could still merge later, so without one this is the library's result.
+    """
 
+    def step(mask: Column, edge: Column) -> Column:
+        within, more = _merges(mask, edge)
+        return F.when(more == 1, mask.bitwiseAND(F.bitwise_not(within))).when(more > 1, mask.bitwiseOR(F.lit(-(1 << 63)))).otherwise(mask)
 
-def waiting_fold(edges: Column, size: Column) -> Column:
-    """Where a unit's pieces begin and end; edges that span more than two pieces wait for their turn."""
-    state = "struct<at:array<int>,wait:array<struct<cost:double,s:int,e:int,id:int>>>"
-    start = F.struct(F.sequence(F.lit(0), size).alias("at"), F.filter(edges, lambda x: F.lit(False)).alias("wait")).cast(state)
-    longer = F.filter(edges, lambda x: x.e > x.s + 1)
+    return F.aggregate(found, F.lit(ALL_BITS), step)
 
-    def step(now: Column, more: Column) -> Column:
-        wait = F.concat(now.wait, more)
-        ready = F.get(F.filter(wait, lambda x: (F.array_position(now.at, x.s) > 0) & (F.get(now.at, F.array_position(now.at, x.s).cast("int") + 1) == x.e)), F.lit(0))
-        place = F.array_position(now.at, ready.s).cast("int")
-        at = F.concat(F.slice(now.at, F.lit(1), place), F.slice(now.at, place + 2, F.size(now.at)))
-        alive = lambda bounds: F.filter(wait, lambda x: F.array_contains(bounds, x.s) & F.array_contains(bounds, x.e) & (F.array_position(bounds, x.e) - F.array_position(bounds, x.s) > 1))
-        then = F.when(ready.isNull(), F.struct(now.at.alias("at"), alive(now.at).alias("wait"))).otherwise(F.struct(at.alias("at"), alive(at).alias("wait")))
-        return F.when(F.size(wait) == 0, now).otherwise(then).cast(state)
 
-    folded = F.aggregate(longer, start, lambda now, x: step(now, F.array(x)))
-    none = F.filter(longer, lambda x: F.lit(False))
-    settle = lambda x: F.aggregate(F.sequence(F.lit(1), F.size(x.wait) + 1), x, lambda now, _: step(now, none), lambda now: now.at)
-    # once all edges are in, what waits is merged, a merge a step
-    return F.get(F.transform(F.array(folded), settle), F.lit(0))
+def waiting_fold(found: Column) -> Column:
+    """The same bits, by merging the first of the sorted edges that spans two pieces, time and again."""
 
+    def step(mask: Column, _: Column) -> Column:
+        ready = F.get(F.filter(found, lambda x: _merges(mask, x)[1] == 1), F.lit(0))
+        return F.when(ready.isNull(), mask).otherwise(mask.bitwiseAND(F.bitwise_not(_merges(mask, ready)[0])))
 
-def placed(edges: Column, at: Column) -> Column:
-    """(s, e, id) of the edges from each place to the next, in order."""
-    on = F.filter(edges, lambda x: F.array_contains(at, x.s) & (F.get(at, F.array_position(at, x.s).cast("int")) == x.e))
-    return F.array_sort(F.transform(on, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), x.id.alias("id"))))
+    return F.aggregate(F.sequence(F.lit(1), F.array_max(F.transform(found, lambda x: x.bitwiseAND(63).cast("int")))), F.lit(ALL_BITS), step)
 
 
-def viterbi_fold(edges: Column) -> Column:
-    """(s, e, id) of the path of least cost; id is -1 for a character without a piece."""
-    state = "array<struct<cost:double,e:int,path:array<struct<s:int,e:int,id:int>>>>"
-    by_end = F.array_sort(F.transform(edges, lambda x: F.struct(x.e.alias("e"), x.s.alias("s"), x.cost.alias("cost"), x.id.alias("id"))))
-    start = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("e"), F.array().alias("path"))).cast(state)
+def viterbi_fold(found: Column) -> Column:
+    """Starts of the pieces on the path of least cost, from edges sorted by end and start."""
+    state = "array<struct<cost:double,e:int,path:array<int>>>"
+    start = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("e"), F.array().cast("array<int>").alias("path"))).cast(state)
 
     def step(now: Column, x: Column) -> Column:
         # the best path to each end; an edge's ends come in order, so all paths to its start are known
         before = F.get(F.filter(now, lambda p: p.e == x.s), F.lit(0))
-        path = F.struct((before.cost + x.cost).alias("cost"), x.e.alias("e"), F.concat(before.path, F.array(F.struct(x.s.alias("s"), x.e.alias("e"), x.id.alias("id")))).alias("path"))
+        path = F.struct((before.cost + x.cost).alias("cost"), x.e.alias("e"), F.concat(before.path, F.array(x.s)).alias("path"))
         have = F.get(F.filter(now, lambda p: p.e == x.e), F.lit(0))
         better = F.when(have.isNull() | (path.cost < have.cost), path).otherwise(have)
         return F.concat(F.filter(now, lambda p: p.e != x.e), F.array(better)).cast(state)
 
-    return F.aggregate(by_end, start, step, lambda now: F.array_max(F.transform(now, lambda p: F.struct(p.e.alias("e"), p.path.alias("path")))).path)
+    return F.aggregate(found, start, step, lambda now: F.array_max(F.transform(now, lambda p: F.struct(p.e.alias("e"), p.path.alias("path")))).path)
+
+
+def folded(found: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """keys, cut: the fold of the edges of each unit, a long of bits or an array of starts."""
+    unit = found.groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    if kind != "bpe":
+        return unit.select(*keys, viterbi_fold(F.col("edges")).alias("cut"))
+    unit = unit.withColumn("cut", merge_fold(F.col("edges")))
+    return unit.select(*keys, F.when(F.col("cut") < 0, waiting_fold(F.col("edges"))).otherwise(F.col("cut")).alias("cut"))
 
 
 def merge_long(unit: str, rank: dict[str, tuple[float, int]], longest: int) -> list[dict]:
@@ -271,27 +364,52 @@ def merge_long(unit: str, rank: dict[str, tuple[float, int]], longest: int) -> l
     return out
 
 
-def _with_bytes(units: DataFrame, model: PieceModel) -> DataFrame:
-    """unit, n, ids: single characters get their pieces, or their bytes."""
-    shared = Shared(units.sparkSession, model)
-    state: dict = {}
+class Assembler:
+    """Ids of units from their folds."""
 
-    def kernel(cols: dict[str, list]) -> dict[str, list]:
-        model: PieceModel = shared.value
-        single = state.setdefault("single", {p: i for i, p in enumerate(model.pieces) if len(p) == 1})
-        out = []
-        for unit, pieces in zip(cols["unit"], cols["pieces"], strict=True):
-            ids, at = [], 0
-            for s, e, i in [*((p["s"], p["e"], p["id"]) for p in pieces if p["id"] >= 0), (len(unit), 0, -1)]:
-                for c in unit[at:s]:
-                    ids += [single[c]] if c in single else [model.bytes_at[b] for b in c.encode()] if model.bytes_at else [model.unknown]
-                if i >= 0:
-                    ids.append(i)
-                    at = e
-            out.append(ids)
-        return {"unit": cols["unit"], "n": cols["n"], "ids": out}
-
-    return map_arrow(units.select("unit", "n", "pieces"), kernel, "unit string, n bigint, ids array<int>")
+    def __init__(self, model: PieceModel) -> None:
+        self.model, self.longest = model, model.longest
+        self.number = {p: i for i, p in enumerate(model.pieces) if p}
+        self.rank = {p: (-s, i) for i, (p, s) in enumerate(zip(model.pieces, model.scores, strict=True)) if p}
+
+    def starts(self, units: list[str], sizes: np.ndarray, cuts: pa.Array) -> np.ndarray:
+        """Where pieces begin in the joined units; a unit without a fold is cut into its characters."""
+        first = np.cumsum(sizes) - sizes
+        if self.model.kind != "bpe":
+            every = zip(first.tolist(), sizes.tolist(), cuts.to_pylist(), strict=True)
+            return np.concatenate([np.zeros(0, np.int64), *(f + np.array(range(n) if c is None else c, np.int64) for f, n, c in every)])
+        short = np.where(sizes <= MOST_BITS, sizes, 0)
+        bits = np.unpackbits(cuts.fill_null(ALL_BITS).to_numpy(zero_copy_only=False).astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        row, col = np.nonzero(bits & (np.arange(64) < short[:, None]))
+        out = [first[row] + col]
+        for i in np.flatnonzero(sizes > MOST_BITS).tolist():
+            out.append(first[i] + np.array([p["s"] for p in merge_long(units[i], self.rank, self.longest)], np.int64))
+        return np.sort(np.concatenate(out))
+
+    def __call__(self, units: list[str], cuts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All units' ids in order, and how many each has."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        joined, at = "".join(units), self.starts(units, sizes, cuts)
+        ends = at.tolist() + [len(joined)]
+        pieces = [joined[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        ids = np.fromiter((self.number.get(p, -1) for p in pieces), np.int32, len(pieces))
+        many, spelled = np.ones(len(ids), np.int64), {}
+        for i in np.flatnonzero(ids < 0).tolist():
+            spelled[i] = [self.model.bytes_at[b] for b in pieces[i].encode("utf-8", "surrogatepass")] if self.model.bytes_at else [self.model.unknown]
+            many[i] = len(spelled[i])
+        before = np.concatenate([[0], np.cumsum(many)])
+        flat = np.repeat(ids, many)
+        for i, codes in spelled.items():
+            flat[before[i] : before[i + 1]] = codes
+        return flat, np.diff(before[np.searchsorted(at, np.concatenate([[0], np.cumsum(sizes)]), "left")])
+
+
+class Known:
+    """The units that travel to every task: their numbers, and their ids behind each other."""
+
+    def __init__(self, model: PieceModel, units: list[str], cuts: pa.Array) -> None:
+        self.number = dict(zip(units, range(len(units)), strict=True))
+        self.ids, self.many = Assembler(model)(units, cuts)
 
 
 class Decoder:
@@ -299,12 +417,12 @@ class Decoder:
 
     def __init__(self, model: PieceModel) -> None:
         self.prefix = model.prefix
-        self.spelled = [p.encode() for p in model.pieces]
+        self.spelled = [p.replace(MARK, " ").encode() for p in model.pieces]
         for b, i in enumerate(model.bytes_at):
             self.spelled[i] = bytes([b])
 
     def __call__(self, ids: list[int]) -> str:
-        text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
@@ -320,138 +438,65 @@ def decode(rows: DataFrame, model: PieceModel, column: str = "ids") -> DataFrame
     return map_arrow(rows.select("doc_id", column), kernel, f"doc_id {dict(rows.dtypes)['doc_id']}, text string")
 
 
-def codebook(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """unit, n, ids: each distinct unit of the documents, encoded."""
-    spark = docs.sparkSession
-    units, table_ = materialize(distinct_units(docs, model), "units"), piece_table(spark, model)
-    longest = model.longest
-    if model.kind == "bpe":
-        short, size = lattice(units.where(F.char_length("unit") <= LONG_UNIT), table_, longest, 2), F.char_length("unit")
-        edges = F.col("edges")
-        folded = short.withColumn("fold", merge_fold(edges, size)).withColumn("at", F.when(F.col("fold.late"), waiting_fold(edges, size)).otherwise(F.col("fold.at")))
-        folded = folded.select("unit", "n", placed(edges, F.col("at")).alias("pieces"))
-        ranks = Shared(spark, {p: (-s, i) for i, (p, s) in enumerate(zip(model.pieces, model.scores, strict=True)) if p})
-        kernel = lambda c: {"unit": c["unit"], "n": c["n"], "pieces": [merge_long(u, ranks.value, longest) for u in c["unit"]]}
-        folded = folded.unionByName(map_arrow(units.where(F.char_length("unit") > LONG_UNIT), kernel, "unit string, n bigint, pieces array<struct<s:int,e:int,id:int>>"))
-    else:
-        folded = lattice(units, table_, longest).select("unit", "n", viterbi_fold(F.col("edges")).alias("pieces"))
-    return materialize(_with_bytes(folded, model), "codebook")
-
-
-class Encoder:
-    """Piece ids of texts from the codes of their units; what a word gives is kept."""
-
-    def __init__(self, model: PieceModel, index: dict[str, int], start: np.ndarray, flat: np.ndarray) -> None:
-        self.model, self.split = model, UnitSplitter(model.neighbours())
-        self.index, self.start, self.flat = index, start, flat
-        self.clear()
-
-    def clear(self) -> None:
-        # of each word: its ids from at on, their number, and its number of units
-        self.known: dict[str, int] = {}
-        self.words, self.ids, self.used = np.zeros((3, 1024), np.int64), np.zeros(4096, np.int32), 0
-
-    def __call__(self, text: str | None, more: dict[str, np.ndarray]) -> tuple[np.ndarray, int]:
-        """The ids and the number of units; more has the codes of units that don't travel to every task."""
-        if len(self.known) > KEPT_UNITS:
-            self.clear()
-        words, known = self.split.rough.findall(self.model.normal(text)), self.known
-        for word in set(words).difference(known):
-            units = self.split.part(word)
-            codes = [more[u] if (i := self.index.get(u)) is None else self.flat[self.start[i] : self.start[i + 1]] for u in units]
-            ids = codes[0] if len(codes) == 1 else np.concatenate(codes)
-            row, end = len(known), self.used + len(ids)
-            if end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids)), np.int32)])
-            if row == self.words.shape[1]:
-                self.words = np.concatenate([self.words, np.zeros_like(self.words)], 1)
-            self.ids[self.used : end] = ids
-            self.words[:, row] = self.used, len(ids), len(units)
-            known[word], self.used = row, end
-        at, size, n = self.words[:, np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
-        ends = np.cumsum(size)
-        return self.ids[np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], int(n.sum())
-
-
-def _encoded(docs: DataFrame, model: PieceModel, head: int, finish: Callable[[PieceModel, list, list, list], dict[str, pa.Array]], columns: str) -> DataFrame:
-    """doc_id, ids, and the columns that finish makes from each batch's texts, ids and numbers of units.
-
-    Units with the highest counts travel to every task.  Of the others each text asks
-    for those it has, and gets their codes by a join on the text's hash; texts of one
-    hash share what they asked for, so that a collision changes nothing.
-    """
+def _encoded(docs: DataFrame, model: PieceModel, head: int, words: int, finish: Callable[[PieceModel, list, list, np.ndarray], dict[str, pa.Array]], columns: str) -> DataFrame:
+    """doc_id, ids, and the columns that finish makes from documents' digests, ids and numbers of units."""
     spark = docs.sparkSession
-    book = codebook(docs, model)
-    # the least count whose units number head at most; the counts' counts are few
-    least, total = None, 0
-    by_count = book.groupBy("n").count().orderBy(F.desc("n")).limit(head).toArrow().to_pydict()
-    for n, many in zip(by_count["n"], by_count["count"], strict=True):
-        if (total := total + many) > head:
-            break
-        least = n
-    top = book.where(F.col("n") >= least if least is not None else F.lit(False)).select("unit", "ids").toArrow()
-    codes = top["ids"].combine_chunks()
-    start = np.concatenate([[0], np.cumsum(codes.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    index = dict(zip(top["unit"].to_pylist(), range(len(top)), strict=True))
-    shared = Shared(spark, (model, index, start, codes.flatten().to_numpy(zero_copy_only=False).astype(np.int32)))
-    slim = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    kind = dict(slim.dtypes)["doc_id"]
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, index, *_ = shared.value
-        split = UnitSplitter(model.neighbours())
-        clean: set[str] = set()
-        tail: dict[str, list[str]] = {}
+    top = frequent_units(docs, model, head).combine_chunks()
+    known = Shared(spark, Known(model, top["unit"].to_pylist(), top["cut"].combine_chunks()))
+    shared = Shared(spark, model)
+    # both readers of this take all its columns, so that one shuffle serves both
+    moved = blocks(docs, model, known, words).repartition("block")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, units = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if len(clean) + len(tail) > KEPT_UNITS:
-                    clean.clear()
-                    tail.clear()
-                asked: set[str] = set()
-                for word in set(split.rough.findall(model.normal(text))).difference(clean):
-                    if (lost := tail.get(word)) is None:
-                        lost = [u for u in split.part(word) if u not in index]
-                        if not lost:
-                            clean.add(word)
-                            continue
-                        tail[word] = lost
-                    asked.update(lost)
-                keys += [key] * len(asked)
-                units += asked
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(units, pa.string())], ["key", "unit"])
-
-    asked = bounded_batches(slim.select("key", "text").where("text <> ''")).mapInArrow(ask, "key bigint, unit string")
-    rest = book.where(F.col("n") < least) if least is not None else book
-    answers = asked.join(rest.select("unit", "ids"), "unit").groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias("more"))
+            for block, rare in zip(batch.column(0), batch.column(1), strict=True):
+                units = rare.values
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(units), pa.binary()), pa.array(np.arange(len(units)), pa.int32()), units], ["block", "idx", "unit"])
+
+    named = bounded_batches(moved).mapInArrow(name, "block binary, idx int, unit string")
+    cut = folded(edges(named.select("unit").distinct(), piece_table(spark, model), model.longest, model.kind), ["unit"], model.kind)
+    codes = named.join(cut, "unit").groupBy("block").agg(F.collect_list(F.struct("idx", "cut")).alias("cuts"))
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*shared.value)
-        # few rows at a time, as each is held as text, ids and text again
-        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            texts, ids, counts = batch.column(1).to_pylist(), [], []
-            for text, more in zip(texts, batch.column(2), strict=True):
-                codes = {}
-                if more.is_valid:
-                    own = more.values
-                    values, offsets = own.field("ids"), own.field("ids").offsets.to_numpy()
-                    flat = values.values.to_numpy(zero_copy_only=False)
-                    codes = {u: flat[a:b] for u, a, b in zip(own.field("unit").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)}
-                got, n = encoder(text, codes)
-                ids.append(got)
-                counts.append(n)
-            offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            made = finish(encoder.model, texts, ids, counts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())), *made.values()], ["doc_id", "ids", *made])
-
-    joined = slim.join(answers, "key", "left").select("doc_id", "text", "more")
-    return bounded_batches(joined).mapInArrow(run, f"doc_id {kind}, ids array<int>{columns}")
-
-
-def encode(docs: DataFrame, model: PieceModel, head: int = HEAD) -> DataFrame:
+        model, head = shared.value, known.value
+        assemble = Assembler(model)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                yield from give(model, head, assemble, {n: batch.column(i)[at] for i, n in enumerate(batch.schema.names)})
+
+    def give(model: PieceModel, head: Known, assemble: Assembler, row: dict[str, pa.Scalar]) -> Iterator[pa.RecordBatch]:
+        units, cuts = row["rare"].values.to_pylist(), row["cuts"].values
+        found = np.full(len(units), -1, np.int64)
+        if row["cuts"].is_valid:
+            found[cuts.field("idx").to_numpy()] = np.arange(len(cuts))
+            cuts = cuts.field("cut").take(pa.array(found, mask=found < 0))
+        else:
+            cuts = pa.nulls(len(units), pa.int64())
+        flat, many = assemble(units, cuts)
+        flat, many = np.concatenate([head.ids, flat]), np.concatenate([head.many, many])
+        start, places = np.cumsum(many) - many, unpacked(row["places"].as_py())
+        sizes = np.frombuffer(row["sizes"].as_py(), "<i8")
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        doc_ids, digests = row["doc_ids"].values, row["digests"].values.to_pylist()
+        # few documents at a time, as each is held as ids and text
+        for at in range(0, len(sizes), SLICE):
+            end = min(at + SLICE, len(sizes))
+            place = places[stops[at] : stops[end]]
+            size = many[place]
+            ends = np.cumsum(size)
+            ids = flat[np.repeat(start[place] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+            offsets = np.concatenate([[0], ends])[stops[at : end + 1] - stops[at]]
+            made = finish(model, digests[at:end], [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], sizes[at:end])
+            codes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([doc_ids.slice(at, end - at), codes, *made.values()], ["doc_id", "ids", *made])
+
+    return bounded_batches(moved.join(codes, "block", "left")).mapInArrow(run, f"doc_id {kind}, ids array<int>{columns}")
+
+
+def encode(docs: DataFrame, model: PieceModel, head: int = HEAD, words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, ids: the documents' piece ids, in order."""
-    return _encoded(docs, model, head, lambda *_: {}, "")
+    return _encoded(docs, model, head, words, lambda *_: {}, "")
 
 
 def ids_code(ids: np.ndarray, powers: np.ndarray) -> int:
@@ -467,11 +512,13 @@ def powers_to(n: int) -> np.ndarray:
     return out
 
 
-def encode_counts(docs: DataFrame, model: PieceModel, head: int = HEAD) -> DataFrame:
-    """doc_id, ids, decoded (their text), n_units, n_pieces, n_bytes (byte pieces), ids_code (of the ids and their order), restored (whether decoded is the whole text; null counts as empty)."""
+def encode_counts(docs: DataFrame, model: PieceModel, head: int = HEAD, words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, ids, decoded (their text), n_units, n_pieces, n_bytes (byte pieces), ids_code (of the ids and their order), restored (whether decoded is the whole text, by 128 bits of both; null counts as empty)."""
     state: dict = {}
 
-    def finish(model: PieceModel, texts: list, ids: list, counts: list) -> dict[str, pa.Array]:
+    def finish(model: PieceModel, digests: list, ids: list, counts: np.ndarray) -> dict[str, pa.Array]:
+        import xxhash
+
         spell = state.setdefault("d", Decoder(model))
         is_byte = np.zeros(len(model.pieces), np.int64)
         is_byte[list(model.bytes_at)] = 1
@@ -484,10 +531,10 @@ def encode_counts(docs: DataFrame, model: PieceModel, head: int = HEAD) -> DataF
             "n_pieces": pa.array([len(i) for i in ids], pa.int64()),
             "n_bytes": pa.array([int(is_byte[i].sum()) for i in ids], pa.int64()),
             "ids_code": pa.array([ids_code(i, state["powers"]) if len(i) else 0 for i in ids], pa.int64()),
-            "restored": pa.array([d == (t or "") for d, t in zip(decoded, texts, strict=True)], pa.bool_()),
+            "restored": pa.array([xxhash.xxh3_128_digest(d.encode("utf-8", "surrogatepass")) == t for d, t in zip(decoded, digests, strict=True)], pa.bool_()),
         }
 
-    return _encoded(docs, model, head, finish, ", decoded string, n_units bigint, n_pieces bigint, n_bytes bigint, ids_code bigint, restored boolean")
+    return _encoded(docs, model, head, words, finish, ", decoded string, n_units bigint, n_pieces bigint, n_bytes bigint, ids_code bigint, restored boolean")
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
