@@ -124,7 +124,7 @@ class LanguageModel:
 
 def train(rows: DataFrame, most: int = TRAIN_ROWS) -> LanguageModel:
     """Learn from text and lang of the rows, at most about `most` of them."""
-    rows = bounded_sample(rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), "doc_id", most, 11).select("text", "lang")
+    rows = bounded_sample(rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), ["doc_id", "text"], most, 11).select("text", "lang")
 
     def kernel(cols: dict[str, list]) -> dict[str, list]:
         by: dict[str, Counter] = {}
@@ -150,12 +150,15 @@ def train(rows: DataFrame, most: int = TRAIN_ROWS) -> LanguageModel:
 
     # at most languages x buckets rows come to the driver
     got = map_arrow(rows, kernel, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    langs = sorted(set(got["lang"]))
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; at most {MAX_LANGS}")
-    counts = np.zeros((BUCKETS + len(SCRIPTS), max(1, len(langs))))
+    often: Counter = Counter()
+    for lang, n in zip(got["lang"], got["n"], strict=True):
+        often[lang] += n
+    # of too many languages, such as misspelt labels, the most frequent ones are learned
+    langs = sorted(sorted(often, key=lambda x: (-often[x], x))[:MAX_LANGS])
+    counts, place = np.zeros((BUCKETS + len(SCRIPTS), max(1, len(langs)))), {x: i for i, x in enumerate(langs)}
     for lang, bucket, n in zip(got["lang"], got["bucket"], got["n"], strict=True):
-        counts[bucket, langs.index(lang)] = n
+        if lang in place:
+            counts[bucket, place[lang]] = n
     seen, scripts = counts[:BUCKETS], counts[BUCKETS:]
     common = (seen.sum(1) + 0.5) / (seen.sum() + 0.5 * BUCKETS)
     logs = np.log((seen + BACKOFF * common[:, None]) / (seen.sum(0) + BACKOFF))
