@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import Shared, bounded_sample, held_out, map_arrow, table
+from waygraph.llm.common import Shared, training_rows, held_out, map_arrow, table
 from waygraph.llm.quality_rules import SPACE, SYMBOLS, repeated_words
 
 BUCKETS = 1 << 16
@@ -30,6 +30,8 @@ STATS = 9
 RANK = 8
 #: Labelled training rows, chosen by a hash of doc_id; all where there are fewer.
 TRAIN_ROWS = 5_000
+#: And bytes of their texts together, as they come to the driver.
+TRAIN_BYTES = 64_000_000
 EPOCHS = 8
 BATCH = 128
 KEPT_WORDS = 400_000
@@ -129,10 +131,8 @@ def fit(texts: list[str | None], n_chars: list[int | None], labels: list[int], s
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> FactorMachine:
-    """Fit to at most about `most` labelled documents."""
-    chosen = bounded_sample(labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").dropDuplicates(["doc_id"]), "doc_id", most, 6)
-    # the sample's size bounds both the broadcast and what comes to the driver
-    rows = docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]).to_pydict()
+    """Fit to at most about `most` labelled documents of TRAIN_BYTES."""
+    rows = training_rows(docs, labels, "quality", ["text", "n_chars"], most, TRAIN_BYTES, 6)
     return fit(rows["text"], rows["n_chars"], [int(q > 0) for q in rows["quality"]])
 
 

@@ -26,11 +26,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import Shared, bounded_sample, held_out, map_arrow, padded_groups, table
+from waygraph.llm.common import Shared, training_rows, held_out, map_arrow, padded_groups, table
 
 BUCKETS = 1 << 17
 #: Labelled training rows, chosen by a hash of doc_id; all where there are fewer.
 TRAIN_ROWS = 5_000
+#: And bytes of their texts together, as they come to the driver.
+TRAIN_BYTES = 64_000_000
 LEAST_ODDS = 8.0
 LEAST_DOCS = 5
 LEAST_SHARE = 0.03
@@ -111,6 +113,7 @@ def fit(texts: list[str | None], labels: list[int]) -> ToxicChain:
     table_, tagged = np.array(rows, np.int64).reshape(-1, 4), np.array(tags, bool)
     weights, seen_sq = np.zeros(BUCKETS), np.full(BUCKETS, 1e-6)
     moves, moves_sq, start = np.array([[0.0, -4.0], [0.0, -1.0]]), np.full((2, 2), 1e-6), -4.0
+    start_sq = 1e-6
     lengths = np.array([len(x) for x in ids])
     groups = list(padded_groups(lengths, 300_000))
     truth = [tagged[x] & bool(y) for x, y in zip(ids, labels, strict=True)]
@@ -132,6 +135,9 @@ def fit(texts: list[str | None], labels: list[int]) -> ToxicChain:
             grad = grad / scale * len(groups) - 1e-4 * weights
             seen_sq += grad**2
             weights += STEP * grad / np.sqrt(seen_sq) * (seen_sq > 1e-5)
+            first = (gold[0] - m[0]).sum() / max(1, len(group))
+            start_sq += first**2
+            start += 0.1 * first / np.sqrt(start_sq)
             pairs = alive[1:]
             p1, p0 = m[:-1][pairs], m[1:][pairs]
             g1, g0 = gold[:-1][pairs], gold[1:][pairs]
@@ -176,10 +182,8 @@ def document_pools(ids: list[np.ndarray], odds: np.ndarray, chain: ToxicChain, h
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> ToxicChain:
-    """Fit to at most about `most` labelled documents."""
-    chosen = bounded_sample(labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").dropDuplicates(["doc_id"]), "doc_id", most, 5)
-    # the sample's size bounds both the broadcast and what comes to the driver
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]).to_pydict()
+    """Fit to at most about `most` labelled documents of TRAIN_BYTES."""
+    rows = training_rows(docs, labels, "toxic", ["text"], most, TRAIN_BYTES, 5)
     return fit(rows["text"], [int(y > 0) for y in rows["toxic"]])
 
 
