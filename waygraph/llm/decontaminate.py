@@ -10,8 +10,9 @@ diagonal and the longest stretch of enough identity is found, up to the whole it
 it is a leak if it has enough tokens.
 
 Defined results: null and empty texts and items never leak; items of under
-LEAST_TOKENS tokens are too short to prove a leak; repeated rows leak each for
-itself; empty tables give an empty result; other columns aren't read.
+LEAST_TOKENS tokens are too short to prove a leak; repeated rows, and rows of one or
+no id, leak each for its own text; items of one or no id are searched each by its
+own text; empty tables give an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import Shared, bounded_batches, map_arrow, materialize, table
+from waygraph.llm.common import Shared, bounded_batches, map_arrow, materialize, set_aside, table
 from waygraph.llm.licenses import words_of
 
 #: Masks of weight 6; a passage of 13 tokens with one substitution, or 16 with two apart, keeps a hit.
@@ -64,21 +65,27 @@ def window_hashes(codes: np.ndarray, masks: tuple[str, ...] = MASKS) -> Iterator
         yield h.view(np.int64)
 
 
-def benchmark_windows(bench: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """hash, item_id, item_pos."""
+def benchmark_items(bench: DataFrame) -> DataFrame:
+    """item (a number of its own for each id and text), item_id, text, n: its tokens."""
+    rows = bench.select("item_id", "text").where("text is not null").dropDuplicates()
+    kernel = lambda c: c | {"n": [len(words_of(t)) for t in c["text"]]}
+    return map_arrow(rows, kernel, f"item_id {dict(rows.dtypes)['item_id']}, text string, n int").withColumn("item", F.monotonically_increasing_id())
+
+
+def benchmark_windows(items: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
+    """hash, item, item_pos."""
 
     def kernel(cols: dict[str, list]) -> dict[str, list]:
         known: dict = {}
-        out: dict[str, list] = {"hash": [], "item_id": [], "item_pos": []}
-        for item, text in zip(cols["item_id"], cols["text"], strict=True):
+        out: dict[str, list] = {"hash": [], "item": [], "item_pos": []}
+        for item, text in zip(cols["item"], cols["text"], strict=True):
             for h in window_hashes(token_codes(words_of(text), known), masks):
                 out["hash"] += h.tolist()
-                out["item_id"] += [item] * len(h)
+                out["item"] += [item] * len(h)
                 out["item_pos"] += range(len(h))
         return out
 
-    slim = bench.select("item_id", "text").where("item_id is not null and text is not null")
-    return map_arrow(slim, kernel, f"hash bigint, item_id {dict(slim.dtypes)['item_id']}, item_pos int")
+    return map_arrow(items.select("item", "text"), kernel, "hash bigint, item bigint, item_pos int")
 
 
 def bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
@@ -141,40 +148,64 @@ def best_stretch(doc: list[bytes], item: list[bytes], diagonal: int, identity: f
     return lo + int(starts[at]), size, int(own[at])
 
 
-def find_leaks(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...] = MASKS, least: int = LEAST_TOKENS, identity: float = LEAST_IDENTITY) -> DataFrame:
-    """doc_id, item_id, doc_pos, item_pos, n_tokens, n_match: the longest verified overlap of each document and item."""
-    windows = materialize(benchmark_windows(bench, masks), "windows")
-    found = candidates(docs, bitmap(windows), masks).withColumn("row", F.monotonically_increasing_id())
-    found = materialize(found, "candidates")
+def _leaks(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...], least: int, identity: float) -> DataFrame:
+    """What find_leaks gives, and text_hash of the document's text.
+
+    Hits are reduced to pairs of row and diagonal before any text is joined; a
+    document's text moves once, and gives for each diagonal the tokens that lie
+    over the item.
+    """
+    items = materialize(benchmark_items(bench), "items")
+    windows = materialize(benchmark_windows(items, masks), "windows")
+    found = materialize(candidates(docs, bitmap(windows), masks).withColumn("row", F.monotonically_increasing_id()), "candidates")
     hits = found.select("row", F.explode("hits").alias("h")).select("row", F.col("h.hash").alias("hash"), F.col("h.pos").alias("pos"))
-    pairs = hits.join(windows, "hash").select("row", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
-    items = bench.select("item_id", F.col("text").alias("item_text")).dropDuplicates(["item_id"])
-    both = pairs.join(items, "item_id").join(found.select("row", "doc_id", "text"), "row")
-    kinds = dict(both.dtypes)
+    pairs = hits.join(windows, "hash").select("row", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
+    asked = pairs.join(items.select("item", "n"), "item").groupBy("row").agg(F.collect_list(F.struct("item", "diagonal", "n")).alias("asked"))
+    whole = found.select("row", "doc_id", F.xxhash64("text").alias("text_hash"), "text").join(asked, "row")
+    doc_kind, item_kind = dict(docs.dtypes)["doc_id"], dict(bench.dtypes)["item_id"]
+
+    def lay(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {k: [] for k in ("row", "doc_id", "text_hash", "item", "diagonal", "first", "part")}
+        for row, doc_id, text_hash, text, own in zip(cols["row"], cols["doc_id"], cols["text_hash"], cols["text"], cols["asked"], strict=True):
+            words = words_of(text)
+            for x in own:
+                lo = max(0, x["diagonal"])
+                part = b" ".join(words[lo : max(lo, x["diagonal"] + x["n"])]).decode("utf-8", "surrogatepass")
+                for k, v in zip(out, (row, doc_id, text_hash, x["item"], x["diagonal"], lo, part), strict=True):
+                    out[k].append(v)
+        return out
 
-    def kernel(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("row", "doc_id", "item_id", "doc_pos", "item_pos", "n_tokens", "n_match")}
-        last, doc, items = None, [], {}
-        for row, doc_id, item_id, diagonal, text, item in zip(cols["row"], cols["doc_id"], cols["item_id"], cols["diagonal"], cols["text"], cols["item_text"], strict=True):
-            if row != last:
-                last, doc = row, words_of(text)
-            if item_id not in items:
-                items[item_id] = words_of(item)
-            at, n, same = best_stretch(doc, items[item_id], diagonal, identity)
+    laid = map_arrow(whole, lay, f"row bigint, doc_id {doc_kind}, text_hash bigint, item bigint, diagonal int, first int, part string")
+    both = laid.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
+
+    def verify(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {k: [] for k in ("row", "doc_id", "text_hash", "item_id", "doc_pos", "item_pos", "n_tokens", "n_match")}
+        known: dict[int, list[bytes]] = {}
+        for row, doc_id, text_hash, number, item_id, diagonal, first, part, text in zip(*(cols[c] for c in ("row", "doc_id", "text_hash", "item", "item_id", "diagonal", "first", "part", "item_text")), strict=True):
+            if number not in known:
+                known[number] = words_of(text)
+            at, n, same = best_stretch(words_of(part), known[number], diagonal - first, identity)
             if n >= least:
-                for k, v in zip(out, (row, doc_id, item_id, at, at - diagonal, n, same), strict=True):
+                for k, v in zip(out, (row, doc_id, text_hash, item_id, first + at, first + at - diagonal, n, same), strict=True):
                     out[k].append(v)
         return out
 
-    leaks = map_arrow(both.select("row", "doc_id", "item_id", "diagonal", "text", "item_text"), kernel, f"row bigint, doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, doc_pos int, item_pos int, n_tokens int, n_match int")
-    best = leaks.groupBy("row", "doc_id", "item_id").agg(F.max_by(F.struct("doc_pos", "item_pos", "n_tokens", "n_match"), F.struct("n_match", -F.col("doc_pos"), -F.col("item_pos"))).alias("b"))
-    return best.select("doc_id", "item_id", "b.doc_pos", "b.item_pos", "b.n_tokens", "b.n_match")
+    leaks = map_arrow(both, verify, f"row bigint, doc_id {doc_kind}, text_hash bigint, item_id {item_kind}, doc_pos int, item_pos int, n_tokens int, n_match int")
+    best = leaks.groupBy("row", "doc_id", "text_hash", "item_id").agg(F.max_by(F.struct("doc_pos", "item_pos", "n_tokens", "n_match"), F.struct("n_match", -F.col("doc_pos"), -F.col("item_pos"))).alias("b"))
+    return best.select("doc_id", "text_hash", "item_id", "b.doc_pos", "b.item_pos", "b.n_tokens", "b.n_match")
+
+
+def find_leaks(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...] = MASKS, least: int = LEAST_TOKENS, identity: float = LEAST_IDENTITY) -> DataFrame:
+    """doc_id, item_id, doc_pos, item_pos, n_tokens, n_match: the longest verified overlap of each document's row and item."""
+    return _leaks(docs, bench, masks, least, identity).drop("text_hash")
 
 
 def drop_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The documents without leaks, with their own columns; a null doc_id leaks where any row without id does."""
-    leaks = find_leaks(docs, bench).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("__leaked")), "left_anti")
+    """The documents without leaks, with their own columns; rows of one id leak each for its own text."""
+    leaks = _leaks(docs, bench, MASKS, LEAST_TOKENS, LEAST_IDENTITY).select("doc_id", "text_hash").distinct()
+    named, back = set_aside(docs)
+    same = named[back["doc_id"]].eqNullSafe(leaks["doc_id"]) & (F.xxhash64(named[back["text"]]) == leaks["text_hash"])
+    return named.join(leaks, same, "left_anti").select(*(F.col(n).alias(c) for c, n in back.items()))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
