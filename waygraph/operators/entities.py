@@ -14,7 +14,8 @@ KEYS = ("scenario_token", "frame_index", "timestamp_us", "track_token")
 
 
 def entity_id(scenario: Column, track: Column, time_us: Column, is_ego: Column) -> Column:
-    return F.when(is_ego, F.concat_ws(":", F.lit("ego"), scenario, time_us.cast("string"))).otherwise(F.concat_ws(":", F.lit("agent"), track, time_us.cast("string")))
+    """Name of a state; the scenario is in it, as tracks of several scenarios may have one token."""
+    return F.when(is_ego, F.concat_ws(":", F.lit("ego"), scenario, time_us.cast("string"))).otherwise(F.concat_ws(":", F.lit("agent"), scenario, track, time_us.cast("string")))
 
 
 def ego_velocity(entities: DataFrame, body_vx: str = "body_vx", body_vy: str = "body_vy", omega: str | None = None, rear_to_center: str | None = None) -> DataFrame:

@@ -11,33 +11,51 @@ from waygraph.config import T, Thresholds
 from waygraph.functions.angles import wrap
 from waygraph.functions.classifiers import is_vehicle
 from waygraph.operators.entities import KEYS
+from waygraph.plans.shared import cut
 
 UNKNOWN = "?"
-#: Costs of a lane for a frame and of passing between lanes.
-COST = {"base": 3.4, "score": 1.25, "overlap": 1.2, "center": 1.15, "primary": 1.0, "ambiguous": 0.2, "absent": 5.0, "absent_alone": 2.7, "unknown": 3.4, "unknown_alone": 0.8, "stay": 0.05, "to_unknown": 1.2, "far": 50.0, "change": 2.75, "least_change": 0.2}
-
-
-def corridors(map_objects: DataFrame, edges: DataFrame) -> DataFrame:
-    """map_name, object_id, corridor: the least id among lanes that edges join; one group per map, which bounds it."""
-    lanes = map_objects.where(F.col("kind").isin("lane", "lane_connector")).select("map_name", F.col("object_id").alias("a"), F.col("object_id").alias("b"))
-    links = lanes.unionByName(edges.select("map_name", F.col("src_id").alias("a"), F.col("dst_id").alias("b")))
-
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        up: dict[str, str] = {}
-
-        def root(x: str) -> str:
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
+#: Costs of a lane for a frame and of passing between lanes, and the score of a change.
+COST = {
+    "base": 3.4, "score": 1.25, "overlap": 1.2, "center": 1.15, "primary": 1.0, "ambiguous": 0.2, "absent": 5.0, "absent_alone": 2.7, "unknown": 3.4, "unknown_alone": 0.8,
+    "stay": 0.05, "to_unknown": 1.2, "far": 50.0, "change": 2.75, "least_change": 0.2, "gain": 1.25, "most_gain": 1.0, "least_gain": -0.5,
+    "drift": 0.8, "drift_from": 0.15, "most_drift": 1.25, "most_counter_drift": 2.0, "arrived_primary": 1.0, "arrived_center": 0.75, "gap_frame": 0.15, "most_gap": 1.0,
+}
+#: Lanes without a stated neighbour count as adjacent where their baselines run so near each other, beside the vehicle.
+BESIDE = {"heading": 0.6, "least": 1.25, "most": 6.5, "side": 0.25}
+
+
+def reachable(edges: DataFrame, hops: int = T.lane_change_hops) -> DataFrame:
+    """map_name, src, dst: what can be reached forward by 1 to hops edges; as many joins as hops over distinct rows."""
+    step = edges.select("map_name", F.col("src_id").alias("src"), F.col("dst_id").alias("dst")).distinct()
+    level = out = step
+    for _ in range(hops - 1):
+        onward = step.select(F.col("map_name").alias("m"), F.col("src").alias("via"), F.col("dst").alias("next"))
+        level = level.join(onward, (level["map_name"] == onward["m"]) & (level["dst"] == onward["via"])).select("map_name", "src", F.col("next").alias("dst")).distinct()
+        out = out.unionByName(level)
+    return out.distinct()
+
+
+def chains(follower: dict[str, str | None]) -> dict[str, str]:
+    """Corridor of each lane that a track has met, in the order that it met them.
+
+    follower names a lane's successor where it is the single one.  Only such a lane
+    goes with its successor: the ways of a branch stay apart, so that changes
+    between parallel connectors can be seen.
+    """
+    up = {lane: lane for lane in follower}
+    order = {lane: i for i, lane in enumerate(follower)}
 
-        for a, b in zip(rows["a"], rows["b"], strict=True):
-            a, b = root(a), root(b)
-            up[max(a, b)] = min(a, b)
-        ids = sorted(set(rows["a"]) | set(rows["b"]))
-        return pd.DataFrame({"map_name": rows["map_name"].iloc[0], "object_id": ids, "corridor": [root(i) for i in ids]})
+    def root(x: str) -> str:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-    return links.groupBy("map_name").applyInPandas(join, "map_name string, object_id string, corridor string")
+    for lane, successor in follower.items():
+        if successor in up:
+            a, b = sorted((root(lane), root(successor)), key=order.__getitem__)
+            up[b] = a
+    return {lane: root(lane) for lane in follower}
 
 
 def decode(emission: np.ndarray, change: np.ndarray) -> np.ndarray:
@@ -68,26 +86,29 @@ def smooth(path: list[str], most_unknown: int = T.lane_change_unknown_gap) -> li
     return out
 
 
-def lane_changes(entities: DataFrame, found: DataFrame, chosen: DataFrame, scenarios: DataFrame, lanes: DataFrame, adjacency: DataFrame, t: Thresholds = T) -> DataFrame:
+def lane_changes(entities: DataFrame, found: DataFrame, chosen: DataFrame, scenarios: DataFrame, edges: DataFrame, adjacency: DataFrame, t: Thresholds = T) -> DataFrame:
     """One event per lane change: track, lanes, side, onset and completion frames, score, whether its ends were seen.
 
     A track's candidates are one pandas group: Viterbi over corridors, smoothing,
     runs, then onset and completion about each step between adjacent corridors.
     """
     maps = scenarios.select("scenario_token", "map_name")
-    cand = found.join(maps, "scenario_token").join(lanes, ["map_name", "object_id"])
-    beside = adjacency.select("map_name", "object_id", F.col("adjacent_id"), "side").join(lanes.select("map_name", F.col("object_id").alias("adjacent_id"), F.col("corridor").alias("next_corridor")), ["map_name", "adjacent_id"])
-    sides = beside.groupBy("map_name", "object_id").agg(F.collect_set(F.struct("side", "next_corridor")).alias("beside"))
+    single = edges.groupBy("map_name", F.col("src_id").alias("object_id")).agg(F.collect_set("dst_id").alias("ways")).where(F.size("ways") == 1).select("map_name", "object_id", F.get("ways", F.lit(0)).alias("follower"))
+    ahead = reachable(edges, t.lane_change_hops).groupBy("map_name", F.col("src").alias("object_id")).agg(F.collect_set("dst").alias("ahead"))
+    sides = adjacency.groupBy("map_name", "object_id").agg(F.collect_set(F.struct("side", "adjacent_id")).alias("beside"))
+    cand = found.join(maps, "scenario_token").join(single, ["map_name", "object_id"], "left").join(ahead, ["map_name", "object_id"], "left")
     cand = cand.join(sides, ["map_name", "object_id"], "left").join(chosen.select("scenario_token", "frame_index", "track_token", "primary_id", F.col("ambiguous").alias("unsure")), ["scenario_token", "frame_index", "track_token"], "left")
     own = entities.where(is_vehicle(F.col("agent_type"))).select(*KEYS, "speed")
-    rows = own.join(cand.select("scenario_token", "frame_index", "track_token", "object_id", "corridor", "beside", "center_covered", "overlap_ratio", "lateral_offset", (F.col("object_id") == F.col("primary_id")).alias("is_primary"), "unsure"), ["scenario_token", "frame_index", "track_token"], "left")
+    rows = own.join(cand.select("scenario_token", "frame_index", "track_token", "object_id", "follower", "ahead", "beside", "center_covered", "overlap_ratio", "lateral_offset", F.col("map_heading").alias("lane_heading"), (F.col("object_id") == F.col("primary_id")).alias("is_primary"), "unsure"), ["scenario_token", "frame_index", "track_token"], "left")
     schema = "scenario_token string, track_token string, source_lane string, target_lane string, source_corridor string, target_corridor string, side string, onset_frame int, boundary_frame int, completion_frame int, score double, stable boolean, seen_before boolean"
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         names = [c.split()[0] for c in schema.split(", ")]
         frames = sorted(df["frame_index"].unique())
-        known = df.dropna(subset=["corridor"])
+        known = df.dropna(subset=["object_id"]).sort_values(["frame_index", "object_id"])
+        corridor = chains({row.object_id: row.follower for row in known.itertuples()})
+        known = known.assign(corridor=known["object_id"].map(corridor))
         states = [*sorted(known["corridor"].unique()), UNKNOWN]
         if len(frames) < 2 or len(states) < 3:
             return pd.DataFrame(out, columns=names)
@@ -110,10 +131,19 @@ def lane_changes(entities: DataFrame, found: DataFrame, chosen: DataFrame, scena
                 cost = COST["base"] - COST["score"] * max(0.0, worth) - COST["overlap"] * row.overlap_ratio - COST["center"] * row.center_covered - COST["primary"] * bool(row.is_primary) + COST["ambiguous"] * (row.unsure is True)
                 emission[i, s] = max(0.0, cost)
         side: dict[tuple[int, int], str] = {}
+        # neighbours as the vehicle sees them where it is on both lanes, then those that the map states
+        for _, beside in known.groupby("frame_index"):
+            each = list(beside.itertuples())
+            for a in each:
+                for b in each:
+                    apart, turn = a.lateral_offset - b.lateral_offset, abs((a.lane_heading - b.lane_heading + np.pi) % (2 * np.pi) - np.pi)
+                    ways = [x for r in (a, b) for x in (r.ahead if r.ahead is not None else ())]
+                    if a.corridor != b.corridor and a.object_id not in ways and b.object_id not in ways and turn <= BESIDE["heading"] and max(BESIDE["least"], BESIDE["side"]) <= abs(apart) <= BESIDE["most"]:
+                        side[number[a.corridor], number[b.corridor]] = "left" if apart > 0 else "right"
         for row in known.itertuples():
             for b in row.beside if row.beside is not None else ():
-                if b["next_corridor"] in number and b["next_corridor"] != row.corridor:
-                    side[number[row.corridor], number[b["next_corridor"]]] = b["side"]
+                if corridor.get(b["adjacent_id"], row.corridor) != row.corridor:
+                    side[number[row.corridor], number[corridor[b["adjacent_id"]]]] = b["side"]
         ratio = lambda i, s: best[i, s].overlap_ratio if (i, s) in best else 0.0
         change = np.full((len(frames), len(states), len(states)), COST["far"])
         change[:, -1, :] = change[:, :, -1] = COST["to_unknown"]
@@ -122,12 +152,13 @@ def lane_changes(entities: DataFrame, found: DataFrame, chosen: DataFrame, scena
         for (a, b), way in side.items():
             for i in range(1, len(frames)):
                 gain = ratio(i, b) - ratio(i - 1, b) + ratio(i - 1, a) - ratio(i, a)
-                cost = COST["change"] - 1.25 * min(1.0, max(-0.5, gain))
+                cost = COST["change"] - COST["gain"] * min(COST["most_gain"], max(COST["least_gain"], gain))
                 if (i, a) in best and (i - 1, a) in best:
                     drift = (best[i, a].lateral_offset - best[i - 1, a].lateral_offset) * (1 if way == "left" else -1)
-                    cost += -min(1.25, 0.8 * drift) if drift > 0.15 else min(2.0, -drift) if drift < -0.15 else 0.0
+                    cost += -min(COST["most_drift"], COST["drift"] * drift) if drift > COST["drift_from"] else min(COST["most_counter_drift"], -drift) if drift < -COST["drift_from"] else 0.0
                 if (i, b) in best:
-                    cost -= COST["primary"] * bool(best[i, b].is_primary) + 0.75 * best[i, b].center_covered
+                    cost -= COST["arrived_primary"] * bool(best[i, b].is_primary) + COST["arrived_center"] * best[i, b].center_covered
+                cost += min(COST["most_gap"], COST["gap_frame"] * (frames[i] - frames[i - 1] - 1))
                 change[i, a, b] = max(COST["least_change"], cost)
         path = smooth([states[s] for s in decode(emission, change)], t.lane_change_unknown_gap)
         cuts = [0, *(i for i in range(1, len(path)) if path[i] != path[i - 1]), len(path)]
@@ -164,61 +195,71 @@ def lane_change_facts(events: DataFrame, entities: DataFrame, least_score: float
     return both.select(*KEYS, F.lit("changesLane").alias("predicate"), "source_lane", "target_lane", "side", "onset_frame", "completion_frame")
 
 
-def merges(events: DataFrame, matched: DataFrame, scenarios: DataFrame, lanes: DataFrame, t: Thresholds = T) -> DataFrame:
-    """mergesInFrontOf and mergesBehind: after a completed lane change, the nearest vehicle of the target corridor on either side.
+def merges(events: DataFrame, matched: DataFrame, scenarios: DataFrame, paths: DataFrame, t: Thresholds = T) -> DataFrame:
+    """mergesInFrontOf and mergesBehind: after a completed lane change, the nearest vehicle on the target's path on either side.
 
-    It was in the corridor before the boundary, keeps its order for the frames asked
-    after completion, and is within the gap, and the headway where it trails.
+    paths are unbranched ones.  The other vehicle was on the path before the boundary,
+    keeps its order for the frames asked after completion, and is within the gap along
+    the path, and the headway where it trails.
     """
     maps = scenarios.select("scenario_token", "map_name")
-    own = matched.where(is_vehicle(F.col("agent_type")) & F.col("primary_id").isNotNull()).join(maps, "scenario_token").join(lanes.select("map_name", F.col("object_id").alias("primary_id"), "corridor"), ["map_name", "primary_id"])
-    own = own.select(*KEYS, "corridor", "x", "y", "speed", "length_m", "map_heading")
-    s = events.where("stable").join(own.select("scenario_token", "track_token", "frame_index", "timestamp_us", *(F.col(c).alias(f"s_{c}") for c in ("x", "y", "speed", "length_m", "map_heading"))), ["scenario_token", "track_token"])
+    # places of lanes before and behind the target lane, by their starts
+    onward = paths.select("map_name", F.col("src").alias("target_lane"), F.col("dst").alias("primary_id"), F.col("offset").alias("start"))
+    back = paths.where("src <> dst").select("map_name", F.col("dst").alias("target_lane"), F.col("src").alias("primary_id"), (-F.col("offset")).alias("start"))
+    axis = onward.unionByName(back).groupBy("map_name", "target_lane", "primary_id").agg(F.min_by("start", F.abs("start")).alias("start"))
+    own = matched.where(is_vehicle(F.col("agent_type")) & F.col("primary_id").isNotNull()).join(maps, "scenario_token").select("map_name", *KEYS, "primary_id", "progress", "speed", "length_m")
     bound = matched.select("scenario_token", "track_token", F.col("frame_index").alias("boundary_frame"), F.col("timestamp_us").alias("boundary_us"))
-    s = s.join(bound, ["scenario_token", "track_token", "boundary_frame"])
-    o = own.select("scenario_token", "frame_index", F.col("track_token").alias("o_track"), F.col("corridor").alias("target_corridor"), *(F.col(c).alias(f"o_{c}") for c in ("x", "y", "speed", "length_m")))
-    both = s.join(o, ["scenario_token", "frame_index", "target_corridor"]).where("track_token != o_track")
-    ahead = F.cos("s_map_heading") * (F.col("o_x") - F.col("s_x")) + F.sin("s_map_heading") * (F.col("o_y") - F.col("s_y"))
-    both = both.withColumn("ahead", ahead).withColumn("gap", F.abs("ahead") - (F.col("s_length_m") + F.col("o_length_m")) / 2)
-    key = ["scenario_token", "track_token", "o_track", "boundary_frame", "completion_frame"]
-    since = (F.col("timestamp_us") - F.col("boundary_us")) / 1e6
-    there = both.where((since < 0) & (since >= -t.merge_preexistence_s)).groupBy(*key).agg(F.count(F.lit(1)).alias("n_before"))
-    done = both.where((F.col("frame_index") >= F.col("completion_frame")) & (F.col("frame_index") < F.col("completion_frame") + t.merge_stable_frames) & (since <= t.merge_confirmation_s + t.sample_interval_s * 8))
-    after = done.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("ahead").alias("lo"), F.max("ahead").alias("hi"), F.min_by("gap", "frame_index").alias("gap"), F.min_by("s_speed", "frame_index").alias("s_v"), F.min_by("o_speed", "frame_index").alias("o_v"))
+    done = events.where("stable").join(bound, ["scenario_token", "track_token", "boundary_frame"]).join(maps, "scenario_token").select("map_name", "scenario_token", "track_token", "target_lane", "boundary_frame", "completion_frame", "boundary_us")
+    near = own.join(done.withColumnRenamed("track_token", "s_track"), ["map_name", "scenario_token"]).withColumn("since", (F.col("timestamp_us") - F.col("boundary_us")) / 1e6)
+    near = near.where((F.col("since") >= -t.merge_preexistence_s) & (F.col("since") <= t.merge_confirmation_s + t.sample_interval_s * 8)).join(axis, ["map_name", "target_lane", "primary_id"]).withColumn("place", F.col("start") + F.col("progress"))
+    key = ["scenario_token", "s_track", "boundary_frame", "completion_frame"]
+    s = near.where("track_token = s_track").select(*key, "frame_index", "since", *(F.col(c).alias(f"s_{c}") for c in ("place", "speed", "length_m")))
+    o = near.where("track_token <> s_track").withColumnRenamed("track_token", "o_track")
+    there = o.where("since < 0").select(*key, "o_track").distinct()
+    both = s.where((F.col("frame_index") >= F.col("completion_frame")) & (F.col("frame_index") < F.col("completion_frame") + t.merge_stable_frames)).join(o.select(*key, "o_track", "frame_index", *(F.col(c).alias(f"o_{c}") for c in ("place", "speed", "length_m"))), [*key, "frame_index"])
+    both = both.withColumn("ahead", F.col("o_place") - F.col("s_place")).withColumn("gap", F.abs("ahead") - (F.col("s_length_m") + F.col("o_length_m")) / 2)
+    after = both.groupBy(*key, "o_track").agg(F.count(F.lit(1)).alias("n"), F.min("ahead").alias("lo"), F.max("ahead").alias("hi"), F.min_by("gap", "frame_index").alias("gap"), F.min_by("s_speed", "frame_index").alias("s_v"), F.min_by("o_speed", "frame_index").alias("o_v"))
     after = after.where((F.col("n") >= t.merge_stable_frames) & ((F.col("lo") > 0) | (F.col("hi") < 0)) & F.col("gap").between(0, t.merge_gap))
     behind = F.col("lo") > 0
     trailing = F.when(behind, F.col("s_v")).otherwise(F.col("o_v"))
-    after = after.where((trailing <= t.forward_speed) | (F.col("gap") / trailing <= t.merge_headway_s)).join(there, key)
-    nearest = Window.partitionBy("scenario_token", "track_token", "boundary_frame", behind).orderBy("gap", "o_track")
-    return after.withColumn("rank", F.row_number().over(nearest)).where("rank = 1").select(F.when(behind, "mergesBehind").otherwise("mergesInFrontOf").alias("predicate"), "scenario_token", "track_token", "o_track", "boundary_frame", "completion_frame", "gap")
+    after = after.where((trailing <= t.forward_speed) | (F.col("gap") / trailing <= t.merge_headway_s)).join(there, [*key, "o_track"], "left_semi")
+    nearest = Window.partitionBy("scenario_token", "s_track", "boundary_frame", behind).orderBy("gap", "o_track")
+    first = after.withColumn("rank", F.row_number().over(nearest)).where("rank = 1")
+    return first.select(F.when(behind, "mergesBehind").otherwise("mergesInFrontOf").alias("predicate"), "scenario_token", F.col("s_track").alias("track_token"), "o_track", "boundary_frame", "completion_frame", "gap")
 
 
-def overtakes(pairs: DataFrame, corridor_of: DataFrame, scenarios: DataFrame, adjacency: DataFrame, t: Thresholds = T) -> DataFrame:
+def overtakes(pairs: DataFrame, ahead: DataFrame, scenarios: DataFrame, adjacency: DataFrame, t: Thresholds = T) -> DataFrame:
     """One row per overtake: start, departure, side by side, reversal, clearance, return and completion frames.
 
-    SQL first keeps ordered pairs of vehicles that come close, change order from
-    behind to ahead and have been in different corridors; only those are scanned.
+    pairs: ordered pairs of vehicles within reach, with their primary lanes.  Lanes
+    that lead into each other are one way; a lane is beside another way if it leads
+    to, or comes from, a neighbour of it.  SQL first keeps pairs that change order and
+    have been beside each other; only those are scanned.  Completions of one pair close
+    in time are one overtake, the one of the largest clearance.
     """
     maps = scenarios.select("scenario_token", "map_name")
-    lane = lambda p: corridor_of.select("map_name", F.col("object_id").alias(f"{p}_primary_id"), F.col("corridor").alias(f"{p}_corridor"))
-    near = adjacency.join(corridor_of, ["map_name", "object_id"]).join(corridor_of.select("map_name", F.col("object_id").alias("adjacent_id"), F.col("corridor").alias("other")), ["map_name", "adjacent_id"])
-    near = near.select("map_name", F.col("corridor").alias("o_corridor"), F.col("other").alias("s_corridor"), F.col("side").alias("passing_side")).distinct()
-    cars = is_vehicle(F.col("s_agent_type")) & is_vehicle(F.col("o_agent_type")) & (F.col("center_distance") <= t.overtake_radius)
-    own = pairs.where(cars).join(maps, "scenario_token").join(lane("s"), ["map_name", "s_primary_id"], "left").join(lane("o"), ["map_name", "o_primary_id"], "left").join(near, ["map_name", "o_corridor", "s_corridor"], "left")
-    own = own.select("scenario_token", "s_track", "o_track", "frame_index", "timestamp_us", "s_corridor", "o_corridor", "passing_side", "longitudinal", "lateral", "heading_difference", (F.col("s_length_m") / 2 + F.col("o_length_m") / 2).alias("half"), "forward_speed", F.hypot("o_vx", "o_vy").alias("o_v"))
+    lanes = adjacency.select("map_name", F.col("object_id").alias("src"))
+    same = ahead.select("map_name", "src", "dst").unionByName(ahead.select("map_name", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    same = same.unionByName(same.select("map_name", "src", F.col("src").alias("dst"))).unionByName(lanes.select("map_name", "src", F.col("src").alias("dst"))).distinct()
+    way = same.select("map_name", F.col("src").alias("o_primary_id"), F.col("dst").alias("s_primary_id"), F.lit(True).alias("one_way"))
+    near = adjacency.select("map_name", F.col("object_id").alias("o_primary_id"), F.col("adjacent_id").alias("src"), "side").join(same, ["map_name", "src"])
+    near = near.groupBy("map_name", "o_primary_id", F.col("dst").alias("s_primary_id")).agg(F.min("side").alias("passing_side")).join(way, ["map_name", "o_primary_id", "s_primary_id"], "left_anti")
+    own = pairs.join(maps, "scenario_token").join(way, ["map_name", "o_primary_id", "s_primary_id"], "left").join(near, ["map_name", "o_primary_id", "s_primary_id"], "left")
+    one = F.coalesce(F.col("one_way") | (F.col("s_primary_id") == F.col("o_primary_id")), F.col("s_primary_id") == F.col("o_primary_id"), F.lit(False))
+    own = own.select("scenario_token", "s_track", "o_track", "frame_index", "timestamp_us", one.alias("same"), "passing_side", "longitudinal", "lateral", "heading_difference", (F.col("s_length_m") / 2 + F.col("o_length_m") / 2).alias("half"), "forward_speed", F.hypot("o_vx", "o_vy").alias("o_v"))
+    own = cut(own)
     key = ["scenario_token", "s_track", "o_track"]
-    keep = own.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("longitudinal").alias("hi"), F.min("longitudinal").alias("lo"), F.max((F.col("s_corridor") != F.col("o_corridor")).cast("int")).alias("apart"))
-    keep = keep.where((F.col("n") >= t.overtake_common_frames) & (F.col("hi") > 0) & (F.col("lo") < 0) & (F.col("apart") == 1)).select(*key)
+    keep = own.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("longitudinal").alias("hi"), F.min("longitudinal").alias("lo"), F.count("passing_side").alias("apart"))
+    keep = keep.where((F.col("n") >= t.overtake_common_frames) & (F.col("hi") > 0) & (F.col("lo") < 0) & (F.col("apart") > 0)).select(*key)
     schema = "scenario_token string, s_track string, o_track string, start_frame int, departure_frame int, side_frame int, reversal_frame int, clearance_frame int, return_frame int, completion_frame int, passing_side string, duration_s double"
 
     def scan(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("frame_index").reset_index(drop=True)
-        n, out = len(df), []
+        n, found = len(df), []
         ahead = -df["longitudinal"].to_numpy()  # of the subject, as the object sees it
         side, half, time = np.abs(df["lateral"].to_numpy()), df["half"].to_numpy(), df["timestamp_us"].to_numpy()
         gap = np.abs(ahead) - half
-        same = (df["s_corridor"] == df["o_corridor"]).to_numpy()
-        beside = df["passing_side"].notna().to_numpy()
+        same, beside = df["same"].to_numpy(), df["passing_side"].notna().to_numpy()
         flow = df["heading_difference"].to_numpy() <= t.overtake_same_flow
         faster = df["forward_speed"].to_numpy() - df["o_v"].to_numpy()
         fit = (df["forward_speed"].to_numpy() >= t.overtake_subject_speed) & (df["o_v"].to_numpy() >= t.overtake_object_speed)
@@ -236,23 +277,33 @@ def overtakes(pairs: DataFrame, corridor_of: DataFrame, scenarios: DataFrame, ad
                 if not done:
                     break
                 continue
-            f = df["frame_index"]
-            out.append((df["scenario_token"][0], df["s_track"][0], df["o_track"][0], f[start], f[leave], f[level], f[turn], f[clear], f[back], f[done], df["passing_side"][leave], (time[done] - time[start]) / 1e6))
+            found.append((start, leave, level, turn, clear, back, done))
             at = done + 1
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+        out: list[tuple] = []
+        for each in found:
+            if out and time[each[-1]] - time[out[-1][-1]] <= t.overtake_dedupe_s * 1e6:
+                worth = lambda x: (gap[x[4]], time[x[0]] - time[x[-1]])
+                out[-1] = max(out[-1], each, key=worth)
+            else:
+                out.append(each)
+        f = df["frame_index"]
+        rows = [(df["scenario_token"][0], df["s_track"][0], df["o_track"][0], *(f[i] for i in x), df["passing_side"][x[1]], (time[x[-1]] - time[x[0]]) / 1e6) for x in out]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return own.join(keep, key, "left_semi").groupBy(*key).applyInPandas(scan, schema)
 
 
-def maneuver_facts(matched: DataFrame, left: DataFrame, t: Thresholds = T) -> DataFrame:
+def maneuver_facts(matched: DataFrame, scenarios: DataFrame, adjacency: DataFrame, t: Thresholds = T) -> DataFrame:
     """Entry and exit of connectors, turns over the connector, stable lane changes, keepsLane; by windows over the track.
 
-    left: map's adjacency rows.
+    A track's first frames and seconds state nothing, as there is no history yet.
     """
     order = Window.partitionBy("scenario_token", "track_token").orderBy("frame_index")
     lag = lambda c, n=1: F.lag(c, n).over(order)
     lane, link = F.when(F.col("primary_kind") == "lane", F.col("primary_id")), F.when(F.col("primary_kind") == "lane_connector", F.col("primary_id"))
-    df = matched.select(*KEYS, "x", "y", "heading", lane.alias("lane"), link.alias("link"))
+    df = matched.join(scenarios.select("scenario_token", "map_name"), "scenario_token").select("map_name", *KEYS, "x", "y", "heading", lane.alias("lane"), link.alias("link"))
+    past = order.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("old", (F.count(F.lit(1)).over(past) > t.maneuver_history_frames) & ((F.col("timestamp_us") - F.first("timestamp_us").over(past)) / 1e6 >= t.maneuver_history_s))
     df = df.withColumns({"p_lane": lag("lane"), "p_link": lag("link"), "turned": F.coalesce(wrap(F.col("heading") - lag("heading")), F.lit(0.0))})
     entered = F.col("p_lane").isNotNull() & F.col("link").isNotNull()
     df = df.withColumn("visit", F.sum(entered.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -263,11 +314,11 @@ def maneuver_facts(matched: DataFrame, left: DataFrame, t: Thresholds = T) -> Da
     n = t.stable_lane_frames
     steady = lambda end: F.when((F.min("lane").over(order.rowsBetween(end - n + 1, end)) == F.max("lane").over(order.rowsBetween(end - n + 1, end))) & (F.count("lane").over(order.rowsBetween(end - n + 1, end)) == n), F.min("lane").over(order.rowsBetween(end - n + 1, end)))
     df = df.withColumns({"target": steady(0), "source": steady(-n), "p_x": lag("x", n), "p_y": lag("y", n), "p_h": lag("heading", n)})
-    near = left.select(F.col("object_id").alias("source"), F.col("adjacent_id").alias("target"), "side").distinct()
-    df = df.join(near, ["source", "target"], "left")
+    near = adjacency.groupBy("map_name", F.col("object_id").alias("source"), F.col("adjacent_id").alias("target")).agg(F.min("side").alias("side"))
+    df = df.join(near, ["map_name", "source", "target"], "left")
     shift = F.cos("p_h") * (F.col("y") - F.col("p_y")) - F.sin("p_h") * (F.col("x") - F.col("p_x"))
     way = F.coalesce("side", F.when(F.abs(shift) >= 0.75, F.when(shift > 0, "left").otherwise("right")))
     changed = F.when(F.col("target").isNotNull() & F.col("source").isNotNull() & (F.col("target") != F.col("source")) & F.col("link").isNull() & F.col("p_link").isNull(), F.when(way == "left", "changesLaneLeft").when(way == "right", "changesLaneRight"))
     keeps = ~entered & ~exited & changed.isNull() & (F.col("lane") == F.col("p_lane"))
     each = F.array(F.when(entered, "entersLaneConnector"), F.when(exited, "exitsLaneConnector"), F.when(exited, turn), changed, F.when(keeps, "keepsLane"))
-    return df.select(*KEYS, F.coalesce("link", "lane").alias("object_id"), F.explode(F.filter(each, lambda p: p.isNotNull())).alias("predicate"))
+    return df.where("old").select(*KEYS, F.coalesce("link", "lane").alias("object_id"), F.explode(F.filter(each, lambda p: p.isNotNull())).alias("predicate"))

@@ -17,7 +17,7 @@ from waygraph.operators.entities import KEYS, unpivot
 
 CELL = 50.0
 #: Least reach of the map query about a footprint, in metres.
-REACH = 8.0
+REACH, FOOTPRINT_MARGIN = 8.0, 4.0
 ME = ("scenario_token", "frame_index", "track_token")
 
 
@@ -42,8 +42,14 @@ def candidates(entities: DataFrame, scenarios: DataFrame, map_objects: DataFrame
     spread = lambda f, c: f(F.transform("polygon", lambda p: p[c]))
     cells = lambda c: F.sequence(F.floor((spread(F.array_min, c) - REACH) / CELL), F.floor((spread(F.array_max, c) + REACH) / CELL))
     tiles = map_objects.where(F.col("kind").isin(*kinds)).withColumn("cx", F.explode(cells("x"))).withColumn("cy", F.explode(cells("y")))
-    own = entities.join(scenarios.select("scenario_token", "map_name"), "scenario_token").withColumn("cx", F.floor(F.col("x") / CELL)).withColumn("cy", F.floor(F.col("y") / CELL))
-    pairs = own.select(*KEYS, "map_name", "cx", "cy", "x", "y", "cos_h", "sin_h", "length_m", "width_m").join(tiles.select("map_name", "cx", "cy", "object_id", "kind", "polygon", "baseline"), ["map_name", "cx", "cy"])
+    # long footprints reach further than the polygons' margin, and go to all cells that they may touch
+    more = F.greatest(F.lit(0.0), F.hypot(F.coalesce("length_m", F.lit(0.0)), F.coalesce("width_m", F.lit(0.0))) / 2 + FOOTPRINT_MARGIN - REACH)
+    span = lambda c: F.sequence(F.floor((F.col(c) - more) / CELL), F.floor((F.col(c) + more) / CELL))
+    own = entities.join(scenarios.select("scenario_token", "map_name"), "scenario_token").withColumn("xs", span("x")).withColumn("ys", span("y")).withColumn("cx", F.explode("xs")).withColumn("cy", F.explode("ys"))
+    tiles = tiles.select("map_name", "cx", "cy", "object_id", "kind", "polygon", "baseline", F.get(cells("x"), F.lit(0)).alias("tx"), F.get(cells("y"), F.lit(0)).alias("ty"))
+    pairs = own.select(*KEYS, "map_name", "cx", "cy", "x", "y", "cos_h", "sin_h", "length_m", "width_m", F.get("xs", F.lit(0)).alias("ex"), F.get("ys", F.lit(0)).alias("ey")).join(tiles, ["map_name", "cx", "cy"])
+    # both may share several cells; the first one counts
+    pairs = pairs.where((F.col("cx") == F.greatest("ex", "tx")) & (F.col("cy") == F.greatest("ey", "ty"))).drop("ex", "ey", "tx", "ty")
     names = [*KEYS, "object_id", "kind"]
     doubles = ("overlap_area", "overlap_ratio", "progress", "lateral_offset", "map_heading", "curvature")
     schema = StructType([*(pairs.schema[n] for n in names), StructField("center_covered", BooleanType()), *(StructField(d, DoubleType()) for d in doubles)])
@@ -102,25 +108,25 @@ def primary(found: DataFrame, t: Thresholds = T) -> DataFrame:
     return top.select(*KEYS, "ambiguous", "match_reason", sure("object_id").alias("primary_id"), sure("kind").alias("primary_kind"), *(sure(c).alias(c) for c in ("overlap_ratio", "progress", "lateral_offset", "map_heading", "curvature")))
 
 
-def with_map(entities: DataFrame, chosen: DataFrame, map_objects: DataFrame, edges: DataFrame, adjacency: DataFrame, route: DataFrame) -> DataFrame:
+def with_map(entities: DataFrame, chosen: DataFrame, scenarios: DataFrame, map_objects: DataFrame, edges: DataFrame, adjacency: DataFrame, route: DataFrame) -> DataFrame:
     """entities with the primary match, its attributes, neighbours and the rank of its roadblock on the route.
 
     The map's tables are far smaller than the entities; Spark broadcasts them where their size allows.
     """
-    ids = lambda df, key, value, name: df.groupBy(F.col(key).alias("primary_id")).agg(F.array_sort(F.collect_set(value)).alias(name))
-    about = map_objects.select(F.col("object_id").alias("primary_id"), F.col("length_m").alias("baseline_length"), "speed_limit_mps", "roadblock_id", "intersection_id")
-    df = entities.join(chosen.drop("timestamp_us"), list(ME), "left").join(about, "primary_id", "left")
+    ids = lambda df, key, value, name: df.groupBy("map_name", F.col(key).alias("primary_id")).agg(F.array_sort(F.collect_set(value)).alias(name))
+    about = map_objects.select("map_name", F.col("object_id").alias("primary_id"), F.col("length_m").alias("baseline_length"), "speed_limit_mps", "roadblock_id", "intersection_id")
+    df = entities.join(scenarios.select("scenario_token", "map_name"), "scenario_token", "left").join(chosen.drop("timestamp_us"), list(ME), "left").join(about, ["map_name", "primary_id"], "left")
     for part in (
         ids(edges, "src_id", "dst_id", "outgoing"),
         ids(edges, "dst_id", "src_id", "incoming"),
         ids(adjacency.where("side = 'left'"), "object_id", "adjacent_id", "left_ids"),
         ids(adjacency.where("side = 'right'"), "object_id", "adjacent_id", "right_ids"),
     ):
-        df = df.join(part, "primary_id", "left")
+        df = df.join(part, ["map_name", "primary_id"], "left")
     none = F.array().cast("array<string>")
     df = df.withColumns({c: F.coalesce(c, none) for c in ("outgoing", "incoming", "left_ids", "right_ids")}).withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
     ranks = route.groupBy("scenario_token", "roadblock_id").agg(F.min("ordinal").alias("route_rank"))
-    return df.join(ranks, ["scenario_token", "roadblock_id"], "left")
+    return df.join(ranks, ["scenario_token", "roadblock_id"], "left").drop("map_name")
 
 
 def travel_direction(df: DataFrame, t: Thresholds = T) -> DataFrame:

@@ -40,15 +40,27 @@ def agent_pairs(entities: DataFrame, *extra: str) -> DataFrame:
 
 
 def near_agent_pairs(entities: DataFrame, radius: float = R.grid_radius, *extra: str) -> DataFrame:
-    """Agents within a radius: one side goes to the nine cells about it, an equi-join on the cell, then the exact distance."""
-    agents = entities.where(~F.col("is_ego"))
+    """Agents within a radius, the first by order of appearance leading."""
+    dx, dy = F.col("o_x") - F.col("s_x"), F.col("o_y") - F.col("s_y")
+    both = _met(entities.where(~F.col("is_ego")), radius, *extra).where((F.col("s_slot") < F.col("o_slot")) & (dx * dx + dy * dy <= radius * radius))
+    return both.withColumn("tag", F.lit("agent_to_agent"))
+
+
+def _met(entities: DataFrame, radius: float, *extra: str) -> DataFrame:
+    """Ordered pairs of a frame in neighbouring cells: one side goes to the nine cells about it, an equi-join on the cell."""
     cell = lambda c: F.floor(F.col(c) / radius)
     around = F.explode(F.array(*(F.struct((cell("s_x") + i).alias("cx"), (cell("s_y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    s = _side(agents, "s_", *extra).withColumn("c", around).select("*", "c.cx", "c.cy").drop("c")
-    o = _side(agents, "o_", *extra).withColumn("cx", cell("o_x")).withColumn("cy", cell("o_y"))
+    s = _side(entities, "s_", *extra).withColumn("c", around).select("*", "c.cx", "c.cy").drop("c")
+    o = _side(entities, "o_", *extra).withColumn("cx", cell("o_x")).withColumn("cy", cell("o_y"))
+    return s.join(o, [*FRAME, "cx", "cy"]).drop("cx", "cy")
+
+
+def near_pairs(entities: DataFrame, radius: float, *extra: str) -> DataFrame:
+    """All ordered pairs of a frame within a radius, through the grid."""
     dx, dy = F.col("o_x") - F.col("s_x"), F.col("o_y") - F.col("s_y")
-    both = s.join(o, [*FRAME, "cx", "cy"]).where((F.col("s_slot") < F.col("o_slot")) & (dx * dx + dy * dy <= radius * radius))
-    return both.drop("cx", "cy").withColumn("tag", F.lit("agent_to_agent"))
+    both = _met(entities, radius, *extra).where((F.col("s_slot") != F.col("o_slot")) & (dx * dx + dy * dy <= radius * radius))
+    agents = F.when(F.col("s_slot") < F.col("o_slot"), "agent_to_agent").otherwise("agent_to_agent_reverse")
+    return both.withColumn("tag", F.when(F.col("s_is_ego"), "ego_to_agent").when(F.col("o_is_ego"), "agent_to_ego").otherwise(agents))
 
 
 def all_pairs(entities: DataFrame, *extra: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waygraph import catalog
-from waygraph.functions.classifiers import speed_state
+from waygraph.config import T
+from waygraph.functions.classifiers import is_vehicle, speed_state
 from waygraph.operators import crossing, entities, following, future, mapmatch, maneuvers, pairs, query, relevance, risk, spatial, traffic, visibility
 from waygraph.plans.scene import Scene, entities_sql, scene
 from waygraph.plans.shared import cut
@@ -47,7 +48,7 @@ class Stages:
     @cached_property
     def matched(self) -> DataFrame:
         s = self.scene
-        return cut(mapmatch.travel_direction(mapmatch.with_map(self.history, self.primary, s.map_objects, s.map_edges, s.map_adjacency, s.route)))
+        return cut(mapmatch.travel_direction(mapmatch.with_map(self.history, self.primary, s.scenarios, s.map_objects, s.map_edges, s.map_adjacency, s.route)))
 
     @cached_property
     def signals(self) -> DataFrame:
@@ -71,13 +72,14 @@ class Stages:
         return cut(spatial.with_spatial(relevance.with_relevance(self.topology)))
 
     @cached_property
-    def corridors(self) -> DataFrame:
-        return maneuvers.corridors(self.scene.map_objects, self.scene.map_edges)
+    def vehicle_pairs(self) -> DataFrame:
+        cars = self.matched.where(is_vehicle(F.col("agent_type")))
+        return pairs.with_kinematics(pairs.near_pairs(cars, T.overtake_radius, "primary_id"))
 
     @cached_property
     def lane_changes(self) -> DataFrame:
         s = self.scene
-        return maneuvers.lane_changes(self.matched, self.found, self.primary, s.scenarios, self.corridors, s.map_adjacency)
+        return maneuvers.lane_changes(self.matched, self.found, self.primary, s.scenarios, s.map_edges, s.map_adjacency)
 
     @cached_property
     def leaders(self) -> DataFrame:
@@ -137,9 +139,9 @@ BUILD: dict[str, Callable[[Stages], DataFrame]] = {
     "yields": lambda s: crossing.yields(s.crossings, s.scene.entities, traffic.red_frames(s.matched, s.signals)),
     "track_pairs": lambda s: crossing.track_pairs(s.scene.entities),
     "lane_changes": lambda s: maneuvers.lane_change_facts(s.lane_changes, s.scene.entities),
-    "merges": lambda s: maneuvers.merges(s.lane_changes, s.matched, s.scene.scenarios, s.corridors),
-    "overtakes": lambda s: maneuvers.overtakes(s.topology, s.corridors, s.scene.scenarios, s.scene.map_adjacency),
-    "maneuvers": lambda s: maneuvers.maneuver_facts(s.matched, s.scene.map_adjacency),
+    "merges": lambda s: maneuvers.merges(s.lane_changes, s.matched, s.scene.scenarios, following.unbranched_paths(s.scene.map_objects, s.scene.map_edges, T.merge_hops)),
+    "overtakes": lambda s: maneuvers.overtakes(s.vehicle_pairs, maneuvers.reachable(s.scene.map_edges), s.scene.scenarios, s.scene.map_adjacency),
+    "maneuvers": lambda s: maneuvers.maneuver_facts(s.matched, s.scene.scenarios, s.scene.map_adjacency),
     "future_links": lambda s: future.future_links(s.scene.entities),
     "future_coverage": lambda s: future.future_coverage(s.scene.entities),
     "intents": lambda s: future.intents(s.kinematic, s.scene.frames),
@@ -165,7 +167,7 @@ CONTINUOUS = "coalesce(frame_index = last_frame_index + 1 and (timestamp_us - la
 KEYS = "scenario_token, frame_index, timestamp_us, track_token"
 PAIR = "scenario_token, frame_index, timestamp_us, tag, s_track, o_track"
 WRAP = "(((({0}) + pi()) % (2 * pi()) + 2 * pi()) % (2 * pi()) - pi())"
-ID = "case when is_ego then concat('ego:', scenario_token, ':', timestamp_us) else concat('agent:', track_token, ':', timestamp_us) end"
+ID = "case when is_ego then concat('ego:', scenario_token, ':', timestamp_us) else concat('agent:', scenario_token, ':', track_token, ':', timestamp_us) end"
 MOVE = E + ", m as (select *, sqrt(vx * vx + vy * vy) as speed from e)"
 HISTORY = MOVE + f""", l as (select *, {", ".join(f"lag({c}) over w as last_{c}" for c in ("frame_index", "timestamp_us", "x", "y", "heading", "speed"))}, lag({ID}) over w as last_id, {ID} as own_id
     from m window w as (partition by scenario_token, track_token order by frame_index)),
