@@ -94,7 +94,8 @@ def primary(found: DataFrame, t: Thresholds = T) -> DataFrame:
     """One row per entity with eligible lanes: the primary one with its attributes, or none where the first two can't be told apart."""
     eligible = found.where(F.col("center_covered") | (F.col("overlap_ratio") >= t.primary_overlap))
     far = F.abs("lateral_offset")
-    rank = Window.partitionBy(*ME).orderBy(F.desc("center_covered"), F.desc("overlap_ratio"), far.asc_nulls_last(), F.desc(F.col("kind") == "lane"), F.desc("object_id"))
+    # areas come from sums over triangles: shares that differ by rounding alone are equal
+    rank = Window.partitionBy(*ME).orderBy(F.desc("center_covered"), F.desc(F.round("overlap_ratio", 9)), far.asc_nulls_last(), F.desc(F.col("kind") == "lane"), F.desc("object_id"))
     top = eligible.withColumns({"rank": F.row_number().over(rank), "next_covered": F.lead("center_covered").over(rank), "next_ratio": F.lead("overlap_ratio").over(rank), "next_lateral": F.lead("lateral_offset").over(rank)}).where("rank = 1")
     reason = (
         F.when(F.col("next_covered").isNull(), "single")

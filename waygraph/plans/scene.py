@@ -76,7 +76,8 @@ def _box(x0: float, y0: float, x1: float, y1: float) -> list[tuple[float, float]
     return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
 
 
-def _map() -> tuple[list, list, list]:
+def map_rows() -> tuple[list, list, list]:
+    """Objects (id, kind, polygon, baseline, length, speed limit, roadblock, intersection), edges and neighbours (id, side, id)."""
     objects, edges, adjacent = [], [], []
     for k in range(3):
         y = 4.0 * k
@@ -123,7 +124,7 @@ def scene(spark: SparkSession, sf_dir: str) -> Scene:
     state = F.when(turn == 0, "GREEN").when(turn == 1, "amber").otherwise("RED")
     lights = frames.select("scenario_token", "frame_index", "timestamp_us", F.explode(F.array(F.lit("C0"), F.lit("C1"), F.lit("C2"))).alias("connector_id"), state.alias("status"))
     odd = frames.where("frame_index % 25 = 0").select("scenario_token", "frame_index", "timestamp_us", F.lit("C2").alias("connector_id"), F.lit("TrafficLightStatusType.OFF").alias("status"))
-    objects, edges, adjacent = _map()
+    objects, edges, adjacent = map_rows()
     rows = [("m0", kind, i, poly, base, length, limit, roadblock, crossing) for i, kind, poly, base, length, limit, roadblock, crossing in objects]
     return Scene(
         scenarios,

@@ -13,7 +13,8 @@ from waygraph import catalog
 from waygraph.config import T
 from waygraph.functions.classifiers import is_vehicle, speed_state
 from waygraph.operators import crossing, entities, following, future, mapmatch, maneuvers, pairs, query, relevance, risk, spatial, traffic, visibility
-from waygraph.plans.scene import Scene, entities_sql, scene
+from waygraph.oracles import SQL  # noqa: F401
+from waygraph.plans.scene import Scene, scene
 from waygraph.plans.shared import cut
 
 
@@ -161,116 +162,3 @@ def _query(build: Callable[[Stages], DataFrame]) -> Callable[[SparkSession, str]
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"way_{name}": _query(build) for name, build in BUILD.items()}
-
-E = f"with e as ({entities_sql()})"
-CONTINUOUS = "coalesce(frame_index = last_frame_index + 1 and (timestamp_us - last_timestamp_us) / 1e6 > 0 and (timestamp_us - last_timestamp_us) / 1e6 <= 0.75, false)"
-KEYS = "scenario_token, frame_index, timestamp_us, track_token"
-PAIR = "scenario_token, frame_index, timestamp_us, tag, s_track, o_track"
-WRAP = "(((({0}) + pi()) % (2 * pi()) + 2 * pi()) % (2 * pi()) - pi())"
-ID = "case when is_ego then concat('ego:', scenario_token, ':', timestamp_us) else concat('agent:', scenario_token, ':', track_token, ':', timestamp_us) end"
-MOVE = E + ", m as (select *, sqrt(vx * vx + vy * vy) as speed from e)"
-HISTORY = MOVE + f""", l as (select *, {", ".join(f"lag({c}) over w as last_{c}" for c in ("frame_index", "timestamp_us", "x", "y", "heading", "speed"))}, lag({ID}) over w as last_id, {ID} as own_id
-    from m window w as (partition by scenario_token, track_token order by frame_index)),
-c as (select *, {CONTINUOUS} as ok from l),
-i as (select *, sum(case when ok then 0 else 1 end) over (partition by scenario_token, track_token order by frame_index) as streak from c),
-h as (select *, (timestamp_us - last_timestamp_us) / 1e6 as dt, sqrt((x - last_x) * (x - last_x) + (y - last_y) * (y - last_y)) as moved,
-    row_number() over (partition by scenario_token, track_token order by frame_index) as n_all, (timestamp_us - first_value(timestamp_us) over (partition by scenario_token, track_token order by frame_index)) / 1e6 as t_all,
-    row_number() over (partition by scenario_token, track_token, streak order by frame_index) as n_own, (timestamp_us - first_value(timestamp_us) over (partition by scenario_token, track_token, streak order by frame_index)) / 1e6 as t_own from i)"""
-SIDES = ", ".join(f"{p}.{c} as {p}_{c.replace('track_token', 'track')}" for p in "so" for c in ("track_token", "slot", "is_ego", "agent_type", "x", "y", "heading", "cos_h", "sin_h", "vx", "vy", "length_m", "width_m"))
-PAIRS = E + f""", q as (select s.scenario_token, s.frame_index, s.timestamp_us, {SIDES},
-    case when s.is_ego then 'ego_to_agent' when o.is_ego then 'agent_to_ego' when s.slot < o.slot then 'agent_to_agent' else 'agent_to_agent_reverse' end as tag
-    from e s join e o on s.scenario_token = o.scenario_token and s.frame_index = o.frame_index and s.slot <> o.slot),
-k as (select *, o_x - s_x as dx, o_y - s_y as dy, o_vx - s_vx as dvx, o_vy - s_vy as dvy, sqrt((o_x - s_x) * (o_x - s_x) + (o_y - s_y) * (o_y - s_y)) as d,
-    s_cos_h * (o_x - s_x) + s_sin_h * (o_y - s_y) as ahead, s_cos_h * (o_y - s_y) - s_sin_h * (o_x - s_x) as aside,
-    (abs(s_cos_h) * s_length_m + abs(s_sin_h) * s_width_m) / 2 as shx, (abs(s_sin_h) * s_length_m + abs(s_cos_h) * s_width_m) / 2 as shy,
-    (abs(o_cos_h) * o_length_m + abs(o_sin_h) * o_width_m) / 2 as ohx, (abs(o_sin_h) * o_length_m + abs(o_cos_h) * o_width_m) / 2 as ohy from q),
-f as (select *, sqrt(power(greatest(0, abs(dx) - shx - ohx), 2) + power(greatest(0, abs(dy) - shy - ohy), 2)) as free,
-    greatest(0, least(s_x + shx, o_x + ohx) - greatest(s_x - shx, o_x - ohx)) * greatest(0, least(s_y + shy, o_y + ohy) - greatest(s_y - shy, o_y - ohy)) as area,
-    abs(o_cos_h * s_cos_h + o_sin_h * s_sin_h) as cd, abs(o_sin_h * s_cos_h - o_cos_h * s_sin_h) as sd from k),
-g as (select *, (cd * o_length_m + sd * o_width_m) / 2 as hx, (sd * o_length_m + cd * o_width_m) / 2 as hy from f)"""
-
-
-def _facts(prefix: str, source: str, keys: str, values: dict[str, str], column: str = "value", kind: str = "double") -> str:
-    places = "round(cast({0} as double), 6)" if kind == "double" else "cast({0} as varchar)"
-    parts = [f"select {keys}, '{p}' as predicate, {places.format(e)} as {column} from {source} where ({e}) is not null" for p, e in values.items()]
-    return prefix + " " + " union all ".join(parts)
-
-
-_KINEMATIC = {
-    "hasCenterDistanceTo": "d",
-    "hasLongitudinalDistanceTo": "ahead",
-    "hasLateralDistanceTo": "aside",
-    "hasBearingTo": "atan2(case when aside = 0 then 0.0 else aside end, ahead)",
-    "hasHeadingDifferenceTo": f"abs({WRAP.format('o_heading - s_heading')})",
-    "hasRelativeSpeedTo": "sqrt(dvx * dvx + dvy * dvy)",
-    "hasLongitudinalRelativeSpeedTo": "s_cos_h * dvx + s_sin_h * dvy",
-    "hasLateralRelativeSpeedTo": "s_cos_h * dvy - s_sin_h * dvx",
-    "hasClosingSpeedTo": "case when d = 0 then 0.0 else -(dx * dvx + dy * dvy) / d end",
-    "hasVelocityTowardTarget": "case when d = 0 then 0.0 else (s_vx * dx + s_vy * dy) / d end",
-    "hasSubjectForwardSpeed": "s_cos_h * s_vx + s_sin_h * s_vy",
-}
-_CONTACT = "case when area > 0.0001 then 'overlapping' when free <= 0.001 then 'touching' when free <= 2 then 'veryNear' when free <= 5 then 'near' end"
-_SECTOR = """case when area > 0.0001 or sqrt(ahead * ahead + aside * aside) <= 0.001 then null
-    when abs(ahead) <= 2 then case when aside >= 0.75 then 'leftOf' when aside <= -0.75 then 'rightOf' when ahead >= 1 then 'inFrontOf' when ahead <= -1 then 'behind' end
-    when ahead > 0 then case when abs(aside) <= 2.5 + 0.3 * abs(ahead) then 'inFrontOf' when aside > 0 then 'frontLeftOf' else 'frontRightOf' end
-    else case when abs(aside) <= 2.5 + 0.3 * abs(ahead) then 'behind' when aside > 0 then 'rearLeftOf' else 'rearRightOf' end end"""
-_SPEED = "case when agent_type = 'BARRIER' then null when speed <= 0.3 then 'isStopped' when speed <= 0.8 then 'isSlow' else 'isMoving' end"
-_POSE = {"hasX": "x", "hasY": "y", "hasHeading": "heading", "hasRearAxleX": "case when is_ego then x - 1.461 * cos_h end", "hasRearAxleY": "case when is_ego then y - 1.461 * sin_h end", "hasLength": "length_m", "hasWidth": "width_m", "hasHeight": "height_m", "hasArea": "length_m * width_m"}
-_BOXES = ", ".join(f"('{i}', '{kind}', {x0}, {y0}, {x1}, {y1})" for i, kind, x0, y0, x1, y1 in [(f"{p}{k}", n, a, 4.0 * k - 2, b, 4.0 * k + 2) for k in range(3) for p, n, a, b in (("A", "Lane", 0.0, 200.0), ("C", "LaneConnector", 200.0, 240.0), ("B", "Lane", 240.0, 700.0))] + [("C2R", "LaneConnector", 200.0, 6.0, 240.0, 10.0), ("X0", "Lane", 218.0, -80.0, 222.0, 60.0)])
-_AREAS = "('I0', 'Intersection', 200.0, -2.0, 240.0, 10.0), ('W0', 'Crosswalk', 190.0, -4.0, 194.0, 14.0)"
-
-
-def _membership(boxes: str) -> str:
-    return (
-        E
-        + f""", b(object_id, kind, x0, y0, x1, y1) as (values {boxes}),
-j as (select e.*, b.*, (abs(cos_h) * length_m + abs(sin_h) * width_m) / 2 as hx, (abs(sin_h) * length_m + abs(cos_h) * width_m) / 2 as hy from e, b),
-a as (select *, greatest(0, least(x + hx, x1) - greatest(x - hx, x0)) * greatest(0, least(y + hy, y1) - greatest(y - hy, y0)) as area from j)
-select {KEYS}, object_id, concat('in', kind) as predicate from a where x between x0 and x1 and y between y0 and y1
-union all select {KEYS}, object_id, concat('intersects', kind) from a where area > 0.0001"""
-    )
-
-
-_SCENARIO = E + ", s as (select scenario_token, concat('log', cast(cast(substring(scenario_token, 3) as bigint) % 3 as varchar)) as log_name, case when cast(substring(scenario_token, 3) as bigint) % 2 = 0 then 'following' else 'crossing' end as scenario_type, 'm0' as map_name, count(*) as n_frames from e where is_ego group by scenario_token)"
-
-SQL: dict[str, str] = {
-    "closing_speed_of_ego_pairs": _facts(PAIRS, "(select * from k where s_is_ego or o_is_ego) z", PAIR, {"hasClosingSpeedTo": _KINEMATIC["hasClosingSpeedTo"]}),
-    "scenes": E + " select " + "scenario_token, frame_index, timestamp_us, track_token, slot, is_ego, agent_type, " + ", ".join(f"round({c}, 6) as {c}" for c in ("x", "y", "heading", "cos_h", "sin_h", "vx", "vy", "length_m", "width_m", "height_m", "ax", "ay")) + " from e",
-    "structure_facts": _facts(_SCENARIO + ", z as (select e.*, scenario_type, log_name from e join s using (scenario_token))", "z", KEYS, {"hasTimestamp": "case when is_ego then timestamp_us end", "hasScenarioType": "case when is_ego and frame_index = 0 then scenario_type end", "hasLogName": "case when is_ego and frame_index = 0 then log_name end", "hasEgoState": f"case when is_ego then {ID} end", "hasTrackedObject": f"case when not is_ego then {ID} end", "hasTrackToken": "case when not is_ego then track_token end", "hasAgentType": "case when not is_ego then agent_type end"}, "object", "text"),
-    "pose_facts": _facts(E, "e", KEYS, _POSE),
-    "motion_facts": _facts(MOVE, "m", KEYS, {"hasVelocityX": "vx", "hasVelocityY": "vy", "hasSpeed": "speed", "hasVelocityHeading": f"case when speed >= 0.75 then {WRAP.format('atan2(vy, vx)')} end", "hasAccelerationX": "ax", "hasAccelerationY": "ay", "hasAcceleration": "sqrt(ax * ax + ay * ay)"}),
-    "velocity_vectors": E + f" select {KEYS}, 'hasVelocity' as predicate, round(vx, 6) as vx, round(vy, 6) as vy from e",
-    "speed_states": MOVE + f" select {KEYS}, {_SPEED} as predicate from m where {_SPEED} is not null",
-    "temporal_facts": _facts(HISTORY, "h", KEYS, {"hasDeltaTimeFromPrevious": "case when ok then dt end", "hasDisplacementFromPrevious": "case when ok then moved end", "hasHeadingChangeFromPrevious": f"case when ok then {WRAP.format('heading - last_heading')} end", "hasDisplacementHeading": f"case when ok and moved >= 0.4 then {WRAP.format('atan2(y - last_y, x - last_x)')} end", "hasSpeedChangeFromPrevious": "case when ok then speed - last_speed end", "hasEstimatedAcceleration": "case when ok then (speed - last_speed) / dt end", "hasObservedFrameCount": "n_own", "hasObservedDuration": "t_own", "hasTotalObservedFrameCount": "n_all", "hasTotalObservedSpan": "t_all", "hasContinuousObservedFrameCount": "n_own", "hasContinuousObservedDuration": "t_own"}),
-    "precedes": HISTORY + f" select {KEYS}, 'precedes' as predicate, last_id as subject_id, own_id as object_id from h where ok",
-    "continuity_breaks": HISTORY + f" select {KEYS}, last_frame_index, last_timestamp_us from h where last_frame_index is not null and not ok",
-    "motion_states": HISTORY + f""", r as (select *, list_sort(list_filter(list(case when ok then (speed - last_speed) / dt end) over (partition by scenario_token, track_token, streak order by frame_index rows between 4 preceding and current row), lambda v: v is not null)) as recent from h),
-    z as (select *, case when len(recent) >= 3 then (recent[cast(floor((len(recent) + 1) / 2) as int)] + recent[cast(floor(len(recent) / 2) as int) + 1]) / 2 end as robust from r)
-    select {KEYS}, {_SPEED} as predicate from z where {_SPEED} is not null union all select {KEYS}, case when robust >= 0.3 then 'isAccelerating' else 'isDecelerating' end from z where robust >= 0.3 or robust <= -0.3""",
-    "pair_kinematics": _facts(PAIRS, "k", PAIR, _KINEMATIC),
-    "pair_footprints": _facts(PAIRS, "g", PAIR, {"hasFreeSpaceDistanceTo": "free", "hasIntersectionArea": "area", "hasLongitudinalFootprintGap": "case when ahead >= 0 then ahead - hx - s_length_m / 2 else ahead + hx + s_length_m / 2 end", "hasLateralFootprintGap": "case when aside >= 0 then aside - hy - s_width_m / 2 else aside + hy + s_width_m / 2 end"}),
-    "pair_history": _facts(PAIRS + f""", l as (select *, lag(frame_index) over w as last_frame_index, lag(timestamp_us) over w as last_timestamp_us, lag(d) over w as last_d, lag(free) over w as last_free from g window w as (partition by scenario_token, s_track, o_track, tag order by frame_index)),
-    c as (select *, {CONTINUOUS} as ok from l), i as (select *, sum(case when ok then 0 else 1 end) over (partition by scenario_token, s_track, o_track, tag order by frame_index) as streak from c),
-    z as (select *, row_number() over (partition by scenario_token, s_track, o_track, tag, streak order by frame_index) as n_own, (timestamp_us - first_value(timestamp_us) over (partition by scenario_token, s_track, o_track, tag, streak order by frame_index)) / 1e6 as t_own from i)""", "z", PAIR, {"hasPairObservedFrameCount": "n_own", "hasPairObservedDuration": "t_own", "hasCenterDistanceChangeFromPrevious": "case when ok then d - last_d end", "hasFreeSpaceDistanceChangeFromPrevious": "case when ok then free - last_free end"}),
-    "near_agent_pairs": PAIRS + f" select scenario_token, frame_index, timestamp_us, 'agent_to_agent' as tag, s_track, o_track from k where not s_is_ego and not o_is_ego and s_slot < o_slot and dx * dx + dy * dy <= 3600",
-    "body_sectors": PAIRS + f" select {PAIR}, {_SECTOR} as predicate from g where {_SECTOR} is not null",
-    "contact_states": PAIRS + f" select {PAIR}, {_CONTACT} as predicate from g where {_CONTACT} is not null",
-    "map_memberships": _membership(_BOXES),
-    "area_memberships": _membership(_AREAS),
-    "predicate_counts": _facts(E, "e", KEYS, _POSE).replace("with e as", "with e as", 1),
-    "future_links": E + f" select a.scenario_token, a.frame_index, a.timestamp_us, a.track_token, b.frame_index as later_frame, b.timestamp_us as later_us from e a join e b on a.scenario_token = b.scenario_token and a.track_token = b.track_token and b.timestamp_us > a.timestamp_us and b.timestamp_us <= a.timestamp_us + 6000000",
-    "display_numbers": E + ", d as (select scenario_token, track_token, min(frame_index) as first_frame, min(slot) as slot from e where not is_ego group by all) select scenario_token, track_token, first_frame, cast(dense_rank() over (partition by scenario_token order by first_frame, slot) as int) as display_id from d",
-    "scenario_filter": _SCENARIO + " select scenario_token, log_name, scenario_type, map_name, n_frames from (select *, row_number() over (partition by scenario_type order by scenario_token) as place from s where scenario_type = 'crossing' and log_name in ('log0', 'log1')) where place <= 5",
-    "signal_facts": _SCENARIO + """, f as (select scenario_token, frame_index, timestamp_us, cast(substring(scenario_token, 3) as bigint) as n from e where is_ego),
-    l as (select scenario_token, frame_index, timestamp_us, c as connector_id, case (cast(floor(frame_index / 10) as bigint) + n) % 3 when 0 then 'GREEN' when 1 then 'YELLOW' else 'RED' end as state from f, (values ('C0'), ('C1'), ('C2')) v(c)),
-    z as (select scenario_token, frame_index, timestamp_us, connector_id, case when connector_id = 'C2' and frame_index % 25 = 0 then 'UNKNOWN' else state end as state, concat('traffic_signal:m0:control:', connector_id) as signal_id from l)
-    select scenario_token, frame_index, timestamp_us, signal_id, 'controls' as predicate, concat('controlled_movement:', connector_id) as object from z union all select scenario_token, frame_index, timestamp_us, signal_id, 'hasSignalState', concat('signal_state:', state) from z""",
-}
-SQL["predicate_counts"] = f"select predicate, case when predicate in ('hasLength', 'hasWidth', 'hasHeight', 'hasArea') then 'geometry' else 'position_values' end as category, count(*) as n from ({SQL['predicate_counts']}) group by predicate"
-SQL["truth_counts"] = f"select case when predicate = 'hasArea' then 'measurement' else 'native' end as kind, sum(n) :: bigint as n from ({SQL['predicate_counts']}) group by 1"
-SQL["unknown_predicates"] = f"select predicate, scenario_token, frame_index, timestamp_us, track_token, value from ({SQL['temporal_facts']}) where false"
-SQL["pair_edges"] = f"select scenario_token, frame_index, timestamp_us, s_track, o_track, string_agg(predicate, ',' order by predicate) as predicates, count(distinct predicate) as n_predicates from ({SQL['body_sectors']} union all select * from ({SQL['contact_states']})) group by all"
-SQL["closest_approach"] = PAIRS + f""", v as (select *, dvx * dvx + dvy * dvy as vv, dx * dvx + dy * dvy as rv from k), z as (select *, case when vv <= 1e-9 then 0.0 else greatest(0.0, least(8.0, -rv / vv)) end as ct from v),
-    y as (select *, sqrt((dx + dvx * ct) * (dx + dvx * ct) + (dy + dvy * ct) * (dy + dvy * ct)) as cd2 from z)
-    select {PAIR}, round(cast(ct as double), 6) as cpa_time_s, round(cd2, 6) as cpa_distance, round(cd2 - sqrt(s_length_m * s_length_m + s_width_m * s_width_m) / 2 - sqrt(o_length_m * o_length_m + o_width_m * o_width_m) / 2, 6) as cpa_clearance, rv < 0 as cpa_closing from y"""
-SQL = {f"way_{name}": text for name, text in SQL.items()}
