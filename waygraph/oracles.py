@@ -236,3 +236,67 @@ _NEW = {
         select a.scenario_token, a.track_token as s_track, b.track_token as o_track from b a join b on a.scenario_token = b.scenario_token and a.track_token <> b.track_token where not (a.agent_type = 'PEDESTRIAN' and b.agent_type = 'PEDESTRIAN') and sqrt(power(greatest(0, a.x0 - b.x1, b.x0 - a.x1), 2) + power(greatest(0, a.y0 - b.y1, b.y0 - a.y1), 2)) <= 30""",
 }
 SQL |= {f"way_{name}": text for name, text in _NEW.items()}
+
+
+def _paths(hops: int = 3) -> str:
+    """Unbranched ways (src, dst, offset of dst's start from src's) as rows of VALUES."""
+    objects, edges, _ = map_rows()
+    length = {name: size for name, kind, _, _, size, *_ in objects if kind in ("lane", "lane_connector")}
+    rows = []
+    for src in length:
+        at, offset = src, 0.0
+        rows.append(f"('{src}', '{src}', 0.0)")
+        for _ in range(hops):
+            ways = [b for a, b in edges if a == at]
+            if len(ways) != 1:
+                break
+            at, offset = ways[0], offset + length[at]
+            rows.append(f"('{src}', '{at}', {offset})")
+    return ", ".join(rows)
+
+
+def _streaks(rows: str, key: str, name: str = "st") -> str:
+    """CTEs that give rows (a CTE) start_us and duration_s of their run of consecutive frames."""
+    return f""", {name}p as (select scenario_token, frame_index, sum(step) over (partition by scenario_token order by frame_index) as part from (select *, case when frame_index = lag(frame_index) over w + 1 and (timestamp_us - lag(timestamp_us) over w) / 1e6 <= 0.75 then 0 else 1 end as step
+        from (select distinct scenario_token, frame_index, timestamp_us from e where is_ego) window w as (partition by scenario_token order by frame_index))),
+    {name}i as (select r.*, part, r.frame_index - row_number() over (partition by r.scenario_token, {key} order by r.frame_index) as island from {rows} r join {name}p on r.scenario_token = {name}p.scenario_token and r.frame_index = {name}p.frame_index),
+    {name}j as (select *, first_value(timestamp_us) over (partition by scenario_token, {key}, part, island order by frame_index) as start_us from {name}i), {name} as (select *, (timestamp_us - start_us) / 1e6 as duration_s from {name}j)"""
+
+
+FRAME = "scenario_token, frame_index, timestamp_us"
+_RAYS = "(dx * o_sin_h - dy * o_cos_h) / nullif(s_cos_h * o_sin_h - s_sin_h * o_cos_h, 0) as s_far, (dx * s_sin_h - dy * s_cos_h) / nullif(s_cos_h * o_sin_h - s_sin_h * o_cos_h, 0) as o_far, abs(s_cos_h * o_sin_h - s_sin_h * o_cos_h) > 1e-9 as meets, sqrt(s_vx * s_vx + s_vy * s_vy) as s_v, sqrt(o_vx * o_vx + o_vy * o_vy) as o_v"
+LEADERS = MATCHED + f""", ways(src, dst, start) as (values {_paths()}),
+    own as (select *, (abs(cos(heading - map_heading)) * length_m + abs(sin(heading - map_heading)) * width_m) / 2 as half, vx * cos(map_heading) + vy * sin(map_heading) as forward from mt where agent_type in ('VEHICLE', 'EGO') and primary_id is not null and not ambiguous),
+    met as (select {', '.join('s.' + c for c in FRAME.split(', '))}, s.track_token as s_track, t.track_token as o_track, start + t.progress - s.progress as distance, start + greatest(0, t.progress - t.half) - least(s.len, s.progress + s.half) as gap, s.forward as s_forward, t.forward as o_forward, s.travel_heading as s_way, t.travel_heading as o_way
+        from own s join ways on s.primary_id = src join own t on t.primary_id = dst and s.scenario_token = t.scenario_token and s.frame_index = t.frame_index and s.track_token <> t.track_token),
+    near as (select *, row_number() over w as place, lead(distance) over w as next from met where distance > 0.001 window w as (partition by scenario_token, frame_index, s_track order by distance, gap, o_track)),
+    led as (select {FRAME}, s_track, o_track, distance, gap, s_forward, o_forward, case when s_forward > 0.3 then gap / s_forward end as headway_s, s_way is not null and o_way is not null and gap > 0.001 and s_forward >= -0.3 and o_forward >= -0.3 and gap <= 80 as sound from near where place = 1 and (next is null or next - distance > 0.5)),
+    lead as (select * exclude (sound), case when sound and headway_s > 0 and headway_s <= 5 then 'moving' when sound and s_forward <= 2 and o_forward <= 4 and gap <= 12 then 'queue' end as mode from led)"""
+_ROUND = lambda names: ", ".join(f"round(cast({c} as double), 6) as {c}" for c in names.split(", "))
+_MORE = {
+    "leaders": LEADERS + f" select {FRAME}, s_track, o_track, {_ROUND('distance, gap, s_forward, o_forward, headway_s')}, mode from lead",
+    "follow_facts": LEADERS + ", v9 as (select * from lead where mode is not null), q9 as (select * from lead where mode = 'queue')" + _streaks("v9", "s_track, o_track", "fa") + _streaks("q9", "s_track, o_track", "fb") + f" select 'follows' as predicate, {FRAME}, s_track, o_track, start_us, {_ROUND('duration_s, gap')} from fa where duration_s >= 1 union all select 'queuesBehind', {FRAME}, s_track, o_track, start_us, {_ROUND('duration_s, gap')} from fb where duration_s >= 1",
+    "crossings": PAIRS + ", tr as (" + _NEW["track_pairs"][len(E) :].lstrip(", ").replace("b as (select", "with b as (select", 1) + f"""),
+        park as (select scenario_token, track_token from e group by all having max(sqrt(vx * vx + vy * vy)) <= 0.5 and (max(timestamp_us) - min(timestamp_us)) / 1e6 >= 2 and sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2)) <= 1),
+        x0 as (select k.*, count(*) over w as n, (max(timestamp_us) over w - min(timestamp_us) over w) / 1e6 as span, {_RAYS}, {DIFF.format("s_heading", "o_heading")} * 180 / pi() as angle from k semi join tr on k.scenario_token = tr.scenario_token and k.s_track = tr.s_track and k.o_track = tr.o_track anti join park on k.scenario_token = park.scenario_token and k.s_track = park.track_token window w as (partition by scenario_token, s_track, o_track)),
+        x1 as (select *, greatest(0, s_far) as s_ray, greatest(0, o_far) as o_ray, o_v <= 0.05 as stationary from x0 where n >= 3 and span >= 1 and meets and s_far between -1e-9 and 10 + 1e-9 and o_far between -1e-9 and 10 + 1e-9 and angle between 25 and 155 and s_v >= 0.3),
+        x2 as (select *, s_ray / greatest(s_v, 0.05) as s_eta from x1), x3 as (select *, case when not stationary then o_ray / o_v - s_eta end as eta_gap from x2),
+        x4 as (select *, greatest(0, 3 - abs(angle - 90) / 30) + greatest(0, 2 - greatest(s_ray, o_ray) / 10) + least(2, s_v) as score, s_x + s_cos_h * s_ray as conflict_x, s_y + s_sin_h * s_ray as conflict_y from x3 where stationary or eta_gap between 0.25 and 6),
+        x5 as (select * from (select *, row_number() over (partition by scenario_token, frame_index, least(s_track, o_track), greatest(s_track, o_track) order by score desc, s_track) as place from x4) where place = 1)""" + _streaks("x5", "s_track, o_track") + f" select {FRAME}, s_track, o_track, {_ROUND('conflict_x, conflict_y, angle, s_eta, eta_gap')}, stationary, {_ROUND('score, duration_s')}, start_us from st",
+    "intents": PAIRS + f""", x0 as (select *, {_RAYS} from k where s_agent_type <> 'BARRIER' and o_agent_type <> 'BARRIER'),
+        x1 as (select *, greatest(0, s_far) / greatest(s_v, 0.05) as s_eta, greatest(0, o_far) / greatest(o_v, 0.05) as o_eta, coalesce(s_v < lag(s_v) over w, false) as slower, coalesce(d - lag(d, 4) over w >= 2, false) as wider, s_v > 0.8 and o_v > 0.8 as moving
+            from x0 where meets and s_far between -1e-9 and 80 + 1e-9 and o_far between -1e-9 and 80 + 1e-9 window w as (partition by scenario_token, s_track, o_track order by frame_index)),
+        x2 as (select {FRAME}, s_track, o_track, unnest(list_filter([case when slower and o_eta < s_eta and moving then 'yieldingTo' end, case when s_v <= 0.3 and o_v > 0.8 then 'waitingFor' end, case when wider and slower then 'creatingGapFor' end, case when abs(o_eta - s_eta) <= 1.5 and moving and s_track < o_track then 'competingForGapWith' end], lambda z: z is not null)) as predicate from x1)""" + _streaks("x2", "s_track, o_track, predicate") + f" select {FRAME}, s_track, o_track, predicate, start_us, {_ROUND('duration_s')} from st where duration_s >= 1",
+    "maneuvers": MATCHED + f""", n0 as (select *, case primary_kind when 'lane' then primary_id end as lane, case primary_kind when 'lane_connector' then primary_id end as link from mt),
+        n1 as (select *, lag(lane) over w as p_lane, lag(link) over w as p_link, coalesce({WRAP.format("heading - lag(heading) over w")}, 0) as turned, lag(lane, 2) over w as l2, lag(lane, 3) over w as l3, lag(x, 2) over w as p_x, lag(y, 2) over w as p_y, lag(heading, 2) over w as p_h, count(*) over w > 1 and (timestamp_us - first_value(timestamp_us) over w) / 1e6 >= 0.5 as old
+            from n0 window w as (partition by scenario_token, track_token order by frame_index)),
+        n2 as (select *, p_lane is not null and link is not null as entered, p_link is not null and lane is not null as leaves, case when lane = p_lane then lane end as target, case when l2 = l3 then l2 end as src from n1),
+        n3 as (select *, sum(case when entered then 1 else 0 end) over (partition by scenario_token, track_token order by frame_index) as visit from n2),
+        n4 as (select *, sum(turned) over w - first_value(turned) over w as turn, sum(case when leaves then 1 else 0 end) over w as n_exits from n3 window w as (partition by scenario_token, track_token, visit order by frame_index)),
+        n5 as (select n4.*, visit > 0 and leaves and n_exits = 1 as exited, cos(p_h) * (y - p_y) - sin(p_h) * (x - p_x) as shift, case when list_contains(b9.lefts, target) then 'left' when list_contains(b9.rights, target) then 'right' end as side from n4 left join o b9 on b9.object_id = src),
+        n6 as (select *, coalesce(side, case when abs(shift) >= 0.75 then case when shift > 0 then 'left' else 'right' end end) as way from n5),
+        n7 as (select *, case when target is not null and src is not null and target <> src and link is null and p_link is null then case way when 'left' then 'changesLaneLeft' when 'right' then 'changesLaneRight' end end as changed from n6)
+        select {KEYS}, coalesce(link, lane) as object_id, unnest(list_filter([case when entered then 'entersLaneConnector' end, case when exited then 'exitsLaneConnector' end, case when exited then case when abs(turn) >= 2.5 then 'makesUTurn' when turn >= 0.35 then 'turnsLeft' when turn <= -0.35 then 'turnsRight' else 'goesStraight' end end, changed,
+            case when not entered and not exited and changed is null and lane = p_lane then 'keepsLane' end], lambda z: z is not null)) as predicate from n7 where old""",
+}
+SQL |= {f"way_{name}": text for name, text in _MORE.items()}
