@@ -119,16 +119,76 @@ def test_future_coverage(spark):
 
 
 def test_sinks_round_trip(spark, stages, tmp_path):
-    facts = query.assertions(entities.pose_facts(stages.scene.entities), catalog.definitions(spark))
+    assert stages.scene.scenarios.count() > 1
+    facts = queries.assertions_of(stages, ("structure", "pose", "precedes", "map_membership")).cache()
+    assert facts.select("assertion_id").distinct().count() == facts.count()
     for kind in ("parquet", "json", "csv"):
         tables.write_facts(facts, str(tmp_path / kind), kind)
-    assert tables.read_facts(spark, str(tmp_path / "parquet")).count() == facts.select("assertion_id").distinct().count()
+    assert tables.read_facts(spark, str(tmp_path / "parquet")).count() == facts.count()
     assert spark.read.json(str(tmp_path / "json")).count() == facts.count()
     tables.write_facts(query.triples(facts), str(tmp_path / "nt"), "ntriples")
-    assert spark.read.text(str(tmp_path / "nt")).where("not value like '<%> .' and not value like '<%\" .'").count() == 0
+    lines = spark.read.text(str(tmp_path / "nt"))
+    assert lines.count() == 6 * facts.count() and lines.where("not value rlike '^<[^ <>]+> <[^ <>]+> (<[^ <>]+>|\"[^\"]*\"(\\\\^\\\\^<[^ <>]+>)?) [.]$'").count() == 0
     assert tables.inventory(spark, str(tmp_path / "parquet")).agg(F.sum("n")).first()[0] == facts.count()
 
 
+def test_assertions_hold_in_time_and_have_evidence(spark, stages):
+    from waygraph.operators import assertions
+
+    facts = queries.assertions_of(stages, ("following", "overtake", "pairwise")).cache()
+    over = facts.where("predicate = 'overtakes'").first()
+    assert over.start_us < over.end_us and "passing_side" in over.evidence
+    middle = (over.start_us + over.end_us) // 2
+    assert over.assertion_id in {r.assertion_id for r in assertions.holding_at(facts, over.scenario_token, middle).collect()}
+    assert over.assertion_id not in {r.assertion_id for r in assertions.holding_at(facts, over.scenario_token, over.end_us + 1).collect()}
+    assert assertions.deduplicated(facts.union(facts)).count() == facts.select("assertion_id").distinct().count()
+    assert assertions.of_categories(["c", "a"], {"c": ("b",), "b": ("a",)}) == ["a", "b", "c"]
+    members = spark.createDataFrame([("p", "x", "y")], "pair_id string, s_id string, o_id string")
+    rows = spark.createDataFrame([("p", 1), ("q", 2)], "subject_id string, n int")
+    assert {(r.n, r.member_subject) for r in assertions.with_pairs(rows, members).collect()} == {(1, "x"), (2, None)}
+
+
+def test_two_maps_of_equal_ids_stay_apart(spark, stages):
+    from waygraph.operators import mapmatch
+
+    s = stages.scene
+    second = lambda df: df.unionByName(df.withColumn("map_name", F.lit("m1")))
+    got = mapmatch.with_map(stages.history, stages.primary, s.scenarios, second(s.map_objects), second(s.map_edges), second(s.map_adjacency), s.route)
+    assert got.count() == stages.history.count()
+    assert maneuvers.maneuver_facts(stages.matched, s.scenarios, second(s.map_adjacency)).count() == maneuvers.maneuver_facts(stages.matched, s.scenarios, s.map_adjacency).count()
+
+
+def test_chains_keep_branches_apart():
+    same = lambda up: {frozenset(k for k in up if up[k] == v) for v in set(up.values())}
+    assert same(maneuvers.chains({"A": "C", "C": "B", "B": None})) == {frozenset("ACB")}
+    assert same(maneuvers.chains({"A2": None, "C2": "B2", "B2": None, "C2R": None})) == {frozenset({"A2"}), frozenset({"C2", "B2"}), frozenset({"C2R"})}
+    assert same(maneuvers.chains({"A": "X", "B": "A"})) == {frozenset("AB")}
+
+
+def test_lane_change_between_parallel_connectors(spark):
+    """Two ways out of one lane, without a stated neighbour: geometry tells the side."""
+    frames = list(range(12))
+    y = [0, 0, 0, 0, 1, 2, 3, 4, 4, 4, 4, 4]
+    own = spark.createDataFrame([row(f, "a", 1, 10.0 + 3 * f, y[f], 6.0) for f in frames], COLUMNS)
+    found, chosen = [], []
+    for f in frames:
+        for name, at in (("P", 0.0), ("Q", 4.0)):
+            share = max(0.0, min(1.0, (min(y[f] + 1, at + 2) - max(y[f] - 1, at - 2)) / 2))
+            if share > 0:
+                found.append(("s", f, f * 500_000, "a", name, "lane_connector", abs(y[f] - at) <= 2, 8 * share, share, 10.0 + 3 * f, y[f] - at, 0.0, 0.0))
+        chosen.append(("s", f, "a", "P" if y[f] < 2 else "Q", False))
+    found = spark.createDataFrame(found, "scenario_token string, frame_index int, timestamp_us long, track_token string, object_id string, kind string, center_covered boolean, overlap_area double, overlap_ratio double, progress double, lateral_offset double, map_heading double, curvature double")
+    chosen = spark.createDataFrame(chosen, "scenario_token string, frame_index int, track_token string, primary_id string, ambiguous boolean")
+    scenarios = spark.createDataFrame([("s", "m")], "scenario_token string, map_name string")
+    edges = spark.createDataFrame([("m", "L", "P"), ("m", "L", "Q")], "map_name string, src_id string, dst_id string")
+    beside = spark.createDataFrame([], "map_name string, object_id string, side string, adjacent_id string")
+    moved = entities.with_motion(own)
+    got = maneuvers.lane_changes(moved, found, chosen, scenarios, edges, beside).collect()
+    assert [(r.source_lane, r.target_lane, r.side) for r in got] == [("P", "Q", "left")]
+    reach = {(r.src, r.dst) for r in maneuvers.reachable(spark.createDataFrame([("m", f"n{i}", f"n{i + 1}") for i in range(8)], "map_name string, src_id string, dst_id string"), 5).collect()}
+    assert ("n0", "n5") in reach and ("n0", "n6") not in reach
+
+
 def test_streamed_motion_equals_batch(spark, stages, tmp_path):
     from waygraph.streaming import causal
 

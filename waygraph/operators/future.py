@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waygraph.config import T, Thresholds
 from waygraph.functions.classifiers import is_dynamic
-from waygraph.operators.entities import KEYS
+from waygraph.operators.entities import KEYS, unpivot
 from waygraph.operators.following import streaks
 from waygraph.operators.pairs import FRAME
 
@@ -32,6 +32,11 @@ def future_coverage(entities: DataFrame, t: Thresholds = T) -> DataFrame:
     return df.select(*KEYS, "samples", (F.col("samples") * t.future_step_s).alias("duration_s"), (F.col("samples") / wanted).alias("coverage"), (F.col("samples") / wanted < t.future_coverage).alias("insufficient"))
 
 
+def coverage_facts(covered: DataFrame) -> DataFrame:
+    """Numbers of the future coverage, and hasInsufficientFutureEvidence (1) where it is too small."""
+    return unpivot(covered, KEYS, {"hasFutureSampleCount": F.col("samples"), "hasAvailableFutureDuration": F.col("duration_s"), "hasFutureCoverageRatio": F.col("coverage"), "hasInsufficientFutureEvidence": F.when(F.col("insufficient"), F.lit(1.0))})
+
+
 def intents(pairs: DataFrame, frames: DataFrame, t: Thresholds = T) -> DataFrame:
     """yieldingTo, waitingFor, creatingGapFor and competingForGapWith that last; paths are straight lines at the present heading.
 

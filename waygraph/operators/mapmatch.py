@@ -19,6 +19,7 @@ CELL = 50.0
 #: Least reach of the map query about a footprint, in metres.
 REACH, FOOTPRINT_MARGIN = 8.0, 4.0
 ME = ("scenario_token", "frame_index", "track_token")
+PAIR_KEYS = ("scenario_token", "frame_index", "timestamp_us", "tag", "s_track", "o_track")
 
 
 def curvature(line: np.ndarray, progress: np.ndarray) -> np.ndarray:
@@ -197,6 +198,27 @@ def with_topology(pairs: DataFrame, t: Thresholds = T) -> DataFrame:
     )
 
 
+def topology_facts(scored: DataFrame) -> DataFrame:
+    """Numbers of pairs on the map and along their ways."""
+    return unpivot(
+        scored,
+        PAIR_KEYS,
+        {
+            "hasMapProgressDifferenceTo": F.col("progress_difference"),
+            "hasSignedPathDistanceTo": F.col("path_distance"),
+            "hasTravelDirectionDifferenceTo": F.col("travel_difference"),
+            "hasTravelLongitudinalDistanceTo": F.col("travel_longitudinal"),
+            "hasTravelLateralDistanceTo": F.col("travel_lateral"),
+        },
+    )
+
+
+def topology_states(scored: DataFrame) -> DataFrame:
+    """inSameLaneAs and sharesIntersectionWith of pairs."""
+    both = F.array(F.when(F.col("same_lane"), F.lit("inSameLaneAs")), F.when(F.col("shared_intersection"), F.lit("sharesIntersectionWith")))
+    return scored.select(*PAIR_KEYS, F.explode(F.filter(both, lambda p: p.isNotNull())).alias("predicate"))
+
+
 def map_facts(df: DataFrame) -> DataFrame:
     """Numbers of the primary match."""
     return unpivot(

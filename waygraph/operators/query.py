@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waygraph.operators.entities import entity_id
-
 
 def pair_edges(facts: DataFrame) -> DataFrame:
     """One edge per frame and directed pair with its sorted set of predicates."""
@@ -102,25 +100,36 @@ def interesting_agents(pairs: DataFrame, distance: float = 40.0) -> DataFrame:
     return own.where(hit).groupBy("scenario_token", "o_track").agg(F.count(F.lit(1)).alias("n_frames"), F.min("center_distance").alias("least_distance"))
 
 
-def assertions(facts: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Facts of entities with stable ids and provenance: what the sinks write."""
-    me = entity_id(F.col("scenario_token"), F.col("track_token"), F.col("timestamp_us"), F.col("track_token") == "ego")
-    df = facts.join(definitions.select("predicate", "category", "value_type"), "predicate").withColumn("subject_id", me)
-    key = F.concat_ws("|", "predicate", "subject_id", F.col("value").cast("string"), F.col("timestamp_us").cast("string"))
-    return df.select(F.substring(F.sha2(key, 256), 1, 24).alias("assertion_id"), "predicate", "category", "value_type", "subject_id", "value", "scenario_token", "timestamp_us")
+def at_frame(events: DataFrame, frames: DataFrame, frame: str) -> DataFrame:
+    """events with timestamp_us of the frame that a column names."""
+    return events.join(frames.select("scenario_token", F.col("frame_index").alias(frame), "timestamp_us"), ["scenario_token", frame])
 
 
 def triples(asserted: DataFrame) -> DataFrame:
-    """N-Triples lines: the fact, and its statement with source and time."""
-    iri = lambda c: F.concat(F.lit("<urn:way:"), F.replace(c, F.lit(" "), F.lit("_")), F.lit(">"))
-    text = lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    """N-Triples lines of assertions: the fact, and its statement with source and time.
+
+    Names become IRIs with all but letters, digits, ':', '.', '-' and '_' percent-coded;
+    numbers, whole numbers and booleans are typed literals; text is escaped.
+    """
+    plain = lambda c: F.regexp_replace(F.url_encode(c), r"%3A", ":")
+    iri = lambda c: F.concat(F.lit("<urn:way:"), plain(F.replace(c, F.lit(" "), F.lit("_"))), F.lit(">"))
+    clean = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"([\\\\\"])", r"\\\\$1"), "\n", r"\\\\n"), "\r", r"\\\\r")
+    typed = lambda c, kind: F.concat(F.lit('"'), c, F.lit(f'"^^<http://www.w3.org/2001/XMLSchema#{kind}>'))
+    literal = (
+        F.when(F.col("value_type") == "INTEGER", typed(F.coalesce(F.col("number").cast("bigint").cast("string"), "value"), "integer"))
+        .when(F.col("number").isNotNull(), typed(F.col("number").cast("decimal(38,6)").cast("string"), "decimal"))
+        .when(F.col("value").isNotNull(), F.concat(F.lit('"'), clean(F.col("value")), F.lit('"')))
+        .otherwise(typed(F.lit("true"), "boolean"))
+    )
     node, subject, predicate = iri(F.col("assertion_id")), iri(F.col("subject_id")), iri(F.col("predicate"))
+    thing = F.when(F.col("object_id").isNotNull(), iri(F.col("object_id"))).otherwise(literal)
+    rdf = lambda name: F.lit(f"<http://www.w3.org/1999/02/22-rdf-syntax-ns#{name}>")
     lines = F.array(
-        F.concat_ws(" ", subject, predicate, text(F.col("value")), F.lit(".")),
-        F.concat_ws(" ", node, F.lit("<http://www.w3.org/1999/02/22-rdf-syntax-ns#subject>"), subject, F.lit(".")),
-        F.concat_ws(" ", node, F.lit("<http://www.w3.org/1999/02/22-rdf-syntax-ns#predicate>"), predicate, F.lit(".")),
+        F.concat_ws(" ", subject, predicate, thing, F.lit(".")),
+        F.concat_ws(" ", node, rdf("subject"), subject, F.lit(".")),
+        F.concat_ws(" ", node, rdf("predicate"), predicate, F.lit(".")),
+        F.concat_ws(" ", node, rdf("object"), thing, F.lit(".")),
         F.concat_ws(" ", node, F.lit("<http://www.w3.org/ns/prov#wasDerivedFrom>"), iri(F.col("scenario_token")), F.lit(".")),
+        F.concat_ws(" ", node, F.lit("<http://www.w3.org/ns/prov#atTime>"), typed(F.col("timestamp_us").cast("string"), "integer"), F.lit(".")),
     )
     return asserted.select(F.explode(lines).alias("value"))
-
-

@@ -150,6 +150,11 @@ def relevance_facts(scored: DataFrame) -> DataFrame:
     )
 
 
+def decisions(scored: DataFrame) -> DataFrame:
+    """One row for each relevant pair, with its score and reasons."""
+    return scored.where("relevant").select(*PAIR, F.when(F.col("s_is_ego"), "isRelevantToEgo").otherwise("isRelevantPair").alias("predicate"), "score", "primary_reason", "route_relation", "reasons")
+
+
 def audit(scored: DataFrame, chosen: DataFrame) -> DataFrame:
     """Every ego decision, and whether it was selected."""
     picked = chosen.select(*PAIR).withColumn("selected", F.lit(True))

@@ -13,6 +13,7 @@ from waygraph import catalog
 from waygraph.config import T
 from waygraph.functions.classifiers import is_vehicle, speed_state
 from waygraph.operators import crossing, entities, following, future, mapmatch, maneuvers, pairs, query, relevance, risk, spatial, traffic, visibility
+from waygraph.operators.assertions import entity, identified, of_entities, of_pairs, stated, united
 from waygraph.oracles import SQL  # noqa: F401
 from waygraph.plans.scene import Scene, scene
 from waygraph.plans.shared import cut
@@ -94,6 +95,52 @@ class Stages:
         return crossing.crossings(self.kinematic, tracks, self.scene.frames)
 
 
+#: Families of facts: the categories that they state, and how.
+FAMILIES: dict[str, Callable[[Stages], DataFrame]] = {
+    "structure": lambda s: of_entities(entities.structure_facts(s.scene.entities, s.scene.scenarios)),
+    "pose": lambda s: of_entities(entities.pose_facts(s.scene.entities)),
+    "motion": lambda s: of_entities(entities.motion_facts(s.moving)),
+    "velocity": lambda s: stated(entities.velocity_vectors(s.moving), entity("track_token"), value=F.to_json("vector")),
+    "temporal": lambda s: of_entities(entities.temporal_facts(s.history)),
+    "precedes": lambda s: stated(entities.precedes(s.history), F.col("subject_id"), F.col("object_id")),
+    "motion_state": lambda s: of_entities(entities.motion_states(s.history)),
+    "map_membership": lambda s: stated(mapmatch.memberships(s.found), entity("track_token"), F.col("object_id")),
+    "area_membership": lambda s: stated(BUILD["area_memberships"](s), entity("track_token"), F.col("object_id")),
+    "map": lambda s: of_entities(mapmatch.map_facts(s.matched)),
+    "map_relation": lambda s: of_entities(mapmatch.map_relations(s.matched)),
+    "pairwise": lambda s: stated(pairs.identity_facts(s.kinematic), F.col("pair_id"), F.col("object")),
+    "pair_kinematics": lambda s: of_pairs(pairs.kinematic_facts(s.kinematic)),
+    "pair_footprints": lambda s: of_pairs(pairs.footprint_facts(s.footprints)),
+    "pair_history": lambda s: of_pairs(pairs.pair_history_facts(pairs.with_pair_history(s.footprints))),
+    "pair_topology": lambda s: of_pairs(mapmatch.topology_facts(s.scored)),
+    "pair_map": lambda s: of_pairs(mapmatch.topology_states(s.scored)),
+    "spatial": lambda s: of_pairs(spatial.spatial_facts(s.scored)),
+    "relevance": lambda s: of_pairs(relevance.decisions(s.scored), ("score", "primary_reason", "route_relation", "reasons")),
+    "traffic_light": lambda s: stated(traffic.signal_facts(s.signals), F.col("signal_id"), F.col("object")),
+    "relevant_signal": lambda s: stated(BUILD["relevant_signals"](s), entity("track_token"), F.col("signal_id")),
+    "following": lambda s: stated(BUILD["follow_facts"](s), entity("s_track"), entity("o_track"), start=F.col("start_us"), evidence=("gap", "duration_s")),
+    "crossing": lambda s: stated(s.crossings.withColumn("predicate", F.lit("crossesInFrontOf")), entity("s_track"), entity("o_track"), start=F.col("start_us"), evidence=("conflict_x", "conflict_y", "angle", "s_eta", "eta_gap", "score")),
+    "maneuver": lambda s: stated(BUILD["maneuvers"](s), entity("track_token"), F.col("object_id")),
+    "intent": lambda s: stated(BUILD["intents"](s), entity("s_track"), entity("o_track"), start=F.col("start_us")),
+    "future": lambda s: of_entities(future.coverage_facts(future.future_coverage(s.scene.entities))),
+}
+#: Those that come from the scans of whole tracks.
+EVENT_FAMILIES: dict[str, Callable[[Stages], DataFrame]] = {
+    "lane_change": lambda s: stated(BUILD["lane_changes"](s), entity("track_token"), F.concat(F.lit("lane:"), "target_lane"), evidence=("source_lane", "target_lane", "side", "onset_frame", "completion_frame")),
+    "merge": lambda s: stated(query.at_frame(BUILD["merges"](s).withColumnRenamed("track_token", "s_track"), s.scene.frames, "completion_frame"), entity("s_track"), entity("o_track"), evidence=("gap", "boundary_frame", "completion_frame")),
+    "overtake": lambda s: stated(query.at_frame(BUILD["overtakes"](s), s.scene.frames, "completion_frame").withColumn("predicate", F.lit("overtakes")), entity("s_track"), entity("o_track"), start=F.col("timestamp_us") - F.col("duration_s") * 1e6, evidence=("start_frame", "departure_frame", "side_frame", "reversal_frame", "clearance_frame", "return_frame", "passing_side")),
+    "yield": lambda s: stated(BUILD["yields"](s).withColumnRenamed("reaction_us", "timestamp_us").withColumn("predicate", F.lit("yieldsTo")), entity("s_track"), entity("o_track"), end=F.col("clear_us"), evidence=("clear_us", "proceed_us")),
+    "risk": lambda s: stated(BUILD["conflict_risks"](s), entity("s_track"), entity("o_track"), evidence=("basis", "risk_time_s", "risk_least_clearance", "braking_demand", "unsafe_lane_change")),
+    "visibility": lambda s: stated(BUILD["visibility_facts"](s), entity("o_track"), F.when(F.col("object").isNotNull(), entity("object"))),
+}
+
+
+def assertions_of(stages: Stages, families: tuple[str, ...] = ()) -> DataFrame:
+    """All facts of the families, or of all families, with ids, categories and evidence."""
+    every = FAMILIES | EVENT_FAMILIES
+    return identified(united(every[f](stages) for f in families or every), catalog.definitions(stages.spark))
+
+
 def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*(F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
@@ -146,14 +193,15 @@ BUILD: dict[str, Callable[[Stages], DataFrame]] = {
     "future_links": lambda s: future.future_links(s.scene.entities),
     "future_coverage": lambda s: future.future_coverage(s.scene.entities),
     "intents": lambda s: future.intents(s.kinematic, s.scene.frames),
-    "predicate_counts": lambda s: query.counts(entities.pose_facts(s.scene.entities), catalog.definitions(s.spark)),
-    "truth_counts": lambda s: query.truth_counts(entities.pose_facts(s.scene.entities), catalog.definitions(s.spark)),
-    "unknown_predicates": lambda s: query.unknown_predicates(entities.temporal_facts(s.history), catalog.definitions(s.spark)),
+    "assertions": lambda s: assertions_of(s),
+    "predicate_counts": lambda s: query.counts(assertions_of(s, tuple(FAMILIES)).drop("category"), catalog.definitions(s.spark)),
+    "truth_counts": lambda s: query.truth_counts(assertions_of(s, tuple(FAMILIES)).select("predicate"), catalog.definitions(s.spark)),
+    "unknown_predicates": lambda s: query.unknown_predicates(entities.temporal_facts(s.history).withColumn("predicate", F.when(F.col("frame_index") % 10 == 3, F.concat("predicate", F.lit("Raw"))).otherwise(F.col("predicate"))), catalog.definitions(s.spark)),
     "pair_edges": lambda s: query.pair_edges(entities.states(spatial.with_spatial(s.footprints), pairs.PAIR, [F.col("contact_state"), F.col("sector")])),
     "display_numbers": lambda s: query.display_numbers(s.scene.entities),
     "scenario_filter": lambda s: query.filter_scenarios(s.scene.scenarios, types=("crossing",), logs=("log0", "log1"), per_type=5),
     "interesting_agents": lambda s: query.interesting_agents(pairs.with_kinematics(pairs.ego_pairs(s.scene.entities))),
-    "n_triples": lambda s: query.triples(query.assertions(entities.pose_facts(s.scene.entities), catalog.definitions(s.spark))),
+    "n_triples": lambda s: query.triples(assertions_of(s, ("structure", "pose", "precedes", "map_membership"))),
 }
 
 
