@@ -53,7 +53,8 @@ def united(families: Iterable[DataFrame]) -> DataFrame:
 
 def identified(facts: DataFrame, definitions: DataFrame) -> DataFrame:
     """Facts of the catalogue with assertion_id, category and value_type; equal facts have one id."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ("scenario_token", "timestamp_us", "predicate", "subject_id", "object_id", "value", "number", "start_us", "end_us")]
+    text = {"number": F.col("number").cast("decimal(38,6)").cast("string")}
+    parts = [F.coalesce(text.get(c, F.col(c).cast("string")), F.lit("~")) for c in ("scenario_token", "timestamp_us", "predicate", "subject_id", "object_id", "value", "number", "start_us", "end_us")]
     named = facts.withColumn("assertion_id", F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 24))
     return named.join(F.broadcast(definitions.select("predicate", "category", "value_type")), "predicate").select("assertion_id", "category", "value_type", *COLUMNS)
 

@@ -122,7 +122,7 @@ def triples(asserted: DataFrame) -> DataFrame:
         .otherwise(typed(F.lit("true"), "boolean"))
     )
     node, subject, predicate = iri(F.col("assertion_id")), iri(F.col("subject_id")), iri(F.col("predicate"))
-    thing = F.when(F.col("object_id").isNotNull(), iri(F.col("object_id"))).otherwise(literal)
+    thing = F.when(F.col("object_id").isNotNull(), iri(F.col("object_id"))).when((F.col("value_type") == "ENTITY") & F.col("value").isNotNull(), iri(F.col("value"))).otherwise(literal)
     rdf = lambda name: F.lit(f"<http://www.w3.org/1999/02/22-rdf-syntax-ns#{name}>")
     lines = F.array(
         F.concat_ws(" ", subject, predicate, thing, F.lit(".")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from waygraph import catalog
 from waygraph.plans.scene import entities_sql, map_rows
 
 E = f"with e as ({entities_sql()})"
@@ -99,7 +100,6 @@ SQL: dict[str, str] = {
     "contact_states": PAIRS + f" select {PAIR}, {_CONTACT} as predicate from g where {_CONTACT} is not null",
     "map_memberships": _membership(_BOXES),
     "area_memberships": _membership(_AREAS),
-    "predicate_counts": _facts(E, "e", KEYS, _POSE).replace("with e as", "with e as", 1),
     "future_links": E + f" select a.scenario_token, a.frame_index, a.timestamp_us, a.track_token, b.frame_index as later_frame, b.timestamp_us as later_us from e a join e b on a.scenario_token = b.scenario_token and a.track_token = b.track_token and b.timestamp_us > a.timestamp_us and b.timestamp_us <= a.timestamp_us + 6000000",
     "display_numbers": E + ", d as (select scenario_token, track_token, min(frame_index) as first_frame, min(slot) as slot from e where not is_ego group by all) select scenario_token, track_token, first_frame, cast(dense_rank() over (partition by scenario_token order by first_frame, slot) as int) as display_id from d",
     "scenario_filter": _SCENARIO + " select scenario_token, log_name, scenario_type, map_name, n_frames from (select *, row_number() over (partition by scenario_type order by scenario_token) as place from s where scenario_type = 'crossing' and log_name in ('log0', 'log1')) where place <= 5",
@@ -108,9 +108,6 @@ SQL: dict[str, str] = {
     z as (select scenario_token, frame_index, timestamp_us, connector_id, case when connector_id = 'C2' and frame_index % 25 = 0 then 'UNKNOWN' else state end as state, concat('traffic_signal:m0:control:', connector_id) as signal_id from l)
     select scenario_token, frame_index, timestamp_us, signal_id, 'controls' as predicate, concat('controlled_movement:', connector_id) as object from z union all select scenario_token, frame_index, timestamp_us, signal_id, 'hasSignalState', concat('signal_state:', state) from z""",
 }
-SQL["predicate_counts"] = f"select predicate, case when predicate in ('hasLength', 'hasWidth', 'hasHeight', 'hasArea') then 'geometry' else 'position_values' end as category, count(*) as n from ({SQL['predicate_counts']}) group by predicate"
-SQL["truth_counts"] = f"select case when predicate = 'hasArea' then 'measurement' else 'native' end as kind, sum(n) :: bigint as n from ({SQL['predicate_counts']}) group by 1"
-SQL["unknown_predicates"] = f"select predicate, scenario_token, frame_index, timestamp_us, track_token, value from ({SQL['temporal_facts']}) where false"
 SQL["pair_edges"] = f"select scenario_token, frame_index, timestamp_us, s_track, o_track, string_agg(predicate, ',' order by predicate) as predicates, count(distinct predicate) as n_predicates from ({SQL['body_sectors']} union all select * from ({SQL['contact_states']})) group by all"
 SQL["closest_approach"] = PAIRS + f""", v as (select *, dvx * dvx + dvy * dvy as vv, dx * dvx + dy * dvy as rv from k), z as (select *, case when vv <= 1e-9 then 0.0 else greatest(0.0, least(8.0, -rv / vv)) end as ct from v),
     y as (select *, sqrt((dx + dvx * ct) * (dx + dvx * ct) + (dy + dvy * ct) * (dy + dvy * ct)) as cd2 from z)
@@ -300,3 +297,35 @@ _MORE = {
             case when not entered and not exited and changed is null and lane = p_lane then 'keepsLane' end], lambda z: z is not null)) as predicate from n7 where old""",
 }
 SQL |= {f"way_{name}": text for name, text in _MORE.items()}
+
+
+#: The catalogue as rows of VALUES: predicate, category, value type, native.
+_CATALOG = ", ".join(f"('{p}', '{category}', '{kind}', {native})" for p, category, kind, native, _ in catalog.rows())
+_TOPOLOGY = {"hasMapProgressDifferenceTo": "case when rel = 'same_map' then o_progress - s_progress end", "hasSignedPathDistanceTo": "path", "hasTravelDirectionDifferenceTo": "turn", "hasTravelLongitudinalDistanceTo": "t_ahead", "hasTravelLateralDistanceTo": "t_aside"}
+_STATED = [f"select predicate from ({SQL[f'way_{name}']})" for name in (
+    "structure_facts", "pose_facts", "motion_facts", "velocity_vectors", "temporal_facts", "precedes", "motion_states", "map_memberships", "area_memberships", "map_facts", "map_relations", "pair_identity", "pair_kinematics",
+    "pair_footprints", "pair_history", "spatial_facts", "signal_facts", "relevant_signals", "follow_facts", "maneuvers", "intents",
+)]
+_STATED += [
+    f"select predicate from ({_facts(TOPOLOGY, 'tp', PAIR, _TOPOLOGY)})",
+    f"select unnest(list_filter([case when same_lane then 'inSameLaneAs' end, case when shared then 'sharesIntersectionWith' end], lambda z: z is not null)) as predicate from ({TOPOLOGY} select * from tp)",
+    f"select case when s_is_ego then 'isRelevantToEgo' else 'isRelevantPair' end as predicate from ({SCORED} select * from sc where relevant)",
+    f"select 'crossesInFrontOf' as predicate from ({SQL['way_crossings']})",
+    f"select unnest(list_filter(['hasFutureSampleCount', 'hasAvailableFutureDuration', 'hasFutureCoverageRatio', case when insufficient then 'hasInsufficientFutureEvidence' end], lambda z: z is not null)) as predicate from ({SQL['way_future_coverage']})",
+]
+_COUNTED = f"with def(predicate, category, kind, native) as (values {_CATALOG}), n as (select predicate, count(*) as n from ({' union all '.join(_STATED)}) group by predicate)"
+_ME = "case when track_token = 'ego' then concat('ego:', scenario_token, ':', timestamp_us) else concat('agent:', scenario_token, ':', track_token, ':', timestamp_us) end"
+_LAST = {
+    "predicate_counts": _COUNTED + " select predicate, category, n from n join def using (predicate)",
+    "truth_counts": _COUNTED + " select case when native then 'native' when kind = 'BOOLEAN' then 'semantic' else 'measurement' end as kind, sum(n) :: bigint as n from n join def using (predicate) group by 1",
+    "unknown_predicates": f"with def(predicate, category, kind, native) as (values {_CATALOG}), t as (select * replace (case when frame_index % 10 = 3 then concat(predicate, 'Raw') else predicate end as predicate) from ({SQL['way_temporal_facts']})) select predicate, scenario_token, frame_index, timestamp_us, track_token, value from t anti join def using (predicate)",
+    "n_triples": f"""with def(predicate, category, kind, native) as (values {_CATALOG}),
+        f as (select scenario_token, timestamp_us, predicate, {_ME} as subject, null as object, object as value, null as number from ({SQL['way_structure_facts']}) union all select scenario_token, timestamp_us, predicate, {_ME}, null, null, cast(cast(value as decimal(38, 6)) as varchar) from ({SQL['way_pose_facts']})
+            union all select scenario_token, timestamp_us, predicate, subject_id, object_id, null, null from ({SQL['way_precedes']}) union all select scenario_token, timestamp_us, predicate, {_ME}, object_id, null, null from ({SQL['way_map_memberships']})),
+        i as (select f.*, kind, concat('<urn:way:', substring(sha256(concat_ws('|', scenario_token, timestamp_us, predicate, subject, coalesce(object, '~'), coalesce(value, '~'), coalesce(number, '~'), timestamp_us, timestamp_us)), 1, 24), '>') as node from f join def using (predicate)),
+        l as (select *, case when object is not null then concat('<urn:way:', object, '>') when kind = 'ENTITY' and value is not null then concat('<urn:way:', value, '>') when kind = 'INTEGER' then concat('"', value, '"^^<http://www.w3.org/2001/XMLSchema#integer>')
+            when number is not null then concat('"', number, '"^^<http://www.w3.org/2001/XMLSchema#decimal>') when value is not null then concat('"', value, '"') else '"true"^^<http://www.w3.org/2001/XMLSchema#boolean>' end as thing from i)
+        select unnest([concat('<urn:way:', subject, '> <urn:way:', predicate, '> ', thing, ' .'), concat(node, ' <http://www.w3.org/1999/02/22-rdf-syntax-ns#subject> <urn:way:', subject, '> .'), concat(node, ' <http://www.w3.org/1999/02/22-rdf-syntax-ns#predicate> <urn:way:', predicate, '> .'),
+            concat(node, ' <http://www.w3.org/1999/02/22-rdf-syntax-ns#object> ', thing, ' .'), concat(node, ' <http://www.w3.org/ns/prov#wasDerivedFrom> <urn:way:', scenario_token, '> .'), concat(node, ' <http://www.w3.org/ns/prov#atTime> "', timestamp_us, '"^^<http://www.w3.org/2001/XMLSchema#integer> .')]) as value from l""",
+}
+SQL |= {f"way_{name}": text for name, text in _LAST.items()}
