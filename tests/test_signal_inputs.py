@@ -36,3 +36,11 @@ def test_yields_query_hands_red_frames_over(spark, monkeypatch):
     monkeypatch.setattr(crossing, "yields", lambda found, entities, red=None: given.append(red) or red)
     queries.QUERIES["way_yields"](spark, SF)
     assert given[0] is not None and given[0].where(F.col("track_token").isNotNull()).count() > 0
+
+
+def test_nearest_snapshot(spark):
+    from waygraph.operators import query
+
+    rows = spark.createDataFrame([("s", 0), ("s", 10), ("s", 30)], "scenario_token string, timestamp_us long")
+    asked = spark.createDataFrame([("s", -5), ("s", 5), ("s", 10), ("s", 21), ("s", 99), ("none", 1)], "scenario_token string, at_us long")
+    assert {(r.scenario_token, r.at_us): r.timestamp_us for r in query.nearest_snapshot(rows, asked).collect()} == {("s", -5): 0, ("s", 5): 0, ("s", 10): 10, ("s", 21): 30, ("s", 99): 30}

@@ -15,6 +15,10 @@ from waygraph.operators.pairs import FRAME
 from waygraph.plans.shared import cut
 
 
+#: Cells of tracks' bounds, in metres.
+TRACK_CELL = 100.0
+
+
 def ray_crossing(length: float = T.crossing_ray) -> tuple[Column, Column]:
     """Distances along the subject's and object's forward rays to their meeting point; null where the finite rays don't meet."""
     dx, dy = F.col("o_x") - F.col("s_x"), F.col("o_y") - F.col("s_y")
@@ -26,9 +30,10 @@ def ray_crossing(length: float = T.crossing_ray) -> tuple[Column, Column]:
 
 
 def track_pairs(entities: DataFrame, t: Thresholds = T) -> DataFrame:
-    """scenario_token, s_track, o_track of road users seen together often and long enough whose tracks' bounds come close.
+    """scenario_token, s_track, o_track of road users seen often enough whose tracks' bounds come close.
 
-    Bounds are one aggregate a track; co-occurrence is one aggregate over the frame join.
+    Bounds are one aggregate a track and meet by an equi-join over grid cells, of which
+    the first that both share counts; crossings asks how long they were seen together.
     """
     movers = entities.where(is_dynamic(F.col("agent_type")))
     box = movers.groupBy("scenario_token", "track_token").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n"), F.upper(F.first("agent_type")).alias("kind"))
@@ -36,7 +41,11 @@ def track_pairs(entities: DataFrame, t: Thresholds = T) -> DataFrame:
     box = box.where((F.col("n") >= t.crossing_observations) & (~F.col("kind").rlike("PEDESTRIAN|BICYCLE") | (moved >= t.crossing_displacement)))
     side = lambda p: box.select("scenario_token", *(F.col(c).alias(f"{p}_{c}") for c in ("track_token", "x0", "x1", "y0", "y1", "kind")))
     gap = lambda c: F.greatest(F.lit(0.0), F.col(f"a_{c}0") - F.col(f"b_{c}1"), F.col(f"b_{c}0") - F.col(f"a_{c}1"))
-    both = side("a").join(side("b"), "scenario_token").where(F.col("a_track_token") != F.col("b_track_token"))
+    wide, cell = t.crossing_pair_distance, TRACK_CELL
+    cells = lambda p, more: {f"{p}_c{c}": F.sequence(F.floor((F.col(f"{p}_{c}0") - more) / cell), F.floor((F.col(f"{p}_{c}1") + more) / cell)) for c in "xy"}
+    spread = lambda p, more: side(p).withColumns(cells(p, more)).withColumn("cx", F.explode(f"{p}_cx")).withColumn("cy", F.explode(f"{p}_cy"))
+    first = lambda c: F.col(f"c{c}") == F.greatest(F.get(f"a_c{c}", F.lit(0)), F.get(f"b_c{c}", F.lit(0)))
+    both = spread("a", wide).join(spread("b", 0.0), ["scenario_token", "cx", "cy"]).where((F.col("a_track_token") != F.col("b_track_token")) & first("x") & first("y"))
     both = both.where(~(F.col("a_kind").contains("PEDESTRIAN") & F.col("b_kind").contains("PEDESTRIAN")) & (F.hypot(gap("x"), gap("y")) <= t.crossing_pair_distance))
     return both.select("scenario_token", F.col("a_track_token").alias("s_track"), F.col("b_track_token").alias("o_track"))
 

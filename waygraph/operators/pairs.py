@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from waygraph.config import R, T, Relevance, Thresholds
 from waygraph.functions import kernels
@@ -109,26 +108,21 @@ def with_cpa(pairs: DataFrame, horizon_s: float = R.cpa_horizon_s, prefix: str =
     return pairs.withColumns({f"{prefix}_distance": center, f"{prefix}_clearance": center - half("s_") - half("o_"), f"{prefix}_closing": rv < 0})
 
 
-def _corners(batch: pa.RecordBatch, prefix: str) -> np.ndarray:
-    col = lambda c: batch.column(batch.schema.get_field_index(f"{prefix}{c}")).to_numpy(zero_copy_only=False).astype(float)
-    return kernels.boxes(*(np.nan_to_num(col(c)) for c in ("x", "y", "cos_h", "sin_h", "length_m", "width_m")))
-
-
 def with_footprints(pairs: DataFrame, t: Thresholds = T) -> DataFrame:
-    """free_space and overlap_area of the boxes by an Arrow kernel; gaps along the subject's axes in closed form."""
-    names = pairs.columns
-    schema = StructType([*pairs.schema.fields, StructField("free_space", DoubleType()), StructField("overlap_area", DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = _corners(batch, "s_"), _corners(batch, "o_")
-            known = np.ones(len(a), bool)
-            for c in ("s_length_m", "s_width_m", "o_length_m", "o_width_m"):
-                known &= ~np.asarray(batch.column(names.index(c)).is_null())
-            out = [pa.array(np.where(known, v, np.nan), pa.float64(), mask=~known) for v in (kernels.convex_distance(a, b), kernels.convex_overlap(a, b))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*names, "free_space", "overlap_area"])
-
-    df = pairs.mapInArrow(run, schema)
+    """free_space and overlap_area of the boxes by a vectorised kernel; gaps along the subject's axes in closed form."""
+    sides = [F.col(f"{p}{c}").cast("double") for p in ("s_", "o_") for c in ("x", "y", "cos_h", "sin_h", "length_m", "width_m")]
+
+    # twelve numbers go to the kernel, all other columns stay behind
+    @F.pandas_udf("free double, area double")
+    def boxes(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            columns = [c.to_numpy(dtype=float, na_value=np.nan) for c in part]
+            known = ~np.isnan(np.stack([columns[i] for i in (4, 5, 10, 11)])).any(0)
+            a, b = (kernels.boxes(*map(np.nan_to_num, columns[i : i + 6])) for i in (0, 6))
+            yield pd.DataFrame({"free": np.where(known, kernels.convex_distance(a, b), np.nan), "area": np.where(known, kernels.convex_overlap(a, b), np.nan)})
+
+    df = pairs.withColumn("boxes", boxes(*sides))
+    df = df.withColumn("free_space", F.col("boxes.free")).withColumn("overlap_area", F.col("boxes.area")).drop("boxes")
     turn = lambda f: F.abs(f)
     cos_d = F.col("o_cos_h") * F.col("s_cos_h") + F.col("o_sin_h") * F.col("s_sin_h")
     sin_d = F.col("o_sin_h") * F.col("s_cos_h") - F.col("o_cos_h") * F.col("s_sin_h")

@@ -52,8 +52,14 @@ def display_numbers(entities: DataFrame) -> DataFrame:
 
 def nearest_snapshot(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """Of rows (scenario_token, timestamp_us, ...), for each asked (scenario_token, at_us) the nearest in time; the earlier of two as near."""
-    both = asked.join(rows, "scenario_token")
-    return both.groupBy("scenario_token", "at_us").agg(F.min_by("timestamp_us", F.struct(F.abs(F.col("timestamp_us") - F.col("at_us")), "timestamp_us")).alias("timestamp_us"))
+    at = rows.select("scenario_token", F.col("timestamp_us").alias("t"), F.col("timestamp_us").alias("known"), F.lit(None).cast("bigint").alias("at_us"))
+    both = at.unionByName(asked.select("scenario_token", F.col("at_us").alias("t"), F.lit(None).cast("bigint").alias("known"), "at_us"))
+    order = Window.partitionBy("scenario_token").orderBy("t")
+    before, after = F.max("known").over(order.rangeBetween(Window.unboundedPreceding, 0)), F.min("known").over(order.rangeBetween(0, Window.unboundedFollowing))
+    near = both.withColumn("before", before).withColumn("after", after).where("at_us is not null").distinct()
+    earlier = F.col("after").isNull() | (F.col("at_us") - F.col("before") <= F.col("after") - F.col("at_us"))
+    found = near.select("scenario_token", "at_us", F.when(F.col("before").isNotNull() & earlier, F.col("before")).otherwise(F.col("after")).alias("timestamp_us"))
+    return found.where("timestamp_us is not null")
 
 
 def filter_scenarios(scenarios: DataFrame, types: tuple[str, ...] = (), logs: tuple[str, ...] = (), maps: tuple[str, ...] = (), tokens: tuple[str, ...] = (), per_type: int | None = None, total: int | float | None = None, seed: int | None = None) -> DataFrame:

@@ -66,7 +66,7 @@ def visibility(pairs: DataFrame, t: Thresholds = T) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(mask, pa.int32())], names=[*FRAME, "o_track", "b_track", "b_slot", "hit"])
 
     blocked = kept.mapInArrow(hits, schema).where("hit > 0")
-    first = blocked.withColumn("ray", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda i: F.expr("hit").bitwiseAND(F.expr("1")).isNotNull() & (F.pmod(F.floor(F.col("hit") / F.pow(F.lit(2), i)), F.lit(2)) == 1))))
+    first = blocked.withColumn("ray", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda i: F.pmod(F.floor(F.col("hit") / F.pow(F.lit(2), i)), F.lit(2)) == 1)))
     by_ray = first.groupBy(*FRAME, "o_track", "ray").agg(F.min_by("b_track", "b_slot").alias("blocker"))
     rays = by_ray.groupBy(*FRAME, "o_track").agg(F.count(F.lit(1)).alias("n_blocked"), F.array_sort(F.collect_set("blocker")).alias("blockers"))
     return seen.select(*FRAME, "o_track").join(rays, [*FRAME, "o_track"], "left").select(*FRAME, "o_track", (5 - F.coalesce("n_blocked", F.lit(0))).cast("int").alias("visible_rays"), F.coalesce("blockers", F.array().cast("array<string>")).alias("blockers"))

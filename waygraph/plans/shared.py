@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and checkpointed: in spark.checkpoint.dir, or in a folder of our own where that is unset."""
+    """df, computed once and checkpointed: in spark.checkpoint.dir; where that is unset, in a folder of our own on a single machine, an error on a cluster."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waygraph-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="waygraph-"))
     return df.checkpoint()

@@ -62,7 +62,7 @@ class Stages:
 
     @cached_property
     def footprints(self) -> DataFrame:
-        return pairs.with_footprints(self.kinematic)
+        return cut(pairs.with_footprints(self.kinematic))
 
     @cached_property
     def topology(self) -> DataFrame:
