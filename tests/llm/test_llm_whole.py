@@ -112,3 +112,55 @@ def test_training_rows_are_bounded(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
     assert 300 < len(common.training_rows(docs, labels, "toxic", ["text"], 1000, 10**9, 3)["text"]) < 1300
     assert sum(map(len, common.training_rows(docs, labels, "toxic", ["text"], 10**6, 100_000, 3)["text"])) < 150_000
+
+
+def test_shards_against_draws_in_python(spark):
+    """The tree's draws, by the hash's own library."""
+    import math
+
+    import xxhash
+    from pyspark.sql import functions as F
+
+    from waygraph.llm import sharding
+
+    tree = sharding.ShardTree((((1.0, 3.0), (2.0,)), ((2.0, 0.5), (2.0, 1.0, 1.0)))).grow(1.5)
+
+    def draw(key, child, weight, size):
+        h = xxhash.xxh64_intdigest(child.to_bytes(size, "little"), xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42))
+        return -math.log(((h & (1 << 52) - 1) + 0.5) / (1 << 52)) / weight
+
+    def shard(key):
+        least = lambda level, parent, weights: min((draw(key, level * 1_000_003 + parent * 1_009 + c, w, 4), c) for c, w in enumerate(weights) if w > 0)
+        d1, r = least(1, 0, [sum(map(sum, region)) for region in tree.regions])
+        d2, k = least(2, r, list(map(sum, tree.regions[r])))
+        rack = sum(len(x) for x in tree.regions[:r]) + k
+        d3, s = least(3, rack, tree.regions[r][k])
+        extra = draw(key, 9_000_000_007, 1.5, 8)
+        first = sum(len(x) for region in tree.regions[:r] for x in region) + sum(map(len, tree.regions[r][:k]))
+        return tree.n_base if extra < d1 else first + s
+
+    got = sharding.assign(spark.range(500).select(F.col("id").alias("key")), F.col("key"), tree, "shard").collect()
+    assert {r.key: r.shard for r in got} == {i: shard(i) for i in range(500)}
+
+
+def test_changed_weights_move_rows_only_into_their_subtree(spark):
+    from pyspark.sql import functions as F
+
+    from waygraph.llm import sharding
+
+    old = sharding.ShardTree((((1.0, 1.0), (1.0, 1.0)), ((1.0, 1.0), (1.0, 1.0))))
+    new = sharding.ShardTree((((1.0, 1.0), (1.0, 1.0)), ((1.0, 2.0), (1.0, 1.0))))
+    rows = spark.range(4000).select(F.col("id").alias("key"))
+    rows = sharding.assign(sharding.assign(rows, F.col("key"), old, "a", path=True).withColumnsRenamed({"region": "ra", "rack": "ka"}), F.col("key"), new, "b", path=True)
+    moved = rows.where("a <> b").collect()
+    assert 100 < len(moved) < 800
+    # into the region from the other one, into the rack from its neighbour, or into the shard itself
+    assert all(r.region == 1 for r in moved) and all(r.rack == 2 for r in moved if r.ra == 1) and all(r.b == 5 for r in moved if r.ka == 2)
+
+
+def test_equal_rows_get_slots_of_their_own(spark):
+    from waygraph.llm import sharding
+
+    rows = spark.createDataFrame([(7, 1, 0)] * 300 + [(8, 1, 1)] * 5, "doc_id long, text_crc32 long, shard int")
+    got = sharding.with_slots(rows, "shard", ["doc_id", "text_crc32"], 2).collect()
+    assert sorted(r.slot for r in got if r.shard == 0) == list(range(300)) and sorted(r.slot for r in got if r.shard == 1) == list(range(5))

@@ -91,16 +91,20 @@ def assign(rows: DataFrame, key: Column, tree: ShardTree, out: str, path: bool =
 
 
 def with_slots(rows: DataFrame, shard: str, order: list[str], n_shards: int) -> DataFrame:
-    """rows with slot: gapless from 0 in each shard. Rows are numbered in hash buckets; a bucket starts where those before it end."""
+    """rows with slot: gapless from 0 in each shard. Rows are numbered in hash buckets; a bucket starts where those before it end.
+
+    A row's place in what is written here parts equal rows, however many there are.
+    """
+    rows = materialize(rows.withColumn("__place", F.monotonically_increasing_id()), "shards")
     n = rows.count()
     buckets = max(1, -(-n // (n_shards * BUCKET_ROWS)))
-    rows = rows.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    rows = rows.withColumn("__b", F.pmod(F.xxhash64(*order, "__place"), F.lit(buckets)))
     sizes = rows.groupBy(shard, "__b").count()
     before = Window.partitionBy(shard).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col(shard).alias("__s"), F.col("__b").alias("__sb"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy(shard, "__b").orderBy(*order)))
+    numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy(shard, "__b").orderBy(*order, "__place")))
     joined = numbered.join(starts, (F.col(shard) == F.col("__s")) & (F.col("__b") == F.col("__sb")))
-    return joined.withColumn("slot", F.col("__start") + F.col("__n") - 1).drop("__b", "__n", "__s", "__sb", "__start")
+    return joined.withColumn("slot", F.col("__start") + F.col("__n") - 1).drop("__place", "__b", "__n", "__s", "__sb", "__start")
 
 
 #: 5 regions of 2 racks of 4 shards.
@@ -112,5 +116,5 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("key").alias("law"))
     rows = assign(rows, F.col("doc_id"), TREE, "shard", path=True)
-    rows = materialize(assign(rows, F.col("doc_id"), TREE.grow(), "grown_shard"), "shards")
+    rows = assign(rows, F.col("doc_id"), TREE.grow(), "grown_shard")
     return with_slots(rows, "shard", ["doc_id", "text_crc32"], TREE.n_base)
