@@ -38,8 +38,8 @@ def of_entities(df: DataFrame) -> DataFrame:
 
 
 def of_pairs(df: DataFrame, evidence: Iterable[str] = ()) -> DataFrame:
-    """Facts of s_track about o_track with a predicate and, where there is one, a value."""
-    return stated(df, entity("s_track"), entity("o_track"), number=F.col("value") if "value" in df.columns else None, evidence=evidence)
+    """Facts of s_track about o_track with a predicate and, where there is one, a value (number) or an object (text)."""
+    return stated(df, entity("s_track"), entity("o_track"), value=F.col("object") if "object" in df.columns else None, number=F.col("value") if "value" in df.columns else None, evidence=evidence)
 
 
 def united(families: Iterable[DataFrame]) -> DataFrame:
@@ -69,6 +69,32 @@ def holding_at(asserted: DataFrame, scenario: str, time_us: int) -> DataFrame:
     return asserted.where((F.col("scenario_token") == scenario) & F.lit(time_us).between(F.col("start_us"), F.col("end_us")))
 
 
+def selected(asserted: DataFrame, scenarios: tuple[str, ...] = (), categories: tuple[str, ...] = (), predicates: tuple[str, ...] = (), first_us: int | None = None, last_us: int | None = None) -> DataFrame:
+    """Facts of some scenarios, categories and predicates that hold at some time of a span; what isn't given isn't asked."""
+    for column, values in (("scenario_token", scenarios), ("category", categories), ("predicate", predicates)):
+        if values:
+            asserted = asserted.where(F.col(column).isin(*values))
+    if first_us is not None:
+        asserted = asserted.where(F.col("end_us") >= first_us)
+    return asserted if last_us is None else asserted.where(F.col("start_us") <= last_us)
+
+
+def about(asserted: DataFrame, kinds: tuple[str, ...], entities: DataFrame) -> DataFrame:
+    """Facts whose subject is a road user of some types (agent_type of the canonical entities)."""
+    named = entities.where(F.upper("agent_type").isin(*kinds)).select(entity("track_token").alias("subject_id"))
+    return asserted.join(named, "subject_id", "left_semi")
+
+
+def in_both(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Facts of one run that the other states too."""
+    return one.join(other.select("assertion_id"), "assertion_id", "left_semi")
+
+
+def only_in(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Facts of one run that the other doesn't state."""
+    return one.join(other.select("assertion_id"), "assertion_id", "left_anti")
+
+
 def with_pairs(asserted: DataFrame, members: DataFrame) -> DataFrame:
     """asserted with member_subject and member_object: of facts whose subject is a pair, its members (pair_id, s_id, o_id); else null."""
     named = members.select(F.col("pair_id").alias("subject_id"), F.col("s_id").alias("member_subject"), F.col("o_id").alias("member_object"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waygraph.config import T, Thresholds
+from waygraph.functions.angles import wrap
 from waygraph.functions.classifiers import is_dynamic
 from waygraph.operators.entities import KEYS, unpivot
 from waygraph.operators.following import streaks
@@ -32,6 +33,30 @@ def future_coverage(entities: DataFrame, t: Thresholds = T) -> DataFrame:
     return df.select(*KEYS, "samples", (F.col("samples") * t.future_step_s).alias("duration_s"), (F.col("samples") / wanted).alias("coverage"), (F.col("samples") / wanted < t.future_coverage).alias("insufficient"))
 
 
+def future_positions(entities: DataFrame, t: Thresholds = T) -> DataFrame:
+    """KEYS, sample (from 1), at_us, x, y, heading: where the track is at the target times of the horizon.
+
+    Linear between the two samples that bracket a time, the heading the shorter way;
+    nothing where they lie further apart than the longest gap.
+    """
+    horizon, step, gap = int(t.future_horizon_s * 1e6), int(t.future_step_s * 1e6), int(t.sample_interval_s * t.maximum_gap_factor * 1e6)
+    ahead = Window.partitionBy("scenario_token", "track_token").orderBy("timestamp_us").rangeBetween(0, horizon + gap)
+    df = entities.select(*KEYS, F.collect_list(F.struct(F.col("timestamp_us").alias("t"), "x", "y", "heading")).over(ahead).alias("seen"))
+    df = df.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(horizon // step)))).withColumn("at_us", F.col("timestamp_us") + F.col("sample") * step)
+    df = df.withColumn("a", F.element_at(F.filter("seen", lambda v: v.t <= F.col("at_us")), -1)).withColumn("b", F.get(F.filter("seen", lambda v: v.t >= F.col("at_us")), F.lit(0))).where(F.col("b.t") - F.col("a.t") <= gap)
+    share = F.when(F.col("b.t") == F.col("a.t"), F.lit(0.0)).otherwise((F.col("at_us") - F.col("a.t")) / (F.col("b.t") - F.col("a.t")))
+    between = lambda c: F.col(f"a.{c}") + share * (F.col(f"b.{c}") - F.col(f"a.{c}"))
+    return df.select(*KEYS, "sample", "at_us", between("x").alias("x"), between("y").alias("y"), wrap(F.col("a.heading") + share * wrap(F.col("b.heading") - F.col("a.heading"))).alias("heading"))
+
+
+def footprints_at(positions: DataFrame, entities: DataFrame) -> DataFrame:
+    """positions with the corners of the track's box there: corners, an array of (x, y)."""
+    half = lambda c, sign: F.col(c) / 2 * sign
+    corner = lambda a, b: F.struct((F.col("x") + F.cos("heading") * half("length_m", a) - F.sin("heading") * half("width_m", b)).alias("x"), (F.col("y") + F.sin("heading") * half("length_m", a) + F.cos("heading") * half("width_m", b)).alias("y"))
+    sized = positions.join(entities.select(*KEYS, "length_m", "width_m"), list(KEYS))
+    return sized.withColumn("corners", F.array(*(corner(a, b) for a, b in ((1, 1), (1, -1), (-1, -1), (-1, 1))))).drop("length_m", "width_m")
+
+
 def coverage_facts(covered: DataFrame) -> DataFrame:
     """Numbers of the future coverage, and hasInsufficientFutureEvidence (1) where it is too small."""
     return unpivot(covered, KEYS, {"hasFutureSampleCount": F.col("samples"), "hasAvailableFutureDuration": F.col("duration_s"), "hasFutureCoverageRatio": F.col("coverage"), "hasInsufficientFutureEvidence": F.when(F.col("insufficient"), F.lit(1.0))})

@@ -219,6 +219,11 @@ def topology_states(scored: DataFrame) -> DataFrame:
     return scored.select(*PAIR_KEYS, F.explode(F.filter(both, lambda p: p.isNotNull())).alias("predicate"))
 
 
+def topology_texts(scored: DataFrame) -> DataFrame:
+    """hasSpatialMapRelation of each pair."""
+    return scored.select(*PAIR_KEYS, F.lit("hasSpatialMapRelation").alias("predicate"), F.col("map_relation").alias("object"))
+
+
 def map_facts(df: DataFrame) -> DataFrame:
     """Numbers of the primary match."""
     return unpivot(

@@ -32,6 +32,21 @@ def counts(facts: DataFrame, definitions: DataFrame) -> DataFrame:
     return n.join(definitions.select("predicate", "category"), "predicate", "left").orderBy(F.desc("n"), "predicate")
 
 
+def coverage(facts: DataFrame, definitions: DataFrame) -> DataFrame:
+    """predicate, status, n, covered: each predicate of the catalogue, how often it is stated, and whether all enabled ones are."""
+    n = facts.groupBy("predicate").agg(F.count(F.lit(1)).alias("n"))
+    each = definitions.select("predicate", "status").join(n, "predicate", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return each.withColumn("covered", (F.col("n") > 0) | (F.col("status") != "enabled"))
+
+
+def scenario_summaries(entities: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """One row a scenario: frames, tracks, states, seconds, mean speed and states a second."""
+    speed = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))
+    own = entities.groupBy("scenario_token").agg(F.count_distinct("track_token").alias("n_tracks"), F.count(F.lit(1)).alias("n_states"), ((F.max("timestamp_us") - F.min("timestamp_us")) / 1e6).alias("seconds"), F.avg(speed).alias("mean_speed"))
+    own = own.withColumn("states_per_second", F.when(F.col("seconds") > 0, F.col("n_states") / F.col("seconds")))
+    return scenarios.select("scenario_token", "scenario_type", "n_frames").join(own, "scenario_token", "left")
+
+
 def truth_counts(facts: DataFrame, definitions: DataFrame) -> DataFrame:
     """native, measured and semantic facts."""
     kind = F.when(F.col("native"), "native").when(F.col("value_type") == "BOOLEAN", "semantic").otherwise("measurement")

@@ -155,6 +155,18 @@ def decisions(scored: DataFrame) -> DataFrame:
     return scored.where("relevant").select(*PAIR, F.when(F.col("s_is_ego"), "isRelevantToEgo").otherwise("isRelevantPair").alias("predicate"), "score", "primary_reason", "route_relation", "reasons")
 
 
+def decision_texts(scored: DataFrame) -> DataFrame:
+    """Reasons, main reason and route relation of each relevant pair."""
+    named = F.transform("reasons", lambda r: F.struct(F.lit("hasRelevanceReason").alias("predicate"), r.alias("object")))
+    more = F.array(*(F.struct(F.lit(p).alias("predicate"), F.col(c).alias("object")) for p, c in (("hasPrimaryRelevanceReason", "primary_reason"), ("hasRouteRelation", "route_relation"))))
+    return scored.where("relevant").select(*PAIR, F.explode(F.concat(named, more)).alias("p")).select(*PAIR, "p.predicate", "p.object")
+
+
+def decision_scores(scored: DataFrame) -> DataFrame:
+    """hasRelevanceScore of each relevant pair."""
+    return scored.where("relevant").select(*PAIR, F.lit("hasRelevanceScore").alias("predicate"), F.col("score").alias("value"))
+
+
 def audit(scored: DataFrame, chosen: DataFrame) -> DataFrame:
     """Every ego decision, and whether it was selected."""
     picked = chosen.select(*PAIR).withColumn("selected", F.lit(True))

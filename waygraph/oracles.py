@@ -226,6 +226,11 @@ _NEW = {
     "pair_identity": PAIRS + f""", z as (select *, concat('pair:', scenario_token, ':', timestamp_us, ':', tag, ':', substring(sha256(concat(scenario_token, '|', timestamp_us, '|', tag, '|', s_track, '|', o_track)), 1, 24)) as pair_id from k)
         select {PAIR}, pair_id, 'hasPairwiseState' as predicate, pair_id as object from z union all select {PAIR}, pair_id, 'pairSubject', s_track from z union all select {PAIR}, pair_id, 'pairObject', o_track from z""",
     "interesting_agents": PAIRS + ", z as (select scenario_token, o_track, d, " + f"list_min([{', '.join(f'sqrt(power(dx + dvx * {i / 2}, 2) + power(dy + dvy * {i / 2}, 2))' for i in range(11))}]) - (sqrt(s_length_m * s_length_m + s_width_m * s_width_m) + sqrt(o_length_m * o_length_m + o_width_m * o_width_m)) / 2 as least, ahead, aside from k where s_is_ego) select scenario_token, o_track, count(*) as n_frames, round(min(d), 6) as least_distance from z where d <= 40 or ahead between 0 and 70 and abs(aside) <= 3.5 or least <= 3 group by all",
+    "future_positions": E + f""", t as (select {KEYS}, list({{'t': timestamp_us, 'x': x, 'y': y, 'h': heading}}) over (partition by scenario_token, track_token order by timestamp_us range between current row and 6750000 following) as seen from e),
+        i as (select *, unnest(range(1, 13)) as sample from t), j as (select *, timestamp_us + sample * 500000 as at_us from i), k as (select *, list_filter(seen, lambda v: v.t <= at_us)[-1] as a, list_filter(seen, lambda v: v.t >= at_us)[1] as b from j),
+        l as (select *, case when b.t = a.t then 0.0 else (at_us - a.t) / (b.t - a.t) end as share from k where b.t - a.t <= 750000)
+        select {KEYS}, cast(sample as int) as sample, at_us, round(a.x + share * (b.x - a.x), 6) as x, round(a.y + share * (b.y - a.y), 6) as y, round({WRAP.format("a.h + share * " + WRAP.format("b.h - a.h"))}, 6) as heading from l""",
+    "scenario_summaries": _SCENARIO + " select scenario_token, scenario_type, n_frames, count(distinct track_token) as n_tracks, count(*) as n_states, round((max(timestamp_us) - min(timestamp_us)) / 1e6, 6) as seconds, round(avg(sqrt(vx * vx + vy * vy)), 6) as mean_speed, round(count(*) / nullif((max(timestamp_us) - min(timestamp_us)) / 1e6, 0), 6) as states_per_second from e join s using (scenario_token) group by scenario_token, scenario_type, n_frames",
     "future_coverage": E + f""", t as (select {KEYS}, list(timestamp_us) over (partition by scenario_token, track_token order by timestamp_us range between current row and 6750000 following) as times from e),
         a as (select *, list_filter(range(1, 13), lambda i: coalesce(list_min(list_filter(times, lambda v: v >= timestamp_us + i * 500000)) - list_max(list_filter(times, lambda v: v <= timestamp_us + i * 500000)) <= 750000 and list_max(list_filter(times, lambda v: v <= timestamp_us + i * 500000)) > timestamp_us + i * 500000 - 750000 and list_min(list_filter(times, lambda v: v >= timestamp_us + i * 500000)) < timestamp_us + i * 500000 + 750000, false)) as held from t)
         select {KEYS}, len(held) as samples, len(held) * 0.5::double as duration_s, round(len(held) / 12, 6) as coverage, len(held) / 12 < 0.75 as insufficient from a""",
@@ -310,6 +315,9 @@ _STATED += [
     f"select predicate from ({_facts(TOPOLOGY, 'tp', PAIR, _TOPOLOGY)})",
     f"select unnest(list_filter([case when same_lane then 'inSameLaneAs' end, case when shared then 'sharesIntersectionWith' end], lambda z: z is not null)) as predicate from ({TOPOLOGY} select * from tp)",
     f"select case when s_is_ego then 'isRelevantToEgo' else 'isRelevantPair' end as predicate from ({SCORED} select * from sc where relevant)",
+    f"select 'hasSpatialMapRelation' as predicate from ({TOPOLOGY} select * from tp)",
+    f"select unnest(list_concat(list_transform(reasons, lambda z: 'hasRelevanceReason'), ['hasPrimaryRelevanceReason', 'hasRouteRelation', 'hasRelevanceScore'])) as predicate from ({SCORED} select * from sc where relevant)",
+    f"select unnest(['hasFuturePosition', 'hasFutureFootprint']) as predicate from ({SQL['way_future_positions']})",
     f"select 'crossesInFrontOf' as predicate from ({SQL['way_crossings']})",
     f"select unnest(list_filter(['hasFutureSampleCount', 'hasAvailableFutureDuration', 'hasFutureCoverageRatio', case when insufficient then 'hasInsufficientFutureEvidence' end], lambda z: z is not null)) as predicate from ({SQL['way_future_coverage']})",
 ]
@@ -318,6 +326,7 @@ _ME = "case when track_token = 'ego' then concat('ego:', scenario_token, ':', ti
 _LAST = {
     "predicate_counts": _COUNTED + " select predicate, category, n from n join def using (predicate)",
     "truth_counts": _COUNTED + " select case when native then 'native' when kind = 'BOOLEAN' then 'semantic' else 'measurement' end as kind, sum(n) :: bigint as n from n join def using (predicate) group by 1",
+    "coverage": _COUNTED.replace("as (values", "as (values", 1) + f" select predicate, case when predicate in ({', '.join(repr(p) for p, *_, status in catalog.rows() if status != 'enabled')}) then 'catalog_only' else 'enabled' end as status, coalesce(n, 0) as n, coalesce(n, 0) > 0 or predicate in ({', '.join(repr(p) for p, *_, status in catalog.rows() if status != 'enabled')}) as covered from def left join n using (predicate)",
     "unknown_predicates": f"with def(predicate, category, kind, native) as (values {_CATALOG}), t as (select * replace (case when frame_index % 10 = 3 then concat(predicate, 'Raw') else predicate end as predicate) from ({SQL['way_temporal_facts']})) select predicate, scenario_token, frame_index, timestamp_us, track_token, value from t anti join def using (predicate)",
     "n_triples": f"""with def(predicate, category, kind, native) as (values {_CATALOG}),
         f as (select scenario_token, timestamp_us, predicate, {_ME} as subject, null as object, object as value, null as number from ({SQL['way_structure_facts']}) union all select scenario_token, timestamp_us, predicate, {_ME}, null, null, cast(cast(value as decimal(38, 6)) as varchar) from ({SQL['way_pose_facts']})

@@ -88,6 +88,10 @@ class Stages:
         s = self.scene
         return following.leaders(self.matched, following.unbranched_paths(s.map_objects, s.map_edges), s.scenarios)
 
+    @cached_property
+    def futures(self) -> DataFrame:
+        return future.future_positions(self.scene.entities)
+
     @cached_property
     def crossings(self) -> DataFrame:
         parked = crossing.parked(self.scene.entities)
@@ -114,6 +118,9 @@ FAMILIES: dict[str, Callable[[Stages], DataFrame]] = {
     "pair_history": lambda s: of_pairs(pairs.pair_history_facts(pairs.with_pair_history(s.footprints))),
     "pair_topology": lambda s: of_pairs(mapmatch.topology_facts(s.scored)),
     "pair_map": lambda s: of_pairs(mapmatch.topology_states(s.scored)),
+    "pair_relation": lambda s: of_pairs(mapmatch.topology_texts(s.scored)),
+    "relevance_texts": lambda s: of_pairs(relevance.decision_texts(s.scored)),
+    "relevance_scores": lambda s: of_pairs(relevance.decision_scores(s.scored)),
     "spatial": lambda s: of_pairs(spatial.spatial_facts(s.scored)),
     "relevance": lambda s: of_pairs(relevance.decisions(s.scored), ("score", "primary_reason", "route_relation", "reasons")),
     "traffic_light": lambda s: stated(traffic.signal_facts(s.signals), F.col("signal_id"), F.col("object")),
@@ -122,6 +129,8 @@ FAMILIES: dict[str, Callable[[Stages], DataFrame]] = {
     "crossing": lambda s: stated(s.crossings.withColumn("predicate", F.lit("crossesInFrontOf")), entity("s_track"), entity("o_track"), start=F.col("start_us"), evidence=("conflict_x", "conflict_y", "angle", "s_eta", "eta_gap", "score")),
     "maneuver": lambda s: stated(BUILD["maneuvers"](s), entity("track_token"), F.col("object_id")),
     "intent": lambda s: stated(BUILD["intents"](s), entity("s_track"), entity("o_track"), start=F.col("start_us")),
+    "future_position": lambda s: stated(s.futures.withColumn("predicate", F.lit("hasFuturePosition")), entity("track_token"), value=F.to_json(F.struct("x", "y", "heading")), end=F.col("at_us"), evidence=("sample", "at_us")),
+    "future_footprint": lambda s: stated(future.footprints_at(s.futures, s.scene.entities).withColumn("predicate", F.lit("hasFutureFootprint")), entity("track_token"), value=F.to_json("corners"), end=F.col("at_us"), evidence=("sample", "at_us")),
     "future": lambda s: of_entities(future.coverage_facts(future.future_coverage(s.scene.entities))),
 }
 #: Those that come from the scans of whole tracks.
@@ -192,6 +201,9 @@ BUILD: dict[str, Callable[[Stages], DataFrame]] = {
     "maneuvers": lambda s: maneuvers.maneuver_facts(s.matched, s.scene.scenarios, s.scene.map_adjacency),
     "future_links": lambda s: future.future_links(s.scene.entities),
     "future_coverage": lambda s: future.future_coverage(s.scene.entities),
+    "future_positions": lambda s: s.futures,
+    "coverage": lambda s: query.coverage(assertions_of(s, tuple(FAMILIES)).select("predicate"), catalog.definitions(s.spark)),
+    "scenario_summaries": lambda s: query.scenario_summaries(s.scene.entities, s.scene.scenarios),
     "intents": lambda s: future.intents(s.kinematic, s.scene.frames),
     "assertions": lambda s: assertions_of(s),
     "predicate_counts": lambda s: query.counts(assertions_of(s, tuple(FAMILIES)).drop("category"), catalog.definitions(s.spark)),
