@@ -65,6 +65,8 @@ def map_arrow(df: DataFrame, kernel: Callable[[dict[str, list]], dict[str, list]
             if batch.num_rows:
                 got = kernel({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
+        # the worker lives on: what this task has freed goes back
+        pa.default_memory_pool().release_unused()
 
     return bounded_batches(df).mapInArrow(run, schema)
 

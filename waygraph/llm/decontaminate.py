@@ -34,7 +34,7 @@ LEAST_TOKENS = 12
 LEAST_IDENTITY = 0.75
 #: Bits of the bitmap: 16 MB, whatever the benchmark's size.
 BITMAP_BITS = 1 << 27
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
 
 def token_codes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
@@ -152,47 +152,34 @@ def _leaks(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...], least: int
     """What find_leaks gives, and text_hash of the document's text.
 
     Hits are reduced to pairs of row and diagonal before any text is joined; a
-    document's text moves once, and gives for each diagonal the tokens that lie
-    over the item.
+    document's text then moves once, to the items and diagonals that it asks for.
     """
     items = materialize(benchmark_items(bench), "items")
     windows = materialize(benchmark_windows(items, masks), "windows")
     found = materialize(candidates(docs, bitmap(windows), masks).withColumn("row", F.monotonically_increasing_id()), "candidates")
     hits = found.select("row", F.explode("hits").alias("h")).select("row", F.col("h.hash").alias("hash"), F.col("h.pos").alias("pos"))
     pairs = hits.join(windows, "hash").select("row", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
-    asked = pairs.join(items.select("item", "n"), "item").groupBy("row").agg(F.collect_list(F.struct("item", "diagonal", "n")).alias("asked"))
+    asked = pairs.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item").groupBy("row").agg(F.collect_list(F.struct("item", "item_id", "diagonal", "item_text")).alias("asked"))
     whole = found.select("row", "doc_id", F.xxhash64("text").alias("text_hash"), "text").join(asked, "row")
-    doc_kind, item_kind = dict(docs.dtypes)["doc_id"], dict(bench.dtypes)["item_id"]
-
-    def lay(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("row", "doc_id", "text_hash", "item", "diagonal", "first", "part")}
-        for row, doc_id, text_hash, text, own in zip(cols["row"], cols["doc_id"], cols["text_hash"], cols["text"], cols["asked"], strict=True):
-            words = words_of(text)
-            for x in own:
-                lo = max(0, x["diagonal"])
-                part = b" ".join(words[lo : max(lo, x["diagonal"] + x["n"])]).decode("utf-8", "surrogatepass")
-                for k, v in zip(out, (row, doc_id, text_hash, x["item"], x["diagonal"], lo, part), strict=True):
-                    out[k].append(v)
-        return out
-
-    laid = map_arrow(whole, lay, f"row bigint, doc_id {doc_kind}, text_hash bigint, item bigint, diagonal int, first int, part string")
-    both = laid.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
 
     def verify(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("row", "doc_id", "text_hash", "item_id", "doc_pos", "item_pos", "n_tokens", "n_match")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "text_hash", "item_id", "doc_pos", "item_pos", "n_tokens", "n_match")}
         known: dict[int, list[bytes]] = {}
-        for row, doc_id, text_hash, number, item_id, diagonal, first, part, text in zip(*(cols[c] for c in ("row", "doc_id", "text_hash", "item", "item_id", "diagonal", "first", "part", "item_text")), strict=True):
-            if number not in known:
-                known[number] = words_of(text)
-            at, n, same = best_stretch(words_of(part), known[number], diagonal - first, identity)
-            if n >= least:
-                for k, v in zip(out, (row, doc_id, text_hash, item_id, first + at, first + at - diagonal, n, same), strict=True):
+        for doc_id, text_hash, text, own in zip(cols["doc_id"], cols["text_hash"], cols["text"], cols["asked"], strict=True):
+            words, best = words_of(text), {}
+            for x in own:
+                if x["item"] not in known:
+                    known[x["item"]] = words_of(x["item_text"])
+                at, n, same = best_stretch(words, known[x["item"]], x["diagonal"], identity)
+                # of one item's overlaps the one with most matches, then the first
+                if n >= least and (mine := (same, -at, x["diagonal"] - at, n)) > best.get(x["item_id"], (0,)):
+                    best[x["item_id"]] = mine
+            for item_id, (same, at, item_pos, n) in best.items():
+                for k, v in zip(out, (doc_id, text_hash, item_id, -at, -item_pos, n, same), strict=True):
                     out[k].append(v)
         return out
 
-    leaks = map_arrow(both, verify, f"row bigint, doc_id {doc_kind}, text_hash bigint, item_id {item_kind}, doc_pos int, item_pos int, n_tokens int, n_match int")
-    best = leaks.groupBy("row", "doc_id", "text_hash", "item_id").agg(F.max_by(F.struct("doc_pos", "item_pos", "n_tokens", "n_match"), F.struct("n_match", -F.col("doc_pos"), -F.col("item_pos"))).alias("b"))
-    return best.select("doc_id", "text_hash", "item_id", "b.doc_pos", "b.item_pos", "b.n_tokens", "b.n_match")
+    return map_arrow(whole.select("doc_id", "text_hash", "text", "asked"), verify, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash bigint, item_id {dict(bench.dtypes)['item_id']}, doc_pos int, item_pos int, n_tokens int, n_match int")
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...] = MASKS, least: int = LEAST_TOKENS, identity: float = LEAST_IDENTITY) -> DataFrame:

@@ -30,13 +30,13 @@ by one; an empty table gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,13 +48,13 @@ MARK = "▁"
 #: Units that travel to every task, and documents of the sample that they are taken from, at most.
 HEAD, HEAD_SAMPLE = 200_000, 20_000
 #: A block is closed once it has so many words.
-BLOCK_WORDS = 400_000
-KEPT_UNITS = 200_000
+BLOCK_WORDS = 250_000
+KEPT_UNITS = 50_000
 #: Places of a unit that a long has bits for.
 MOST_BITS = 62
 ALL_BITS = (1 << 63) - 1
-#: Rows that are decoded at a time.
-SLICE = 128
+#: Units, in whole documents, that are decoded at a time.
+SLICE = 100_000
 PRIME = (1 << 31) - 1
 BASE = 1_000_003
 UNKNOWN_SCORE = -1e4
@@ -161,9 +161,11 @@ def unit_counts(docs: DataFrame, model: PieceModel) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             units, many = split.units(list(counts))
-            named = pd.Series(np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), many)).groupby(np.array(units, object)).sum()
+            named: defaultdict[str, int] = defaultdict(int)
+            for unit, n in zip(units, np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), many).tolist(), strict=True):
+                named[unit] += n
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(named.index.tolist(), pa.string()), pa.array(named.to_numpy(), pa.int64())], ["unit", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(named), pa.string()), pa.array(list(named.values()), pa.int64())], ["unit", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -185,7 +187,7 @@ def frequent_units(docs: DataFrame, model: PieceModel, head: int = HEAD) -> pa.T
 
 
 def blocks(docs: DataFrame, model: PieceModel, known: Shared, words: int = BLOCK_WORDS) -> DataFrame:
-    """block, rare (units that aren't among the known ones), and its documents: doc_ids, digests of their texts, sizes and places (packed numbers of units, the known ones first)."""
+    """block, check (of its texts), rare (units that aren't among the known ones, packed), and its documents: doc_ids, digests of their texts, sizes and places (packed numbers of units, the known ones first)."""
     shared = Shared(docs.sparkSession, model)
     slim = docs.select("doc_id", "text")
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -210,10 +212,9 @@ def blocks(docs: DataFrame, model: PieceModel, known: Shared, words: int = BLOCK
             place = number[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
             sizes = np.diff(np.concatenate([[0], ends])[np.cumsum([0, *map(len, rows)])])
             own.clear()
-            # unique, and another one where a second reading would part the documents otherwise
-            name = np.array([TaskContext.get().partitionId(), made], "<i4").tobytes() + xxhash.xxh3_128_digest(b"".join(digests))
-            columns = [([name], pa.binary()), ([list(rare)], pa.list_(pa.string())), ([ids], pa.list_(id_type)), ([digests], pa.list_(pa.binary())), ([sizes.astype("<i8").tobytes()], pa.binary()), ([packed(place)], pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns], ["block", "rare", "doc_ids", "digests", "sizes", "places"])
+            check = xxhash.xxh32_intdigest(b"".join(digests)) >> 1
+            columns = [([TaskContext.get().partitionId() << 32 | made], pa.int64()), ([check], pa.int64()), ([packed_texts(list(rare))], pa.binary()), ([ids], pa.list_(id_type)), ([digests], pa.list_(pa.binary())), ([sizes.astype("<i8").tobytes()], pa.binary()), ([packed(place)], pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns], ["block", "check", "rare", "doc_ids", "digests", "sizes", "places"])
 
         for batch in batches:
             id_type = batch.schema.field(0).type
@@ -229,7 +230,7 @@ def blocks(docs: DataFrame, model: PieceModel, known: Shared, words: int = BLOCK
         if ids:
             yield close()
 
-    return bounded_batches(slim).mapInArrow(run, f"block binary, rare array<string>, doc_ids array<{kind}>, digests array<binary>, sizes binary, places binary")
+    return bounded_batches(slim).mapInArrow(run, f"block bigint, check bigint, rare binary, doc_ids array<{kind}>, digests array<binary>, sizes binary, places binary")
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -238,6 +239,20 @@ def packed(numbers: np.ndarray) -> bytes:
     return np.int64(len(numbers)).tobytes() + pa.Codec("zstd", compression_level=3).compress(planes, asbytes=True)
 
 
+def packed_texts(texts: list[str]) -> bytes:
+    """Texts as their lengths and their characters behind each other, both compressed."""
+    lengths = packed(np.fromiter(map(len, texts), np.int64, len(texts)))
+    joined = "".join(texts).encode("utf-8", "surrogatepass")
+    return np.array([len(lengths), len(joined)], np.int64).tobytes() + lengths + pa.Codec("zstd", compression_level=3).compress(joined, asbytes=True)
+
+
+def unpacked_texts(data: bytes) -> list[str]:
+    n, size = np.frombuffer(data[:16], np.int64).tolist()
+    joined = pa.Codec("zstd").decompress(data[16 + n :], size, asbytes=True).decode("utf-8", "surrogatepass")
+    ends = [0, *np.cumsum(unpacked(data[16 : 16 + n])).tolist()]
+    return [joined[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def unpacked(data: bytes) -> np.ndarray:
     n = int(np.frombuffer(data[:8], np.int64)[0])
     planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 4 * n, asbytes=True), "<u2").astype(np.int64)
@@ -449,13 +464,13 @@ def _encoded(docs: DataFrame, model: PieceModel, head: int, words: int, finish:
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, rare in zip(batch.column(0), batch.column(1), strict=True):
-                units = rare.values
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(units), pa.binary()), pa.array(np.arange(len(units)), pa.int32()), units], ["block", "idx", "unit"])
+            for block, check, rare in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                units = unpacked_texts(rare)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), block)), pa.array(check << 32 | np.arange(len(units))), pa.array(units, pa.string())], ["block", "place", "unit"])
 
-    named = bounded_batches(moved).mapInArrow(name, "block binary, idx int, unit string")
+    named = bounded_batches(moved).mapInArrow(name, "block bigint, place bigint, unit string")
     cut = folded(edges(named.select("unit").distinct(), piece_table(spark, model), model.longest, model.kind), ["unit"], model.kind)
-    codes = named.join(cut, "unit").groupBy("block").agg(F.collect_list(F.struct("idx", "cut")).alias("cuts"))
+    codes = named.join(cut, "unit").groupBy("block").agg(F.collect_list(F.struct("place", "cut")).alias("cuts"))
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,10 +481,14 @@ def _encoded(docs: DataFrame, model: PieceModel, head: int, words: int, finish:
                 yield from give(model, head, assemble, {n: batch.column(i)[at] for i, n in enumerate(batch.schema.names)})
 
     def give(model: PieceModel, head: Known, assemble: Assembler, row: dict[str, pa.Scalar]) -> Iterator[pa.RecordBatch]:
-        units, cuts = row["rare"].values.to_pylist(), row["cuts"].values
+        units, cuts = unpacked_texts(row["rare"].as_py()), row["cuts"].values
         found = np.full(len(units), -1, np.int64)
         if row["cuts"].is_valid:
-            found[cuts.field("idx").to_numpy()] = np.arange(len(cuts))
+            place = cuts.field("place").to_numpy()
+            # were the documents read twice and parted otherwise, the units would be others
+            if (place >> 32 != row["check"].as_py()).any():
+                raise RuntimeError("the documents changed between two readings of them")
+            found[place & 0xFFFFFFFF] = np.arange(len(cuts))
             cuts = cuts.field("cut").take(pa.array(found, mask=found < 0))
         else:
             cuts = pa.nulls(len(units), pa.int64())
@@ -480,8 +499,8 @@ def _encoded(docs: DataFrame, model: PieceModel, head: int, words: int, finish:
         stops = np.concatenate([[0], np.cumsum(sizes)])
         doc_ids, digests = row["doc_ids"].values, row["digests"].values.to_pylist()
         # few documents at a time, as each is held as ids and text
-        for at in range(0, len(sizes), SLICE):
-            end = min(at + SLICE, len(sizes))
+        cuts = np.searchsorted(stops, np.arange(0, stops[-1] + SLICE, SLICE), "left").clip(0, len(sizes))
+        for at, end in itertools.pairwise(np.unique([0, *cuts.tolist(), len(sizes)]).tolist()):
             place = places[stops[at] : stops[end]]
             size = many[place]
             ends = np.cumsum(size)
