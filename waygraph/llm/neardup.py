@@ -12,12 +12,17 @@ is dropped, all others are verified on the full sets.
 Equal word sequences are one node.  Buckets are worked off in three rounds, so
 that no bucket is expanded into all its pairs: each node against the least member
 of its buckets, then members of buckets that still have several components against
-the bucket's most typical member, then each member outside a bucket's main
-component against all members of other components.  Nodes that share a component
-need no further pair, so components come out as if every pair of every bucket had
-been verified.  In the last two rounds each node's shingles that no other node of
-these buckets has are counted: two sets share at most what either shares with
-anyone, an exact bound that spares pairs and nodes that can't be linked.
+the bucket's most typical member.  In both latter rounds each node's shingles that
+no other node of these buckets has are counted: two sets share at most what either
+shares with anyone, an exact bound that spares pairs and nodes that can't be linked.
+The third round leaves the buckets: with all shingles ordered from the rarest on, two
+linked sets share one among the first n - ceil(percent * n / 100) + 1 of each, so
+members of different components meet only over a rare shingle (an exact filter), and
+only if four bits of each register agree often enough (lost with MISSED at most).
+A pair meets over its first common shingle alone, where that is among the FIRST
+shared ones of both.
+Nodes that share a component need no further pair, so components come out as if
+every pair of every bucket had been verified.
 
 Defined results: null texts and texts without words are empty and linked with
 nothing; with fewer words than a shingle the whole sequence is one shingle; rows of
@@ -28,13 +33,14 @@ gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import map_arrow, materialize, table
+from waygraph.llm.common import map_arrow, materialize, set_aside, table
 
 BASE = 1.001
 RATE = 20.0
@@ -42,7 +48,11 @@ LEVELS = 65_534
 #: Bands of ROWS registers: a pair at 0.8 is missed with (1 - 0.8 ** 4) ** 32, about 5e-8.
 BANDS, ROWS = 32, 4
 PRUNE = 18.0
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
+#: Probability that a pair at the threshold has too few agreeing bits.
+MISSED = 1e-10
+#: Bits of a register that are compared, and rarest shared shingles that a member names.
+BITS, FIRST = 4, 64
 
 
 @dataclass(frozen=True)
@@ -159,7 +169,8 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, linking: Linking) -> DataFram
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, linking: Linking) -> DataFrame:
     """Of pairs (a, b) those linked, by their full sets."""
     side = lambda s: texts.select(F.col("key").alias(s), F.col("text").alias(f"text_{s}"))
-    both = _plausible(pairs, nodes, linking).join(side("b"), "b").join(side("a"), "a")
+    # written, so that one task never runs both kernels
+    both = materialize(_plausible(pairs, nodes, linking), "pairs").join(side("b"), "b").join(side("a"), "a")
     k, least = linking.words, linking.percent
 
     def shingles(text: str) -> set:
@@ -219,8 +230,8 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(named.join(main, "band"), "mixed")
 
 
-def _alone(keys: DataFrame, texts: DataFrame, linking: Linking) -> DataFrame:
-    """key, alone: how many of its shingles no other of the keys has."""
+def _codes(keys: DataFrame, texts: DataFrame, linking: Linking) -> tuple[DataFrame, DataFrame]:
+    """key, node of the keys, and node, code of all their shingles."""
     ids = materialize(keys.withColumn("node", F.monotonically_increasing_id()), "ids")
     k = linking.words
     state: dict = {}
@@ -240,10 +251,67 @@ def _alone(keys: DataFrame, texts: DataFrame, linking: Linking) -> DataFrame:
         return {"node": cols["node"], "codes": out}
 
     codes = map_arrow(ids.join(texts, "key").select("node", "text"), kernel, "node bigint, codes array<bigint>")
-    once = codes.select("node", F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    return ids, codes.select("node", F.explode("codes").alias("code"))
+
+
+def _alone(keys: DataFrame, texts: DataFrame, linking: Linking) -> DataFrame:
+    """key, alone: how many of its shingles no other of the keys has."""
+    ids, codes = _codes(keys, texts, linking)
+    once = codes.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
     return materialize(ids.join(once.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "node", "left").select("key", F.coalesce("alone", F.lit(0)).alias("alone")), "alone")
 
 
+def _rarest(keys: DataFrame, texts: DataFrame, linking: Linking) -> tuple[DataFrame, DataFrame]:
+    """band (a shingle), key, n_shingles, and key, rare (the first FIRST of its bands): each key's rarest shingles, as many as a linked pair must share one of; those of one key alone are left out."""
+    ids, codes = _codes(keys, texts, linking)
+    codes = materialize(codes, "codes")
+    shared = codes.join(codes.groupBy("code").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "code")
+    own = Window.partitionBy("node")
+    ranked = shared.select("node", "code", F.row_number().over(own.orderBy("often", "code")).alias("place"), F.count(F.lit(1)).over(own).alias("n_shared"))
+    first = F.col("n_shingles") - F.ceil(linking.percent * F.col("n_shingles") / 100) + 1
+    kept = ranked.join(ids, "node").where(F.col("n_shingles") - F.col("n_shared") + F.col("place") <= first)
+    kept = materialize(kept.select(F.col("code").alias("band"), "key", "n_shingles", "place"), "rarest")
+    named = kept.where(F.col("place") <= FIRST).groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "band"))), lambda x: x.band).alias("rare"))
+    return kept.select("band", "key", "n_shingles"), named
+
+
+def some_bits(registers: np.ndarray) -> np.ndarray:
+    """BITS hashed bits of each register: for each 64 registers a long of first bits, one of second bits and so on."""
+    h = (registers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
+    planes = [np.packbits((h >> np.uint64(bit) & np.uint64(1)).astype(np.uint8), axis=1).view("<i8") for bit in range(BITS)]
+    return np.stack(planes, 2).reshape(len(registers), -1)
+
+
+def least_agreeing(linking: Linking, n: int = BANDS * ROWS) -> int:
+    """The most registers that can be asked to agree in these bits while a pair at the threshold is lost with MISSED at most."""
+    by_chance = 0.5**BITS
+    q, total = by_chance + (1 - by_chance) * linking.percent / 100, 0.0
+    for at in range(n + 1):
+        total += math.comb(n, at) * q**at * (1 - q) ** (n - at)
+        if total > MISSED:
+            return at
+    return n
+
+
+def _with_bits(keys: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, bits."""
+    kernel = lambda c: {"key": c["key"], "bits": list(some_bits(np.frombuffer(b"".join(c["registers"]), "<u2").reshape(-1, BANDS * ROWS)))}
+    return map_arrow(keys.join(nodes, "key").select("key", "registers"), kernel, "key binary, bits array<bigint>")
+
+
+def _agreeing(a: str, b: str) -> Column:
+    """How many registers agree in all these bits."""
+    differ = lambda i: F.col(a)[i].bitwiseXOR(F.col(b)[i])
+
+    def differing(at: int) -> Column:
+        out = differ(at)
+        for i in range(at + 1, at + BITS):
+            out = out.bitwiseOR(differ(i))
+        return out
+
+    return sum((F.bit_count(F.bitwise_not(differing(i))) for i in range(0, BITS * BANDS * ROWS // 64, BITS)), F.lit(0))
+
+
 def _linkable(mixed: DataFrame, alone: DataFrame, linking: Linking) -> DataFrame:
     """mixed with alone, without those whose shared shingles are too few for any link."""
     return mixed.join(alone, "key").where(100 * (F.col("n_shingles") - F.col("alone")) >= linking.percent * F.col("n_shingles"))
@@ -281,8 +349,14 @@ def classes(docs: DataFrame, linking: Linking) -> DataFrame:
     labels = _merged(labels, verified(pairs, nodes, texts, linking))
 
     mixed = _linkable(_mixed(members.select("band", "key", "n_shingles"), labels), alone, linking)
-    rest = mixed.where("label != main").select(F.col("band").alias("o_band"), F.col("key").alias("o_key"), F.col("n_shingles").alias("o_n"), F.col("alone").alias("o_alone"), F.col("label").alias("o_label"))
-    pairs = mixed.join(rest, (F.col("band") == F.col("o_band")) & (F.col("label") != F.col("o_label")) & _may_link("n_shingles", "alone", "o_n", "o_alone", linking) & ((F.col("label") == F.col("main")) | (F.col("key") < F.col("o_key"))))
+    keys = mixed.select("key", "n_shingles", "alone").distinct()
+    rarest, named = _rarest(keys.drop("alone"), texts, linking)
+    mixed = materialize(_mixed(rarest, labels).join(keys.drop("n_shingles"), "key").join(named, "key", "left").join(_with_bits(keys.select("key"), nodes), "key"), "meeting")
+    rest = mixed.where("label != main").select(F.col("band").alias("o_band"), F.col("key").alias("o_key"), F.col("n_shingles").alias("o_n"), F.col("alone").alias("o_alone"), F.col("label").alias("o_label"), F.col("bits").alias("o_bits"), F.col("rare").alias("o_rare"))
+    met = F.get(F.array_intersect("rare", "o_rare"), F.lit(0))
+    once = F.coalesce(met == F.col("band"), F.lit(True))
+    like = (_agreeing("bits", "o_bits") >= least_agreeing(linking)) & _may_link("n_shingles", "alone", "o_n", "o_alone", linking)
+    pairs = mixed.join(rest, (F.col("band") == F.col("o_band")) & (F.col("label") != F.col("o_label")) & like & once & ((F.col("label") == F.col("main")) | (F.col("key") < F.col("o_key"))))
     pairs = pairs.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b")).distinct()
     labels = _merged(labels, verified(pairs, nodes, texts, linking))
 
@@ -295,11 +369,13 @@ def classes(docs: DataFrame, linking: Linking) -> DataFrame:
 def keep_one(docs: DataFrame, linking: Linking) -> DataFrame:
     """One document of each class, the one of least id; of rows equal in id and text one stays."""
     found = materialize(classes(docs, linking), "classes")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_hash")).distinct()
-    kept = docs.withColumn("__hash", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.col("__hash") == F.col("__gone_hash")), "left_anti")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()
+    named, back = set_aside(docs)
+    named = named.withColumn("__hash", F.xxhash64(back["text"]))
+    kept = named.join(gone, named[back["doc_id"]].eqNullSafe(gone["doc_id"]) & (named["__hash"] == gone["text_hash"]), "left_anti")
     if found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "__hash"])
-    return kept.drop("__hash")
+        kept = kept.dropDuplicates([back["doc_id"], "__hash"])
+    return kept.select(*(F.col(n).alias(c) for c, n in back.items()))
 
 
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
