@@ -65,7 +65,7 @@ def test_ray_crossing_and_yield(spark):
         rows.append(row(f, "car", 1, x, 0, v))
         rows.append(row(f, "bike", 2, 27.0, -12.0 + 3.0 * t, 0, 3.0, north=True, kind="BICYCLE", size=(1.8, 0.8)))
     df = spark.createDataFrame(rows, COLUMNS)
-    found = crossing.crossings(pairs.with_kinematics(pairs.all_pairs(df)), crossing.track_pairs(df), frames_of(df))
+    found = crossing.crossings(crossing.meetings(pairs.with_kinematics(pairs.all_pairs(df)), crossing.track_pairs(df)), frames_of(df))
     assert {(r.s_track, r.o_track) for r in found.collect()} == {("bike", "car")}
     assert all(abs(r.conflict_x - 27) < 1e-6 and abs(r.conflict_y) < 1e-6 for r in found.collect())
     got = crossing.yields(found, df).collect()

@@ -68,12 +68,25 @@ class Thresholds:
     lane_change_unknown_gap: int = 3
     lane_change_stable_frames: int = 2
     lane_change_overlap: float = 0.5
+    lane_change_lateral_speed_onset: float = 0.15
+    lane_change_future_gain: float = 0.4
+    lane_change_onset_frames: int = 2
+    lane_change_source_frames: int = 1
+    lane_change_complete_overlap: float = 0.6
+    lane_change_single_overlap: float = 0.8
+    lane_change_completion_frames: int = 2
+    lane_side_polygon_distance: float = 1.5
+    lane_side_least: float = 2.0
+    lane_side_most: float = 6.5
+    lane_side_turn: float = 0.3
+    lane_side_lateral: float = 0.25
     merge_preexistence_s: float = 2.0
     merge_confirmation_s: float = 2.0
     merge_stable_frames: int = 2
     merge_gap: float = 40.0
     merge_headway_s: float = 5.0
     merge_hops: int = 6
+    merge_same_flow: float = 0.55
     crossing_observations: int = 3
     crossing_displacement: float = 0.3
     crossing_common_s: float = 1.0
@@ -85,7 +98,14 @@ class Thresholds:
     crossing_margin_s: float = 0.25
     crossing_arrival_s: float = 6.0
     crossing_stationary_speed: float = 0.05
+    crossing_map_radius: float = 12.0
     crossing_road_distance: float = 6.0
+    crossing_crosswalk_distance: float = 5.0
+    crossing_bicycle_road_distance: float = 3.0
+    parked_speed: float = 0.5
+    parked_duration_s: float = 2.0
+    parked_displacement: float = 1.0
+    parked_lane_distance: float = 1.5
     yield_before_s: float = 4.0
     yield_after_s: float = 4.0
     yield_eta_s: float = 2.5

@@ -113,3 +113,36 @@ def project(p: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     along = np.clip(((p - a[best]) * d[best]).sum(1) / size[best], 0, size[best])
     start = np.concatenate([[0.0], np.cumsum(size)[:-1]])
     return start[best] + along, _cross(d[best], p - a[best]) / size[best], np.arctan2(d[best, 1], d[best, 0])
+
+
+def polygon_distance(p: np.ndarray, poly: np.ndarray) -> np.ndarray:
+    """Distances of points (n, 2) to one polygon of any shape; 0 in it."""
+    edge = points_to_segments(p[:, None], poly[None], np.roll(poly, -1, 0)[None]).min(1)
+    return np.where(in_polygon(p, poly), 0.0, edge)
+
+
+def crossing_segments(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Whether segments a-b and c-d cross; the arrays broadcast. Ones that merely touch may count as not crossing."""
+    side = lambda p, q, r: _cross(q - p, r - p)
+    return (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
+
+
+def polygons_distance(one: np.ndarray, two: np.ndarray) -> float:
+    """Distance of two polygons of any shape; 0 where they meet."""
+    a, b, c, d = one[:, None], np.roll(one, -1, 0)[:, None], two[None], np.roll(two, -1, 0)[None]
+    if crossing_segments(a, b, c, d).any():
+        return 0.0
+    return float(min(polygon_distance(one, two).min(), polygon_distance(two, one).min()))
+
+
+def at_length(line: np.ndarray, along: np.ndarray) -> np.ndarray:
+    """Points of a polyline (m, 2) at arc lengths, which its ends cut short."""
+    step = np.hypot(*np.diff(line, axis=0).T)
+    start = np.concatenate([[0.0], np.cumsum(step)])
+    return np.stack([np.interp(along, start, line[:, k]) for k in (0, 1)], -1)
+
+
+def tangent(line: np.ndarray, along: np.ndarray, half: float = 0.5) -> np.ndarray:
+    """Directions of a polyline about arc lengths, from half a metre before to half a metre behind."""
+    d = at_length(line, along + half) - at_length(line, along - half)
+    return np.arctan2(d[:, 1], d[:, 0])

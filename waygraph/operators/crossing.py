@@ -50,8 +50,8 @@ def track_pairs(entities: DataFrame, t: Thresholds = T) -> DataFrame:
     return both.select("scenario_token", F.col("a_track_token").alias("s_track"), F.col("b_track_token").alias("o_track"))
 
 
-def crossings(pairs: DataFrame, tracks: DataFrame, frames: DataFrame, t: Thresholds = T) -> DataFrame:
-    """One row per frame and ordered pair: conflict point, arrival times and the run of frames that it lies in."""
+def meetings(pairs: DataFrame, tracks: DataFrame, t: Thresholds = T) -> DataFrame:
+    """One row per frame and ordered pair whose rays meet so that the subject is first: conflict point, arrival times, score."""
     together = Window.partitionBy("scenario_token", "s_track", "o_track")
     span = (F.max("timestamp_us").over(together) - F.min("timestamp_us").over(together)) / 1e6
     df = pairs.join(tracks, ["scenario_token", "s_track", "o_track"], "left_semi")
@@ -65,17 +65,25 @@ def crossings(pairs: DataFrame, tracks: DataFrame, frames: DataFrame, t: Thresho
     df = df.withColumn("eta_gap", F.when(~F.col("stationary"), F.col("o_ray") / F.col("o_v") - F.col("s_eta")))
     df = df.where(F.col("stationary") | F.col("eta_gap").between(t.crossing_margin_s, t.crossing_arrival_s))
     score = F.greatest(F.lit(0.0), 3 - F.abs(F.col("angle") - 90) / 30) + F.greatest(F.lit(0.0), 2 - F.greatest("s_ray", "o_ray") / t.crossing_ray) + F.least(F.lit(2.0), "s_v")
-    best = Window.partitionBy(*FRAME, F.least("s_track", "o_track"), F.greatest("s_track", "o_track")).orderBy(F.desc("score"), "s_track")
-    df = df.withColumn("score", score).withColumn("place", F.row_number().over(best)).where("place = 1")
-    df = df.withColumns({"conflict_x": F.col("s_x") + F.col("s_cos_h") * F.col("s_ray"), "conflict_y": F.col("s_y") + F.col("s_sin_h") * F.col("s_ray")})
-    slim = df.select(*FRAME, "s_track", "o_track", "conflict_x", "conflict_y", "angle", "s_eta", "eta_gap", "stationary", "score")
-    return streaks(slim, frames, ("s_track", "o_track"), t)
+    df = df.withColumn("score", score).withColumns({"conflict_x": F.col("s_x") + F.col("s_cos_h") * F.col("s_ray"), "conflict_y": F.col("s_y") + F.col("s_sin_h") * F.col("s_ray")})
+    return df.select(*FRAME, "s_track", "o_track", "conflict_x", "conflict_y", "angle", "s_eta", "eta_gap", "stationary", "score")
+
 
+def gated(found: DataFrame, barred: DataFrame) -> DataFrame:
+    """found with s_reason and o_reason: why a side takes part in no crossing (areas.gates), null where it may."""
+    for side in ("s", "o"):
+        own = barred.select(*FRAME, F.col("track_token").alias(f"{side}_track"), F.col("reason").alias(f"{side}_reason"))
+        found = found.join(own, [*FRAME, f"{side}_track"], "left")
+    return found
 
-def parked(entities: DataFrame, t: Thresholds = T) -> DataFrame:
-    """Tracks that stand for the whole of a stay: their crossings don't count."""
-    own = entities.groupBy("scenario_token", "track_token").agg(F.max(F.hypot("vx", "vy")).alias("v"), F.max("timestamp_us").alias("b"), F.min("timestamp_us").alias("a"), F.max("x").alias("x1"), F.min("x").alias("x0"), F.max("y").alias("y1"), F.min("y").alias("y0"))
-    return own.where((F.col("v") <= 0.5) & ((F.col("b") - F.col("a")) / 1e6 >= 2.0) & (F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) <= 1.0)).select("scenario_token", "track_token")
+
+def crossings(found: DataFrame, frames: DataFrame, barred: DataFrame | None = None, t: Thresholds = T) -> DataFrame:
+    """One row per frame and pair, in its better direction, with the run of frames that it lies in; found are meetings, barred those that areas.gates turns down."""
+    if barred is not None:
+        found = gated(found, barred).where("s_reason is null and o_reason is null").drop("s_reason", "o_reason")
+    best = Window.partitionBy(*FRAME, F.least("s_track", "o_track"), F.greatest("s_track", "o_track")).orderBy(F.desc("score"), "s_track")
+    df = found.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
+    return streaks(df, frames, ("s_track", "o_track"), t)
 
 
 def yields(found: DataFrame, entities: DataFrame, red: DataFrame | None = None, t: Thresholds = T) -> DataFrame:

@@ -14,6 +14,7 @@ from waygraph.config import T, Thresholds
 from waygraph.functions import kernels
 from waygraph.functions.angles import difference, mean_of_two
 from waygraph.operators.entities import KEYS, unpivot
+from waygraph.plans.shared import cut
 
 CELL = 50.0
 #: Least reach of the map query about a footprint, in metres.
@@ -110,14 +111,10 @@ def primary(found: DataFrame, t: Thresholds = T) -> DataFrame:
     return top.select(*KEYS, "ambiguous", "match_reason", sure("object_id").alias("primary_id"), sure("kind").alias("primary_kind"), *(sure(c).alias(c) for c in ("overlap_ratio", "progress", "lateral_offset", "map_heading", "curvature")))
 
 
-def with_map(entities: DataFrame, chosen: DataFrame, scenarios: DataFrame, map_objects: DataFrame, edges: DataFrame, adjacency: DataFrame, route: DataFrame) -> DataFrame:
-    """entities with the primary match, its attributes, neighbours and the rank of its roadblock on the route.
-
-    The map's tables are far smaller than the entities; Spark broadcasts them where their size allows.
-    """
+def map_attributes(map_objects: DataFrame, edges: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """One row a map object: map_name, primary_id, its attributes, ways in and out, and neighbours on either side."""
     ids = lambda df, key, value, name: df.groupBy("map_name", F.col(key).alias("primary_id")).agg(F.array_sort(F.collect_set(value)).alias(name))
-    about = map_objects.select("map_name", F.col("object_id").alias("primary_id"), F.col("length_m").alias("baseline_length"), "speed_limit_mps", "roadblock_id", "intersection_id")
-    df = entities.join(scenarios.select("scenario_token", "map_name"), "scenario_token", "left").join(chosen.drop("timestamp_us"), list(ME), "left").join(about, ["map_name", "primary_id"], "left")
+    df = map_objects.select("map_name", F.col("object_id").alias("primary_id"), F.col("length_m").alias("baseline_length"), "speed_limit_mps", "roadblock_id", "intersection_id")
     for part in (
         ids(edges, "src_id", "dst_id", "outgoing"),
         ids(edges, "dst_id", "src_id", "incoming"),
@@ -125,6 +122,16 @@ def with_map(entities: DataFrame, chosen: DataFrame, scenarios: DataFrame, map_o
         ids(adjacency.where("side = 'right'"), "object_id", "adjacent_id", "right_ids"),
     ):
         df = df.join(part, ["map_name", "primary_id"], "left")
+    return df
+
+
+def with_map(entities: DataFrame, chosen: DataFrame, scenarios: DataFrame, map_objects: DataFrame, edges: DataFrame, adjacency: DataFrame, route: DataFrame) -> DataFrame:
+    """entities with the primary match, its attributes, neighbours and the rank of its roadblock on the route.
+
+    The map's rows are assembled first, and meet the entities by one join; Spark broadcasts them where their size allows.
+    """
+    about = cut(map_attributes(map_objects, edges, adjacency))
+    df = entities.join(scenarios.select("scenario_token", "map_name"), "scenario_token", "left").join(chosen.drop("timestamp_us"), list(ME), "left").join(about, ["map_name", "primary_id"], "left")
     none = F.array().cast("array<string>")
     df = df.withColumns({c: F.coalesce(c, none) for c in ("outgoing", "incoming", "left_ids", "right_ids")}).withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
     ranks = route.groupBy("scenario_token", "roadblock_id").agg(F.min("ordinal").alias("route_rank"))

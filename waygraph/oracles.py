@@ -278,13 +278,6 @@ _ROUND = lambda names: ", ".join(f"round(cast({c} as double), 6) as {c}" for c i
 _MORE = {
     "leaders": LEADERS + f" select {FRAME}, s_track, o_track, {_ROUND('distance, gap, s_forward, o_forward, headway_s')}, mode from lead",
     "follow_facts": LEADERS + ", v9 as (select * from lead where mode is not null), q9 as (select * from lead where mode = 'queue')" + _streaks("v9", "s_track, o_track", "fa") + _streaks("q9", "s_track, o_track", "fb") + f" select 'follows' as predicate, {FRAME}, s_track, o_track, start_us, {_ROUND('duration_s, gap')} from fa where duration_s >= 1 union all select 'queuesBehind', {FRAME}, s_track, o_track, start_us, {_ROUND('duration_s, gap')} from fb where duration_s >= 1",
-    "crossings": PAIRS + ", tr as (" + _NEW["track_pairs"][len(E) :].lstrip(", ").replace("b as (select", "with b as (select", 1) + f"""),
-        park as (select scenario_token, track_token from e group by all having max(sqrt(vx * vx + vy * vy)) <= 0.5 and (max(timestamp_us) - min(timestamp_us)) / 1e6 >= 2 and sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2)) <= 1),
-        x0 as (select k.*, count(*) over w as n, (max(timestamp_us) over w - min(timestamp_us) over w) / 1e6 as span, {_RAYS}, {DIFF.format("s_heading", "o_heading")} * 180 / pi() as angle from k semi join tr on k.scenario_token = tr.scenario_token and k.s_track = tr.s_track and k.o_track = tr.o_track anti join park on k.scenario_token = park.scenario_token and k.s_track = park.track_token window w as (partition by scenario_token, s_track, o_track)),
-        x1 as (select *, greatest(0, s_far) as s_ray, greatest(0, o_far) as o_ray, o_v <= 0.05 as stationary from x0 where n >= 3 and span >= 1 and meets and s_far between -1e-9 and 10 + 1e-9 and o_far between -1e-9 and 10 + 1e-9 and angle between 25 and 155 and s_v >= 0.3),
-        x2 as (select *, s_ray / greatest(s_v, 0.05) as s_eta from x1), x3 as (select *, case when not stationary then o_ray / o_v - s_eta end as eta_gap from x2),
-        x4 as (select *, greatest(0, 3 - abs(angle - 90) / 30) + greatest(0, 2 - greatest(s_ray, o_ray) / 10) + least(2, s_v) as score, s_x + s_cos_h * s_ray as conflict_x, s_y + s_sin_h * s_ray as conflict_y from x3 where stationary or eta_gap between 0.25 and 6),
-        x5 as (select * from (select *, row_number() over (partition by scenario_token, frame_index, least(s_track, o_track), greatest(s_track, o_track) order by score desc, s_track) as place from x4) where place = 1)""" + _streaks("x5", "s_track, o_track") + f" select {FRAME}, s_track, o_track, {_ROUND('conflict_x, conflict_y, angle, s_eta, eta_gap')}, stationary, {_ROUND('score, duration_s')}, start_us from st",
     "intents": PAIRS + f""", x0 as (select *, {_RAYS} from k where s_agent_type <> 'BARRIER' and o_agent_type <> 'BARRIER'),
         x1 as (select *, greatest(0, s_far) / greatest(s_v, 0.05) as s_eta, greatest(0, o_far) / greatest(o_v, 0.05) as o_eta, coalesce(s_v < lag(s_v) over w, false) as slower, coalesce(d - lag(d, 4) over w >= 2, false) as wider, s_v > 0.8 and o_v > 0.8 as moving
             from x0 where meets and s_far between -1e-9 and 80 + 1e-9 and o_far between -1e-9 and 80 + 1e-9 window w as (partition by scenario_token, s_track, o_track order by frame_index)),
@@ -304,6 +297,34 @@ _MORE = {
 SQL |= {f"way_{name}": text for name, text in _MORE.items()}
 
 
+def _areas() -> str:
+    """Bounds of the map's areas, which are boxes, as rows of VALUES."""
+    return ", ".join(f"('{kind}', {min(x for x, _ in shape)}, {min(y for _, y in shape)}, {max(x for x, _ in shape)}, {max(y for _, y in shape)})" for _, kind, shape, *_ in map_rows()[0])
+
+
+_LEAST = lambda *kinds: f"min(case when kind in ({', '.join(map(repr, kinds))}) and far <= 12 then far end)"
+AREAS = f""", ar(kind, x0, y0, x1, y1) as (values {_areas()}),
+    a0 as (select e.*, ar.kind, sqrt(power(greatest(x0 - x, x - x1, 0), 2) + power(greatest(y0 - y, y - y1, 0), 2)) as far, (abs(cos_h) * length_m + abs(sin_h) * width_m) / 2 as hx, (abs(sin_h) * length_m + abs(cos_h) * width_m) / 2 as hy, x0, y0, x1, y1 from e, ar),
+    a1 as (select {KEYS}, agent_type, {_LEAST("lane", "lane_connector")} as lane_distance, {_LEAST("lane", "lane_connector", "drivable_area", "intersection")} as road_distance, {", ".join(f"{_LEAST(k)} as {k}_distance" for k in ("intersection", "crosswalk", "carpark"))},
+        max(kind = 'carpark' and (far = 0 or greatest(0, least(x + hx, x1) - greatest(x - hx, x0)) * greatest(0, least(y + hy, y1) - greatest(y - hy, y0)) > 1e-6)) as in_carpark from a0 group by {KEYS}, agent_type)"""
+BARRED = AREAS + """, s0 as (select *, first_value(x) over w as fx, first_value(y) over w as fy from e window w as (partition by scenario_token, track_token order by timestamp_us)),
+    s1 as (select scenario_token, track_token, true as still from s0 group by all having (max(timestamp_us) - min(timestamp_us)) / 1e6 >= 2 and median(sqrt(vx * vx + vy * vy)) <= 0.5 and max(sqrt(power(x - fx, 2) + power(y - fy, 2))) <= 1 and max(agent_type) not in ('PEDESTRIAN', 'EGO')),
+    a2 as (select *, coalesce(crosswalk_distance <= 5, false) as by_walk, coalesce(intersection_distance <= 5, false) as by_junction, coalesce(road_distance <= 3, false) as by_road from a1 left join s1 using (scenario_token, track_token)),
+    bar as (select *, case when agent_type in ('VEHICLE', 'EGO') and in_carpark then 'in_carpark' when still and (coalesce(carpark_distance <= 1.5, false) or not coalesce(lane_distance <= 1.5, false)) then 'parked'
+        when agent_type = 'PEDESTRIAN' then case when not (by_walk or by_junction and by_road) then 'far_from_crosswalk' end when agent_type = 'BICYCLE' then case when not (by_walk or by_road) then 'far_from_crosswalk_and_road' end
+        when not coalesce(road_distance <= 6, false) then 'far_from_road' end as reason from a2)"""
+MEETINGS = PAIRS + ", tr as (" + _NEW["track_pairs"][len(E) :].lstrip(", ").replace("b as (select", "with b as (select", 1) + f"""),
+    x0 as (select k.*, count(*) over w as n, (max(timestamp_us) over w - min(timestamp_us) over w) / 1e6 as span, {_RAYS}, {DIFF.format("s_heading", "o_heading")} * 180 / pi() as angle from k semi join tr on k.scenario_token = tr.scenario_token and k.s_track = tr.s_track and k.o_track = tr.o_track window w as (partition by scenario_token, s_track, o_track)),
+    x1 as (select *, greatest(0, s_far) as s_ray, greatest(0, o_far) as o_ray, o_v <= 0.05 as stationary from x0 where n >= 3 and span >= 1 and meets and s_far between -1e-9 and 10 + 1e-9 and o_far between -1e-9 and 10 + 1e-9 and angle between 25 and 155 and s_v >= 0.3),
+    x2 as (select *, s_ray / greatest(s_v, 0.05) as s_eta from x1), x3 as (select *, case when not stationary then o_ray / o_v - s_eta end as eta_gap from x2),
+    x4 as (select *, greatest(0, 3 - abs(angle - 90) / 30) + greatest(0, 2 - greatest(s_ray, o_ray) / 10) + least(2, s_v) as score, s_x + s_cos_h * s_ray as conflict_x, s_y + s_sin_h * s_ray as conflict_y from x3 where stationary or eta_gap between 0.25 and 6)""" + BARRED + """,
+    xg as (select x4.*, sb.reason as s_reason, ob.reason as o_reason from x4 join bar sb on x4.scenario_token = sb.scenario_token and x4.frame_index = sb.frame_index and x4.s_track = sb.track_token join bar ob on x4.scenario_token = ob.scenario_token and x4.frame_index = ob.frame_index and x4.o_track = ob.track_token),
+    x5 as (select * from (select *, row_number() over (partition by scenario_token, frame_index, least(s_track, o_track), greatest(s_track, o_track) order by score desc, s_track) as place from xg where s_reason is null and o_reason is null) where place = 1)"""
+SQL["way_area_distances"] = E + AREAS + f" select {KEYS}, {_ROUND('lane_distance, road_distance, intersection_distance, crosswalk_distance, carpark_distance')}, in_carpark from a1"
+SQL["way_crossing_gates"] = MEETINGS + f" select {FRAME}, s_track, o_track, s_reason, o_reason from xg"
+SQL["way_crossings"] = MEETINGS + _streaks("x5", "s_track, o_track") + f" select {FRAME}, s_track, o_track, {_ROUND('conflict_x, conflict_y, angle, s_eta, eta_gap')}, stationary, {_ROUND('score, duration_s')}, start_us from st"
+
+
 #: The catalogue as rows of VALUES: predicate, category, value type, native.
 _CATALOG = ", ".join(f"('{p}', '{category}', '{kind}', {native})" for p, category, kind, native, _ in catalog.rows())
 _TOPOLOGY = {"hasMapProgressDifferenceTo": "case when rel = 'same_map' then o_progress - s_progress end", "hasSignedPathDistanceTo": "path", "hasTravelDirectionDifferenceTo": "turn", "hasTravelLongitudinalDistanceTo": "t_ahead", "hasTravelLateralDistanceTo": "t_aside"}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from waygraph import catalog
 from waygraph.config import T
 from waygraph.functions.classifiers import is_vehicle, speed_state
-from waygraph.operators import crossing, entities, following, future, mapmatch, maneuvers, pairs, query, relevance, risk, spatial, traffic, visibility
+from waygraph.operators import areas, crossing, entities, following, future, mapmatch, maneuvers, pairs, query, relevance, risk, spatial, traffic, visibility
 from waygraph.operators.assertions import entity, identified, of_entities, of_pairs, stated, united
 from waygraph.oracles import SQL  # noqa: F401
 from waygraph.plans.scene import Scene, scene
@@ -30,9 +30,14 @@ class Stages:
     def scene(self) -> Scene:
         return scene(self.spark, self.sf_dir)
 
+    @cached_property
+    def users(self) -> DataFrame:
+        """The scene's entities, worked out once for all families that join them."""
+        return cut(self.scene.entities)
+
     @cached_property
     def moving(self) -> DataFrame:
-        return entities.with_motion(self.scene.entities)
+        return entities.with_motion(self.users)
 
     @cached_property
     def history(self) -> DataFrame:
@@ -58,7 +63,7 @@ class Stages:
 
     @cached_property
     def kinematic(self) -> DataFrame:
-        return pairs.with_kinematics(pairs.all_pairs(self.scene.entities))
+        return pairs.with_kinematics(pairs.all_pairs(self.users))
 
     @cached_property
     def footprints(self) -> DataFrame:
@@ -90,13 +95,22 @@ class Stages:
 
     @cached_property
     def futures(self) -> DataFrame:
-        return future.future_positions(self.scene.entities)
+        return future.future_positions(self.users)
+
+    @cached_property
+    def meetings(self) -> DataFrame:
+        return cut(crossing.meetings(self.kinematic, crossing.track_pairs(self.users)))
+
+    @cached_property
+    def barred(self) -> DataFrame:
+        """Of those that meet only: distances to areas are asked for no others."""
+        met = self.meetings.select("scenario_token", "frame_index", F.explode(F.array("s_track", "o_track")).alias("track_token")).distinct()
+        tracks = self.users.join(met.select("scenario_token", "track_token").distinct(), ["scenario_token", "track_token"], "left_semi")
+        return areas.gates(tracks, self.scene.scenarios, self.scene.map_objects).join(met, ["scenario_token", "frame_index", "track_token"], "left_semi")
 
     @cached_property
     def crossings(self) -> DataFrame:
-        parked = crossing.parked(self.scene.entities)
-        tracks = crossing.track_pairs(self.scene.entities).join(parked.withColumnRenamed("track_token", "s_track"), ["scenario_token", "s_track"], "left_anti")
-        return crossing.crossings(self.kinematic, tracks, self.scene.frames)
+        return crossing.crossings(self.meetings, self.scene.frames, self.barred)
 
 
 #: Families of facts: the categories that they state, and how.
@@ -130,8 +144,8 @@ FAMILIES: dict[str, Callable[[Stages], DataFrame]] = {
     "maneuver": lambda s: stated(BUILD["maneuvers"](s), entity("track_token"), F.col("object_id")),
     "intent": lambda s: stated(BUILD["intents"](s), entity("s_track"), entity("o_track"), start=F.col("start_us")),
     "future_position": lambda s: stated(s.futures.withColumn("predicate", F.lit("hasFuturePosition")), entity("track_token"), value=F.to_json(F.struct("x", "y", "heading")), end=F.col("at_us"), evidence=("sample", "at_us")),
-    "future_footprint": lambda s: stated(future.footprints_at(s.futures, s.scene.entities).withColumn("predicate", F.lit("hasFutureFootprint")), entity("track_token"), value=F.to_json("corners"), end=F.col("at_us"), evidence=("sample", "at_us")),
-    "future": lambda s: of_entities(future.coverage_facts(future.future_coverage(s.scene.entities))),
+    "future_footprint": lambda s: stated(future.footprints_at(s.futures, s.users).withColumn("predicate", F.lit("hasFutureFootprint")), entity("track_token"), value=F.to_json("corners"), end=F.col("at_us"), evidence=("sample", "at_us")),
+    "future": lambda s: of_entities(future.coverage_facts(future.future_coverage(s.users))),
 }
 #: Those that come from the scans of whole tracks.
 EVENT_FAMILIES: dict[str, Callable[[Stages], DataFrame]] = {
@@ -155,7 +169,7 @@ def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 BUILD: dict[str, Callable[[Stages], DataFrame]] = {
-    "closing_speed_of_ego_pairs": lambda s: pairs.kinematic_facts(pairs.with_kinematics(pairs.ego_pairs(s.scene.entities))).where("predicate = 'hasClosingSpeedTo'"),
+    "closing_speed_of_ego_pairs": lambda s: pairs.kinematic_facts(pairs.with_kinematics(pairs.ego_pairs(s.users))).where("predicate = 'hasClosingSpeedTo'"),
     "scenes": lambda s: s.scene.entities,
     "structure_facts": lambda s: entities.structure_facts(s.scene.entities, s.scene.scenarios),
     "pose_facts": lambda s: entities.pose_facts(s.scene.entities),
@@ -171,7 +185,7 @@ BUILD: dict[str, Callable[[Stages], DataFrame]] = {
     "pair_footprints": lambda s: pairs.footprint_facts(s.footprints),
     "pair_history": lambda s: pairs.pair_history_facts(pairs.with_pair_history(s.footprints)),
     "closest_approach": lambda s: pairs.with_cpa(s.kinematic).select(*pairs.PAIR, "cpa_time_s", "cpa_distance", "cpa_clearance", "cpa_closing"),
-    "near_agent_pairs": lambda s: pairs.near_agent_pairs(s.scene.entities).select(*pairs.PAIR),
+    "near_agent_pairs": lambda s: pairs.near_agent_pairs(s.users).select(*pairs.PAIR),
     "body_sectors": lambda s: entities.states(spatial.with_spatial(s.footprints), pairs.PAIR, [F.col("sector")]),
     "contact_states": lambda s: entities.states(spatial.with_spatial(s.footprints), pairs.PAIR, [F.col("contact_state")]),
     "map_memberships": lambda s: mapmatch.memberships(s.found),
@@ -192,15 +206,17 @@ BUILD: dict[str, Callable[[Stages], DataFrame]] = {
     "conflict_risks": lambda s: risk.conflicts(s.scored),
     "leaders": lambda s: s.leaders,
     "follow_facts": lambda s: following.follow_facts(s.leaders, s.scene.frames),
+    "area_distances": lambda s: areas.area_distances(s.users, s.scene.scenarios, s.scene.map_objects),
+    "crossing_gates": lambda s: crossing.gated(s.meetings, s.barred).select(*pairs.FRAME, "s_track", "o_track", "s_reason", "o_reason"),
     "crossings": lambda s: s.crossings,
-    "yields": lambda s: crossing.yields(s.crossings, s.scene.entities, traffic.red_frames(s.matched, s.signals)),
-    "track_pairs": lambda s: crossing.track_pairs(s.scene.entities),
-    "lane_changes": lambda s: maneuvers.lane_change_facts(s.lane_changes, s.scene.entities),
+    "yields": lambda s: crossing.yields(s.crossings, s.users, traffic.red_frames(s.matched, s.signals)),
+    "track_pairs": lambda s: crossing.track_pairs(s.users),
+    "lane_changes": lambda s: maneuvers.lane_change_facts(s.lane_changes, s.users),
     "merges": lambda s: maneuvers.merges(s.lane_changes, s.matched, s.scene.scenarios, following.unbranched_paths(s.scene.map_objects, s.scene.map_edges, T.merge_hops)),
     "overtakes": lambda s: maneuvers.overtakes(s.vehicle_pairs, maneuvers.reachable(s.scene.map_edges), s.scene.scenarios, s.scene.map_adjacency),
     "maneuvers": lambda s: maneuvers.maneuver_facts(s.matched, s.scene.scenarios, s.scene.map_adjacency),
-    "future_links": lambda s: future.future_links(s.scene.entities),
-    "future_coverage": lambda s: future.future_coverage(s.scene.entities),
+    "future_links": lambda s: future.future_links(s.users),
+    "future_coverage": lambda s: future.future_coverage(s.users),
     "future_positions": lambda s: s.futures,
     "coverage": lambda s: query.coverage(assertions_of(s, tuple(FAMILIES)).select("predicate"), catalog.definitions(s.spark)),
     "scenario_summaries": lambda s: query.scenario_summaries(s.scene.entities, s.scene.scenarios),
@@ -212,7 +228,7 @@ BUILD: dict[str, Callable[[Stages], DataFrame]] = {
     "pair_edges": lambda s: query.pair_edges(entities.states(spatial.with_spatial(s.footprints), pairs.PAIR, [F.col("contact_state"), F.col("sector")])),
     "display_numbers": lambda s: query.display_numbers(s.scene.entities),
     "scenario_filter": lambda s: query.filter_scenarios(s.scene.scenarios, types=("crossing",), logs=("log0", "log1"), per_type=5),
-    "interesting_agents": lambda s: query.interesting_agents(pairs.with_kinematics(pairs.ego_pairs(s.scene.entities))),
+    "interesting_agents": lambda s: query.interesting_agents(pairs.with_kinematics(pairs.ego_pairs(s.users))),
     "n_triples": lambda s: query.triples(assertions_of(s, ("structure", "pose", "precedes", "map_membership"))),
 }
 
