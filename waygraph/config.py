@@ -66,8 +66,6 @@ class Thresholds:
     lane_change_primary_bonus: float = 0.1
     lane_change_ambiguity_penalty: float = 0.05
     lane_change_unknown_gap: int = 3
-    lane_change_stable_frames: int = 2
-    lane_change_overlap: float = 0.5
     lane_change_lateral_speed_onset: float = 0.15
     lane_change_future_gain: float = 0.4
     lane_change_onset_frames: int = 2

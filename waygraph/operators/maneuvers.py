@@ -11,6 +11,7 @@ from waygraph.config import T, Thresholds
 from waygraph.functions.angles import wrap
 from waygraph.functions.classifiers import is_vehicle
 from waygraph.operators.entities import KEYS
+from waygraph.operators.lanes import corridor_lines, lane_sides, profile
 from waygraph.plans.shared import cut
 
 UNKNOWN = "?"
@@ -86,28 +87,72 @@ def smooth(path: list[str], most_unknown: int = T.lane_change_unknown_gap) -> li
     return out
 
 
-def lane_changes(entities: DataFrame, found: DataFrame, chosen: DataFrame, scenarios: DataFrame, edges: DataFrame, adjacency: DataFrame, t: Thresholds = T) -> DataFrame:
+def onset(time: np.ndarray, offset: np.ndarray, reached: np.ndarray, t: Thresholds = T) -> tuple[int | None, str]:
+    """Row where a move sideways begins, and by what; offset: to the target's side, reached: share of the footprint on the target lane.
+
+    It begins where the offset from the first rows' median, its speed or the share is
+    enough, more is to come, and the next rows don't fall back.
+    """
+    if not len(time):
+        return None, "source_end"
+    moved = offset - np.median(offset[: max(2, t.lane_change_source_frames + 1)])
+    speed = np.concatenate([[0.0], np.diff(moved) / np.maximum(np.diff(time) / 1e6, 1e-9)])
+    for i in range(len(time) - t.lane_change_onset_frames + 1):
+        begun = moved[i] >= t.lane_change_lateral_onset or speed[i] >= t.lane_change_lateral_speed_onset or reached[i] > 0.01
+        if begun and moved.max() - moved[i] >= t.lane_change_future_gain and (moved[i : i + t.lane_change_onset_frames] >= moved[i] - 0.1).all():
+            return i, "lateral_speed" if speed[i] >= t.lane_change_lateral_speed_onset else "lateral_offset" if moved[i] >= t.lane_change_lateral_onset else "target_overlap"
+    touching = np.flatnonzero(reached > 0.01)
+    return (int(touching[0]), "target_overlap") if len(touching) else (None, "source_end")
+
+
+def completion(frames: list[int], overlap: list[float | None], centered: list[bool], t: Thresholds = T) -> tuple[int, str]:
+    """Row where the target lane is taken, and by what: frames in a row that are on it, or the last one that surely is, or the first."""
+    need = t.lane_change_complete_overlap
+    on = [o is not None and o >= need and (c or o >= min(0.85, need + 0.15)) for o, c in zip(overlap, centered, strict=True)]
+    seen = [i for i, o in enumerate(overlap) if o is not None]
+    n = t.lane_change_completion_frames
+    for k in range(len(seen) - n + 1):
+        run = seen[k : k + n]
+        if all(on[i] for i in run) and frames[run[-1]] - frames[run[0]] == n - 1:
+            return run[0], "stable"
+    for i in reversed(seen):
+        if overlap[i] >= t.lane_change_single_overlap and centered[i]:
+            return i, "single_frame"
+    return 0, "target_entry"
+
+
+def lane_changes(entities: DataFrame, found: DataFrame, chosen: DataFrame, scenarios: DataFrame, edges: DataFrame, adjacency: DataFrame, map_objects: DataFrame, t: Thresholds = T) -> DataFrame:
     """One event per lane change: track, lanes, side, onset and completion frames, score, whether its ends were seen.
 
-    A track's candidates are one pandas group: Viterbi over corridors, smoothing,
-    runs, then onset and completion about each step between adjacent corridors.
+    A track's candidates and the lanes that it has met are one pandas group: Viterbi over
+    corridors, smoothing, runs, then onset and completion about each step between
+    adjacent corridors, from the offsets to the source corridor's line.  What belongs to a lane
+    comes once a lane: ways out of it, neighbours that the map states or whole baselines show, the line.
     """
     maps = scenarios.select("scenario_token", "map_name")
     single = edges.groupBy("map_name", F.col("src_id").alias("object_id")).agg(F.collect_set("dst_id").alias("ways")).where(F.size("ways") == 1).select("map_name", "object_id", F.get("ways", F.lit(0)).alias("follower"))
     ahead = reachable(edges, t.lane_change_hops).groupBy("map_name", F.col("src").alias("object_id")).agg(F.collect_set("dst").alias("ahead"))
-    sides = adjacency.groupBy("map_name", "object_id").agg(F.collect_set(F.struct("side", "adjacent_id")).alias("beside"))
-    cand = found.join(maps, "scenario_token").join(single, ["map_name", "object_id"], "left").join(ahead, ["map_name", "object_id"], "left")
-    cand = cand.join(sides, ["map_name", "object_id"], "left").join(chosen.select("scenario_token", "frame_index", "track_token", "primary_id", F.col("ambiguous").alias("unsure")), ["scenario_token", "frame_index", "track_token"], "left")
-    own = entities.where(is_vehicle(F.col("agent_type"))).select(*KEYS, "speed")
-    rows = own.join(cand.select("scenario_token", "frame_index", "track_token", "object_id", "follower", "ahead", "beside", "center_covered", "overlap_ratio", "lateral_offset", F.col("map_heading").alias("lane_heading"), (F.col("object_id") == F.col("primary_id")).alias("is_primary"), "unsure"), ["scenario_token", "frame_index", "track_token"], "left")
-    schema = "scenario_token string, track_token string, source_lane string, target_lane string, source_corridor string, target_corridor string, side string, onset_frame int, boundary_frame int, completion_frame int, score double, stable boolean, seen_before boolean"
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
+    beside = lambda df, name: df.groupBy("map_name", "object_id").agg(F.collect_set(F.struct("side", "adjacent_id")).alias(name))
+    about = map_objects.select("map_name", "object_id").distinct()
+    for part in (single, ahead, beside(adjacency, "beside"), beside(lane_sides(map_objects, t), "parallel"), corridor_lines(map_objects, edges, t.lane_change_hops).select("map_name", "object_id", "xs", "ys")):
+        about = about.join(part, ["map_name", "object_id"], "left")
+    about = cut(about)
+    met = found.select(F.col("scenario_token").alias("of_scenario"), F.col("track_token").alias("of_track"), F.col("object_id").alias("met_id")).distinct()
+    lanes = met.join(maps, F.col("of_scenario") == F.col("scenario_token")).withColumnRenamed("met_id", "object_id").drop("scenario_token").join(about, ["map_name", "object_id"]).drop("map_name")
+    cand = found.join(chosen.select("scenario_token", "frame_index", "track_token", "primary_id", F.col("ambiguous").alias("unsure")), ["scenario_token", "frame_index", "track_token"], "left")
+    own = entities.where(is_vehicle(F.col("agent_type"))).select(*KEYS, "speed", "x", "y")
+    rows = own.join(cand.select("scenario_token", "frame_index", "track_token", "object_id", "center_covered", "overlap_ratio", "lateral_offset", F.col("map_heading").alias("lane_heading"), (F.col("object_id") == F.col("primary_id")).alias("is_primary"), "unsure"), ["scenario_token", "frame_index", "track_token"], "left")
+    schema = "scenario_token string, track_token string, source_lane string, target_lane string, source_corridor string, target_corridor string, side string, onset_frame int, boundary_frame int, completion_frame int, score double, stable boolean, seen_before boolean, onset_by string, completion_by string"
+
+    def track(df: pd.DataFrame, lanes: pd.DataFrame) -> pd.DataFrame:
+        return run(df, {row.object_id: row for row in lanes.itertuples()}) if len(df) else pd.DataFrame([], columns=[c.split()[0] for c in schema.split(", ")])
+
+    def run(df: pd.DataFrame, lane: dict[str, object]) -> pd.DataFrame:
         out: list[tuple] = []
         names = [c.split()[0] for c in schema.split(", ")]
         frames = sorted(df["frame_index"].unique())
         known = df.dropna(subset=["object_id"]).sort_values(["frame_index", "object_id"])
-        corridor = chains({row.object_id: row.follower for row in known.itertuples()})
+        corridor = chains({row.object_id: lane[row.object_id].follower for row in known.itertuples()})
         known = known.assign(corridor=known["object_id"].map(corridor))
         states = [*sorted(known["corridor"].unique()), UNKNOWN]
         if len(frames) < 2 or len(states) < 3:
@@ -137,13 +182,16 @@ def lane_changes(entities: DataFrame, found: DataFrame, chosen: DataFrame, scena
             for a in each:
                 for b in each:
                     apart, turn = a.lateral_offset - b.lateral_offset, abs((a.lane_heading - b.lane_heading + np.pi) % (2 * np.pi) - np.pi)
-                    ways = [x for r in (a, b) for x in (r.ahead if r.ahead is not None else ())]
+                    ways = [x for r in (a, b) for x in (lane[r.object_id].ahead if lane[r.object_id].ahead is not None else ())]
                     if a.corridor != b.corridor and a.object_id not in ways and b.object_id not in ways and turn <= BESIDE["heading"] and max(BESIDE["least"], BESIDE["side"]) <= abs(apart) <= BESIDE["most"]:
                         side[number[a.corridor], number[b.corridor]] = "left" if apart > 0 else "right"
-        for row in known.itertuples():
-            for b in row.beside if row.beside is not None else ():
-                if corridor.get(b["adjacent_id"], row.corridor) != row.corridor:
-                    side[number[row.corridor], number[corridor[b["adjacent_id"]]]] = b["side"]
+        for name, own in corridor.items():
+            for stated, neighbours in ((True, lane[name].beside), (False, lane[name].parallel)):
+                for b in neighbours if neighbours is not None else ():
+                    if corridor.get(b["adjacent_id"], own) != own:
+                        step = number[own], number[corridor[b["adjacent_id"]]]
+                        # whole baselines speak where neither the map nor the place of the vehicle does
+                        side[step] = b["side"] if stated else side.get(step, b["side"])
         ratio = lambda i, s: best[i, s].overlap_ratio if (i, s) in best else 0.0
         change = np.full((len(frames), len(states), len(states)), COST["far"])
         change[:, -1, :] = change[:, :, -1] = COST["to_unknown"]
@@ -165,26 +213,33 @@ def lane_changes(entities: DataFrame, found: DataFrame, chosen: DataFrame, scena
         runs = [(path[a], a, b) for a, b in zip(cuts, cuts[1:], strict=False) if path[a] != UNKNOWN]
         speed = df.groupby("frame_index")["speed"].first()
         time = df.groupby("frame_index")["timestamp_us"].first()
+        place_of = {f: (x, y) for f, x, y in df[["frame_index", "x", "y"]].itertuples(index=False)}
+        share = {(r.frame_index, r.object_id): r.overlap_ratio for r in known.itertuples()}
         for (src, a0, a1), (dst, b0, b1) in zip(runs, runs[1:], strict=False):
             way = side.get((number[src], number[dst]))
             if src == dst or way is None or speed[frames[b0]] < t.lane_change_speed:
                 continue
-            n, good = t.lane_change_stable_frames, lambda i, s=number[dst]: (i, s) in best and (best[i, s].center_covered or best[i, s].overlap_ratio >= t.lane_change_overlap or bool(best[i, s].is_primary))
-            done = next((i + n - 1 for i in range(b0, b1 - n + 1) if all(good(j) for j in range(i, i + n))), None)
-            first, sign = a1 - 1, 1 if way == "left" else -1
-            while first > a0 and time[frames[b0]] - time[frames[first - 1]] <= t.lane_change_onset_search_s * 1e6:
-                here, prior = best.get((first, number[src])), best.get((first - 1, number[src]))
-                if here is None or prior is None or (here.lateral_offset - prior.lateral_offset) * sign < t.lane_change_lateral_onset:
-                    break
-                first -= 1
-            source, target = best.get((a1 - 1, number[src])), best.get((b0 if done is None else done, number[dst]))
-            if source is None or target is None:
+            source = best.get((a1 - 1, number[src]))
+            entry = best.get((b0, number[dst]))
+            if source is None or entry is None:
                 continue
-            score = 2.0 + (1.0 if a1 - a0 >= 2 else 0.5) + (2.0 if done is not None else 0.75) + 1.5 * bool(target.is_primary) + 1.5 * target.center_covered + (target.overlap_ratio >= 0.5) + 0.5 * (target.overlap_ratio > source.overlap_ratio) - 0.25 * (first == 0) - 0.5 * (done is None)
-            out.append((df["scenario_token"].iloc[0], df["track_token"].iloc[0], source.object_id, target.object_id, src, dst, way, frames[first], frames[b0], frames[b0 if done is None else done], float(score), done is not None, first > 0))
+            since = [i for i in range(a0, b0 + 1) if time[frames[b0]] - time[frames[i]] <= t.lane_change_onset_search_s * 1e6]
+            start = next((best[i, number[src]].object_id for i in since if (i, number[src]) in best), source.object_id)
+            first, onset_by = None, "source_end"
+            if lane[start].xs is not None and len(lane[start].xs) >= 2:
+                at = np.array([place_of[frames[i]] for i in since])
+                offset = profile(np.stack([lane[start].xs, lane[start].ys], -1), at) * (1 if way == "left" else -1)
+                first, onset_by = onset(time[[frames[i] for i in since]].to_numpy(), offset, np.array([share.get((frames[i], entry.object_id), 0.0) for i in since]), t)
+            first = a1 - 1 if first is None else since[first]
+            taken = [best.get((i, number[dst])) for i in range(b0, b1)]
+            done, completion_by = completion(frames[b0:b1], [r.overlap_ratio if r else None for r in taken], [bool(r and r.center_covered) for r in taken], t)
+            done, stable = max(b0 + done, first), completion_by == "stable"
+            target = best.get((done, number[dst]), entry)
+            score = 2.0 + (1.0 if a1 - a0 >= 2 else 0.5) + (2.0 if stable else 0.75) + 1.5 * bool(target.is_primary) + 1.5 * target.center_covered + (target.overlap_ratio >= 0.5) + 0.5 * (target.overlap_ratio > source.overlap_ratio) - 0.25 * (first == 0) - 0.5 * (not stable)
+            out.append((df["scenario_token"].iloc[0], df["track_token"].iloc[0], source.object_id, target.object_id, src, dst, way, frames[first], frames[b0], frames[done], float(score), stable, first > 0, onset_by, completion_by))
         return pd.DataFrame(out, columns=names)
 
-    return rows.groupBy("scenario_token", "track_token").applyInPandas(run, schema)
+    return rows.groupBy("scenario_token", "track_token").cogroup(lanes.groupBy("of_scenario", "of_track")).applyInPandas(track, schema)
 
 
 def lane_change_facts(events: DataFrame, entities: DataFrame, least_score: float = 3.25) -> DataFrame:

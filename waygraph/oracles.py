@@ -359,3 +359,13 @@ _LAST = {
             concat(node, ' <http://www.w3.org/1999/02/22-rdf-syntax-ns#object> ', thing, ' .'), concat(node, ' <http://www.w3.org/ns/prov#wasDerivedFrom> <urn:way:', scenario_token, '> .'), concat(node, ' <http://www.w3.org/ns/prov#atTime> "', timestamp_us, '"^^<http://www.w3.org/2001/XMLSchema#integer> .')]) as value from l""",
 }
 SQL |= {f"way_{name}": text for name, text in _LAST.items()}
+
+SQL["way_lane_neighbours"] = MATCHED + f""", ls0 as (select a.object_id, b.object_id as adjacent_id, a.upright, a.upright <> b.upright as across, (a.x0 + a.x1) / 2 as mx, (a.y0 + a.y1) / 2 as my,
+        case when b.upright then (b.x0 + b.x1) / 2 else greatest(b.x0, least(b.x1, (a.x0 + a.x1) / 2)) end as px, case when b.upright then greatest(b.y0, least(b.y1, (a.y0 + a.y1) / 2)) else (b.y0 + b.y1) / 2 end as py,
+        sqrt(power(greatest(b.x0 - a.x1, a.x0 - b.x1, 0), 2) + power(greatest(b.y0 - a.y1, a.y0 - b.y1, 0), 2)) as apart from o a, o b where a.object_id <> b.object_id),
+    ls1 as (select *, sqrt(power(px - mx, 2) + power(py - my, 2)) as gap, case when upright then mx - px else py - my end as beside from ls0 where not across and apart <= 1.5)
+    select {KEYS}, primary_id, adjacent_id, case when beside > 0 then 'left' else 'right' end as side, round(cast(gap as double), 6) as gap from mt join ls1 on ls1.object_id = mt.primary_id where gap between 2 and 6.5 and abs(beside) > 0.25"""
+SQL["way_corridor_progress"] = MATCHED.replace("with ", "with recursive ", 1) + f""", cl as (select object_id, outs, len as total, 0 as hops, object_id as last from o union all
+        select cl.object_id, o.outs, cl.total + o.len, hops + 1, o.object_id from cl join o on o.object_id = cl.outs[1] where len(cl.outs) = 1 and hops < 5),
+    ct as (select object_id, max(total) as total from cl group by object_id)
+    select {KEYS}, primary_id, round(cast(progress as double), 6) as along, round(cast(lateral_offset as double), 6) as offset, round(cast(total as double), 6) as corridor_length from mt join ct on ct.object_id = primary_id where primary_id is not null"""

@@ -35,7 +35,7 @@ STEPS: tuple[dict[str, str], ...] = (
         "v": "case slot when 0 then 8.0E0 + pace when 1 then 11.0E0 + pace when 2 then 12.0E0 + pace when 3 then 6.0E0 + pace when 4 then 0.0E0 when 5 then 3.0E0 when 6 then 1.25E0 else 0.0E0 end",
     },
     {
-        "x": "case slot when 0 then 20.0E0 + shift + v * t - (v - 1.5E0) * least(greatest(t - brake_t, 0.0E0), 4.0E0) when 1 then 45.0E0 + shift + v * t when 2 then 5.0E0 + shift + v * t when 3 then 30.0E0 + shift + v * t when 4 then 150.0E0 + shift when 5 then 220.0E0 when 6 then 192.0E0 else 300.0E0 end",
+        "x": "case slot when 0 then 20.0E0 + shift + v * t - (v - 1.5E0) * least(greatest(t - brake_t, 0.0E0), 4.0E0) when 1 then 45.0E0 + shift + v * t when 2 then 5.0E0 + shift + v * t when 3 then 30.0E0 + shift + v * t when 4 then 183.0E0 + shift * 0.5E0 when 5 then 220.0E0 when 6 then 192.0E0 else 300.0E0 end",
         "y": "case slot when 0 then 4.0E0 when 1 then 4.0E0 when 2 then 4.0E0 + lateral_f when 3 then 0.0E0 + lateral_f when 4 then 0.0E0 when 5 then -74.0E0 + v * t when 6 then 4.0E0 + v * (t - brake_t - 3.0E0) else -1.0E0 end",
         "vx": "case when slot = 0 and t > brake_t and t < brake_t + 4.0E0 then 1.5E0 + jitter when slot in (0, 1, 2, 3) then v + jitter else 0.0E0 end",
         "vy": "case when slot in (5, 6) then v else lateral_v end",
@@ -93,7 +93,7 @@ def map_rows() -> tuple[list, list, list]:
     edges.append(("A2", "C2R"))
     objects.append(("X0", "lane", _box(218.0, -80.0, 222.0, 60.0), [(220.0, -80.0), (220.0, 60.0)], 140.0, 8.0, "RX", None))
     objects.append(("I0", "intersection", _box(200.0, -2.0, 240.0, 10.0), [], None, None, None, "I0"))
-    objects.append(("P0", "carpark", _box(206.0, -12.0, 214.0, 1.0), [], None, None, None, None))
+    objects.append(("P0", "carpark", _box(186.5, -12.0, 191.0, 1.0), [], None, None, None, None))
     objects.append(("D0", "drivable_area", _box(196.0, -6.0, 244.0, 12.0), [], None, None, None, None))
     objects.append(("W0", "crosswalk", _box(190.0, -4.0, 194.0, 14.0), [], None, None, None, None))
     return objects, edges, adjacent

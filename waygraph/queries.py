@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from waygraph import catalog
 from waygraph.config import T
 from waygraph.functions.classifiers import is_vehicle, speed_state
-from waygraph.operators import areas, crossing, entities, following, future, mapmatch, maneuvers, pairs, query, relevance, risk, spatial, traffic, visibility
+from waygraph.operators import areas, crossing, entities, following, future, lanes, mapmatch, maneuvers, pairs, query, relevance, risk, spatial, traffic, visibility
 from waygraph.operators.assertions import entity, identified, of_entities, of_pairs, stated, united
 from waygraph.oracles import SQL  # noqa: F401
 from waygraph.plans.scene import Scene, scene
@@ -86,7 +86,7 @@ class Stages:
     @cached_property
     def lane_changes(self) -> DataFrame:
         s = self.scene
-        return maneuvers.lane_changes(self.matched, self.found, self.primary, s.scenarios, s.map_edges, s.map_adjacency)
+        return maneuvers.lane_changes(self.matched, self.found, self.primary, s.scenarios, s.map_edges, s.map_adjacency, s.map_objects)
 
     @cached_property
     def leaders(self) -> DataFrame:
@@ -211,6 +211,8 @@ BUILD: dict[str, Callable[[Stages], DataFrame]] = {
     "crossings": lambda s: s.crossings,
     "yields": lambda s: crossing.yields(s.crossings, s.users, traffic.red_frames(s.matched, s.signals)),
     "track_pairs": lambda s: crossing.track_pairs(s.users),
+    "lane_neighbours": lambda s: lanes.neighbours(s.matched, s.scene.scenarios, lanes.lane_sides(s.scene.map_objects)),
+    "corridor_progress": lambda s: lanes.corridor_progress(s.matched, s.scene.scenarios, lanes.corridor_lines(s.scene.map_objects, s.scene.map_edges)),
     "lane_changes": lambda s: maneuvers.lane_change_facts(s.lane_changes, s.users),
     "merges": lambda s: maneuvers.merges(s.lane_changes, s.matched, s.scene.scenarios, following.unbranched_paths(s.scene.map_objects, s.scene.map_edges, T.merge_hops)),
     "overtakes": lambda s: maneuvers.overtakes(s.vehicle_pairs, maneuvers.reachable(s.scene.map_edges), s.scene.scenarios, s.scene.map_adjacency),
