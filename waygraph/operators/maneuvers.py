@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waygraph.config import T, Thresholds
-from waygraph.functions.angles import wrap
+from waygraph.functions.angles import difference, wrap
 from waygraph.functions.classifiers import is_vehicle
 from waygraph.operators.entities import KEYS
 from waygraph.operators.lanes import corridor_lines, lane_sides, profile
@@ -254,24 +254,28 @@ def merges(events: DataFrame, matched: DataFrame, scenarios: DataFrame, paths: D
     """mergesInFrontOf and mergesBehind: after a completed lane change, the nearest vehicle on the target's path on either side.
 
     paths are unbranched ones.  The other vehicle was on the path before the boundary,
-    keeps its order for the frames asked after completion, and is within the gap along
-    the path, and the headway where it trails.
+    goes the same way, keeps its order for the frames asked after completion, and is within the gap along
+    the path, and the headway where it trails.  It changes lanes itself at no time
+    between boundary and completion: an interval anti-join of the events with each other.
     """
     maps = scenarios.select("scenario_token", "map_name")
     # places of lanes before and behind the target lane, by their starts
     onward = paths.select("map_name", F.col("src").alias("target_lane"), F.col("dst").alias("primary_id"), F.col("offset").alias("start"))
     back = paths.where("src <> dst").select("map_name", F.col("dst").alias("target_lane"), F.col("src").alias("primary_id"), (-F.col("offset")).alias("start"))
     axis = onward.unionByName(back).groupBy("map_name", "target_lane", "primary_id").agg(F.min_by("start", F.abs("start")).alias("start"))
-    own = matched.where(is_vehicle(F.col("agent_type")) & F.col("primary_id").isNotNull()).join(maps, "scenario_token").select("map_name", *KEYS, "primary_id", "progress", "speed", "length_m")
+    own = matched.where(is_vehicle(F.col("agent_type")) & F.col("primary_id").isNotNull()).join(maps, "scenario_token").select("map_name", *KEYS, "primary_id", "progress", "speed", "length_m", "travel_heading")
     bound = matched.select("scenario_token", "track_token", F.col("frame_index").alias("boundary_frame"), F.col("timestamp_us").alias("boundary_us"))
-    done = events.where("stable").join(bound, ["scenario_token", "track_token", "boundary_frame"]).join(maps, "scenario_token").select("map_name", "scenario_token", "track_token", "target_lane", "boundary_frame", "completion_frame", "boundary_us")
+    done = events.where("stable and seen_before").join(bound, ["scenario_token", "track_token", "boundary_frame"]).join(maps, "scenario_token").select("map_name", "scenario_token", "track_token", "target_lane", "boundary_frame", "completion_frame", "boundary_us")
     near = own.join(done.withColumnRenamed("track_token", "s_track"), ["map_name", "scenario_token"]).withColumn("since", (F.col("timestamp_us") - F.col("boundary_us")) / 1e6)
     near = near.where((F.col("since") >= -t.merge_preexistence_s) & (F.col("since") <= t.merge_confirmation_s + t.sample_interval_s * 8)).join(axis, ["map_name", "target_lane", "primary_id"]).withColumn("place", F.col("start") + F.col("progress"))
     key = ["scenario_token", "s_track", "boundary_frame", "completion_frame"]
-    s = near.where("track_token = s_track").select(*key, "frame_index", "since", *(F.col(c).alias(f"s_{c}") for c in ("place", "speed", "length_m")))
+    s = near.where("track_token = s_track").select(*key, "frame_index", "since", *(F.col(c).alias(f"s_{c}") for c in ("place", "speed", "length_m", "travel_heading")))
     o = near.where("track_token <> s_track").withColumnRenamed("track_token", "o_track")
     there = o.where("since < 0").select(*key, "o_track").distinct()
-    both = s.where((F.col("frame_index") >= F.col("completion_frame")) & (F.col("frame_index") < F.col("completion_frame") + t.merge_stable_frames)).join(o.select(*key, "o_track", "frame_index", *(F.col(c).alias(f"o_{c}") for c in ("place", "speed", "length_m"))), [*key, "frame_index"])
+    both = s.where((F.col("frame_index") >= F.col("completion_frame")) & (F.col("frame_index") < F.col("completion_frame") + t.merge_stable_frames)).join(o.select(*key, "o_track", "frame_index", *(F.col(c).alias(f"o_{c}") for c in ("place", "speed", "length_m", "travel_heading"))), [*key, "frame_index"])
+    busy = events.select("scenario_token", F.col("track_token").alias("o_track"), F.col("onset_frame").alias("from_frame"), F.col("completion_frame").alias("to_frame"))
+    meets = (both["scenario_token"] == busy["scenario_token"]) & (both["o_track"] == busy["o_track"]) & (F.col("to_frame") >= F.col("boundary_frame")) & (F.col("from_frame") <= both["completion_frame"])
+    both = both.join(busy, meets, "left_anti").where(difference(F.col("s_travel_heading"), F.col("o_travel_heading")) <= t.merge_same_flow)
     both = both.withColumn("ahead", F.col("o_place") - F.col("s_place")).withColumn("gap", F.abs("ahead") - (F.col("s_length_m") + F.col("o_length_m")) / 2)
     after = both.groupBy(*key, "o_track").agg(F.count(F.lit(1)).alias("n"), F.min("ahead").alias("lo"), F.max("ahead").alias("hi"), F.min_by("gap", "frame_index").alias("gap"), F.min_by("s_speed", "frame_index").alias("s_v"), F.min_by("o_speed", "frame_index").alias("o_v"))
     after = after.where((F.col("n") >= t.merge_stable_frames) & ((F.col("lo") > 0) | (F.col("hi") < 0)) & F.col("gap").between(0, t.merge_gap))

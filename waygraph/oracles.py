@@ -278,10 +278,6 @@ _ROUND = lambda names: ", ".join(f"round(cast({c} as double), 6) as {c}" for c i
 _MORE = {
     "leaders": LEADERS + f" select {FRAME}, s_track, o_track, {_ROUND('distance, gap, s_forward, o_forward, headway_s')}, mode from lead",
     "follow_facts": LEADERS + ", v9 as (select * from lead where mode is not null), q9 as (select * from lead where mode = 'queue')" + _streaks("v9", "s_track, o_track", "fa") + _streaks("q9", "s_track, o_track", "fb") + f" select 'follows' as predicate, {FRAME}, s_track, o_track, start_us, {_ROUND('duration_s, gap')} from fa where duration_s >= 1 union all select 'queuesBehind', {FRAME}, s_track, o_track, start_us, {_ROUND('duration_s, gap')} from fb where duration_s >= 1",
-    "intents": PAIRS + f""", x0 as (select *, {_RAYS} from k where s_agent_type <> 'BARRIER' and o_agent_type <> 'BARRIER'),
-        x1 as (select *, greatest(0, s_far) / greatest(s_v, 0.05) as s_eta, greatest(0, o_far) / greatest(o_v, 0.05) as o_eta, coalesce(s_v < lag(s_v) over w, false) as slower, coalesce(d - lag(d, 4) over w >= 2, false) as wider, s_v > 0.8 and o_v > 0.8 as moving
-            from x0 where meets and s_far between -1e-9 and 80 + 1e-9 and o_far between -1e-9 and 80 + 1e-9 window w as (partition by scenario_token, s_track, o_track order by frame_index)),
-        x2 as (select {FRAME}, s_track, o_track, unnest(list_filter([case when slower and o_eta < s_eta and moving then 'yieldingTo' end, case when s_v <= 0.3 and o_v > 0.8 then 'waitingFor' end, case when wider and slower then 'creatingGapFor' end, case when abs(o_eta - s_eta) <= 1.5 and moving and s_track < o_track then 'competingForGapWith' end], lambda z: z is not null)) as predicate from x1)""" + _streaks("x2", "s_track, o_track, predicate") + f" select {FRAME}, s_track, o_track, predicate, start_us, {_ROUND('duration_s')} from st where duration_s >= 1",
     "maneuvers": MATCHED + f""", n0 as (select *, case primary_kind when 'lane' then primary_id end as lane, case primary_kind when 'lane_connector' then primary_id end as link from mt),
         n1 as (select *, lag(lane) over w as p_lane, lag(link) over w as p_link, coalesce({WRAP.format("heading - lag(heading) over w")}, 0) as turned, lag(lane, 2) over w as l2, lag(lane, 3) over w as l3, lag(x, 2) over w as p_x, lag(y, 2) over w as p_y, lag(heading, 2) over w as p_h, count(*) over w > 1 and (timestamp_us - first_value(timestamp_us) over w) / 1e6 >= 0.5 as old
             from n0 window w as (partition by scenario_token, track_token order by frame_index)),
@@ -330,7 +326,7 @@ _CATALOG = ", ".join(f"('{p}', '{category}', '{kind}', {native})" for p, categor
 _TOPOLOGY = {"hasMapProgressDifferenceTo": "case when rel = 'same_map' then o_progress - s_progress end", "hasSignedPathDistanceTo": "path", "hasTravelDirectionDifferenceTo": "turn", "hasTravelLongitudinalDistanceTo": "t_ahead", "hasTravelLateralDistanceTo": "t_aside"}
 _STATED = [f"select predicate from ({SQL[f'way_{name}']})" for name in (
     "structure_facts", "pose_facts", "motion_facts", "velocity_vectors", "temporal_facts", "precedes", "motion_states", "map_memberships", "area_memberships", "map_facts", "map_relations", "pair_identity", "pair_kinematics",
-    "pair_footprints", "pair_history", "spatial_facts", "signal_facts", "relevant_signals", "follow_facts", "maneuvers", "intents",
+    "pair_footprints", "pair_history", "spatial_facts", "signal_facts", "relevant_signals", "follow_facts", "maneuvers",
 )]
 _STATED += [
     f"select predicate from ({_facts(TOPOLOGY, 'tp', PAIR, _TOPOLOGY)})",
@@ -345,9 +341,9 @@ _STATED += [
 _COUNTED = f"with def(predicate, category, kind, native) as (values {_CATALOG}), n as (select predicate, count(*) as n from ({' union all '.join(_STATED)}) group by predicate)"
 _ME = "case when track_token = 'ego' then concat('ego:', scenario_token, ':', timestamp_us) else concat('agent:', scenario_token, ':', track_token, ':', timestamp_us) end"
 _LAST = {
-    "predicate_counts": _COUNTED + " select predicate, category, n from n join def using (predicate)",
-    "truth_counts": _COUNTED + " select case when native then 'native' when kind = 'BOOLEAN' then 'semantic' else 'measurement' end as kind, sum(n) :: bigint as n from n join def using (predicate) group by 1",
-    "coverage": _COUNTED.replace("as (values", "as (values", 1) + f" select predicate, case when predicate in ({', '.join(repr(p) for p, *_, status in catalog.rows() if status != 'enabled')}) then 'catalog_only' else 'enabled' end as status, coalesce(n, 0) as n, coalesce(n, 0) > 0 or predicate in ({', '.join(repr(p) for p, *_, status in catalog.rows() if status != 'enabled')}) as covered from def left join n using (predicate)",
+    "frame_predicate_counts": _COUNTED + " select predicate, category, n from n join def using (predicate)",
+    "frame_truth_counts": _COUNTED + " select case when native then 'native' when kind = 'BOOLEAN' then 'semantic' else 'measurement' end as kind, sum(n) :: bigint as n from n join def using (predicate) group by 1",
+    "frame_coverage": _COUNTED.replace("as (values", "as (values", 1) + f" select predicate, case when predicate in ({', '.join(repr(p) for p, *_, status in catalog.rows() if status != 'enabled')}) then 'catalog_only' else 'enabled' end as status, coalesce(n, 0) as n, coalesce(n, 0) > 0 or predicate in ({', '.join(repr(p) for p, *_, status in catalog.rows() if status != 'enabled')}) as covered from def left join n using (predicate)",
     "unknown_predicates": f"with def(predicate, category, kind, native) as (values {_CATALOG}), t as (select * replace (case when frame_index % 10 = 3 then concat(predicate, 'Raw') else predicate end as predicate) from ({SQL['way_temporal_facts']})) select predicate, scenario_token, frame_index, timestamp_us, track_token, value from t anti join def using (predicate)",
     "n_triples": f"""with def(predicate, category, kind, native) as (values {_CATALOG}),
         f as (select scenario_token, timestamp_us, predicate, {_ME} as subject, null as object, object as value, null as number from ({SQL['way_structure_facts']}) union all select scenario_token, timestamp_us, predicate, {_ME}, null, null, cast(cast(value as decimal(38, 6)) as varchar) from ({SQL['way_pose_facts']})

@@ -97,6 +97,10 @@ class Stages:
     def futures(self) -> DataFrame:
         return future.future_positions(self.users)
 
+    @cached_property
+    def path_conflicts(self) -> DataFrame:
+        return cut(future.conflicts_of_paths(future.future_paths(self.matched)))
+
     @cached_property
     def meetings(self) -> DataFrame:
         return cut(crossing.meetings(self.kinematic, crossing.track_pairs(self.users)))
@@ -142,13 +146,13 @@ FAMILIES: dict[str, Callable[[Stages], DataFrame]] = {
     "following": lambda s: stated(BUILD["follow_facts"](s), entity("s_track"), entity("o_track"), start=F.col("start_us"), evidence=("gap", "duration_s")),
     "crossing": lambda s: stated(s.crossings.withColumn("predicate", F.lit("crossesInFrontOf")), entity("s_track"), entity("o_track"), start=F.col("start_us"), evidence=("conflict_x", "conflict_y", "angle", "s_eta", "eta_gap", "score")),
     "maneuver": lambda s: stated(BUILD["maneuvers"](s), entity("track_token"), F.col("object_id")),
-    "intent": lambda s: stated(BUILD["intents"](s), entity("s_track"), entity("o_track"), start=F.col("start_us")),
     "future_position": lambda s: stated(s.futures.withColumn("predicate", F.lit("hasFuturePosition")), entity("track_token"), value=F.to_json(F.struct("x", "y", "heading")), end=F.col("at_us"), evidence=("sample", "at_us")),
     "future_footprint": lambda s: stated(future.footprints_at(s.futures, s.users).withColumn("predicate", F.lit("hasFutureFootprint")), entity("track_token"), value=F.to_json("corners"), end=F.col("at_us"), evidence=("sample", "at_us")),
     "future": lambda s: of_entities(future.coverage_facts(future.future_coverage(s.users))),
 }
-#: Those that come from the scans of whole tracks.
+#: Those that come from scans of whole tracks or from kernels, which SQL can't state.
 EVENT_FAMILIES: dict[str, Callable[[Stages], DataFrame]] = {
+    "intent": lambda s: stated(BUILD["intents"](s), entity("s_track"), entity("o_track"), start=F.col("start_us"), evidence=("region", "duration_s")),
     "lane_change": lambda s: stated(BUILD["lane_changes"](s), entity("track_token"), F.concat(F.lit("lane:"), "target_lane"), evidence=("source_lane", "target_lane", "side", "onset_frame", "completion_frame")),
     "merge": lambda s: stated(query.at_frame(BUILD["merges"](s).withColumnRenamed("track_token", "s_track"), s.scene.frames, "completion_frame"), entity("s_track"), entity("o_track"), evidence=("gap", "boundary_frame", "completion_frame")),
     "overtake": lambda s: stated(query.at_frame(BUILD["overtakes"](s), s.scene.frames, "completion_frame").withColumn("predicate", F.lit("overtakes")), entity("s_track"), entity("o_track"), start=F.col("timestamp_us") - F.col("duration_s") * 1e6, evidence=("start_frame", "departure_frame", "side_frame", "reversal_frame", "clearance_frame", "return_frame", "passing_side")),
@@ -220,12 +224,16 @@ BUILD: dict[str, Callable[[Stages], DataFrame]] = {
     "future_links": lambda s: future.future_links(s.users),
     "future_coverage": lambda s: future.future_coverage(s.users),
     "future_positions": lambda s: s.futures,
-    "coverage": lambda s: query.coverage(assertions_of(s, tuple(FAMILIES)).select("predicate"), catalog.definitions(s.spark)),
+    "coverage": lambda s: query.coverage(assertions_of(s).select("predicate"), catalog.definitions(s.spark)),
+    "frame_coverage": lambda s: query.coverage(assertions_of(s, tuple(FAMILIES)).select("predicate"), catalog.definitions(s.spark)),
     "scenario_summaries": lambda s: query.scenario_summaries(s.scene.entities, s.scene.scenarios),
-    "intents": lambda s: future.intents(s.kinematic, s.scene.frames),
+    "path_conflicts": lambda s: s.path_conflicts.select(*pairs.FRAME, "s_track", "o_track", "area", "cx", "cy", "s_arrival", "o_arrival"),
+    "intents": lambda s: future.intents(s.path_conflicts, s.scene.frames),
     "assertions": lambda s: assertions_of(s),
-    "predicate_counts": lambda s: query.counts(assertions_of(s, tuple(FAMILIES)).drop("category"), catalog.definitions(s.spark)),
-    "truth_counts": lambda s: query.truth_counts(assertions_of(s, tuple(FAMILIES)).select("predicate"), catalog.definitions(s.spark)),
+    "predicate_counts": lambda s: query.counts(assertions_of(s).drop("category"), catalog.definitions(s.spark)),
+    "frame_predicate_counts": lambda s: query.counts(assertions_of(s, tuple(FAMILIES)).drop("category"), catalog.definitions(s.spark)),
+    "truth_counts": lambda s: query.truth_counts(assertions_of(s).select("predicate"), catalog.definitions(s.spark)),
+    "frame_truth_counts": lambda s: query.truth_counts(assertions_of(s, tuple(FAMILIES)).select("predicate"), catalog.definitions(s.spark)),
     "unknown_predicates": lambda s: query.unknown_predicates(entities.temporal_facts(s.history).withColumn("predicate", F.when(F.col("frame_index") % 10 == 3, F.concat("predicate", F.lit("Raw"))).otherwise(F.col("predicate"))), catalog.definitions(s.spark)),
     "pair_edges": lambda s: query.pair_edges(entities.states(spatial.with_spatial(s.footprints), pairs.PAIR, [F.col("contact_state"), F.col("sector")])),
     "display_numbers": lambda s: query.display_numbers(s.scene.entities),
