@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waygraph.config import T, Thresholds
-from waygraph.functions.angles import wrap
+from waygraph.functions.angles import mean_of_two, wrap
 from waygraph.functions.classifiers import acceleration_state, continuous, speed_state
 
 TRACK = ("scenario_token", "track_token")
@@ -194,3 +194,14 @@ def continuity_breaks(history: DataFrame) -> DataFrame:
 
 def motion_states(history: DataFrame) -> DataFrame:
     return states(history, KEYS, [F.col("speed_state"), F.col("acceleration_state")])
+
+
+def with_forward_speed(entities: DataFrame) -> DataFrame:
+    """entities with forward_speed_seen: the way since the last observation along the mean of both headings, by the time; a track's first has that of the second."""
+    order = Window.partitionBy("scenario_token", "track_token").orderBy("timestamp_us")
+    lag = lambda c: F.lag(c).over(order)
+    way = mean_of_two(lag("heading"), F.col("heading"))
+    dt = (F.col("timestamp_us") - lag("timestamp_us")) / 1e6
+    seen = F.when(dt > 0, (F.cos(way) * (F.col("x") - lag("x")) + F.sin(way) * (F.col("y") - lag("y"))) / dt)
+    df = entities.withColumn("forward_speed_seen", seen).withColumn("first", lag("timestamp_us").isNull())
+    return df.withColumn("forward_speed_seen", F.when(F.col("first"), F.lead("forward_speed_seen").over(order)).otherwise(F.col("forward_speed_seen"))).drop("first")

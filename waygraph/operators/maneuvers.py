@@ -290,7 +290,7 @@ def merges(events: DataFrame, matched: DataFrame, scenarios: DataFrame, paths: D
 def overtakes(pairs: DataFrame, ahead: DataFrame, scenarios: DataFrame, adjacency: DataFrame, t: Thresholds = T) -> DataFrame:
     """One row per overtake: start, departure, side by side, reversal, clearance, return and completion frames.
 
-    pairs: ordered pairs of vehicles within reach, with their primary lanes.  Lanes
+    pairs: ordered pairs of vehicles within reach, on the axis of both headings, with their primary lanes and speeds as seen.  Lanes
     that lead into each other are one way; a lane is beside another way if it leads
     to, or comes from, a neighbour of it.  SQL first keeps pairs that change order and
     have been beside each other; only those are scanned.  Completions of one pair close
@@ -305,31 +305,31 @@ def overtakes(pairs: DataFrame, ahead: DataFrame, scenarios: DataFrame, adjacenc
     near = near.groupBy("map_name", "o_primary_id", F.col("dst").alias("s_primary_id")).agg(F.min("side").alias("passing_side")).join(way, ["map_name", "o_primary_id", "s_primary_id"], "left_anti")
     own = pairs.join(maps, "scenario_token").join(way, ["map_name", "o_primary_id", "s_primary_id"], "left").join(near, ["map_name", "o_primary_id", "s_primary_id"], "left")
     one = F.coalesce(F.col("one_way") | (F.col("s_primary_id") == F.col("o_primary_id")), F.col("s_primary_id") == F.col("o_primary_id"), F.lit(False))
-    own = own.select("scenario_token", "s_track", "o_track", "frame_index", "timestamp_us", one.alias("same"), "passing_side", "longitudinal", "lateral", "heading_difference", (F.col("s_length_m") / 2 + F.col("o_length_m") / 2).alias("half"), "forward_speed", F.hypot("o_vx", "o_vy").alias("o_v"))
+    own = own.select("scenario_token", "s_track", "o_track", "frame_index", "timestamp_us", one.alias("same"), "passing_side", "axis_ahead", "axis_aside", "behind_gap", "clearance", "level", "heading_difference", "s_forward_speed_seen", "o_forward_speed_seen")
     own = cut(own)
     key = ["scenario_token", "s_track", "o_track"]
-    keep = own.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("longitudinal").alias("hi"), F.min("longitudinal").alias("lo"), F.count("passing_side").alias("apart"))
+    keep = own.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("axis_ahead").alias("hi"), F.min("axis_ahead").alias("lo"), F.count("passing_side").alias("apart"))
     keep = keep.where((F.col("n") >= t.overtake_common_frames) & (F.col("hi") > 0) & (F.col("lo") < 0) & (F.col("apart") > 0)).select(*key)
     schema = "scenario_token string, s_track string, o_track string, start_frame int, departure_frame int, side_frame int, reversal_frame int, clearance_frame int, return_frame int, completion_frame int, passing_side string, duration_s double"
 
     def scan(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("frame_index").reset_index(drop=True)
         n, found = len(df), []
-        ahead = -df["longitudinal"].to_numpy()  # of the subject, as the object sees it
-        side, half, time = np.abs(df["lateral"].to_numpy()), df["half"].to_numpy(), df["timestamp_us"].to_numpy()
-        gap = np.abs(ahead) - half
+        column = lambda c: df[c].to_numpy()
+        ahead, behind, clear_by, level_now, time = map(column, ("axis_ahead", "behind_gap", "clearance", "level", "timestamp_us"))
+        side = np.abs(column("axis_aside"))
         same, beside = df["same"].to_numpy(), df["passing_side"].notna().to_numpy()
         flow = df["heading_difference"].to_numpy() <= t.overtake_same_flow
-        faster = df["forward_speed"].to_numpy() - df["o_v"].to_numpy()
-        fit = (df["forward_speed"].to_numpy() >= t.overtake_subject_speed) & (df["o_v"].to_numpy() >= t.overtake_object_speed)
+        s_v, o_v = np.nan_to_num(column("s_forward_speed_seen")), np.nan_to_num(column("o_forward_speed_seen"))
+        faster, fit = s_v - o_v, (s_v >= t.overtake_subject_speed) & (o_v >= t.overtake_object_speed)
         first = lambda lo, ok: next((i for i in range(lo, n) if ok(i)), None)
         at = 0
-        while (start := first(at, lambda i: same[i] and ahead[i] < 0 and gap[i] >= t.overtake_behind_gap and fit[i] and flow[i])) is not None:
+        while (start := first(at, lambda i: same[i] and behind[i] >= t.overtake_behind_gap and fit[i] and flow[i])) is not None:
             at = start + 1
             leave = first(start + 1, lambda i: beside[i])
-            level = leave is not None and first(leave, lambda i: beside[i] and gap[i] < 0 and side[i] >= t.overtake_side_lateral and flow[i])
+            level = leave is not None and first(leave, lambda i: beside[i] and level_now[i] and side[i] >= t.overtake_side_lateral and flow[i])
             turn = level and first(level, lambda i: ahead[i] > 0)
-            clear = turn and first(turn, lambda i: ahead[i] > 0 and gap[i] >= t.overtake_clearance)
+            clear = turn and first(turn, lambda i: clear_by[i] >= t.overtake_clearance)
             back = clear and first(clear, lambda i: same[i])
             done = back and first(back + t.overtake_stable_frames - 1, lambda i: all(same[j] for j in range(i - t.overtake_stable_frames + 1, i + 1)))
             if not done or (time[done] - time[start]) / 1e6 > t.overtake_duration_s or faster[start : clear + 1].max() < t.overtake_relative_speed or flow[start : clear + 1].mean() < t.overtake_same_flow_share:
@@ -341,7 +341,7 @@ def overtakes(pairs: DataFrame, ahead: DataFrame, scenarios: DataFrame, adjacenc
         out: list[tuple] = []
         for each in found:
             if out and time[each[-1]] - time[out[-1][-1]] <= t.overtake_dedupe_s * 1e6:
-                worth = lambda x: (gap[x[4]], time[x[0]] - time[x[-1]])
+                worth = lambda x: (clear_by[x[4]], time[x[0]] - time[x[-1]])
                 out[-1] = max(out[-1], each, key=worth)
             else:
                 out.append(each)

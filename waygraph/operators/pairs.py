@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from waygraph.config import R, T, Relevance, Thresholds
 from waygraph.functions import kernels
-from waygraph.functions.angles import difference
+from waygraph.functions.angles import difference, mean_of_two
 from waygraph.functions.classifiers import continuous
 from waygraph.operators.entities import unpivot
 
@@ -96,6 +96,19 @@ def with_kinematics(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("bearing", F.atan2(level, F.col("longitudinal"))).withColumn("headway_candidate_s", F.when(F.col("forward_speed") != 0, F.col("longitudinal") / F.col("forward_speed")))
 
 
+def with_pair_axis(pairs: DataFrame, t: Thresholds = T) -> DataFrame:
+    """The subject against the object along the mean of both headings: axis_ahead and axis_aside of the centres, behind_gap and clearance of the boxes' intervals, and whether these overlap."""
+    axis = mean_of_two(F.col("s_heading"), F.col("o_heading"))
+    df = pairs.withColumns({"axis_cos": F.cos(axis), "axis_sin": F.sin(axis)})
+    dx, dy = F.col("s_x") - F.col("o_x"), F.col("s_y") - F.col("o_y")
+    turned = lambda p: (F.abs(F.col(f"{p}cos_h") * F.col("axis_cos") + F.col(f"{p}sin_h") * F.col("axis_sin")), F.abs(F.col(f"{p}sin_h") * F.col("axis_cos") - F.col(f"{p}cos_h") * F.col("axis_sin")))
+    half = lambda p: (turned(p)[0] * F.col(f"{p}length_m") + turned(p)[1] * F.col(f"{p}width_m")) / 2
+    df = df.withColumns({"axis_ahead": F.col("axis_cos") * dx + F.col("axis_sin") * dy, "axis_aside": F.col("axis_cos") * dy - F.col("axis_sin") * dx, "halves": half("s_") + half("o_"), "s_half": half("s_"), "o_half": half("o_")})
+    shared = F.least(F.col("axis_ahead") + F.col("s_half"), F.col("o_half")) - F.greatest(F.col("axis_ahead") - F.col("s_half"), -F.col("o_half"))
+    df = df.withColumns({"behind_gap": -F.col("axis_ahead") - F.col("halves"), "clearance": F.col("axis_ahead") - F.col("halves"), "level": shared >= -t.distance_epsilon})
+    return df.drop("axis_cos", "axis_sin", "halves", "s_half", "o_half")
+
+
 def with_cpa(pairs: DataFrame, horizon_s: float = R.cpa_horizon_s, prefix: str = "cpa") -> DataFrame:
     """Time and distance of closest approach at constant velocity, clearance less both half diagonals, and whether they close."""
     dx, dy = F.col("o_x") - F.col("s_x"), F.col("o_y") - F.col("s_y")

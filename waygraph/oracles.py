@@ -365,3 +365,19 @@ SQL["way_corridor_progress"] = MATCHED.replace("with ", "with recursive ", 1) +
         select cl.object_id, o.outs, cl.total + o.len, hops + 1, o.object_id from cl join o on o.object_id = cl.outs[1] where len(cl.outs) = 1 and hops < 5),
     ct as (select object_id, max(total) as total from cl group by object_id)
     select {KEYS}, primary_id, round(cast(progress as double), 6) as along, round(cast(lateral_offset as double), 6) as offset, round(cast(total as double), 6) as corridor_length from mt join ct on ct.object_id = primary_id where primary_id is not null"""
+_RUN_FACTS = f"select {FRAME}, predicate, s_track, o_track, start_us from ({SQL['way_follow_facts']}) union all select {FRAME}, 'crossesInFrontOf', s_track, o_track, start_us from ({SQL['way_crossings']})"
+_RUNS = f"with rf as ({_RUN_FACTS}), rr as (select scenario_token, predicate, s_track, o_track, start_us, max(timestamp_us) as end_us from rf group by all)"
+SQL["way_run_frames"] = _RUNS + f", fr as (select {FRAME} from ({E} select * from e where is_ego)) select fr.scenario_token, frame_index, timestamp_us, predicate, s_track, o_track, start_us, end_us from rr join fr on fr.scenario_token = rr.scenario_token and timestamp_us between start_us and end_us"
+SQL["way_runs_together"] = _RUNS + """ select a.scenario_token, a.s_track, concat(a.predicate, ' ', a.o_track) as first, concat(b.predicate, ' ', b.o_track) as second, greatest(a.start_us, b.start_us) as from_us, least(a.end_us, b.end_us) as to_us
+    from rr a join rr b on a.scenario_token = b.scenario_token and a.s_track = b.s_track and (a.predicate, a.o_track, a.start_us) < (b.predicate, b.o_track, b.start_us) and a.start_us <= b.end_us and b.start_us <= a.end_us"""
+_NAMED = lambda t: f"case when {t} = 'ego' then concat('ego:', scenario_token, ':', timestamp_us) else concat('agent:', scenario_token, ':', {t}, ':', timestamp_us) end"
+SQL["way_current_times"] = f"select predicate, {_NAMED('s_track')} as subject_id, {_NAMED('o_track')} as object_id, start_us, timestamp_us as current_us from ({_RUN_FACTS}) union all select 'precedes', subject_id, object_id, timestamp_us, timestamp_us from ({SQL['way_precedes']})"
+SQL["way_follow_evidence"] = f"select scenario_token, timestamp_us as current_us, predicate, s_track, o_track, start_us, gap, duration_s from ({SQL['way_follow_facts']})"
+_MEAN = lambda a, b: f"case when abs(cos({a}) + cos({b})) + abs(sin({a}) + sin({b})) < 1e-9 then {a} else atan2(sin({a}) + sin({b}), cos({a}) + cos({b})) end"
+SQL["way_forward_speeds"] = E + f""", f0 as (select *, lag(x) over w as px, lag(y) over w as py, lag(heading) over w as ph, (timestamp_us - lag(timestamp_us) over w) / 1e6 as dt from e window w as (partition by scenario_token, track_token order by timestamp_us)),
+    f1 as (select *, {_MEAN('ph', 'heading')} as way from f0), f2 as (select *, case when dt > 0 then (cos(way) * (x - px) + sin(way) * (y - py)) / dt end as v from f1)
+    select {KEYS}, round(cast(case when px is null then lead(v) over (partition by scenario_token, track_token order by timestamp_us) else v end as double), 6) as forward_speed_seen from f2"""
+SQL["way_pair_axes"] = PAIRS + f""", ax as (select *, {_MEAN('s_heading', 'o_heading')} as way from k where d <= 80 and s_agent_type in ('VEHICLE', 'EGO', 'BICYCLE') and o_agent_type in ('VEHICLE', 'EGO', 'BICYCLE')),
+    ay as (select *, -(cos(way) * dx + sin(way) * dy) as ahead9, -(cos(way) * dy - sin(way) * dx) as aside9, (abs(cos(s_heading - way)) * s_length_m + abs(sin(s_heading - way)) * s_width_m) / 2 as sh9, (abs(cos(o_heading - way)) * o_length_m + abs(sin(o_heading - way)) * o_width_m) / 2 as oh9 from ax)
+    select scenario_token, frame_index, timestamp_us, s_track, o_track, round(cast(ahead9 as double), 6) as axis_ahead, round(cast(aside9 as double), 6) as axis_aside, round(cast(-ahead9 - sh9 - oh9 as double), 6) as behind_gap, round(cast(ahead9 - sh9 - oh9 as double), 6) as clearance,
+        least(ahead9 + sh9, oh9) - greatest(ahead9 - sh9, -oh9) >= -0.001 as level from ay"""

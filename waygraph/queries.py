@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from waygraph import catalog
 from waygraph.config import T
 from waygraph.functions.classifiers import is_vehicle, speed_state
-from waygraph.operators import areas, crossing, entities, following, future, lanes, mapmatch, maneuvers, pairs, query, relevance, risk, spatial, traffic, visibility
+from waygraph.operators import areas, crossing, entities, following, future, intervals, lanes, mapmatch, maneuvers, pairs, query, relevance, risk, spatial, traffic, visibility
 from waygraph.operators.assertions import entity, identified, of_entities, of_pairs, stated, united
 from waygraph.oracles import SQL  # noqa: F401
 from waygraph.plans.scene import Scene, scene
@@ -80,8 +80,8 @@ class Stages:
 
     @cached_property
     def vehicle_pairs(self) -> DataFrame:
-        cars = self.matched.where(is_vehicle(F.col("agent_type")))
-        return pairs.with_kinematics(pairs.near_pairs(cars, T.overtake_radius, "primary_id"))
+        cars = entities.with_forward_speed(self.matched.where(is_vehicle(F.col("agent_type"))))
+        return pairs.with_pair_axis(pairs.with_kinematics(pairs.near_pairs(cars, T.overtake_radius, "primary_id", "forward_speed_seen")))
 
     @cached_property
     def lane_changes(self) -> DataFrame:
@@ -97,6 +97,26 @@ class Stages:
     def futures(self) -> DataFrame:
         return future.future_positions(self.users)
 
+    @cached_property
+    def run_facts(self) -> DataFrame:
+        """Frames of follows, queues and crossings, each with the start of its run."""
+        key = ("scenario_token", "frame_index", "timestamp_us", "predicate", "s_track", "o_track", "start_us")
+        crossed = self.crossings.withColumn("predicate", F.lit("crossesInFrontOf"))
+        return BUILD["follow_facts"](self).select(*key).unionByName(crossed.select(*key))
+
+    @cached_property
+    def track_events(self) -> DataFrame:
+        """Lane changes, merges, overtakes and yields as intervals: predicate, s_track, o_track (a lane for lane changes), start_us, end_us."""
+        key = ("scenario_token", "predicate", "s_track", "o_track", "start_us", "end_us")
+        at = lambda frame, name: self.scene.frames.select("scenario_token", F.col("frame_index").alias(frame), F.col("timestamp_us").alias(name))
+        timed = lambda df, a, b: df.join(at(a, "start_us"), ["scenario_token", a]).join(at(b, "end_us"), ["scenario_token", b])
+        changed = self.lane_changes.where("seen_before").select("scenario_token", F.lit("changesLane").alias("predicate"), F.col("track_token").alias("s_track"), F.concat(F.lit("lane:"), "target_lane").alias("o_track"), "onset_frame", "completion_frame")
+        merged = BUILD["merges"](self).withColumnRenamed("track_token", "s_track")
+        passed = BUILD["overtakes"](self).withColumn("predicate", F.lit("overtakes"))
+        yielded = BUILD["yields"](self).withColumn("predicate", F.lit("yieldsTo")).withColumn("start_us", F.col("reaction_us")).withColumn("end_us", F.col("proceed_us"))
+        parts = [timed(changed, "onset_frame", "completion_frame"), timed(merged, "boundary_frame", "completion_frame"), timed(passed, "start_frame", "completion_frame"), yielded]
+        return cut(united(p.select(*key) for p in parts))
+
     @cached_property
     def path_conflicts(self) -> DataFrame:
         return cut(future.conflicts_of_paths(future.future_paths(self.matched)))
@@ -213,6 +233,13 @@ BUILD: dict[str, Callable[[Stages], DataFrame]] = {
     "area_distances": lambda s: areas.area_distances(s.users, s.scene.scenarios, s.scene.map_objects),
     "crossing_gates": lambda s: crossing.gated(s.meetings, s.barred).select(*pairs.FRAME, "s_track", "o_track", "s_reason", "o_reason"),
     "crossings": lambda s: s.crossings,
+    "run_frames": lambda s: intervals.at_frames(intervals.runs(s.run_facts), s.scene.frames).select(*pairs.FRAME, "predicate", "s_track", "o_track", "start_us", "end_us"),
+    "runs_together": lambda s: intervals.together(intervals.runs(s.run_facts)),
+    "event_edges": lambda s: intervals.edges_at_frames(s.track_events, s.run_facts, s.scene.frames),
+    "current_times": lambda s: intervals.current_time(assertions_of(s, ("following", "crossing", "precedes")).drop("end_us")).select("predicate", "subject_id", "object_id", "start_us", "current_us"),
+    "follow_evidence": lambda s: intervals.evidence_table(assertions_of(s, ("following",)), ("follows", "queuesBehind")),
+    "forward_speeds": lambda s: entities.with_forward_speed(s.users).select(*entities.KEYS, "forward_speed_seen"),
+    "pair_axes": lambda s: s.vehicle_pairs.select(*pairs.FRAME, "s_track", "o_track", "axis_ahead", "axis_aside", "behind_gap", "clearance", "level"),
     "yields": lambda s: crossing.yields(s.crossings, s.users, traffic.red_frames(s.matched, s.signals)),
     "track_pairs": lambda s: crossing.track_pairs(s.users),
     "lane_neighbours": lambda s: lanes.neighbours(s.matched, s.scene.scenarios, lanes.lane_sides(s.scene.map_objects)),
