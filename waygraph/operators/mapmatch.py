@@ -138,6 +138,16 @@ def with_map(entities: DataFrame, chosen: DataFrame, scenarios: DataFrame, map_o
     return df.join(ranks, ["scenario_token", "roadblock_id"], "left").drop("map_name")
 
 
+def with_areas(matched: DataFrame, found: DataFrame, t: Thresholds = T) -> DataFrame:
+    """matched with intersection_ids (of its lane, about its centre, under its footprint) and in_crosswalk; found are candidates of areas."""
+    on = found.where(F.col("center_covered") | (F.col("overlap_area") > t.overlap_area))
+    ids = F.collect_set(F.when(F.col("kind") == "intersection", F.col("object_id")))
+    own = on.groupBy(*ME).agg(ids.alias("about"), F.max(F.col("kind") == "crosswalk").alias("in_crosswalk"))
+    df = matched.join(own, list(ME), "left").withColumn("in_crosswalk", F.coalesce("in_crosswalk", F.lit(False)))
+    lane = F.array_compact(F.array("intersection_id"))
+    return df.withColumn("intersection_ids", F.array_union(lane, F.coalesce("about", F.array().cast("array<string>")))).drop("about")
+
+
 def travel_direction(df: DataFrame, t: Thresholds = T) -> DataFrame:
     """travel_heading, travel_source: of velocity, displacement and map, where they agree."""
     velocity = F.when(F.col("speed") >= t.direction_speed, F.col("velocity_heading"))
@@ -182,7 +192,7 @@ def path_distance(relation: Column, s: str = "s_", o: str = "o_") -> Column:
 
 
 #: Columns that pairs need from each side.
-MAP_COLUMNS = ("ambiguous", "primary_id", "primary_kind", "progress", "lateral_offset", "map_heading", "baseline_length", "outgoing", "incoming", "left_ids", "right_ids", "route_rank", "intersection_id", "travel_heading", "speed")
+MAP_COLUMNS = ("ambiguous", "primary_id", "primary_kind", "progress", "lateral_offset", "map_heading", "baseline_length", "outgoing", "incoming", "left_ids", "right_ids", "route_rank", "intersection_ids", "in_crosswalk", "travel_heading", "speed")
 
 
 def with_topology(pairs: DataFrame, t: Thresholds = T) -> DataFrame:
@@ -196,7 +206,7 @@ def with_topology(pairs: DataFrame, t: Thresholds = T) -> DataFrame:
         {
             "reference_distance": F.coalesce("path_distance", along(dx, dy)),
             "same_flow": F.coalesce(F.col("travel_difference") <= t.same_flow, F.lit(False)),
-            "shared_intersection": F.coalesce(F.col("s_intersection_id") == F.col("o_intersection_id"), F.lit(False)),
+            "shared_intersection": F.coalesce(F.arrays_overlap("s_intersection_ids", "o_intersection_ids"), F.lit(False)),
             "same_lane": F.coalesce((F.col("map_relation") == "same_map") & (F.col("s_primary_kind") == "lane"), F.lit(False)),
             "progress_difference": F.when(F.col("map_relation") == "same_map", F.col("o_progress") - F.col("s_progress")),
             "travel_longitudinal": F.cos(h) * dx + F.sin(h) * dy,

@@ -68,7 +68,7 @@ def with_relevance(pairs: DataFrame, r: Relevance = R) -> DataFrame:
         ("ego_route_corridor", on_route, 35.0 - 5.0 * F.abs(step)),
         ("shared_intersection_conflict", c("shared_intersection") & (d <= r.shared_intersection), 65.0 + _falling(20.0, d / r.shared_intersection)),
         ("shared_traffic_control", control & (d <= r.traffic_control), F.lit(55.0)),
-        ("vulnerable_road_user_near_ego_path", is_vulnerable(c("o_agent_type")) & (d <= r.vulnerable) & (c("o_route_rank").isNotNull() | c("shared_intersection") | control | close), F.lit(90.0)),
+        ("vulnerable_road_user_near_ego_path", is_vulnerable(c("o_agent_type")) & (d <= r.vulnerable) & (c("o_route_rank").isNotNull() | c("o_in_crosswalk") | c("shared_intersection") | control | close), F.lit(90.0)),
         ("static_obstacle_on_ego_path", is_static(c("o_agent_type")) & (d <= r.static) & (c("o_route_rank").isNotNull() | close), F.lit(80.0)),
         ("predicted_close_approach", approach, 95.0 - F.least(F.lit(40.0), c("cpa_time_s") * 5.0)),
         ("generator_within_distance", from_ego & (d <= r.ego_distance), F.lit(0.0)),
@@ -119,6 +119,15 @@ def select_for_ego(scored: DataFrame, r: Relevance = R) -> DataFrame:
     return own.where(F.col("kept") | (F.col("place") <= room)).drop("n_kept", "place", "kept")
 
 
+def reverse_of(scored: DataFrame, chosen: DataFrame) -> DataFrame:
+    """PAIR, mandatory, critical, score, primary_reason, reasons of the other direction of chosen pairs: judged by itself, relevant in any case, mandatory as the chosen one."""
+    back = chosen.select("scenario_token", "frame_index", F.col("s_track").alias("o_track"), F.col("o_track").alias("s_track"), F.col("mandatory").alias("chosen_mandatory"))
+    own = scored.join(back, ["scenario_token", "frame_index", "s_track", "o_track"])
+    why = F.array_sort(F.array_append("reasons", F.lit("reverse_of_selected_pair")))
+    main = F.when(F.size("reasons") == 0, F.lit("reverse_of_selected_pair")).otherwise(F.col("primary_reason"))
+    return own.select(*PAIR, F.col("chosen_mandatory").alias("mandatory"), "critical", "score", main.alias("primary_reason"), F.array_join(why, "|").alias("reasons"))
+
+
 def select_agent_pairs(scored: DataFrame, r: Relevance = R) -> DataFrame:
     """PAIR and critical of agents' pairs in the selection: critical ones, then others greedily under a cap for each agent and frame.
 

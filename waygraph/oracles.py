@@ -129,6 +129,7 @@ def _lanes() -> str:
     return ", ".join(rows)
 
 
+_ON = lambda x0, y0, x1, y1: f"(x between {x0} and {x1} and y between {y0} and {y1} or greatest(0, least(x + (abs(cos_h) * length_m + abs(sin_h) * width_m) / 2, {x1}) - greatest(x - (abs(cos_h) * length_m + abs(sin_h) * width_m) / 2, {x0})) * greatest(0, least(y + (abs(sin_h) * length_m + abs(cos_h) * width_m) / 2, {y1}) - greatest(y - (abs(sin_h) * length_m + abs(cos_h) * width_m) / 2, {y0})) > 0.0001)"
 DIFF = f"abs({WRAP.format('({0}) - ({1})')})"
 MATCHED = HISTORY + f""", o(object_id, kind, x0, y0, x1, y1, upright, len, lim, block, crossing, outs, ins, lefts, rights) as (values {_lanes()}),
     c0 as (select h.*, o.*, (abs(cos_h) * length_m + abs(sin_h) * width_m) / 2 as hx, (abs(sin_h) * length_m + abs(cos_h) * width_m) / 2 as hy from h, o),
@@ -148,7 +149,8 @@ MATCHED = HISTORY + f""", o(object_id, kind, x0, y0, x1, y1, upright, len, lim,
         case when velocity is not null and displaced is not null then 'velocity_and_displacement' when velocity is not null then 'velocity' when displaced is not null then 'temporal_displacement' end as source from m0),
     m2 as (select *, case when coalesce({DIFF.format("velocity", "displaced")} > 0.45, false) or coalesce({DIFF.format("map_heading", "motion")} > 0.6, false) or map_heading is null and motion is null then 'unreliable'
         when map_heading is not null and motion is not null then concat('map_confirmed_by_', source) when map_heading is not null then 'map_low_speed' else source end as travel_source from m1),
-    mt as (select *, case when travel_source <> 'unreliable' then coalesce(map_heading, motion) end as travel_heading, list_filter(['C0', 'C1', 'C2'], lambda z: z = primary_id or list_contains(outs, z)) as controls from m2)"""
+    mt as (select *, case when travel_source <> 'unreliable' then coalesce(map_heading, motion) end as travel_heading, list_filter(['C0', 'C1', 'C2'], lambda z: z = primary_id or list_contains(outs, z)) as controls,
+        list_filter([crossing, case when {_ON(200.0, -2.0, 240.0, 10.0)} then 'I0' end], lambda z: z is not null) as inters, {_ON(190.0, -4.0, 194.0, 14.0)} as walk from m2)"""
 _MAP = {"hasPrimaryMapOverlapRatio": "overlap_ratio", "hasBaselineProgress": "progress", "hasBaselineLateralOffset": "lateral_offset", "hasMapHeading": "map_heading", "hasMapSpeedLimit": "lim", "hasBaselineCurvature": "curvature", "hasRouteRoadblockRank": "route_rank", "hasEffectiveTravelHeading": "travel_heading"}
 _RELATIONS = {
     "hasPrimaryLane": "case when primary_kind = 'lane' then concat('lane:', primary_id) end",
@@ -160,7 +162,7 @@ _RELATIONS = {
     "onExpertRoute": "case when route_rank is not null then concat('roadblock:', block) end",
     "hasTravelDirectionSource": "case when travel_source <> 'unreliable' then travel_source end",
 }
-_OWN = ("ambiguous", "primary_id", "primary_kind", "progress", "lateral_offset", "map_heading", "len", "outs", "ins", "lefts", "rights", "route_rank", "crossing", "travel_heading", "speed", "controls")
+_OWN = ("ambiguous", "primary_id", "primary_kind", "progress", "lateral_offset", "map_heading", "len", "outs", "ins", "lefts", "rights", "route_rank", "inters", "walk", "travel_heading", "speed", "controls")
 #: Pairs with footprints (as in PAIRS) and the map columns of both sides.
 TOPOLOGY = MATCHED + PAIRS[len(E) :].replace(", q as", ", q as").replace(" l as ", " l9 as ") + f""",
     t0 as (select g.*, {", ".join(f"{p}m.{c} as {p}_{c}" for p in "so" for c in _OWN)} from g join mt sm on g.scenario_token = sm.scenario_token and g.frame_index = sm.frame_index and g.s_track = sm.track_token join mt om on g.scenario_token = om.scenario_token and g.frame_index = om.frame_index and g.o_track = om.track_token),
@@ -169,7 +171,7 @@ TOPOLOGY = MATCHED + PAIRS[len(E) :].replace(", q as", ", q as").replace(" l as
         when list_contains(s_outs, o_primary_id) or list_contains(o_ins, s_primary_id) then 'successor' when list_contains(s_ins, o_primary_id) or list_contains(o_outs, s_primary_id) then 'predecessor' else 'unrelated' end as rel from t0),
     t2 as (select *, case rel when 'same_map' then o_progress - s_progress when 'successor' then greatest(0, s_len - s_progress) + greatest(0, o_progress) when 'predecessor' then -(greatest(0, o_len - o_progress) + greatest(0, s_progress)) end as path,
         {DIFF.format("s_travel_heading", "o_travel_heading")} as turn, cos(s_travel_heading) * dx + sin(s_travel_heading) * dy as t_ahead, cos(s_travel_heading) * dy - sin(s_travel_heading) * dx as t_aside from t1),
-    tp as (select *, coalesce(path, case when rel in ('adjacent_left', 'adjacent_right') then dx * cos(s_map_heading) + dy * sin(s_map_heading) end) as ref, coalesce(turn <= 0.45, false) as flow, coalesce(s_crossing = o_crossing, false) as shared,
+    tp as (select *, coalesce(path, case when rel in ('adjacent_left', 'adjacent_right') then dx * cos(s_map_heading) + dy * sin(s_map_heading) end) as ref, coalesce(turn <= 0.45, false) as flow, coalesce(list_has_any(s_inters, o_inters), false) as shared,
         coalesce(rel = 'same_map' and s_primary_kind = 'lane', false) as same_lane, list_has_any(s_controls, o_controls) as control from t2)"""
 _CPA = "case when vv <= 1e-9 then 0.0 else greatest(0.0, least({0}, -rv / vv)) end"
 _RULES = (
@@ -183,7 +185,7 @@ _RULES = (
     ("ego_route_corridor", 40, "s_is_ego and (step between 0 and 3 and d <= 100 or step = -1 and d <= 35)", "35 - 5 * abs(step)"),
     ("shared_intersection_conflict", 80, "shared and d <= 55", "65 + greatest(0, 20 * (1 - d / 55))"),
     ("shared_traffic_control", 60, "control and d <= 45", "55"),
-    ("vulnerable_road_user_near_ego_path", 90, "o_agent_type in ('PEDESTRIAN', 'BICYCLE') and d <= 35 and (o_route_rank is not null or shared or control or coalesce(free <= 6, false))", "90"),
+    ("vulnerable_road_user_near_ego_path", 90, "o_agent_type in ('PEDESTRIAN', 'BICYCLE') and d <= 35 and (o_route_rank is not null or o_walk or shared or control or coalesce(free <= 6, false))", "90"),
     ("static_obstacle_on_ego_path", 85, "o_agent_type = 'BARRIER' and d <= 25 and (o_route_rank is not null or coalesce(free <= 6, false))", "80"),
     ("predicted_close_approach", 100, "rv < 0 and clear8 <= 2", "95 - least(40, ct8 * 5)"),
     ("generator_within_distance", 110, "s_is_ego and d <= 40", "0"),
@@ -217,6 +219,7 @@ _NEW = {
     "pair_topology": TOPOLOGY + f" select {PAIR}, rel as map_relation, round(cast(path as double), 6) as path_distance, round(cast(case when rel = 'same_map' then o_progress - s_progress end as double), 6) as progress_difference, round(turn, 6) as travel_difference, round(t_ahead, 6) as travel_longitudinal, round(t_aside, 6) as travel_lateral, flow as same_flow, same_lane, shared as shared_intersection from tp",
     "relevance_facts": SCORED + f" select {PAIR}, case when s_is_ego then 'isRelevantToEgo' else 'isRelevantPair' end as predicate, round(cast(score as double), 6) as score, primary_reason, route_relation, unnest(reasons) as reason from sc where relevant",
     "relevance_audit": SCORED + f" select {', '.join('sc.' + c for c in PAIR.split(', '))}, ch.s_track is not null as selected, sc.relevant, sc.critical, sc.mandatory, round(cast(sc.score as double), 6) as score, sc.primary_reason, array_to_string(sc.reasons, '|') as reasons, sc.directional, sc.omission as direction_omission from sc left join ch on sc.scenario_token = ch.scenario_token and sc.frame_index = ch.frame_index and sc.s_track = ch.s_track and sc.o_track = ch.o_track where sc.s_is_ego",
+    "reverse_pairs": SCORED + f" select {', '.join('sc.' + c for c in PAIR.split(', '))}, ch.mandatory, sc.critical, round(cast(sc.score as double), 6) as score, case when len(sc.held) = 0 then 'reverse_of_selected_pair' else sc.primary_reason end as primary_reason, array_to_string(list_sort(list_append(sc.held, 'reverse_of_selected_pair')), '|') as reasons from sc join ch on sc.scenario_token = ch.scenario_token and sc.frame_index = ch.frame_index and sc.s_track = ch.o_track and sc.o_track = ch.s_track",
     "relevant_ego_pairs": SCORED + f" select {PAIR}, round(cast(score as double), 6) as score, primary_reason from ch",
     "spatial_facts": SCORED + f" select {PAIR}, sector as predicate from sc where dynamic and directional and sector is not null union all select {PAIR}, contact from sc where contact is not null union all select {PAIR}, heading_state from sc where heading_state is not null",
     "sector_omissions": SCORED + " select reason, count(*) as n from (select case when not dynamic then 'non_dynamic_road_user' when not directional then omission when sector is null then 'body_frame_inside_deadband_or_overlap' end as reason from sc) where reason is not null group by reason",

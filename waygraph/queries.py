@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waygraph import catalog
-from waygraph.config import T
+from waygraph.config import R, T
 from waygraph.functions.classifiers import is_vehicle, speed_state
 from waygraph.operators import areas, crossing, entities, following, future, intervals, lanes, mapmatch, maneuvers, pairs, query, relevance, risk, spatial, traffic, visibility
 from waygraph.operators.assertions import entity, identified, of_entities, of_pairs, stated, united
@@ -69,15 +69,39 @@ class Stages:
     def footprints(self) -> DataFrame:
         return cut(pairs.with_footprints(self.kinematic))
 
+    @cached_property
+    def areas_of(self) -> DataFrame:
+        s = self.scene
+        return mapmatch.candidates(self.moving, s.scenarios, s.map_objects, ("intersection", "crosswalk"))
+
+    @cached_property
+    def known(self) -> DataFrame:
+        """Road users with all that pairs ask of either side."""
+        return cut(traffic.with_controls(mapmatch.with_areas(self.matched, self.areas_of), self.signals))
+
+    def _topology(self, meet: Callable[..., DataFrame]) -> DataFrame:
+        both = pairs.with_footprints(pairs.with_kinematics(meet(self.known, *mapmatch.MAP_COLUMNS, "controls")))
+        return mapmatch.with_topology(both).withColumn("shared_control", F.arrays_overlap("s_controls", "o_controls"))
+
     @cached_property
     def topology(self) -> DataFrame:
-        known = traffic.with_controls(self.matched, self.signals)
-        return mapmatch.with_topology(pairs.with_footprints(pairs.with_kinematics(pairs.all_pairs(known, *mapmatch.MAP_COLUMNS, "controls")))).withColumn("shared_control", F.arrays_overlap("s_controls", "o_controls"))
+        return self._topology(pairs.all_pairs)
 
     @cached_property
     def scored(self) -> DataFrame:
+        """All pairs of a frame, which spatial facts are stated of."""
         return cut(spatial.with_spatial(relevance.with_relevance(self.topology)))
 
+    @cached_property
+    def near_scored(self) -> DataFrame:
+        """Pairs within the distance beyond which none is relevant, through the grid."""
+        return cut(relevance.with_relevance(self._topology(lambda users, *extra: pairs.near_pairs(users, R.hard_distance, *extra))))
+
+    @cached_property
+    def ego_scored(self) -> DataFrame:
+        """Ego's pairs alone."""
+        return cut(relevance.with_relevance(self._topology(pairs.ego_pairs)))
+
     @cached_property
     def vehicle_pairs(self) -> DataFrame:
         cars = entities.with_forward_speed(self.matched.where(is_vehicle(F.col("agent_type"))))
@@ -213,21 +237,22 @@ BUILD: dict[str, Callable[[Stages], DataFrame]] = {
     "body_sectors": lambda s: entities.states(spatial.with_spatial(s.footprints), pairs.PAIR, [F.col("sector")]),
     "contact_states": lambda s: entities.states(spatial.with_spatial(s.footprints), pairs.PAIR, [F.col("contact_state")]),
     "map_memberships": lambda s: mapmatch.memberships(s.found),
-    "area_memberships": lambda s: mapmatch.memberships(mapmatch.candidates(s.moving, s.scene.scenarios, s.scene.map_objects, ("intersection", "crosswalk"))),
+    "area_memberships": lambda s: mapmatch.memberships(s.areas_of),
     "primary_lanes": lambda s: s.primary,
     "map_facts": lambda s: mapmatch.map_facts(s.matched),
     "map_relations": lambda s: mapmatch.map_relations(s.matched),
     "pair_topology": lambda s: s.topology.select(*pairs.PAIR, "map_relation", "path_distance", "progress_difference", "travel_difference", "travel_longitudinal", "travel_lateral", "same_flow", "same_lane", "shared_intersection"),
-    "relevance_facts": lambda s: relevance.relevance_facts(s.scored),
-    "relevance_audit": lambda s: relevance.audit(s.scored, relevance.select_for_ego(s.scored)),
-    "relevant_ego_pairs": lambda s: relevance.select_for_ego(s.scored).select(*pairs.PAIR, "score", "primary_reason"),
-    "relevant_agent_pairs": lambda s: relevance.select_agent_pairs(s.scored),
+    "relevance_facts": lambda s: relevance.relevance_facts(s.near_scored),
+    "relevance_audit": lambda s: relevance.audit(s.ego_scored, relevance.select_for_ego(s.ego_scored)),
+    "relevant_ego_pairs": lambda s: relevance.select_for_ego(s.ego_scored).select(*pairs.PAIR, "score", "primary_reason"),
+    "reverse_pairs": lambda s: relevance.reverse_of(s.ego_scored, relevance.select_for_ego(s.ego_scored)),
+    "relevant_agent_pairs": lambda s: relevance.select_agent_pairs(s.near_scored),
     "spatial_facts": lambda s: spatial.spatial_facts(s.scored),
     "sector_omissions": lambda s: spatial.sector_omissions(s.scored),
     "signal_facts": lambda s: traffic.signal_facts(traffic.signals(s.scene.traffic_lights, s.scene.scenarios)),
     "relevant_signals": lambda s: traffic.relevant_signals(s.matched, mapmatch.memberships(s.found), traffic.signals(s.scene.traffic_lights, s.scene.scenarios)),
     "visibility_facts": lambda s: visibility.visibility_facts(visibility.visibility(s.kinematic)),
-    "conflict_risks": lambda s: risk.conflicts(s.scored),
+    "conflict_risks": lambda s: risk.conflicts(s.near_scored),
     "leaders": lambda s: s.leaders,
     "follow_facts": lambda s: following.follow_facts(s.leaders, s.scene.frames),
     "area_distances": lambda s: areas.area_distances(s.users, s.scene.scenarios, s.scene.map_objects),
