@@ -58,3 +58,27 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     """file, scenario_token, n: which part files hold which scenarios."""
     df = spark.read.parquet(path)
     return df.groupBy(F.col("_metadata.file_path").alias("file"), "scenario_token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_indexed(facts: DataFrame, path: str, scenarios_per_file: int = 50) -> None:
+    """facts ordered by scenario over files, and beside them a table of which file holds which span of scenarios.
+
+    Files come from a range partitioning, so that a scenario lies in one file, whatever
+    its size, and a file is written by one task.
+    """
+    spark = facts.sparkSession
+    files = max(1, -(-facts.select("scenario_token").distinct().count() // scenarios_per_file))
+    facts.repartitionByRange(files, "scenario_token").sortWithinPartitions("scenario_token", "timestamp_us").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/facts")
+    held = spark.read.parquet(f"{path}/facts").groupBy(F.col("_metadata.file_name").alias("file"))
+    held.agg(F.min("scenario_token").alias("first"), F.max("scenario_token").alias("last"), F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/index")
+
+
+def read_indexed(spark: SparkSession, path: str, first: str, last: str | None = None) -> DataFrame:
+    """Facts of a scenario, or of all from first to last, from the files alone whose span meets them; none where no file does."""
+    last = first if last is None else last
+    spans = spark.read.parquet(f"{path}/index").where((F.col("first") <= last) & (F.col("last") >= first)).select("file")
+    # as many names as files hold the scenarios asked for
+    files = [f"{path}/facts/{row.file}" for row in spans.orderBy("file").collect()]
+    if not files:
+        return spark.read.parquet(f"{path}/facts").limit(0)
+    return spark.read.parquet(*files).where(F.col("scenario_token").between(first, last))
