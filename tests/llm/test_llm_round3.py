@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from waygraph.llm import importance, page_text, vector_codes
+from waygraph.llm.neardup import parities
 from waygraph.llm.page_text import Ratios, content
 
 VECTORS = "vec_id long, embedding array<float>, label int, code string, __label string"
@@ -208,3 +209,12 @@ def test_tournament():
     while (x := tree.pop()) is not None:
         got.append(x)
     assert got == sorted(x for r in runs for x in r)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.integers(0, 3000), st.integers(0, 400), st.integers(0, 400))
+def test_parities_never_exceed_the_difference(seed, common, one, other):
+    codes = np.unique(np.random.default_rng(seed).integers(0, 2**63, common + one + other).astype(np.uint64) * np.uint64(2))
+    a, b = codes[: common + one], np.concatenate([codes[:common], codes[common + one :]])
+    differ = sum(int(x).bit_count() for x in (parities(a) ^ parities(b)).view(np.uint64))
+    assert differ <= len(np.setxor1d(a, b))

@@ -18,7 +18,9 @@ shares with anyone, an exact bound that spares pairs and nodes that can't be lin
 The third round leaves the buckets: with all shingles ordered from the rarest on, two
 linked sets share one among the first n - ceil(percent * n / 100) + 1 of each, so
 members of different components meet only over a rare shingle (an exact filter), and
-only if four bits of each register agree often enough (lost with MISSED at most).
+only if four bits of each register agree often enough (lost with MISSED at most), and
+only if their sets can differ by as little as a link allows: a set's codes leave a parity in each of ODD
+places, and where two sets' parities differ in so many places, the sets do in no fewer (exact).
 A pair meets over its first common shingle alone, where that is among the FIRST
 shared ones of both.
 Nodes that share a component need no further pair, so components come out as if
@@ -34,6 +36,7 @@ gives an empty result; other columns aren't read.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,6 +56,8 @@ KEPT_WORDS = 150_000
 MISSED = 1e-10
 #: Bits of a register that are compared, and rarest shared shingles that a member names.
 BITS, FIRST = 4, 64
+#: Places of a set's parities.
+ODD = 2_048
 
 
 @dataclass(frozen=True)
@@ -75,6 +80,12 @@ def shingle_codes(codes: np.ndarray, k: int) -> np.ndarray:
     return np.unique(h)
 
 
+def parities(codes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's codes falls into each of ODD places, as longs."""
+    place = (codes >> np.uint64(64 - (ODD - 1).bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=ODD) & 1).astype(np.uint8)).view("<i8")
+
+
 def sketch(codes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Registers of a set."""
     least = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
@@ -230,28 +241,32 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(named.join(main, "band"), "mixed")
 
 
-def _codes(keys: DataFrame, texts: DataFrame, linking: Linking) -> tuple[DataFrame, DataFrame]:
-    """key, node of the keys, and node, code of all their shingles."""
-    ids = materialize(keys.withColumn("node", F.monotonically_increasing_id()), "ids")
+def _coded(rows: DataFrame, linking: Linking, of: str, out: str, made: Callable[[np.ndarray], np.ndarray] = lambda codes: codes.view(np.int64)) -> DataFrame:
+    """of and out: what is made of the shingle codes of each row's text."""
     k = linking.words
     state: dict = {}
 
     def kernel(cols: dict[str, list]) -> dict[str, list]:
         import xxhash
 
-        known, out = state.setdefault("known", {}), []
+        known, found = state.setdefault("known", {}), []
         for text in cols["text"]:
             words = text.encode("utf-8", "surrogatepass").lower().split()
             for w in words:
                 if w not in known:
                     known[w] = xxhash.xxh3_64_intdigest(w)
-            out.append(shingle_codes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), k).view(np.int64))
+            found.append(made(shingle_codes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), k)))
             if len(known) > KEPT_WORDS:
                 known.clear()
-        return {"node": cols["node"], "codes": out}
+        return {of: cols[of], out: found}
+
+    return map_arrow(rows.select(of, "text"), kernel, f"{of} {dict(rows.dtypes)[of]}, {out} array<bigint>")
 
-    codes = map_arrow(ids.join(texts, "key").select("node", "text"), kernel, "node bigint, codes array<bigint>")
-    return ids, codes.select("node", F.explode("codes").alias("code"))
+
+def _codes(keys: DataFrame, texts: DataFrame, linking: Linking) -> tuple[DataFrame, DataFrame]:
+    """key, node of the keys, and node, code of all their shingles."""
+    ids = materialize(keys.withColumn("node", F.monotonically_increasing_id()), "ids")
+    return ids, _coded(ids.join(texts, "key"), linking, "node", "codes").select("node", F.explode("codes").alias("code"))
 
 
 def _alone(keys: DataFrame, texts: DataFrame, linking: Linking) -> DataFrame:
@@ -293,10 +308,17 @@ def least_agreeing(linking: Linking, n: int = BANDS * ROWS) -> int:
     return n
 
 
-def _with_bits(keys: DataFrame, nodes: DataFrame) -> DataFrame:
-    """key, bits."""
+def _with_bits(keys: DataFrame, nodes: DataFrame, texts: DataFrame, linking: Linking) -> DataFrame:
+    """key, bits, odd."""
     kernel = lambda c: {"key": c["key"], "bits": list(some_bits(np.frombuffer(b"".join(c["registers"]), "<u2").reshape(-1, BANDS * ROWS)))}
-    return map_arrow(keys.join(nodes, "key").select("key", "registers"), kernel, "key binary, bits array<bigint>")
+    bits = map_arrow(keys.join(nodes, "key").select("key", "registers"), kernel, "key binary, bits array<bigint>")
+    return bits.join(_coded(keys.join(texts, "key"), linking, "key", "odd", parities), "key")
+
+
+def _close(a: str, b: str, n_a: str, n_b: str, linking: Linking) -> Column:
+    """Whether parities allow a link: with x elements in one of two sets only, 100 * (n - x) >= percent * (n + x) for n = both sizes."""
+    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(ODD // 64)), F.lit(0))
+    return differ * (100 + linking.percent) <= (100 - linking.percent) * (F.col(n_a) + F.col(n_b))
 
 
 def _agreeing(a: str, b: str) -> Column:
@@ -351,11 +373,11 @@ def classes(docs: DataFrame, linking: Linking) -> DataFrame:
     mixed = _linkable(_mixed(members.select("band", "key", "n_shingles"), labels), alone, linking)
     keys = mixed.select("key", "n_shingles", "alone").distinct()
     rarest, named = _rarest(keys.drop("alone"), texts, linking)
-    mixed = materialize(_mixed(rarest, labels).join(keys.drop("n_shingles"), "key").join(named, "key", "left").join(_with_bits(keys.select("key"), nodes), "key"), "meeting")
-    rest = mixed.where("label != main").select(F.col("band").alias("o_band"), F.col("key").alias("o_key"), F.col("n_shingles").alias("o_n"), F.col("alone").alias("o_alone"), F.col("label").alias("o_label"), F.col("bits").alias("o_bits"), F.col("rare").alias("o_rare"))
+    mixed = materialize(_mixed(rarest, labels).join(keys.drop("n_shingles"), "key").join(named, "key", "left").join(_with_bits(keys.select("key"), nodes, texts, linking), "key"), "meeting")
+    rest = mixed.where("label != main").select(F.col("band").alias("o_band"), F.col("key").alias("o_key"), F.col("n_shingles").alias("o_n"), F.col("alone").alias("o_alone"), F.col("label").alias("o_label"), F.col("bits").alias("o_bits"), F.col("odd").alias("o_odd"), F.col("rare").alias("o_rare"))
     met = F.get(F.array_intersect("rare", "o_rare"), F.lit(0))
     once = F.coalesce(met == F.col("band"), F.lit(True))
-    like = (_agreeing("bits", "o_bits") >= least_agreeing(linking)) & _may_link("n_shingles", "alone", "o_n", "o_alone", linking)
+    like = (_agreeing("bits", "o_bits") >= least_agreeing(linking)) & _may_link("n_shingles", "alone", "o_n", "o_alone", linking) & _close("odd", "o_odd", "n_shingles", "o_n", linking)
     pairs = mixed.join(rest, (F.col("band") == F.col("o_band")) & (F.col("label") != F.col("o_label")) & like & once & ((F.col("label") == F.col("main")) | (F.col("key") < F.col("o_key"))))
     pairs = pairs.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b")).distinct()
     labels = _merged(labels, verified(pairs, nodes, texts, linking))
