@@ -142,7 +142,6 @@ def test_assertions_hold_in_time_and_have_evidence(spark, stages):
     assert over.assertion_id in {r.assertion_id for r in assertions.holding_at(facts, over.scenario_token, middle).collect()}
     assert over.assertion_id not in {r.assertion_id for r in assertions.holding_at(facts, over.scenario_token, over.end_us + 1).collect()}
     assert assertions.deduplicated(facts.union(facts)).count() == facts.select("assertion_id").distinct().count()
-    assert assertions.of_categories(["c", "a"], {"c": ("b",), "b": ("a",)}) == ["a", "b", "c"]
     members = spark.createDataFrame([("p", "x", "y")], "pair_id string, s_id string, o_id string")
     rows = spark.createDataFrame([("p", 1), ("q", 2)], "subject_id string, n int")
     assert {(r.n, r.member_subject) for r in assertions.with_pairs(rows, members).collect()} == {(1, "x"), (2, None)}

@@ -99,18 +99,3 @@ def with_pairs(asserted: DataFrame, members: DataFrame) -> DataFrame:
     """asserted with member_subject and member_object: of facts whose subject is a pair, its members (pair_id, s_id, o_id); else null."""
     named = members.select(F.col("pair_id").alias("subject_id"), F.col("s_id").alias("member_subject"), F.col("o_id").alias("member_object"))
     return asserted.join(named, "subject_id", "left")
-
-
-def of_categories(wanted: Iterable[str], needs: dict[str, tuple[str, ...]]) -> list[str]:
-    """The wanted families with all that they need, each before those that need it."""
-    out: list[str] = []
-
-    def add(name: str) -> None:
-        for other in needs.get(name, ()):
-            add(other)
-        if name not in out:
-            out.append(name)
-
-    for name in wanted:
-        add(name)
-    return out

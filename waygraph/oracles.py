@@ -384,3 +384,7 @@ SQL["way_pair_axes"] = PAIRS + f""", ax as (select *, {_MEAN('s_heading', 'o_hea
     ay as (select *, -(cos(way) * dx + sin(way) * dy) as ahead9, -(cos(way) * dy - sin(way) * dx) as aside9, (abs(cos(s_heading - way)) * s_length_m + abs(sin(s_heading - way)) * s_width_m) / 2 as sh9, (abs(cos(o_heading - way)) * o_length_m + abs(sin(o_heading - way)) * o_width_m) / 2 as oh9 from ax)
     select scenario_token, frame_index, timestamp_us, s_track, o_track, round(cast(ahead9 as double), 6) as axis_ahead, round(cast(aside9 as double), 6) as axis_aside, round(cast(-ahead9 - sh9 - oh9 as double), 6) as behind_gap, round(cast(ahead9 - sh9 - oh9 as double), 6) as clearance,
         least(ahead9 + sh9, oh9) - greatest(ahead9 - sh9, -oh9) >= -0.001 as level from ay"""
+_KNOWN = f"def(predicate, category, kind, native) as (values {_CATALOG})"
+SQL["way_signal_assertions"] = f"""with {_KNOWN}, f as (select scenario_token, timestamp_us, predicate, signal_id as subject_id, object as object_id from ({SQL['way_signal_facts']})
+    union all select scenario_token, timestamp_us, predicate, {_ME}, signal_id from ({SQL['way_relevant_signals']}) union all select scenario_token, timestamp_us, predicate, {_ME}, null from ({SQL['way_motion_states']}))
+    select scenario_token, timestamp_us, category, predicate, subject_id, object_id from f join def using (predicate)"""

@@ -15,6 +15,7 @@ from waygraph.functions.classifiers import is_vehicle, speed_state
 from waygraph.operators import areas, crossing, entities, following, future, intervals, lanes, mapmatch, maneuvers, pairs, query, relevance, risk, spatial, traffic, visibility
 from waygraph.operators.assertions import entity, identified, of_entities, of_pairs, stated, united
 from waygraph.oracles import SQL  # noqa: F401
+from waygraph.plans import registry
 from waygraph.plans.scene import Scene, scene
 from waygraph.plans.shared import cut
 
@@ -212,6 +213,14 @@ def assertions_of(stages: Stages, families: tuple[str, ...] = ()) -> DataFrame:
     return identified(united(every[f](stages) for f in families or every), catalog.definitions(stages.spark))
 
 
+def assertions_of_categories(stages: Stages, categories: tuple[str, ...]) -> DataFrame:
+    """All facts of some categories: their families alone, over the stages alone that these are built on, each once."""
+    families = registry.families_of(categories)
+    for stage in registry.stages_of(families):
+        getattr(stages, stage)
+    return assertions_of(stages, tuple(families)).where(F.col("category").isin(*categories))
+
+
 def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*(F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
@@ -282,6 +291,7 @@ BUILD: dict[str, Callable[[Stages], DataFrame]] = {
     "path_conflicts": lambda s: s.path_conflicts.select(*pairs.FRAME, "s_track", "o_track", "area", "cx", "cy", "s_arrival", "o_arrival"),
     "intents": lambda s: future.intents(s.path_conflicts, s.scene.frames),
     "assertions": lambda s: assertions_of(s),
+    "signal_assertions": lambda s: assertions_of_categories(s, ("traffic_light", "motion_state")).select("scenario_token", "timestamp_us", "category", "predicate", "subject_id", "object_id"),
     "predicate_counts": lambda s: query.counts(assertions_of(s).drop("category"), catalog.definitions(s.spark)),
     "frame_predicate_counts": lambda s: query.counts(assertions_of(s, tuple(FAMILIES)).drop("category"), catalog.definitions(s.spark)),
     "truth_counts": lambda s: query.truth_counts(assertions_of(s).select("predicate"), catalog.definitions(s.spark)),
