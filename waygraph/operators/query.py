@@ -5,25 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waygraph.operators.entities import entity_id
+from waygraph.operators.intervals import track_in_id
+from waygraph.operators.pairs import pair_id
+
 
 def pair_edges(facts: DataFrame) -> DataFrame:
     """One edge per frame and directed pair with its sorted set of predicates."""
     return facts.groupBy("scenario_token", "frame_index", "timestamp_us", "s_track", "o_track").agg(F.array_join(F.array_sort(F.collect_set("predicate")), ",").alias("predicates"), F.count_distinct("predicate").alias("n_predicates"))
 
 
-def at_time(facts: DataFrame, scenario: str, time_us: int) -> DataFrame:
-    return facts.where((F.col("scenario_token") == scenario) & (F.col("timestamp_us") == time_us))
+def pair_members(pairs: DataFrame) -> DataFrame:
+    """pair_id, tag, member_subject, member_object: who the two of a pair are, by their names in the frame."""
+    at = (F.col("scenario_token"), F.col("timestamp_us"))
+    named = lambda track: entity_id(F.col("scenario_token"), F.col(track), F.col("timestamp_us"), F.col(track) == "ego")
+    return pairs.select(pair_id(*at, F.col("tag"), F.col("s_track"), F.col("o_track")).alias("pair_id"), "tag", named("s_track").alias("member_subject"), named("o_track").alias("member_object"))
+
 
+def semantic_edges(asserted: DataFrame, members: DataFrame, relations: tuple[str, ...] = ()) -> DataFrame:
+    """One edge a time, relation, category and directed pair of nodes with its sorted predicates and a statement.
 
-def active_at(intervals: DataFrame, start: str, end: str, time: Column) -> DataFrame:
-    """Interval facts that hold at a time."""
-    return intervals.where(time.between(F.col(start), F.col(end)))
+    A fact about a pair becomes one between its members; facts whose object is no node
+    are left out.  The relation is the pair's tag, or the kinds of both nodes.
+    """
+    facts = asserted.where(~F.col("predicate").isin("pairSubject", "pairObject")).join(members.withColumnRenamed("pair_id", "subject_id"), "subject_id", "left")
+    facts = facts.where(F.col("tag").isNotNull() | (entity_kind(F.col("object_id")) != "other"))
+    ends = facts.withColumns({"source": F.coalesce("member_subject", "subject_id"), "target": F.coalesce("member_object", "object_id")})
+    ends = ends.withColumn("relation", F.coalesce("tag", F.concat(entity_kind(F.col("source")), F.lit("_to_"), entity_kind(F.col("target")))))
+    if relations:
+        ends = ends.where(F.col("relation").isin(*relations))
+    edges = ends.groupBy("scenario_token", "timestamp_us", "relation", "category", "source", "target").agg(F.array_sort(F.collect_set("predicate")).alias("stated"))
+    short = lambda node: F.coalesce(track_in_id(F.col(node)), F.col(node))
+    statement = F.concat(short("source"), F.lit(" > "), short("target"), F.lit(": "), F.array_join("stated", ", "))
+    return edges.select("scenario_token", "timestamp_us", "relation", "category", "source", "target", F.array_join("stated", ",").alias("predicates"), F.size("stated").alias("n_predicates"), statement.alias("statement"))
 
 
 def collapse(edges: DataFrame, apart: tuple[str, ...] = ("follows", "overtakes", "yieldsTo")) -> DataFrame:
     """Edges regrouped so that each predicate of `apart` is an edge of its own."""
     each = edges.select("*", F.explode(F.split("predicates", ",")).alias("p")).withColumn("part", F.when(F.col("p").isin(*apart), F.col("p")).otherwise("rest"))
-    return each.groupBy("scenario_token", "frame_index", "s_track", "o_track", "part").agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("predicates"))
+    return each.groupBy("scenario_token", "frame_index", "timestamp_us", "s_track", "o_track", "part").agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("predicates"))
 
 
 def counts(facts: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -91,13 +111,11 @@ def filter_scenarios(scenarios: DataFrame, types: tuple[str, ...] = (), logs: tu
     return df
 
 
-def without_facts(scenarios: DataFrame, facts: DataFrame) -> DataFrame:
-    """Scenarios that no fact speaks of."""
-    return scenarios.join(facts.select("scenario_token").distinct(), "scenario_token", "left_anti")
-
-
-def scenarios_with(facts: DataFrame, predicates: tuple[str, ...]) -> DataFrame:
-    return facts.where(F.col("predicate").isin(*predicates)).select("scenario_token").distinct()
+def scenarios_by_facts(scenarios: DataFrame, facts: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
+    """scenario_token, n_facts, n_wanted, silent: how much is stated of each scenario, how much of it by the wanted predicates, and whether nothing is."""
+    n = facts.groupBy("scenario_token").agg(F.count(F.lit(1)).alias("n_facts"), F.sum(F.col("predicate").isin(*wanted).cast("bigint")).alias("n_wanted"))
+    out = scenarios.select("scenario_token").join(n, "scenario_token", "left")
+    return out.select("scenario_token", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_facts", "n_wanted")), F.col("n_facts").isNull().alias("silent"))
 
 
 def entity_kind(node: Column) -> Column:

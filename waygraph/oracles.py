@@ -388,3 +388,15 @@ _KNOWN = f"def(predicate, category, kind, native) as (values {_CATALOG})"
 SQL["way_signal_assertions"] = f"""with {_KNOWN}, f as (select scenario_token, timestamp_us, predicate, signal_id as subject_id, object as object_id from ({SQL['way_signal_facts']})
     union all select scenario_token, timestamp_us, predicate, {_ME}, signal_id from ({SQL['way_relevant_signals']}) union all select scenario_token, timestamp_us, predicate, {_ME}, null from ({SQL['way_motion_states']}))
     select scenario_token, timestamp_us, category, predicate, subject_id, object_id from f join def using (predicate)"""
+_KIND = lambda t: f"case when {t} like 'ego:%' then 'ego' else 'agent' end"
+_TRACK = lambda t: f"case when {t} like 'ego:%' then 'ego' else split_part({t}, ':', 3) end"
+SQL["way_semantic_edges"] = f"""with {_KNOWN}, f as (select scenario_token, timestamp_us, predicate, {_NAMED('s_track')} as source, {_NAMED('o_track')} as target from ({_RUN_FACTS})
+    union all select scenario_token, timestamp_us, 'precedes', subject_id, object_id from ({SQL['way_precedes']})),
+    g as (select scenario_token, timestamp_us, concat({_KIND('source')}, '_to_', {_KIND('target')}) as relation, predicate, source, target from f
+    union all select scenario_token, timestamp_us, tag, predicate, {_NAMED('s_track')}, {_NAMED('o_track')} from ({SQL['way_pair_identity']}) where predicate = 'hasPairwiseState')
+    select scenario_token, timestamp_us, relation, category, source, target, string_agg(distinct predicate, ',' order by predicate) as predicates, count(distinct predicate)::int as n_predicates,
+    concat({_TRACK('source')}, ' > ', {_TRACK('target')}, ': ', string_agg(distinct predicate, ', ' order by predicate)) as statement from g join def using (predicate) group by scenario_token, timestamp_us, relation, category, source, target"""
+SQL["way_collapsed_edges"] = f"""with f as (select {FRAME}, s_track, o_track, predicate from ({SQL['way_body_sectors']}) union all select {FRAME}, s_track, o_track, predicate from ({SQL['way_contact_states']}) union all select {FRAME}, s_track, o_track, predicate from ({_RUN_FACTS}))
+    select {FRAME}, s_track, o_track, part, string_agg(distinct predicate, ',' order by predicate) as predicates from (select *, case when predicate in ('follows', 'overtakes', 'yieldsTo') then predicate else 'rest' end as part from f) group by all"""
+SQL["way_scenarios_by_facts"] = f"""with n as (select scenario_token, count(*) as n_facts, count(*) filter (predicate = 'crossesInFrontOf') as n_wanted from ({_RUN_FACTS}) group by 1)
+    select scenario_token, coalesce(n_facts, 0) as n_facts, coalesce(n_wanted, 0) as n_wanted, n_facts is null as silent from (select distinct scenario_token from ({E} select * from e where is_ego)) left join n using (scenario_token)"""

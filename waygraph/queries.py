@@ -298,6 +298,9 @@ BUILD: dict[str, Callable[[Stages], DataFrame]] = {
     "frame_truth_counts": lambda s: query.truth_counts(assertions_of(s, tuple(FAMILIES)).select("predicate"), catalog.definitions(s.spark)),
     "unknown_predicates": lambda s: query.unknown_predicates(entities.temporal_facts(s.history).withColumn("predicate", F.when(F.col("frame_index") % 10 == 3, F.concat("predicate", F.lit("Raw"))).otherwise(F.col("predicate"))), catalog.definitions(s.spark)),
     "pair_edges": lambda s: query.pair_edges(entities.states(spatial.with_spatial(s.footprints), pairs.PAIR, [F.col("contact_state"), F.col("sector")])),
+    "semantic_edges": lambda s: query.semantic_edges(assertions_of(s, ("pairwise", "following", "crossing", "precedes")), query.pair_members(s.kinematic)),
+    "collapsed_edges": lambda s: query.collapse(query.pair_edges(entities.states(spatial.with_spatial(s.footprints), pairs.PAIR, [F.col("contact_state"), F.col("sector")]).select(*pairs.FRAME, "s_track", "o_track", "predicate").unionByName(s.run_facts.select(*pairs.FRAME, "s_track", "o_track", "predicate")))),
+    "scenarios_by_facts": lambda s: query.scenarios_by_facts(s.scene.scenarios, s.run_facts, ("crossesInFrontOf",)),
     "display_numbers": lambda s: query.display_numbers(s.scene.entities),
     "scenario_filter": lambda s: query.filter_scenarios(s.scene.scenarios, types=("crossing",), logs=("log0", "log1"), per_type=5),
     "interesting_agents": lambda s: query.interesting_agents(pairs.with_kinematics(pairs.ego_pairs(s.users))),
