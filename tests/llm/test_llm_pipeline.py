@@ -74,3 +74,70 @@ def test_stages_take_nulls(spark, column):
     holed = docs.withColumn(column, F.when(F.rand(3) < 0.5, F.col(column)))
     for _, stage in corpus_pipeline.STAGES[:2]:
         assert stage(spark, holed, SF).count() <= 12
+
+
+CLASHING = ("key", "label", "row", "__hash", "component_id", "kept", "score", "registers")
+
+
+@pytest.mark.parametrize("case", ["empty", "nulls", "repeated"])
+def test_whole_runs(spark, tmp_path, case):
+    """From the documents to their pieces, on no rows, on rows with holes in all columns, and on rows that each come twice, with clashing columns."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    whole = docs
+    if case == "empty":
+        docs = docs.limit(0)
+    elif case == "nulls":
+        for i, c in enumerate(docs.columns):
+            docs = docs.withColumn(c, F.when(F.xxhash64(F.lit(i), "n_chars" if c != "n_chars" else "text") % 4 != 0, F.col(c)))
+    else:
+        docs = docs.unionByName(docs)
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.lit("clash"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if case == "empty":
+        assert got == []
+    elif case == "nulls":
+        assert 0 < len(got) < 40 and all(r.n_pieces > 0 for r in got)
+    else:
+        whole.write.parquet(str(tmp_path / "once" / "documents.parquet"))
+        spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "once" / "benchmark.parquet"))
+        once = corpus_pipeline.run(spark, str(tmp_path / "once")).collect()
+        assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in once)
+
+
+def test_language_stage_is_a_plain_viterbi(spark):
+    """Labels and scores of every text by loops over words and languages, from the model's scores of single words."""
+    import numpy as np
+
+    from waygraph.llm import langid
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    model = langid.train(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.label(docs, model, spans=False).collect()}
+    for r in docs.collect():
+        own = (r.text or "").split()
+        scores, letters = model.score(own) if own else (np.zeros((0, 1)), np.zeros(0))
+        if letters.sum() == 0:
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        value, back = [float(x) for x in scores[0]], []
+        for s in scores[1:]:
+            top = max(range(len(value)), key=lambda k: value[k])
+            jump = value[top] - langid.SWITCH
+            back.append([k if value[k] >= jump else top for k in range(len(value))])
+            value = [max(value[k], jump) + float(s[k]) for k in range(len(value))]
+        at = max(range(len(value)), key=lambda k: value[k])
+        path = [at]
+        for step in reversed(back):
+            at = step[at]
+            path.append(at)
+        path.reverse()
+        share = [sum(n for n, p in zip(letters, path, strict=True) if p == k) for k in range(len(model.langs))]
+        lang = share.index(max(share))
+        score = sum(float(np.exp(s[lang])) * n for s, n, p in zip(scores, letters, path, strict=True) if p == lang) / letters.sum()
+        assert got[r.doc_id] == (model.langs[lang], pytest.approx(score, abs=1e-3))

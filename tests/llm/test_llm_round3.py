@@ -218,3 +218,53 @@ def test_parities_never_exceed_the_difference(seed, common, one, other):
     a, b = codes[: common + one], np.concatenate([codes[:common], codes[common + one :]])
     differ = sum(int(x).bit_count() for x in (parities(a) ^ parities(b)).view(np.uint64))
     assert differ <= len(np.setxor1d(a, b))
+
+
+def test_quality_score_is_all_pairs_of_features(spark):
+    """Words and structure of each text, one weight a feature and one product a pair, by plain loops."""
+    from collections import Counter
+
+    from waygraph.llm import quality_fm
+
+    rng = np.random.default_rng(8)
+    texts = ["A plain line of Plain words, a few.", "x", "", None, "# $ % & | < >\nA line\nA line\n" * 3, "Ünïcode wörter ohne Ende 日本語"]
+    machine = quality_fm.fit(texts * 4, [len(t or "") for t in texts] * 4, [1, 0, 0, 1, 0, 1] * 4)
+    machine.vectors += rng.normal(0, 0.3, machine.vectors.shape)
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.score for r in quality_fm.score(docs, machine).collect()}
+    for i, text in enumerate(texts):
+        words = (text or "").encode().split()
+        counts = Counter(zlib.crc32(w.lower()) % quality_fm.BUCKETS for w in words)
+        norm = math.sqrt(sum(math.log1p(n) ** 2 for n in counts.values())) or 1.0
+        features = [(b, math.log1p(n) / norm) for b, n in counts.items()] + [(int(b), 0.5) for b in quality_fm.structure((text or "").encode(), words, len(text or ""))]
+        raw = machine.bias + sum(float(machine.weights[b]) * x for b, x in features)
+        for a, (p, x) in enumerate(features):
+            for q, y in features[a + 1 :]:
+                raw += float(machine.vectors[p].astype(float) @ machine.vectors[q].astype(float)) * x * y
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, raw)))), abs=1e-4)
+
+
+def test_toxic_score_is_all_label_sequences(spark):
+    """Marginals of short texts over all sequences of labels, pooled and weighed by hand."""
+    from itertools import product
+
+    from waygraph.llm import toxicity
+
+    rng = np.random.default_rng(9)
+    chain = toxicity.ToxicChain(rng.normal(0, 1.0, toxicity.BUCKETS).astype(np.float32), rng.normal(0, 1.0, (2, 2)), -1.0, np.array([-1.0, 0.7, 2.0, -0.5]))
+    texts = ["one two three four", "a", "", None, "Some of these words are odd ones", "tab\tand\nline  breaks"]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chain).collect()}
+    for i, text in enumerate(texts):
+        words = (text or "").split()
+        odds = [float(chain.weights[np.array(toxicity.features(w))].sum()) for w in words]
+        total, toxic = 0.0, np.zeros(len(words))
+        for labels in product((0, 1), repeat=len(words)):
+            energy = (chain.start if words and labels[0] else 0.0) + sum(o for o, y in zip(odds, labels, strict=True) if y)
+            energy += sum(chain.moves[a][b] for a, b in zip(labels, labels[1:], strict=False))
+            total += math.exp(energy)
+            toxic += math.exp(energy) * np.array(labels)
+        m = toxic / total
+        pools = (math.log1p(m.sum()), m.max(), m.mean()) if words else (0.0, 0.0, 0.0)
+        z = chain.head[0] + sum(w * p for w, p in zip(chain.head[1:], pools, strict=True))
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+        assert len(got[i].spans) == (int((m >= 0.5).sum()) if words else 0)

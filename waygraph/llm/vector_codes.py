@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import Shared, bounded_batches, shared_dir, table
+from waygraph.llm.common import Shared, bounded_batches, delete, shared_dir, table
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Steps of a stored lower bound, from 0 to the largest one of its vector and part.
@@ -203,11 +203,6 @@ def moved(books: Books, sums: np.ndarray) -> Books:
     return Books.of(np.where(count > 0, total // np.maximum(count, 1), books.entries), books.entries)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> tuple[DataFrame, Books | None]:
     """vec_id, label (text), code (hex), error and computed (distances that its batch took) of all whole vectors, and the final codebooks."""
     spark, schema = vectors.sparkSession, "vec_id bigint, label string, code string, error bigint, computed bigint"
@@ -228,11 +223,11 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
         _assigned(source, books, STATE, at == 1, False).write.option("compression", "zstd").parquet(f"{top}/{at}")
         source = spark.read.schema(STATE).parquet(f"{top}/{at}")
         if at > 1:
-            _delete(spark, f"{top}/{at - 1}")
+            delete(spark, f"{top}/{at - 1}")
         books = moved(books, _sums(source, books))
     _assigned(source, books, schema, not rounds, True).write.option("compression", "zstd").parquet(f"{top}/codes")
     if at:
-        _delete(spark, f"{top}/{at}")
+        delete(spark, f"{top}/{at}")
     return spark.read.schema(schema).parquet(f"{top}/codes"), books
 
 
