@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from waygraph.llm import decontaminate, langid, neardup, quality_rules, sentencepieces
-from waygraph.llm.common import shared_dir, table
+from waygraph.llm.common import delete, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +45,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, from all documents."""
+    """The last stage's rows, from all documents. A stage's rows are deleted once the next one's are written."""
     docs = table(spark, sf_dir, "documents")
     top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
+        if before:
+            delete(spark, f"{top}/{before}")
+        before = name
     return docs
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from waygraph import catalog, queries
 from waygraph.operators import crossing, entities, future, maneuvers, pairs, query, relevance, spatial
+from waygraph.plans.scene import MAP_SCHEMA
 from waygraph.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -182,8 +183,11 @@ def test_lane_change_between_parallel_connectors(spark):
     edges = spark.createDataFrame([("m", "L", "P"), ("m", "L", "Q")], "map_name string, src_id string, dst_id string")
     beside = spark.createDataFrame([], "map_name string, object_id string, side string, adjacent_id string")
     moved = entities.with_motion(own)
-    got = maneuvers.lane_changes(moved, found, chosen, scenarios, edges, beside).collect()
-    assert [(r.source_lane, r.target_lane, r.side) for r in got] == [("P", "Q", "left")]
+    shapes = [("m", "lane_connector", n, [(0.0, y - 2), (60.0, y - 2), (60.0, y + 2), (0.0, y + 2)], [(0.0, y), (60.0, y)], 60.0, None, None, None) for n, y in (("P", 0.0), ("Q", 4.0))]
+    for known in (shapes, []):  # of lanes that the map lacks nothing is known but the matches
+        got = maneuvers.lane_changes(moved, found, chosen, scenarios, edges, beside, spark.createDataFrame(known, MAP_SCHEMA)).collect()
+        assert [(r.source_lane, r.target_lane, r.side) for r in got] == [("P", "Q", "left")]
+        assert [r.onset_by for r in got] == ["lateral_speed" if known else "source_end"]
     reach = {(r.src, r.dst) for r in maneuvers.reachable(spark.createDataFrame([("m", f"n{i}", f"n{i + 1}") for i in range(8)], "map_name string, src_id string, dst_id string"), 5).collect()}
     assert ("n0", "n5") in reach and ("n0", "n6") not in reach
 

@@ -138,7 +138,7 @@ def lane_changes(entities: DataFrame, found: DataFrame, chosen: DataFrame, scena
         about = about.join(part, ["map_name", "object_id"], "left")
     about = cut(about)
     met = found.select(F.col("scenario_token").alias("of_scenario"), F.col("track_token").alias("of_track"), F.col("object_id").alias("met_id")).distinct()
-    lanes = met.join(maps, F.col("of_scenario") == F.col("scenario_token")).withColumnRenamed("met_id", "object_id").drop("scenario_token").join(about, ["map_name", "object_id"]).drop("map_name")
+    lanes = met.join(maps, F.col("of_scenario") == F.col("scenario_token")).withColumnRenamed("met_id", "object_id").drop("scenario_token").join(about, ["map_name", "object_id"], "left").drop("map_name")
     cand = found.join(chosen.select("scenario_token", "frame_index", "track_token", "primary_id", F.col("ambiguous").alias("unsure")), ["scenario_token", "frame_index", "track_token"], "left")
     own = entities.where(is_vehicle(F.col("agent_type"))).select(*KEYS, "speed", "x", "y")
     rows = own.join(cand.select("scenario_token", "frame_index", "track_token", "object_id", "center_covered", "overlap_ratio", "lateral_offset", F.col("map_heading").alias("lane_heading"), (F.col("object_id") == F.col("primary_id")).alias("is_primary"), "unsure"), ["scenario_token", "frame_index", "track_token"], "left")
