@@ -55,9 +55,9 @@ KEPT_WORDS = 150_000
 #: Probability that a pair at the threshold has too few agreeing bits.
 MISSED = 1e-10
 #: Bits of a register that are compared, and rarest shared shingles that a member names.
-BITS, FIRST = 4, 64
+BITS, FIRST = 4, 24
 #: Places of a set's parities.
-ODD = 2_048
+ODD = 1_024
 
 
 @dataclass(frozen=True)
