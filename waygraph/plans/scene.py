@@ -36,7 +36,7 @@ STEPS: tuple[dict[str, str], ...] = (
     },
     {
         "x": "case slot when 0 then 20.0E0 + shift + v * t - (v - 1.5E0) * least(greatest(t - brake_t, 0.0E0), 4.0E0) when 1 then 45.0E0 + shift + v * t when 2 then 5.0E0 + shift + v * t when 3 then 30.0E0 + shift + v * t when 4 then 183.0E0 + shift * 0.5E0 when 5 then 220.0E0 when 6 then 192.0E0 else 300.0E0 end",
-        "y": "case slot when 0 then 4.0E0 when 1 then 4.0E0 when 2 then 4.0E0 + lateral_f when 3 then 0.0E0 + lateral_f when 4 then 0.0E0 when 5 then -74.0E0 + v * t when 6 then 4.0E0 + v * (t - brake_t - 2.93E0) else -1.0E0 end",
+        "y": "case slot when 0 then 4.0E0 when 1 then 4.0E0 when 2 then 4.0E0 + lateral_f when 3 then 0.0E0 + lateral_f when 4 then 0.0E0 when 5 then -74.0E0 + v * t when 6 then 4.0E0 + v * (t - brake_t - 2.931283E0) else -1.0E0 end",
         "vx": "case when slot = 0 and t > brake_t and t < brake_t + 4.0E0 then 1.5E0 + jitter when slot in (0, 1, 2, 3) then v + jitter else 0.0E0 end",
         "vy": "case when slot in (5, 6) then v else lateral_v end",
         "cos_h": "case when slot in (5, 6) then 0.0E0 else 1.0E0 end",
