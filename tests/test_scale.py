@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from waygraph.functions import kernels
-from waygraph.operators import future, maneuvers, pairs, relevance
+from waygraph.operators import future, mapmatch, maneuvers, pairs, relevance
 from waygraph.operators.entities import unpivot
 from waygraph.queries import QUERIES, Stages
 
@@ -74,3 +74,14 @@ def test_shapes_with_bounds_apart_are_left_out_of_the_overlap():
     assert kernels.bounds_meet(one, two).tolist() == [True, False]
     assert kernels.convex_overlap(one, two).tolist() == [4.0, 0.0] and kernels.convex_distance(one, two).tolist() == [0.0, 46.0]
     assert maneuvers.Seen._fields[0] == "track_token"
+
+
+def test_history_is_sorted_once(spark, sf):
+    made = Stages(spark, sf).history._jdf.queryExecution().executedPlan().toString()
+    assert made.split("== Initial Plan ==")[-1].count("Sort [") == 1
+
+
+def test_footprints_off_a_polygons_bounds_go_to_no_kernel(spark, sf):
+    s = Stages(spark, sf)
+    found = mapmatch.candidates(s.scene.entities, s.scene.scenarios, s.scene.map_objects)
+    assert "high_x" in plan(found)
