@@ -85,3 +85,13 @@ def test_footprints_off_a_polygons_bounds_go_to_no_kernel(spark, sf):
     s = Stages(spark, sf)
     found = mapmatch.candidates(s.scene.entities, s.scene.scenarios, s.scene.map_objects)
     assert "high_x" in plan(found)
+
+
+def test_rules_of_relevance_are_decided_once(spark):
+    numbers = "center_distance free_space reference_distance o_x s_x o_y s_y o_vx s_vx o_vy s_vy s_length_m s_width_m o_length_m o_width_m travel_longitudinal travel_lateral".split()
+    df = spark.range(1).select(*((F.col("id") + i).cast("double").alias(c) for i, c in enumerate(numbers)), F.lit("same_map").alias("map_relation"), F.lit("VEHICLE").alias("o_agent_type"), *(F.lit(True).alias(c) for c in ("same_flow", "s_is_ego", "shared_intersection", "o_in_crosswalk")), *(F.lit(1).alias(c) for c in ("s_route_rank", "o_route_rank")))
+    got = relevance.with_relevance(df)
+    assert "held_same_lane_ahead" in got._jdf.queryExecution().analyzed().toJSON()
+    row = got.first()
+    assert row.reasons == sorted(row.reasons) and "same_lane_ahead" in row.reasons and row.relevant and row.mandatory
+    assert relevance.PRIORITY[row.primary_reason] == max(relevance.PRIORITY[x] for x in row.reasons)
