@@ -95,3 +95,57 @@ def test_rules_of_relevance_are_decided_once(spark):
     row = got.first()
     assert row.reasons == sorted(row.reasons) and "same_lane_ahead" in row.reasons and row.relevant and row.mandatory
     assert relevance.PRIORITY[row.primary_reason] == max(relevance.PRIORITY[x] for x in row.reasons)
+
+
+def test_overtakes_take_no_group_a_pair_and_equal_a_plain_scan(spark):
+    t = maneuvers.T
+    rng = np.random.default_rng(11)
+    rows = []
+    for p in range(60):
+        at, speed = -rng.uniform(2, 30), rng.uniform(1.0, 4.0)
+        for f in range(40):
+            at += speed * 0.5 * (1 if rng.random() < 0.9 or p % 3 else -1)
+            aside = abs(at) < 12
+            rows.append((f"s{p % 2}", f"a{p}", "b", f, f * 500_000, bool(not aside and rng.random() < 0.95), "left" if aside and rng.random() < 0.8 else None, at, 3.0 if aside else 0.2, -at - 4.5, at - 4.5, abs(at) < 4.5, float(rng.choice([0.0, 0.9], p=[0.93, 0.07])), float(rng.uniform(1.5, 9)), float(rng.uniform(0.4, 4))))
+    kinds = "scenario_token string, s_track string, o_track string, frame_index int, timestamp_us bigint, same boolean, passing_side string, axis_ahead double, axis_aside double, behind_gap double, clearance double, level boolean, heading_difference double, s_forward_speed_seen double, o_forward_speed_seen double"
+
+    def plain(own):
+        fit = lambda r: r[13] >= t.overtake_subject_speed and r[14] >= t.overtake_object_speed
+        flow = [r[12] <= t.overtake_same_flow for r in own]
+        first = lambda lo, ok: next((i for i in range(lo, len(own)) if ok(i)), None)
+        at, found = 0, []
+        while (start := first(at, lambda i: own[i][5] and own[i][9] >= t.overtake_behind_gap and fit(own[i]) and flow[i])) is not None:
+            at = start + 1
+            leave = first(at, lambda i: own[i][6] is not None)
+            level = leave and first(leave, lambda i: own[i][6] is not None and own[i][11] and abs(own[i][8]) >= t.overtake_side_lateral and flow[i])
+            turn = level and first(level, lambda i: own[i][7] > 0)
+            clear = turn and first(turn, lambda i: own[i][10] >= t.overtake_clearance)
+            back = clear and first(clear, lambda i: own[i][5])
+            n = t.overtake_stable_frames
+            done = back and first(back + n - 1, lambda i: all(r[5] for r in own[i - n + 1 : i + 1]))
+            if not done:
+                break
+            if (own[done][4] - own[start][4]) / 1e6 <= t.overtake_duration_s and max(r[13] - r[14] for r in own[start : clear + 1]) >= t.overtake_relative_speed and np.mean(flow[start : clear + 1]) >= t.overtake_same_flow_share:
+                found.append((start, leave, level, turn, clear, back, done))
+                at = done + 1
+        out = []
+        for x in found:
+            if out and own[x[-1]][4] - own[out[-1][-1]][4] <= t.overtake_dedupe_s * 1e6:
+                out[-1] = max(out[-1], x, key=lambda x: (own[x[4]][10], own[x[0]][4] - own[x[-1]][4]))
+            else:
+                out.append(x)
+        return out
+
+    want = {(r[0][0], r[0][1], *x) for r in ([r for r in rows if r[1] == f"a{p}"] for p in range(60)) for x in plain(r)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        # lanes as the join asks for them: those of one way are equal, those beside it stated
+        pairs_of = spark.createDataFrame(rows, kinds).withColumns({"o_primary_id": F.lit("L"), "s_primary_id": F.when(F.col("passing_side").isNotNull(), "M").when(F.col("same"), "L")}).drop("same", "passing_side")
+        none = spark.createDataFrame([], "map_name string, src string, dst string")
+        beside = spark.createDataFrame([("m", "L", "left", "M"), ("m", "M", "right", "L")], "map_name string, object_id string, side string, adjacent_id string")
+        got = maneuvers.overtakes(pairs_of, none, spark.createDataFrame([("s0", "m"), ("s1", "m")], "scenario_token string, map_name string"), beside)
+        assert "FlatMapGroupsInPandas" not in plan(got) and "CoalescedShuffle" not in plan(got)
+        steps = ("start", "departure", "side", "reversal", "clearance", "return", "completion")
+        assert {(x.scenario_token, x.s_track, *(x[f"{s}_frame"] for s in steps)) for x in got.collect()} == want and len(want) > 5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
