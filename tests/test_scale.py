@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from waygraph.functions import kernels
-from waygraph.operators import future, mapmatch, maneuvers, pairs, relevance
+from waygraph.operators import future, mapmatch, maneuvers, pairs, relevance, risk
 from waygraph.operators.entities import unpivot
 from waygraph.queries import QUERIES, Stages
 
@@ -149,3 +149,17 @@ def test_overtakes_take_no_group_a_pair_and_equal_a_plain_scan(spark):
         assert {(x.scenario_token, x.s_track, *(x[f"{s}_frame"] for s in steps)) for x in got.collect()} == want and len(want) > 5
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_dear_steps_are_dealt_to_a_fixed_number_of_tasks(spark, sf):
+    users = Stages(spark, sf).scene.entities
+    near = pairs.with_kinematics(pairs.ego_pairs(users)).withColumn("free_space", F.col("center_distance"))
+    for made in (future.future_positions(users), future.future_coverage(users), pairs.with_pair_history(near)):
+        assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_risks_are_judged_in_first_directions_and_rank_no_wide_rows(spark, sf):
+    found = risk.conflicts(Stages(spark, sf).near_scored)
+    assert "Window" not in plan(found)
+    rows = [(x.scenario_token, x.frame_index, *sorted((x.s_track, x.o_track))) for x in found.collect()]
+    assert rows and len(rows) == len(set(rows)) and {x.tag for x in found.select("tag").distinct().collect()} <= {"ego_to_agent", "agent_to_agent"}
