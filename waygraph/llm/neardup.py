@@ -68,6 +68,21 @@ class Linking:
     percent: int = 80
 
 
+class Words(dict):
+    """Codes of words, worked out once a word."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 def shingle_codes(codes: np.ndarray, k: int) -> np.ndarray:
     """Distinct 64-bit codes of the k-word shingles; the whole sequence as one if shorter."""
     if not len(codes):
@@ -87,13 +102,10 @@ def parities(codes: np.ndarray) -> np.ndarray:
 
 
 def sketch(codes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Registers of a set."""
+    """Registers of a set. The codes are hashes already, so that a product with an odd seed is a draw."""
     least = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(codes), 512):
-        v = (codes[at : at + 512, None] ^ seeds[None, :]) * np.uint64(0xD6E8FEB86659FD93)
-        v ^= v >> np.uint64(32)
-        v *= np.uint64(0xD6E8FEB86659FD93)
-        np.minimum(least, v.min(0), out=least)
+    for at in range(0, len(codes), 1024):
+        np.minimum(least, (codes[None, at : at + 1024] * seeds[:, None]).min(1), out=least)
     draw = -np.log1p(-((least.astype(np.float64) + 0.5) / 2.0**64)) / RATE
     return np.clip(np.floor(1 - np.log(draw) / np.log(BASE)) + LEVELS // 2, 0, LEVELS + 1).astype("<u2")
 
@@ -138,16 +150,11 @@ def features(docs: DataFrame, linking: Linking) -> DataFrame:
     def kernel(cols: dict[str, list]) -> dict[str, list]:
         import xxhash
 
-        known, own = state.setdefault("known", {}), state.setdefault("seeds", seeds())
+        known, own = state.setdefault("known", Words()), state.setdefault("seeds", seeds())
         keys, sizes, regs = [], [], []
         for text in cols["text"]:
             words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            codes = shingle_codes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), k)
-            if len(known) > KEPT_WORDS:
-                known.clear()
+            codes = shingle_codes(known.of(words), k)
             sizes.append(len(codes))
             keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
             regs.append(sketch(codes, own).tobytes() if words else None)
@@ -247,17 +254,10 @@ def _coded(rows: DataFrame, linking: Linking, of: str, out: str, made: Callable[
     state: dict = {}
 
     def kernel(cols: dict[str, list]) -> dict[str, list]:
-        import xxhash
-
-        known, found = state.setdefault("known", {}), []
+        known, found = state.setdefault("known", Words()), []
         for text in cols["text"]:
             words = text.encode("utf-8", "surrogatepass").lower().split()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            found.append(made(shingle_codes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), k)))
-            if len(known) > KEPT_WORDS:
-                known.clear()
+            found.append(made(shingle_codes(known.of(words), k)))
         return {of: cols[of], out: found}
 
     return map_arrow(rows.select(of, "text"), kernel, f"{of} {dict(rows.dtypes)[of]}, {out} array<bigint>")
