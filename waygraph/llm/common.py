@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -62,6 +63,15 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Workers live on after their tasks, several beside each executor: memory that is free by now goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    # the C library's heap has numpy's arrays and what Python doesn't pool; without glibc there is no such call
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, kernel: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Apply kernel to column lists of each Arrow batch; it returns the columns of schema."""
     out = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in _struct(schema)])
@@ -71,8 +81,8 @@ def map_arrow(df: DataFrame, kernel: Callable[[dict[str, list]], dict[str, list]
             if batch.num_rows:
                 got = kernel({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
-        # the worker lives on: what this task has freed goes back
-        pa.default_memory_pool().release_unused()
+            batch = got = None
+            give_back()
 
     return bounded_batches(df).mapInArrow(run, schema)
 
@@ -91,6 +101,8 @@ def add_arrow(df: DataFrame, inputs: list[str], kernel: Callable[[dict[str, list
                 names = batch.schema.names
                 got = kernel({n: batch.column(names.index(n)).to_pylist() for n in inputs})
                 yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(got[f.name], type=f.type) for f in out], names=names + out.names)
+            batch = got = None
+            give_back()
 
     return bounded_batches(df).mapInArrow(run, full)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import Shared, bounded_batches, map_arrow, materialize, set_aside, table
+from waygraph.llm.common import Shared, bounded_batches, give_back, map_arrow, materialize, set_aside, table
 from waygraph.llm.licenses import words_of
 
 #: Masks of weight 6; a passage of 13 tokens with one substitution, or 16 with two apart, keeps a hit.
@@ -108,7 +108,7 @@ def candidates(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...] = MASKS
         size = np.int64(len(have) * 64)
         for batch in batches:
             rows, hits = [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
+            for row, text in enumerate(x.as_py() for x in batch.column(1)):
                 own = []
                 for h in window_hashes(token_codes(words_of(text), known), masks):
                     bit = np.mod(h, size).astype(np.uint64)
@@ -120,6 +120,8 @@ def candidates(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...] = MASKS
             if rows:
                 part = batch.take(pa.array(rows, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hits, hit)], ["doc_id", "text", "hits"])
+            batch = part = None
+            give_back()
 
     slim = docs.select("doc_id", "text").where("text is not null")
     return bounded_batches(slim).mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, text string, hits array<struct<hash:bigint,pos:int>>")

@@ -35,14 +35,16 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import Shared, bounded_batches, map_arrow, materialize, sampled, table
+from waygraph.llm.common import Shared, bounded_batches, give_back, map_arrow, materialize, sampled, table
 
 MARK = "▁"
 #: Units that travel to every task, and documents of the sample that they are taken from, at most.
@@ -168,12 +170,14 @@ def unit_counts(docs: DataFrame, model: PieceModel) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(named), pa.string()), pa.array(list(named.values()), pa.int64())], ["unit", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in (x.as_py() for x in batch.column(0)):
                 counts.update(split.words(text) if text else ())
                 if len(counts) > KEPT_UNITS:
                     yield flush()
+                    give_back()
         if counts:
             yield flush()
+        give_back()
 
     return bounded_batches(docs.select("text")).mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -187,7 +191,10 @@ def frequent_units(docs: DataFrame, model: PieceModel, head: int = HEAD) -> pa.T
 
 
 def blocks(docs: DataFrame, model: PieceModel, known: Shared, words: int = BLOCK_WORDS) -> DataFrame:
-    """block, check (of its texts), rare (units that aren't among the known ones, packed), and its documents: doc_ids, digests of their texts, sizes and places (packed numbers of units, the known ones first)."""
+    """block, check (of its texts), rare (units that aren't among the known ones, packed), and its documents: doc_ids, digests of their texts, sizes and places (packed numbers of units, the known ones first).
+
+    known: the known units as one Arrow array, which has a tenth of a dictionary's size.
+    """
     shared = Shared(docs.sparkSession, model)
     slim = docs.select("doc_id", "text")
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -195,7 +202,7 @@ def blocks(docs: DataFrame, model: PieceModel, known: Shared, words: int = BLOCK
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        split, head = Splitter(shared.value), known.value.number
+        split, head = Splitter(shared.value), known.value
         own: defaultdict[str, int] = defaultdict()
         own.default_factory = own.__len__
         ids, digests, rows, length, made = [], [], [], 0, 0
@@ -204,7 +211,9 @@ def blocks(docs: DataFrame, model: PieceModel, known: Shared, words: int = BLOCK
             units, many = split.units(list(own))
             rare: defaultdict[str, int] = defaultdict()
             rare.default_factory = lambda: len(head) + len(rare)
-            number = np.fromiter((rare[u] if (n := head.get(u)) is None else n for u in units), np.int64, len(units))
+            number = pc.fill_null(pc.index_in(pa.array(units, pa.string()), value_set=head), -1).to_numpy().astype(np.int64)
+            new = np.flatnonzero(number < 0)
+            number[new] = np.fromiter((rare[units[i]] for i in new.tolist()), np.int64, len(new))
             # words to units, for all documents of the block at once
             row = np.concatenate(rows)
             size, start = many[row], (np.cumsum(many) - many)[row]
@@ -218,7 +227,8 @@ def blocks(docs: DataFrame, model: PieceModel, known: Shared, words: int = BLOCK
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            # one text at a time: as lists, a batch's texts take several times its size
+            for doc_id, text in ((i.as_py(), x.as_py()) for i, x in zip(batch.column(0), batch.column(1), strict=True)):
                 parts = split.words(text) if text else []
                 ids.append(doc_id)
                 digests.append(xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass")))
@@ -227,8 +237,11 @@ def blocks(docs: DataFrame, model: PieceModel, known: Shared, words: int = BLOCK
                 if length >= words:
                     yield close()
                     ids, digests, rows, length, made = [], [], [], 0, made + 1
+                    give_back()
         if ids:
             yield close()
+        batch, ids, digests, rows = None, [], [], []
+        give_back()
 
     return bounded_batches(slim).mapInArrow(run, f"block bigint, check bigint, rare binary, doc_ids array<{kind}>, digests array<binary>, sizes binary, places binary")
 
@@ -385,7 +398,10 @@ class Assembler:
     def __init__(self, model: PieceModel) -> None:
         self.model, self.longest = model, model.longest
         self.number = {p: i for i, p in enumerate(model.pieces) if p}
-        self.rank = {p: (-s, i) for i, (p, s) in enumerate(zip(model.pieces, model.scores, strict=True)) if p}
+
+    @cached_property
+    def rank(self) -> dict[str, tuple[float, int]]:
+        return {p: (-s, i) for i, (p, s) in enumerate(zip(self.model.pieces, self.model.scores, strict=True)) if p}
 
     def starts(self, units: list[str], sizes: np.ndarray, cuts: pa.Array) -> np.ndarray:
         """Where pieces begin in the joined units; a unit without a fold is cut into its characters."""
@@ -419,14 +435,6 @@ class Assembler:
         return flat, np.diff(before[np.searchsorted(at, np.concatenate([[0], np.cumsum(sizes)]), "left")])
 
 
-class Known:
-    """The units that travel to every task: their numbers, and their ids behind each other."""
-
-    def __init__(self, model: PieceModel, units: list[str], cuts: pa.Array) -> None:
-        self.number = dict(zip(units, range(len(units)), strict=True))
-        self.ids, self.many = Assembler(model)(units, cuts)
-
-
 class Decoder:
     """Texts of piece ids; byte pieces are joined to characters."""
 
@@ -457,7 +465,9 @@ def _encoded(docs: DataFrame, model: PieceModel, head: int, words: int, finish:
     """doc_id, ids, and the columns that finish makes from documents' digests, ids and numbers of units."""
     spark = docs.sparkSession
     top = frequent_units(docs, model, head).combine_chunks()
-    known = Shared(spark, Known(model, top["unit"].to_pylist(), top["cut"].combine_chunks()))
+    units = top["unit"].combine_chunks().cast(pa.string())
+    # the first step needs the known units, the last one their ids behind each other and how many each has
+    known, spelled = Shared(spark, units), Shared(spark, Assembler(model)(units.to_pylist(), top["cut"].combine_chunks()))
     shared = Shared(spark, model)
     # both readers of this take all its columns, so that one shuffle serves both
     moved = blocks(docs, model, known, words).repartition("block")
@@ -467,6 +477,7 @@ def _encoded(docs: DataFrame, model: PieceModel, head: int, words: int, finish:
             for block, check, rare in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 units = unpacked_texts(rare)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), block)), pa.array(check << 32 | np.arange(len(units))), pa.array(units, pa.string())], ["block", "place", "unit"])
+                give_back()
 
     named = bounded_batches(moved).mapInArrow(name, "block bigint, place bigint, unit string")
     cut = folded(edges(named.select("unit").distinct(), piece_table(spark, model), model.longest, model.kind), ["unit"], model.kind)
@@ -474,13 +485,14 @@ def _encoded(docs: DataFrame, model: PieceModel, head: int, words: int, finish:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head = shared.value, known.value
+        model, head = shared.value, spelled.value
         assemble = Assembler(model)
         for batch in batches:
             for at in range(batch.num_rows):
                 yield from give(model, head, assemble, {n: batch.column(i)[at] for i, n in enumerate(batch.schema.names)})
+                give_back()
 
-    def give(model: PieceModel, head: Known, assemble: Assembler, row: dict[str, pa.Scalar]) -> Iterator[pa.RecordBatch]:
+    def give(model: PieceModel, head: tuple[np.ndarray, np.ndarray], assemble: Assembler, row: dict[str, pa.Scalar]) -> Iterator[pa.RecordBatch]:
         units, cuts = unpacked_texts(row["rare"].as_py()), row["cuts"].values
         found = np.full(len(units), -1, np.int64)
         if row["cuts"].is_valid:
@@ -493,7 +505,7 @@ def _encoded(docs: DataFrame, model: PieceModel, head: int, words: int, finish:
         else:
             cuts = pa.nulls(len(units), pa.int64())
         flat, many = assemble(units, cuts)
-        flat, many = np.concatenate([head.ids, flat]), np.concatenate([head.many, many])
+        flat, many = np.concatenate([head[0], flat]), np.concatenate([head[1], many])
         start, places = np.cumsum(many) - many, unpacked(row["places"].as_py())
         sizes = np.frombuffer(row["sizes"].as_py(), "<i8")
         stops = np.concatenate([[0], np.cumsum(sizes)])
