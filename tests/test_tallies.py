@@ -81,3 +81,17 @@ def test_future_samples_equal_plain_brackets(spark):
     # positions are stated at those times and no others
     users = df.select("*", *(F.lit(0.0).alias(c) for c in ("x", "y", "heading")))
     assert future.future_positions(users).count() == sum(got.values())
+
+
+def test_judged_pairs_are_written_by_compiled_methods(spark, sf, monkeypatch):
+    stages, seen = queries.Stages(spark, sf), []
+
+    class Judged:
+        def select(self, *columns):
+            return self
+
+    stages.__dict__["judged"] = Judged()
+    monkeypatch.setattr(queries, "cut", lambda df: seen.append(spark.conf.get(shared.METHOD_LIMIT, None)))
+    before = spark.conf.get(shared.METHOD_LIMIT, None)
+    stages.scored  # noqa: B018
+    assert seen == ["8000"] and spark.conf.get(shared.METHOD_LIMIT, None) == before
